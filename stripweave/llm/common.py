@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stripweave.session import ship
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -20,10 +26,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
+    ship(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def append_columns(docs: DataFrame, text: str, run: Callable[[list[str]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """``docs`` with ``fields`` after its own columns (a column of ``docs`` with such a name goes): ``run`` gets the whole texts of a batch, null as empty, and gives
+    the new columns. Rows stay as they are, also repeated ones and those without an id."""
+    ship(docs.sparkSession)
+    names = {f.name for f in fields}
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    schema = T.StructType(kept + fields)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            *columns, body = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns, *run(body.to_pylist())], schema.names)
+
+    rows = docs.select(*(docs[f"`{f.name}`"] for f in kept), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"))
+    return rows.mapInArrow(batches, schema)
+
+
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds. Null ids are in fold -1."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(-1).cast("long"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int) -> DataFrame:
+    """``doc_id, text, label`` of at most ``per_label`` labelled documents of each label 0 and 1, chosen by a hash of the id."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    # Only ids that the documents have; the id columns alone are read.
+    rows = rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
+    sample = written(chosen[0].unionByName(chosen[1]), "sample")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])

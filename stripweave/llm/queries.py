@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stripweave.llm import chat, licenses, sharding
+from stripweave.llm import bpe, chat, gif, licenses, packing, quality, sharding, toxicity
 from stripweave.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_report(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_report(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
 
@@ -22,8 +34,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op6_jump_shards, op7_license_scan)}
+    return {f.__name__: f for f in (op2_chat_format, op3_toxicity, op4_gif_media, op5_bpe_tokens, op6_jump_shards, op7_license_scan, op9_quality, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
