@@ -1,13 +1,35 @@
-"""The corpus pipeline: its stages run one after the other, each written as Parquet and read again."""
+"""The corpus pipeline: documents of good quality, then those not toxic, then one of each group of near duplicates, then packed
+into training sequences. Each stage works on all that the one before kept, written as Parquet and read again. Models learn from
+the labelled documents among a stage's own input, within the operators' bounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stripweave.llm import neardup, packing, quality, toxicity
 from stripweave.llm.common import table, written
 
-STAGES: list = []
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8."""
+    return neardup.keep_one(docs, neardup.Rule(shingle=5, percent=80))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
+
+#: SQL can express neither the models nor best-fit packing; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
 
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stripweave.llm import bpe, chat, gif, licenses, packing, quality, sharding, toxicity
+from stripweave.llm import ann, bpe, chat, gif, licenses, neardup, packing, quality, sharding, toxicity
 from stripweave.llm.common import table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -34,6 +39,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Rule(shingle=2, percent=80))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_toxicity, op4_gif_media, op5_bpe_tokens, op6_jump_shards, op7_license_scan, op9_quality, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_multi_index, op2_chat_format, op3_toxicity, op4_gif_media, op5_bpe_tokens, op6_jump_shards, op7_license_scan, op8_hyperminhash, op9_quality, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
