@@ -20,7 +20,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def hash64(values: Column, level: Column) -> Column:
     """Bit k is set where the k-th of 64 values is above the level; the first value is the highest bit."""
-    bits = F.transform(values, lambda v, k: F.when(v > level, F.shiftleft(F.lit(1).cast("long"), (63 - k).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(values, lambda v, k: F.when(v > level, F.call_function("shiftleft", F.lit(1).cast("long"), (63 - k).cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
 

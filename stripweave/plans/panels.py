@@ -36,8 +36,8 @@ _panel("shape_family", {"family": _FRAME["name"], **dict(zip(("fit_w", "fit_h",
 _panel("format_detect", {"format": O.format_detect(C("width"), C("height")), "forced": O.format_detect(C("width"), C("height"), F.when(C("seq") % 5 == 0, "manga"))}, "CASE WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS format, CASE WHEN seq % 5 = 0 THEN 'manga' WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS forced")
 _panel("fit_scale", {"h": G.fit_scale(C("width"), C("height"), 1200)[1]}, "greatest(1, floor(height * 1200 / width + 0.5))::INT AS h")
 _panel("rotate_hint", {"rotate": G.rotate_hint(C("width"), C("height"))}, "width > height * 1.5 AS rotate")
-_panel("bubble_candidate_filter", {"confidence": F.round(O.bubble_candidate(C("b0") * 100, C("b1") * 100, C("width") / 2, C("height") / 12, C("light_ratio"), C("width"), C("height")), 6)},
-    "CASE WHEN w >= 0.1 * width AND w <= 0.94 * width AND h >= 24 AND h <= least(560.0, 0.3 * height) AND NOT (w > 0.6 * width AND (b0 * 100 <= 1 OR b0 * 100 + w >= width - 1)) AND light_ratio * w * h >= greatest(260.0, 0.1 * w * h) AND light_ratio >= 0.2 THEN round(least(0.98, 0.35 + 0.5 * light_ratio + 0.15 * least(1.0, w * h / 40000)), 6) END AS confidence", "(SELECT *, width / 2 AS w, height / 12 AS h FROM panels) p")
+_panel("bubble_candidate_filter", {"confidence": F.round(O.bubble_candidate(C("b0") * 100, C("b1") * 100, C("width") / 2, C("height") / 12, C("light_ratio"), C("width"), C("height")), 10)},
+    "CASE WHEN w >= 0.1 * width AND w <= 0.94 * width AND h >= 24 AND h <= least(560.0, 0.3 * height) AND NOT (w > 0.6 * width AND (b0 * 100 <= 1 OR b0 * 100 + w >= width - 1)) AND light_ratio * w * h >= greatest(260.0, 0.1 * w * h) AND light_ratio >= 0.2 THEN round(least(0.98, 0.35 + 0.5 * light_ratio + 0.15 * least(1.0, w * h / 40000)), 10) END AS confidence", "(SELECT *, width / 2 AS w, height / 12 AS h FROM panels) p")
 _panel("ocr_conf_filter_legacy", {"ok": O.engine_confidence_ok(F.element_at(F.array(F.lit("words"), F.lit("second"), F.lit("structured")), (C("seq") % 3 + 1).cast("int")), F.when(C("seq") % 3 == 0, C("b0") * 100).otherwise(C("b0")))}, "CASE seq % 3 WHEN 0 THEN b0 * 100 > 60 WHEN 1 THEN b0 > 0.5 ELSE b0 >= 0.35 END AS ok")
 
 _DUP = C("panel_id") % 17 == 0
