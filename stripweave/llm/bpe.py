@@ -3,8 +3,8 @@
 Two neighbouring tokens of a BPE result never depend on what stands around them: a token list is the result for its text just
 if every neighbouring pair is the result for its own text. So for each prefix of a word the last token is the one suffix that
 goes with the last token of what is left, and it never changes. What is pending are the prefixes that a longer token may still
-begin in; where the token chains of all of them meet, everything before is final and leaves. The automaton's steps are kept as
-they are met, in a table of bounded size. The merge list bounds how far the decision can lie ahead (``lookahead``).
+begin in; where the token chains of all of them meet, everything before is final and leaves. The merge list bounds how far the
+decision can lie ahead (``lookahead``), so what is pending never outgrows that and a window.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 NEVER = 1 << 60
 #: The last symbol of a word carries the end mark; it is held as one character in a plane of its own.
 END_PLANE = 0xF0000
-STEPS, WORDS = 400_000, 300_000
+#: Symbols between two looks at what is final; words and pairs remembered.
+WINDOW, WORDS, PAIRS = 64, 200_000, 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -57,6 +58,7 @@ class Merges:
                     raise ValueError("a merge list whose parts are not made before they are merged")
         self.tokens = {t for t in self.ids if len(t) == 1} | set(self.born)
         self.begins = {t[:k] for t in self.tokens for k in range(1, len(t))}
+        self.ends = {t[k:]: False for t in self.tokens for k in range(1, len(t))} | dict.fromkeys(self.tokens, True)
         self.longest = max(map(len, self.tokens))
         self.spines: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -95,7 +97,7 @@ class Merges:
                         break
                 if not found:
                     break
-            if len(self.pairs) >= 2 * STEPS:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = found
         return found
@@ -124,93 +126,73 @@ class Merges:
 
 
 class Transducer:
-    """Symbols in, token ids out (as bytes, four a token). A state is the last token that left and the symbols still pending."""
+    """Symbols in, token ids out (as bytes, four a token). Held are the last token that left, the symbols pending after it, and the last
+    token of each prefix of these. Whenever ``WINDOW`` more symbols are pending, what is final leaves."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
         self.code = {t: i.to_bytes(4, "little") for t, i in merges.ids.items()}
-        self.clear()
-
-    def clear(self) -> None:
-        self.states: list[tuple[str, str]] = [("", "")]
-        self.numbers = {("", ""): 0}
-        self.steps: dict[tuple[int, str], tuple[int, bytes]] = {}
-
-    def _chains(self, left: str, pending: str) -> list[tuple[int, str] | None]:
-        """For each prefix of what is pending: where its last token starts, and that token. None where that token would start
-        before; no later token begins at such a place."""
-        m = self.merges
-        last: list[tuple[int, str] | None] = [(-1, left)]
-        for end in range(1, len(pending) + 1):
-            found = None
-            for start in range(max(0, end - m.longest), end):
-                token = pending[start:end]
-                if last[start] is not None and token in m.tokens:
-                    before = last[start][1]
-                    if not before or m.stable(before, token):
-                        found = (start, token)
-                        break
-            last.append(found)
-        if last[-1] is None:
-            raise ValueError("a text without tokens")
-        return last
 
-    def _path(self, last: list[tuple[int, str] | None], end: int) -> list[int]:
-        path = [end]
-        while end:
-            end = last[end][0]
-            path.append(end)
-        return path
-
-    def _tokens(self, last: list[tuple[int, str] | None], end: int) -> list[str]:
+    def _final(self, pending: str, starts: list[int], tokens: list[str | None]) -> int:
+        """Where the chains of all places meet that a later token can begin at."""
+        n = len(pending)
+        live = [j for j in range(max(0, n - self.merges.longest), n) if tokens[j] is not None and pending[j:] in self.merges.begins]
+        common: set[int] | None = None
+        for j in (*live, n):
+            path = {0, j}
+            while j:
+                j = starts[j]
+                path.add(j)
+            common = path if common is None else common & path
+        return max(common)
+
+    def _leave(self, end: int, starts: list[int], tokens: list[str | None]) -> list[str]:
         out = []
         while end:
-            out.append(last[end][1])
-            end = last[end][0]
+            out.append(tokens[end])
+            end = starts[end]
         return out[::-1]
 
-    def _step(self, state: int, symbol: str) -> tuple[int, bytes]:
-        left, pending = self.states[state]
-        pending += symbol
-        last = self._chains(left, pending)
-        n = len(pending)
-        if ord(symbol) >= END_PLANE:
-            return 0, b"".join(self.code[t] for t in self._tokens(last, n))
-        live = [j for j in range(n) if last[j] is not None and pending[j:] in self.merges.begins] + [n]
-        common = set(self._path(last, live[0]))
-        for j in live[1:]:
-            common &= set(self._path(last, j))
-        final = max(common)
-        gone = self._tokens(last, final)
-        key = (gone[-1] if gone else left, pending[final:])
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append(key)
-        return number, b"".join(self.code[t] for t in gone)
-
     def word(self, symbols: str) -> bytes:
-        if len(self.steps) >= STEPS:
-            self.clear()
-        state, out, steps = 0, [], self.steps
-        for symbol in symbols:
-            step = steps.get((state, symbol))
-            if step is None:
-                step = steps[state, symbol] = self._step(state, symbol)
-                if len(steps) >= 2 * STEPS:  # inside one endless word
-                    key = self.states[step[0]]
-                    self.clear()
-                    steps = self.steps
-                    if key not in self.numbers:
-                        self.numbers[key] = len(self.states)
-                        self.states.append(key)
-                    step = (self.numbers[key], step[1])
-            state = step[0]
-            if step[1]:
-                out.append(step[1])
-        if state:  # no end mark: what is pending is final now
-            left, pending = self.states[state]
-            out += [self.code[t] for t in self._tokens(self._chains(left, pending), len(pending))]
+        ends, stable, pairs = self.merges.ends.get, self.merges.stable, self.merges.pairs
+        longest, code = self.merges.longest, self.code
+        out: list[bytes] = []
+        base, mark, starts, tokens = 0, WINDOW, [-1], [""]
+        for end in range(1, len(symbols) + 1):
+            at = end - base
+            tries = []
+            for start in range(at - 1, max(-1, at - 1 - longest), -1):
+                piece = symbols[base + start : end]
+                kind = ends(piece)
+                if kind is None:  # no token ends like this
+                    break
+                if kind:
+                    tries.append((piece, start))
+            found, place = None, -1
+            for piece, start in reversed(tries):  # just one can stand; it is mostly the longest
+                before = tokens[start]
+                if before is not None:
+                    good = pairs.get((before, piece)) if before else True
+                    if good is None:
+                        good = stable(before, piece)
+                    if good:
+                        found, place = piece, start
+                        break
+            # None: the token would start before what is pending, and no later token begins here.
+            tokens.append(found)
+            starts.append(place)
+            if at >= mark:
+                final = self._final(symbols[base:end], starts, tokens)
+                if final:
+                    gone = self._leave(final, starts, tokens)
+                    out += [code[t] for t in gone]
+                    starts = [-1, *(x - final for x in starts[final + 1 :])]
+                    tokens = [gone[-1], *(t if x >= 0 else None for t, x in zip(tokens[final + 1 :], starts[1:], strict=True))]
+                    base += final
+                mark = len(tokens) - 1 + WINDOW
+        if tokens[-1] is None:
+            raise ValueError("a text without tokens")
+        out += [code[t] for t in self._leave(len(tokens) - 1, starts, tokens)]
         return b"".join(out)
 
 
@@ -238,7 +220,8 @@ class Tokenizer:
         self.transducer = Transducer(self.merges)
         alphabet = byte_alphabet()
         self.symbols = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # words met of late, and before: words in use stay
+        self.older: dict[str, bytes] = {}
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names[i].encode() if i in names else b"" for i in range(max(names) + 1)]
         back = {c: b for b, c in enumerate(alphabet)}
@@ -249,7 +232,8 @@ class Tokenizer:
             ends = bool(suffix) and token.endswith(suffix) and len(token) > len(suffix)
             return bytes(back[c] for c in (token[: -len(suffix)] if ends else token)) + (b" " if ends else b"")
 
-        self.raw = [raw(i, names[i]) if i in names else b"" for i in range(max(names) + 1)]
+        self._raw = lambda: [raw(i, names[i]) if i in names else b"" for i in range(max(names) + 1)]
+        self.raw: list[bytes] | None = None  # made when texts are first asked for
 
     @staticmethod
     def _list(node: dict | None, inner: str) -> list[dict]:
@@ -261,19 +245,18 @@ class Tokenizer:
         if self.lower:
             text = "σ".join(part.lower() for part in text.split("Σ"))  # one character at a time: never a final sigma
         words, seen = self.words(text), self.seen
-        try:
-            return b"".join([seen[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in seen}
-        if len(seen) + len(new) > WORDS:
-            seen.clear()
-            new = set(words)
-        for w in new:
-            symbols = w.encode().decode("latin-1").translate(self.symbols)
-            if self.end:
-                symbols = symbols[:-1] + chr(END_PLANE + ord(symbols[-1]))
-            seen[w] = self.transducer.word(symbols)
-        return b"".join([seen[w] for w in words])
+        for w in set(words).difference(seen):
+            ids = self.older.get(w)
+            if ids is None:
+                symbols = w.encode().decode("latin-1").translate(self.symbols)
+                if self.end:
+                    symbols = symbols[:-1] + chr(END_PLANE + ord(symbols[-1]))
+                ids = self.transducer.word(symbols)
+            seen[w] = ids
+        out = b"".join([seen[w] for w in words])
+        if len(seen) > WORDS:
+            self.older, self.seen = seen, {}
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Special tokens' strings in the text become these tokens."""
@@ -285,10 +268,12 @@ class Tokenizer:
         """The tokens' names joined by spaces, as the library does for a file without a decoder; ``as_text`` gives their texts, a
         word end as a space. Bytes go through an incremental UTF-8 machine that holds back unfinished characters."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
+        if as_text and self.raw is None:
+            self.raw = self._raw()
         table = self.raw if as_text else self.names
         numbers, out = np.frombuffer(ids, "<u4"), []
         for k in range(0, len(numbers), step):
-            piece = (b"" if as_text else b" ").join([table[i] for i in numbers[k : k + step].tolist()])
+            piece = (b"" if as_text else b" ").join(map(table.__getitem__, numbers[k : k + step].tolist()))
             out.append(machine.decode(piece if as_text or not k else b" " + piece))
         out.append(machine.decode(b"", True))
         return "".join(out)
@@ -318,17 +303,19 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text") ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def token_report(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_report(docs: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``; decoding starts from the ids alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary_path(vocabulary))
         for rows in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in rows["ids"].to_pylist():
+            for x in rows["body"]:
+                ids = t.encode(x.as_py())
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode_documents(docs, vocabulary).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
