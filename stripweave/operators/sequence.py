@@ -9,12 +9,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from stripweave.operators.folds import ordered_fold
 
-STRIP = Window.partitionBy("strip_id")
-BY_Y = STRIP.orderBy("y")
+
+def _strip() -> WindowSpec:
+    return Window.partitionBy("strip_id")
+
+
+def _by_y() -> WindowSpec:
+    return _strip().orderBy("y")
 
 
 def quiet(std: Column, edge: Column, foreground: Column) -> Column:
@@ -29,23 +34,23 @@ def content_rows(rows: DataFrame) -> DataFrame:
 
 def smoothed(value: str, window: int) -> Column:
     """Centred moving sum over a fixed divisor: rows beyond the ends count as 0. Even windows reach one row further back."""
-    return F.sum(value).over(BY_Y.rowsBetween(-(window // 2), (window - 1) // 2)) / window
+    return F.sum(value).over(_by_y().rowsBetween(-(window // 2), (window - 1) // 2)) / window
 
 
 def dilated(mask: Column, reach: int, more_than: int = 0) -> Column:
     """True where more than so many of the rows within reach are."""
-    return F.sum(mask.cast("int")).over(BY_Y.rowsBetween(-reach, reach)) > more_than
+    return F.sum(mask.cast("int")).over(_by_y().rowsBetween(-reach, reach)) > more_than
 
 
 def boolean_runs(rows: DataFrame, mask: str) -> DataFrame:
     """``strip_id, start, end`` (end exclusive) of the runs of rows where the mask holds."""
-    on = rows.filter(F.col(mask)).withColumn("_island", F.col("y") - F.row_number().over(BY_Y))
+    on = rows.filter(F.col(mask)).withColumn("_island", F.col("y") - F.row_number().over(_by_y()))
     return on.groupBy("strip_id", "_island").agg(F.min("y").alias("start"), (F.max("y") + 1).alias("end")).drop("_island")
 
 
 def merge_close(ranges: DataFrame, gap: int = 24) -> DataFrame:
     """Ranges closer than the gap become one."""
-    order = STRIP.orderBy("start")
+    order = _strip().orderBy("start")
     rows = ranges.withColumn("_new", F.coalesce(F.col("start") - F.lag("end").over(order) >= gap, F.lit(True)).cast("int"))
     rows = rows.withColumn("_group", F.sum("_new").over(order))
     return rows.groupBy("strip_id", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
@@ -69,11 +74,11 @@ def content_range_ok(height: Column, white: Column, dark: Column, contrast: Colu
 def transition_scores(rows: DataFrame, window: int = 7, offset: int = 10, least: float = 0.16, percentile: float = 0.96, radius: int = 5) -> DataFrame:
     """``strip_id, y, strength`` of rows where the smoothed profile changes most: above the threshold and the largest within the radius."""
     s = rows.select("strip_id", "y", *(smoothed(c, window).alias(c) for c in ("row_mean", "row_std", "foreground", "edge_density")))
-    change = lambda c, w: F.abs(F.lead(c, offset).over(BY_Y) - F.lag(c, offset).over(BY_Y)) * w
+    change = lambda c, w: F.abs(F.lead(c, offset).over(_by_y()) - F.lag(c, offset).over(_by_y())) * w
     # Rounded, so that rows of one profile tie whatever the order of summation.
     s = s.withColumn("strength", F.round(change("row_mean", 1 / 255) + change("row_std", 1 / 90) + change("foreground", 0.9) + change("edge_density", 5.0), 9)).filter(F.col("strength").isNotNull())
     cut = s.groupBy("strip_id").agg(F.greatest(F.lit(least), F.percentile("strength", F.lit(percentile))).alias("_least"))
-    s = s.withColumn("_top", F.max("strength").over(BY_Y.rowsBetween(-radius, radius))).join(cut, "strip_id")
+    s = s.withColumn("_top", F.max("strength").over(_by_y().rowsBetween(-radius, radius))).join(cut, "strip_id")
     return s.filter((F.col("strength") >= F.col("_least")) & (F.col("strength") >= F.col("_top"))).select("strip_id", "y", "strength")
 
 
@@ -85,10 +90,10 @@ def action_beats(rows: DataFrame, span: int = 24, gap: int = 4, least: float = 0
     """``strip_id, y, strength`` where the mean profile before and after differ most."""
     score = F.lit(0.0)
     for c, weight in BEAT_WEIGHTS:
-        score = score + F.abs(F.avg(c).over(BY_Y.rowsBetween(-span, -gap - 1)) - F.avg(c).over(BY_Y.rowsBetween(gap, span - 1))) * weight
+        score = score + F.abs(F.avg(c).over(_by_y().rowsBetween(-span, -gap - 1)) - F.avg(c).over(_by_y().rowsBetween(gap, span - 1))) * weight
     s = rows.select("strip_id", "y", F.round(score, 9).alias("strength")).filter(F.col("strength").isNotNull())
     cut = s.groupBy("strip_id").agg(F.greatest(F.lit(least), F.percentile("strength", F.lit(percentile))).alias("_least"))
-    s = s.withColumn("_top", F.max("strength").over(BY_Y.rowsBetween(-radius, radius))).join(cut, "strip_id")
+    s = s.withColumn("_top", F.max("strength").over(_by_y().rowsBetween(-radius, radius))).join(cut, "strip_id")
     return s.filter((F.col("strength") >= F.col("_least")) & (F.col("strength") >= F.col("_top"))).select("strip_id", "y", "strength")
 
 
@@ -237,7 +242,7 @@ def overlapping(boxes: DataFrame, scenes: DataFrame, bucket: int = 64) -> DataFr
 
 def manifest_by_place(cuts: DataFrame, ranges: DataFrame) -> DataFrame:
     """The n-th cut of each strip with its n-th range; a cut without one has nulls."""
-    n = lambda rows, *order: rows.withColumn("_n", F.row_number().over(STRIP.orderBy(*order)))
+    n = lambda rows, *order: rows.withColumn("_n", F.row_number().over(_strip().orderBy(*order)))
     return n(cuts, "name").join(n(ranges, "start"), ["strip_id", "_n"], "left").drop("_n")
 
 
@@ -279,7 +284,7 @@ def webtoon_panels(rows: DataFrame, *, least: int = 5, gap: int = 2, padding: in
     def found(mask: Column) -> DataFrame:
         marked = rows.join(level, "strip_id").withColumn("_mask", mask)
         runs = merge_close(boolean_runs(marked, "_mask"), gap).filter(F.col("end") - F.col("start") >= least)
-        return runs.withColumn("_n", F.count("*").over(STRIP)).filter(F.col("_n") > 1).drop("_n")
+        return runs.withColumn("_n", F.count("*").over(_strip())).filter(F.col("_n") > 1).drop("_n")
 
     first = found(F.col("row_mean") < F.col("white") - 5)
     second = found(F.col("edge_density") > fallback_edge).join(first.select("strip_id").distinct(), "strip_id", "left_anti")
@@ -293,11 +298,11 @@ def webtoon_panels(rows: DataFrame, *, least: int = 5, gap: int = 2, padding: in
 def chunks_by_count(panels: DataFrame, rows: DataFrame, *, least: int = 5, most: int = 10) -> DataFrame:
     """Groups of (least + most) / 2 panels, a short last one joined to the one before, with the whitest row of the gap after each as ``cut``."""
     size = (least + most) // 2
-    order = STRIP.orderBy("start")
-    p = panels.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(STRIP))
+    order = _strip().orderBy("start")
+    p = panels.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(_strip()))
     chunk = F.least(F.floor(F.col("_i") / size), F.greatest(F.lit(0), F.floor(F.col("_n") / size) - 1 + (F.col("_n") % size >= least).cast("int")))
     g = p.withColumn("chunk", chunk).groupBy("strip_id", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("panels"))
-    g = g.withColumn("_next", F.lead("start").over(STRIP.orderBy("chunk")))
+    g = g.withColumn("_next", F.lead("start").over(_strip().orderBy("chunk")))
     gap = g.join(rows.select("strip_id", "y", "row_mean"), "strip_id").filter((F.col("y") >= F.col("end")) & (F.col("y") < F.col("_next")))
     cut = gap.groupBy("strip_id", "chunk").agg(F.max(F.struct("row_mean", (-F.col("y")).alias("_y"))).alias("_b"))
     return g.join(cut, ["strip_id", "chunk"], "left").select("strip_id", "chunk", "start", "end", "panels", F.coalesce(-F.col("_b._y"), F.col("end")).alias("cut"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripweave.functions import geometry as G
@@ -13,15 +13,20 @@ from stripweave.plans.texts import _scalar
 from stripweave.sources.feeds import feed, read, with_feeds
 
 C = F.col
-UNIT = F.array_append(F.array_repeat(F.lit(0.125), 63), F.lit(0.125))
-_scalar("cosine_distance", "@embeddings", ["vec_id"], {"d": F.round(V.cosine_distance(C("embedding"), UNIT), 6), "far": V.cosine_distance(C("embedding"), F.array(F.lit(1.0)))},
+
+
+def _unit() -> Column:
+    return F.array_append(F.array_repeat(F.lit(0.125), 63), F.lit(0.125))
+
+
+_scalar("cosine_distance", "@embeddings", ["vec_id"], lambda: {"d": F.round(V.cosine_distance(C("embedding"), _unit()), 6), "far": V.cosine_distance(C("embedding"), F.array(F.lit(1.0)))},
     "SELECT vec_id, round(1 - list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.125)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS d, 999.0::DOUBLE AS far FROM embeddings")
-_scalar("avg_hash64", "@embeddings", ["vec_id"], {"bits": F.bit_count(V.avg_hash64(C("embedding"))), "median_bits": F.bit_count(V.median_hash64(C("embedding"))), "top": V.avg_hash64(C("embedding")) < 0},
+_scalar("avg_hash64", "@embeddings", ["vec_id"], lambda: {"bits": F.bit_count(V.avg_hash64(C("embedding"))), "median_bits": F.bit_count(V.median_hash64(C("embedding"))), "top": V.avg_hash64(C("embedding")) < 0},
     "SELECT vec_id, len(list_filter(embedding, lambda x: x::DOUBLE > a))::INT AS bits, len(list_filter(embedding, lambda x: x::DOUBLE > m))::INT AS median_bits, embedding[1]::DOUBLE > a AS top FROM (SELECT *, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64 AS a, list_median(list_transform(embedding, lambda x: x::DOUBLE)) AS m FROM embeddings) e")
-_scalar("hash_similarity", "@events", ["event_id"], {"s": V.hash_similarity(C("event_id"), C("user_id"))}, "SELECT event_id, 1 - bit_count(xor(event_id, user_id)) / 64 AS s FROM events")
-_scalar("bbox_iou", "boxes", ["image_id", "ann_id"], {"iou": F.round(G.bbox_iou(G.box(), (F.lit(100.0), F.lit(100.0), F.lit(200.0), F.lit(200.0))), 9)}, with_feeds(
+_scalar("hash_similarity", "@events", ["event_id"], lambda: {"s": V.hash_similarity(C("event_id"), C("user_id"))}, "SELECT event_id, 1 - bit_count(xor(event_id, user_id)) / 64 AS s FROM events")
+_scalar("bbox_iou", "boxes", ["image_id", "ann_id"], lambda: {"iou": F.round(G.bbox_iou(G.box(), (F.lit(100.0), F.lit(100.0), F.lit(200.0), F.lit(200.0))), 9)}, with_feeds(
     "SELECT image_id, ann_id, round(i / greatest(1.0, w * h + 40000 - i), 9) AS iou FROM (SELECT *, greatest(0, least(x + w, 300) - greatest(x, 100)) * greatest(0, least(y + h, 300) - greatest(y, 100)) AS i FROM boxes) b", "boxes"))
-_scalar("jaccard_tokens", "blocks", ["chapter", "block"], {"j": F.round(G.jaccard_tokens(C("text"), F.substring("text", 1, 200)), 9)}, with_feeds(
+_scalar("jaccard_tokens", "blocks", ["chapter", "block"], lambda: {"j": F.round(G.jaccard_tokens(C("text"), F.substring("text", 1, 200)), 9)}, with_feeds(
     "SELECT chapter, block, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 9) AS j FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) AS b FROM blocks) x", "blocks"))
 
 #: Pages with hashes of which many differ in a few bits only.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stripweave.operators import dialogue as O
 from stripweave.plans.registry import query
-from stripweave.plans.texts import BLOCK_TYPE, TYPE_SQL
+from stripweave.plans.texts import TYPE_SQL, block_kind
 from stripweave.sources.feeds import feed, with_feeds
 
 C = F.col
@@ -93,7 +93,7 @@ def identity_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.reading_order(feed(spark, sf_dir, "blocks").withColumn("kind", BLOCK_TYPE), ["chapter", "panel"])
+    return O.reading_order(feed(spark, sf_dir, "blocks").withColumn("kind", block_kind()), ["chapter", "panel"])
 
 
 @query("speaker_assignment")

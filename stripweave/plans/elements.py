@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripweave.functions import urls as U
@@ -12,13 +12,17 @@ from stripweave.plans.texts import LINK_SQL, page_links
 from stripweave.sources.feeds import read
 from stripweave.sources.pages import html_elements
 
-HREF = F.try_element_at(F.col("attrs"), F.lit("href"))
+
+def _href() -> Column:
+    return F.try_element_at(F.col("attrs"), F.lit("href"))
+
+
 DOMAIN = r"replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.', '')"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return O.scored_elements(html_elements(pages, ("a",)), pages, "a", HREF)
+    return O.scored_elements(html_elements(pages, ("a",)), pages, "a", _href())
 
 
 @query("html_elements", """SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(html, '<li>')) AS items, 1 AS articles FROM pages""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,35 +16,44 @@ from stripweave.sources.feeds import feed, with_feeds
 
 C = F.col
 ID = ["panel_id"]
-BLANK = O.blank(C("white_ratio"), C("dark_ratio"), C("std"), C("edge_ratio"))
+
+
+def _blank() -> Column:
+    return O.blank(C("white_ratio"), C("dark_ratio"), C("std"), C("edge_ratio"))
+
+
 BLANK_SQL = "(white_ratio > 0.975 AND edge_ratio < 0.004) OR (std < 12 AND edge_ratio < 0.003) OR (dark_ratio < 0.012 AND edge_ratio < 0.0025)"
 
 
-def _panel(name: str, columns: dict[str, Column], sql: str, source: str = "panels") -> None:
+def _panel(name: str, columns: Callable[[], dict[str, Column]], sql: str, source: str = "panels") -> None:
     _scalar(name, "panels", ID, columns, with_feeds(f"SELECT panel_id, {sql} FROM {source}", "panels"))
 
 
-_panel("blank_panel", {"blank": BLANK}, f"({BLANK_SQL}) AS blank")
-_panel("cut_panel", {"cut": O.cut(C("width"), C("height"), [C(f"b{k}") for k in range(4)])}, "width / height < 0.05 OR width / height > 25 OR (b0 > 0.4 AND b1 > 0.4 AND b2 > 0.4 AND b3 > 0.4) AS cut")
-_panel("panel_class", {"kind": O.panel_class(C("width"), C("height"), C("mean"), C("white_ratio"), C("dark_ratio"), C("edge_ratio"))},
+_panel("blank_panel", lambda: {"blank": _blank()}, f"({BLANK_SQL}) AS blank")
+_panel("cut_panel", lambda: {"cut": O.cut(C("width"), C("height"), [C(f"b{k}") for k in range(4)])}, "width / height < 0.05 OR width / height > 25 OR (b0 > 0.4 AND b1 > 0.4 AND b2 > 0.4 AND b3 > 0.4) AS cut")
+_panel("panel_class", lambda: {"kind": O.panel_class(C("width"), C("height"), C("mean"), C("white_ratio"), C("dark_ratio"), C("edge_ratio"))},
     "CASE WHEN width * height > 400000 AND edge_ratio > 0.02 THEN 'panel' WHEN white_ratio > 0.7 AND width * height < 250000 THEN 'bubble' WHEN dark_ratio > 0.85 OR mean < 20 THEN 'black' WHEN width / height > 4 OR width / height < 0.2 THEN 'strip' WHEN width * height < 40000 THEN 'fragment' WHEN width * height > 120000 THEN 'panel' ELSE 'other' END AS kind")
-_panel("scene_label", {"label": O.scene_label(C("mean"), C("dark_ratio"), C("edge_ratio"))}, "CASE WHEN dark_ratio > 0.38 OR mean < 96 THEN 'night_or_black_background' WHEN edge_ratio > 0.04 THEN 'action_or_high_detail' WHEN mean > 185 THEN 'bright_dialogue' ELSE 'mixed_scene' END AS label")
-_panel("scene_type", {"kind": O.scene_type(C("mean"), C("dark_ratio"))}, "CASE WHEN mean < 96 OR dark_ratio > 0.52 THEN 'night' WHEN mean > 188 AND dark_ratio < 0.2 THEN 'bright' ELSE 'mixed' END AS kind")
-_panel("box_style", {"style": O.box_style(C("mean"), C("dark_ratio"), C("light_ratio"), C("mean") < 96)}, "CASE WHEN mean > 185 AND light_ratio > 0.35 THEN 'light_bubble' WHEN mean < 96 AND dark_ratio > 0.45 THEN 'dark_caption' WHEN dark_ratio > 0.35 AND light_ratio > 0.2 THEN 'high_contrast_bubble' ELSE 'mixed' END AS style")
-_panel("scene_reject", {"reject": O.scene_reject(C("b0"), C("seq") % 4, C("edge_ratio"), C("b1"), C("b2"))}, "b0 > 0.45 OR seq % 4 >= 2 OR (edge_ratio < 0.004 AND b1 < 0.3) OR (b2 < 0.3 AND b0 > 0.25) OR b2 < 0.12 AS reject")
-_FRAME = G.shape_family(C("width"), C("height"))
-_panel("shape_family", {"family": _FRAME["name"], **dict(zip(("fit_w", "fit_h", "pad_x", "pad_y"), G.contain(C("width"), C("height"), _FRAME), strict=True))},
+_panel("scene_label", lambda: {"label": O.scene_label(C("mean"), C("dark_ratio"), C("edge_ratio"))}, "CASE WHEN dark_ratio > 0.38 OR mean < 96 THEN 'night_or_black_background' WHEN edge_ratio > 0.04 THEN 'action_or_high_detail' WHEN mean > 185 THEN 'bright_dialogue' ELSE 'mixed_scene' END AS label")
+_panel("scene_type", lambda: {"kind": O.scene_type(C("mean"), C("dark_ratio"))}, "CASE WHEN mean < 96 OR dark_ratio > 0.52 THEN 'night' WHEN mean > 188 AND dark_ratio < 0.2 THEN 'bright' ELSE 'mixed' END AS kind")
+_panel("box_style", lambda: {"style": O.box_style(C("mean"), C("dark_ratio"), C("light_ratio"), C("mean") < 96)}, "CASE WHEN mean > 185 AND light_ratio > 0.35 THEN 'light_bubble' WHEN mean < 96 AND dark_ratio > 0.45 THEN 'dark_caption' WHEN dark_ratio > 0.35 AND light_ratio > 0.2 THEN 'high_contrast_bubble' ELSE 'mixed' END AS style")
+_panel("scene_reject", lambda: {"reject": O.scene_reject(C("b0"), C("seq") % 4, C("edge_ratio"), C("b1"), C("b2"))}, "b0 > 0.45 OR seq % 4 >= 2 OR (edge_ratio < 0.004 AND b1 < 0.3) OR (b2 < 0.3 AND b0 > 0.25) OR b2 < 0.12 AS reject")
+
+
+def _frame() -> Column:
+    return G.shape_family(C("width"), C("height"))
+
+
+_panel("shape_family", lambda: {"family": _frame()["name"], **dict(zip(("fit_w", "fit_h", "pad_x", "pad_y"), G.contain(C("width"), C("height"), _frame()), strict=True))},
     "family, greatest(1, floor(width * s + 0.5))::INT AS fit_w, greatest(1, floor(height * s + 0.5))::INT AS fit_h, floor((fw - greatest(1, floor(width * s + 0.5))) / 2)::INT AS pad_x, floor((fh - greatest(1, floor(height * s + 0.5))) / 2)::INT AS pad_y", "(SELECT *, least(fw / width, fh / height) AS s FROM (SELECT *, CASE WHEN r <= 0.72 THEN 'landscape' WHEN r <= 1.12 THEN 'square' ELSE 'portrait' END AS family, CASE WHEN r <= 0.72 THEN 1600 ELSE 1080 END AS fw, CASE WHEN r <= 0.72 THEN 900 WHEN r <= 1.12 THEN 1080 ELSE 1350 END AS fh FROM (SELECT *, height / width AS r FROM panels) p) q) r")
-_panel("format_detect", {"format": O.format_detect(C("width"), C("height")), "forced": O.format_detect(C("width"), C("height"), F.when(C("seq") % 5 == 0, "manga"))}, "CASE WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS format, CASE WHEN seq % 5 = 0 THEN 'manga' WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS forced")
-_panel("fit_scale", {"h": G.fit_scale(C("width"), C("height"), 1200)[1]}, "greatest(1, floor(height * 1200 / width + 0.5))::INT AS h")
-_panel("rotate_hint", {"rotate": G.rotate_hint(C("width"), C("height"))}, "width > height * 1.5 AS rotate")
-_panel("bubble_candidate_filter", {"confidence": F.round(O.bubble_candidate(C("b0") * 100, C("b1") * 100, C("width") / 2, C("height") / 12, C("light_ratio"), C("width"), C("height")), 10)},
+_panel("format_detect", lambda: {"format": O.format_detect(C("width"), C("height")), "forced": O.format_detect(C("width"), C("height"), F.when(C("seq") % 5 == 0, "manga"))}, "CASE WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS format, CASE WHEN seq % 5 = 0 THEN 'manga' WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS forced")
+_panel("fit_scale", lambda: {"h": G.fit_scale(C("width"), C("height"), 1200)[1]}, "greatest(1, floor(height * 1200 / width + 0.5))::INT AS h")
+_panel("rotate_hint", lambda: {"rotate": G.rotate_hint(C("width"), C("height"))}, "width > height * 1.5 AS rotate")
+_panel("bubble_candidate_filter", lambda: {"confidence": F.round(O.bubble_candidate(C("b0") * 100, C("b1") * 100, C("width") / 2, C("height") / 12, C("light_ratio"), C("width"), C("height")), 10)},
     "CASE WHEN w >= 0.1 * width AND w <= 0.94 * width AND h >= 24 AND h <= least(560.0, 0.3 * height) AND NOT (w > 0.6 * width AND (b0 * 100 <= 1 OR b0 * 100 + w >= width - 1)) AND light_ratio * w * h >= greatest(260.0, 0.1 * w * h) AND light_ratio >= 0.2 THEN round(least(0.98, 0.35 + 0.5 * light_ratio + 0.15 * least(1.0, w * h / 40000)), 10) END AS confidence", "(SELECT *, width / 2 AS w, height / 12 AS h FROM panels) p")
-_panel("ocr_conf_filter_legacy", {"ok": O.engine_confidence_ok(F.element_at(F.array(F.lit("words"), F.lit("second"), F.lit("structured")), (C("seq") % 3 + 1).cast("int")), F.when(C("seq") % 3 == 0, C("b0") * 100).otherwise(C("b0")))}, "CASE seq % 3 WHEN 0 THEN b0 * 100 > 60 WHEN 1 THEN b0 > 0.5 ELSE b0 >= 0.35 END AS ok")
+_panel("ocr_conf_filter_legacy", lambda: {"ok": O.engine_confidence_ok(F.element_at(F.array(F.lit("words"), F.lit("second"), F.lit("structured")), (C("seq") % 3 + 1).cast("int")), F.when(C("seq") % 3 == 0, C("b0") * 100).otherwise(C("b0")))}, "CASE seq % 3 WHEN 0 THEN b0 * 100 > 60 WHEN 1 THEN b0 > 0.5 ELSE b0 >= 0.35 END AS ok")
 
-_DUP = C("panel_id") % 17 == 0
 GATE_SQL = f"CASE WHEN height < 140 OR width < 200 THEN 'too_small' WHEN width / height > 8 OR height / width > 12 THEN 'extreme_shape' WHEN {BLANK_SQL} THEN 'blank' WHEN panel_id % 17 = 0 THEN 'duplicate' END"
-_panel("panel_gate", {"reason": O.panel_gate(C("width"), C("height"), BLANK, _DUP)}, f"{GATE_SQL} AS reason")
+_panel("panel_gate", lambda: {"reason": O.panel_gate(C("width"), C("height"), _blank(), C("panel_id") % 17 == 0)}, f"{GATE_SQL} AS reason")
 
 
 @query("unwanted_panel", with_feeds("SELECT panel_id, width < 100 OR height < 100 OR (abs(width / height - 1) < 0.1 AND width < 300 AND std < 20) OR width / height > 8 OR width / height < 0.08 OR (e AND width / height > 3 AND edge_ratio > 0.03) OR (e AND height < 250 AND std < 15) AS unwanted FROM (SELECT *, r <= 3 OR r > n - 3 AS e FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS r, count(*) OVER (PARTITION BY chapter) AS n FROM panels) p) q", "panels"))
@@ -52,7 +63,7 @@ def unwanted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed(spark, sf_dir, "panels").withColumn("reason", F.coalesce(O.panel_gate(C("width"), C("height"), BLANK, _DUP), F.lit("kept")))
+    return feed(spark, sf_dir, "panels").withColumn("reason", F.coalesce(O.panel_gate(C("width"), C("height"), _blank(), C("panel_id") % 17 == 0), F.lit("kept")))
 
 
 GATED = f"gated AS (SELECT *, coalesce({GATE_SQL}, 'kept') AS reason FROM panels)"
