@@ -84,26 +84,30 @@ class Index:
         np.maximum.at(self.most, cell, self.weight)
         self.most = self.most.reshape(n_terms, self.blocks)
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Inner products with the examples of some blocks, 0 elsewhere: the postings of all terms in these blocks, summed at once."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        first, n = self.start[cells], self.start[cells + 1] - self.start[cells]
+        ends = np.cumsum(n)
+        at = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
+        return np.bincount(self.example[at], np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[at], self.n)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0, largest first, ties to the smaller number: exact."""
+        """The k examples of the largest cosine above 0, largest first, ties to the smaller number: exact. Blocks are read a few at a time,
+        twice as many each time, until the next bound is below the k-th cosine."""
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        best_n, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best_n) == k and bound[b] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if j > i:
-                    score[self.example[i:j] - b * BLOCK] += w * self.weight[i:j]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            hits = np.flatnonzero(score > 0)
-            n, s = np.concatenate([best_n, hits + b * BLOCK]), np.concatenate([best_s, score[hits]])
+        order = order[bound[order] > 0]
+        best_n, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
+        while done < len(order) and (len(best_n) < k or bound[order[done]] >= best_s[-1] - 1e-12):
+            score = self._scores(terms, weights, order[done : done + step])
+            if without >= 0:
+                score[without] = 0
+            hits = np.flatnonzero(score > (best_s[-1] - 1e-12 if len(best_n) == k else 0))
+            n, s = np.concatenate([best_n, hits]), np.concatenate([best_s, score[hits]])
             top = np.lexsort((n, -s.round(12)))[:k]
             best_n, best_s = n[top], s[top]
-            least = best_s[-1] if len(best_s) == k else 0.0
+            done, step = done + step, 2 * step
         return best_n, best_s
 
 
