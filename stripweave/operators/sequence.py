@@ -306,3 +306,22 @@ def chunks_by_count(panels: DataFrame, rows: DataFrame, *, least: int = 5, most:
     gap = g.join(rows.select("strip_id", "y", "row_mean"), "strip_id").filter((F.col("y") >= F.col("end")) & (F.col("y") < F.col("_next")))
     cut = gap.groupBy("strip_id", "chunk").agg(F.max(F.struct("row_mean", (-F.col("y")).alias("_y"))).alias("_b"))
     return g.join(cut, ["strip_id", "chunk"], "left").select("strip_id", "chunk", "start", "end", "panels", F.coalesce(-F.col("_b._y"), F.col("end")).alias("cut"))
+
+
+def subscenes(rows: DataFrame, *, least_gap: int = 4, least: int = 8) -> DataFrame:
+    """``strip_id, name, start, end``: a panel's parts between white gaps, named ``_s01`` and so on; a panel without such a gap has none."""
+    level = white_level(rows)
+    marked = rows.join(level, "strip_id").withColumn("_ink", F.col("row_mean") < F.col("white") - 5)
+    parts = merge_close(boolean_runs(marked, "_ink"), least_gap).filter(F.col("end") - F.col("start") >= least)
+    parts = parts.withColumn("_n", F.count("*").over(_strip())).filter(F.col("_n") > 1)
+    return parts.select("strip_id", F.format_string("%d_s%02d", F.col("strip_id"), F.row_number().over(_strip().orderBy("start"))).alias("name"), "start", "end")
+
+
+def stitch_plan(sections: DataFrame, overlaps: DataFrame, *, most: int = 14_000) -> tuple[DataFrame, DataFrame]:
+    """Where each section lies in its strip once overlaps are taken off, and the strip's parts: ``strip_id, seq, height, overlap, y_start, y_end`` and parts.
+    The contributions tile the canvas by construction: each starts where the one before ends."""
+    rows = sections.join(overlaps.select("strip_id", "seq", "overlap", "score"), ["strip_id", "seq"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    own = F.col("height") - F.col("overlap")
+    end = F.sum(own).over(_strip().orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("strip_id", "seq", "height", "overlap", "score", (end - own).alias("y_start"), end.alias("y_end"))
+    return rows, part_cuts(rows.select(F.col("strip_id").cast("string").alias("strip_id"), "y_end"), most=most)

@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from stripweave.plans import attempts, dataset, dedup, dialogue, elements, panels, sequences, stories, texts  # noqa: F401
+    from stripweave.plans import attempts, dataset, dedup, dialogue, elements, files, panels, sequences, stories, texts  # noqa: F401

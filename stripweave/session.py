@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,3 +30,12 @@ def ship(spark: SparkSession) -> None:
             out.write(p, f"stripweave/{p.relative_to(home)}")
     context.addPyFile(path)
     context._stripweave_shipped = True
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new name in the folder that all executors share: that of spark.checkpoint.dir, or one of our own where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
