@@ -63,16 +63,15 @@ def write_panel_meta(panels: DataFrame, path: str) -> None:
 
 
 def save_state(state: DataFrame, path: str) -> str:
-    """The state as a new version beside the old ones; readers take the newest whole one."""
-    version = f"{path}/version={time.time_ns()}"
+    """The state as a new version beside the old ones. Once it is whole, its number is noted; readers take the last number noted."""
+    number = time.time_ns()
+    version = f"{path}/versions/{number}"
     state.write.parquet(version)
+    state.sparkSession.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/done")
     return version
 
 
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version that was written whole; found through Spark's own view of the folder, wherever it is."""
-    versions = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(path)
-    newest = versions.select(F.regexp_extract("path", r"version=([0-9]+)", 1).cast("long").alias("v")).agg(F.max("v")).first()[0]
-    if newest is None:
-        raise ValueError("no version has been written")
-    return spark.read.parquet(f"{path}/version={newest}")
+    """The newest version that was written whole."""
+    newest = spark.read.parquet(f"{path}/done").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/versions/{newest}")
