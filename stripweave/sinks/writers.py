@@ -13,7 +13,7 @@ from stripweave.operators.dataset import CLASSES, coco_tables, label_files
 
 def write_yolo_labels(labels: DataFrame, path: str, classes: Sequence[str] = CLASSES) -> None:
     """One label text per image under ``split=/image_id=`` folders, and the class names in order of their ids."""
-    label_files(labels, ["split", "image_id"]).write.mode("overwrite").partitionBy("split", "image_id").text(f"{path}/labels")
+    label_files(labels, ["split", "image_id"]).repartition("split", "image_id").write.mode("overwrite").partitionBy("split", "image_id").text(f"{path}/labels")
     labels.sparkSession.createDataFrame([("\n".join(classes),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/classes")
 
 
@@ -40,17 +40,17 @@ def write_splits(rows: DataFrame, path: str, seed: int = 42) -> None:
 def write_manifest(sections: DataFrame, path: str) -> None:
     """A nested document per strip: its sections in order, the canvas height, and the version."""
     doc = sections.groupBy("strip_id").agg(F.array_sort(F.collect_list(F.struct("index", "source", "height", "y_start", "y_end"))).alias("sections"), F.max("y_end").alias("canvas_height"))
-    doc.withColumn("version", F.lit(2)).write.mode("overwrite").partitionBy("strip_id").json(path)
+    doc.withColumn("version", F.lit(2)).repartition("strip_id").write.mode("overwrite").partitionBy("strip_id").json(path)
 
 
 def write_dialogue(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").partitionBy("series", "chapter").json(path)
+    documents.repartition("series", "chapter").write.mode("overwrite").partitionBy("series", "chapter").json(path)
 
 
 def write_scripts(scripts: DataFrame, path: str) -> None:
     """The whole, the clean and the spoken text of every chapter in folders of their own."""
     for kind in ("script", "clean", "spoken"):
-        scripts.select("series", "chapter", F.col(kind).alias("value")).write.mode("overwrite").partitionBy("series", "chapter").text(f"{path}/{kind}")
+        scripts.select("series", "chapter", F.col(kind).alias("value")).repartition("series", "chapter").write.mode("overwrite").partitionBy("series", "chapter").text(f"{path}/{kind}")
 
 
 def write_rejects(rows: DataFrame, path: str, reason: str = "reason") -> None:
