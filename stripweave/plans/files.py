@@ -193,12 +193,12 @@ def greedy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, transform: object, keys: list[str], order: str) -> DataFrame:
-    """Rows as a stream of files, worked on until all is read; the last update of every key."""
+    """Rows as a stream of files, taken in one batch (timeouts would keep a stream going); the last update of every key."""
     path, out = work_dir(spark), work_dir(spark)
     rows.write.parquet(path)
     stream = transform(spark.readStream.schema(rows.schema).parquet(path))
     put = lambda batch, number: batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
-    stream.writeStream.outputMode("update").option("checkpointLocation", work_dir(spark)).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    stream.writeStream.outputMode("update").option("checkpointLocation", work_dir(spark)).trigger(once=True).foreachBatch(put).start().awaitTermination()
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc(order)))
     return spark.read.parquet(out).withColumn("_at", last).filter("_at = 1").drop("_at", "_batch")
 
