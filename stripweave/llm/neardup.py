@@ -1,9 +1,12 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set of word shingles is hashed once; a shingle's hash names a register and a value, of which the register keeps the
-smallest, as its count of leading zeros and the ten bits after the first one (Yu and Weber, 2017). Bands of registers are the keys
-under which documents meet; pairs that meet are estimated from their registers, corrected for chance collisions, and what is
-near enough is confirmed on the full sets. Documents with equal sets are one class, of which only the smallest id is compared.
+smallest, as its count of leading zeros and the ten bits after the first one (Yu and Weber, 2017). Small sets would leave most of
+200 registers empty, and bands of empty registers say little; so a set fills as many registers as it has shingles for (four or more each) and is
+dealt out anew, by other hashes, until there are 200. Sets that can be linked are of nearly one size, so they share a dealing. Bands of
+registers are the keys under which documents meet; pairs that meet are estimated from their registers, corrected for chance
+collisions, and what is near enough is confirmed on the full sets. Documents with equal sets are one class, of which only the
+smallest id is compared.
 
 With 40 bands of 5 registers, a pair at similarity 0.8 misses all bands with a chance of about 1e-7.
 """
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,11 +34,14 @@ REGISTERS = BANDS * ROWS
 EMPTY = 0xFFFF
 #: The chance that two registers with different smallest values agree, from the sketch's paper.
 COLLISION = 0.169919 / 2**MANTISSA
+TOP = 8
+SALTS = np.random.default_rng(20170814).integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
 MEMO = 400_000
 #: Standard deviations of the estimate below the threshold at which a pair is no longer confirmed.
-MARGIN = 6.0
-#: From so many members without a common component on, a bucket's pairs must meet in a second band too.
+MARGIN = 5.0
+#: Buckets with more members than this are compared in blocks of as many sketches.
 CROWD = 64
+BLOCK = 512
 
 _memo: dict[bytes, int] = {}
 
@@ -68,28 +75,40 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """The sketch of a shingle set: leading zeros and mantissa of each register's smallest value."""
+def level(n: int) -> int:
+    """How a set of n shingles is dealt: into 2**level registers at a time, four shingles or more to each; 200 at most."""
+    return min(max(0, (n // 4).bit_length() - 1), TOP)
+
+
+def levels(n: int, percent: int) -> list[int]:
+    """A set's own level, and that of the largest set it can be linked with: linked sets share one of theirs."""
+    return sorted({level(n), level(n * 100 // percent)}) if n else []
+
+
+def registers(shingles: np.ndarray, at: int) -> np.ndarray:
+    """The sketch of a shingle set at a level: leading zeros and mantissa of each register's smallest value."""
+    size = min(1 << at, REGISTERS)
+    deals = -(-REGISTERS // size)
+    y = _mix(shingles[None, :] ^ SALTS[:deals, None])
+    place = ((y >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)) + (np.arange(deals, dtype=np.uint64) * np.uint64(size))[:, None]
+    both = np.sort((place << np.uint64(53) | _mix(y ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)).ravel())
+    place, least = (both >> np.uint64(53)).astype(np.int64), both & np.uint64((1 << 53) - 1)
+    first = np.concatenate([[True], place[1:] != place[:-1]]) & (place < REGISTERS)
+    place, least = place[first], least[first]
+    bits = np.frexp(least.astype(np.float64))[1]
+    mantissa = np.where(bits > 11, least >> np.maximum(bits - 11, 0).astype(np.uint64), least << np.maximum(11 - bits, 0).astype(np.uint64)) & np.uint64(1023)
     out = np.full(REGISTERS, EMPTY, np.uint16)
-    if not len(shingles):
-        return out
-    place = ((shingles >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)  # rises with the sorted hashes
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    least = np.minimum.reduceat(_mix(shingles ^ np.uint64(0xD6E8FEB86659FD93)), starts) >> np.uint64(11)
-    size = np.frexp(least.astype(np.float64))[1]
-    mantissa = np.where(size > 11, least >> np.maximum(size - 11, 0).astype(np.uint64), least << np.maximum(11 - size, 0).astype(np.uint64)) & np.uint64(1023)
-    out[place[starts].astype(np.int64)] = (53 - size).astype(np.uint16) << 10 | mantissa.astype(np.uint16)
+    out[place] = (53 - bits).astype(np.uint16) << 10 | mantissa.astype(np.uint16)
     return out
 
 
-def band_keys(sketches: np.ndarray) -> list[np.ndarray]:
-    """For each sketch the keys of its bands that are not empty."""
+def band_keys(sketches: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of each sketch's bands."""
     grid = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(_mix(np.arange(1, BANDS + 1, dtype=np.uint64)), grid.shape[:2])
+    key = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) + np.asarray(at, np.uint64)[:, None] * np.uint64(64))
     for k in range(ROWS):
         key = _mix(key ^ (grid[:, :, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    full = (grid != EMPTY).any(2)
-    return [k[f].astype(np.int64) for k, f in zip(key, full, strict=True)]
+    return key.astype(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,37 +130,73 @@ class Rule:
 
 
 def sketch_documents(docs: DataFrame, rule: Rule, *, text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, set_hash, sketch, bands`` of whole texts; null counts as empty."""
+    """``doc_id, n_shingles, set_hash, dealt`` of whole texts (null counts as empty); ``dealt`` has ``level, sketch, bands`` of each level."""
 
     def run(texts: list[str]) -> list[pa.Array]:
         sets = [shingle_set(t, rule.shingle) for t in texts]
-        sketches = np.array([registers(s) for s in sets], np.uint16).reshape(-1, REGISTERS)
-        return [
-            pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-            pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(band_keys(sketches), pa.list_(pa.int64())),
-        ]
-
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        at = [levels(len(s), rule.percent) for s in sets]
+        flat = [(s, v) for s, own in zip(sets, at, strict=True) for v in own]
+        sketches = np.array([registers(s, v) for s, v in flat], np.uint16).reshape(-1, REGISTERS)
+        keys = band_keys(sketches, np.array([v for _, v in flat], np.int64))
+        rows = pa.StructArray.from_arrays([
+            pa.array([v for _, v in flat], pa.int32()), pa.array([x.tobytes() for x in sketches], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+        ], ["level", "sketch", "bands"])
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in at])]).astype(np.int32))
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, rows)]
+
+    dealt = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("dealt", dealt)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return append_columns(rows, "text", run, fields).drop("text")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs ``a, b`` whose sketches do not rule out a link."""
-    own = nodes.select(F.col("id"), "sketch")
-    rows = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+def _cut(rule: Rule, filled: np.ndarray) -> np.ndarray:
+    """The estimate from which on a pair may be linked."""
     share = rule.percent / 100
+    return share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs ``a, b`` (met at ``level``) whose sketches do not rule out a link."""
+    own = nodes.select("id", "level", "sketch")
+    rows = pairs.join(own.withColumnsRenamed({"id": "a", "sketch": "sa"}), ["a", "level"]).join(own.withColumnsRenamed({"id": "b", "sketch": "sb"}), ["b", "level"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
             found, filled = estimate(sa, sb)
-            near = found >= share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(near))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(found >= _cut(rule, filled)))
 
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _crowded(rest: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The likely pairs across components in large buckets. Members are dealt into blocks, and two blocks at a time are compared, sketch by sketch, in one task."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rest.withColumn("_of", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_of")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_of") - 1), lambda k: F.struct(F.least(F.col("_own"), k).alias("i"), F.greatest(F.col("_own"), k).alias("j")))
+    rows = rows.select("key", "id", "n", "level", "component", "_own", F.explode(pairs).alias("_p")).select("key", "id", "n", "level", "component", "_own", "_p.i", "_p.j")
+    rows = rows.join(nodes.select("id", "level", "sketch"), ["id", "level"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        sketch = np.frombuffer(b"".join(map(bytes, group["sketch"])), np.uint16).reshape(-1, REGISTERS)
+        ids, n, component, own = (group[c].to_numpy() for c in ("id", "n", "component", "_own"))
+        apart = group["i"].iloc[0] != group["j"].iloc[0]
+        a, b = [], []
+        for k in range(len(ids) - 1):
+            near = np.flatnonzero((component[k + 1 :] != component[k]) & (100 * np.minimum(n[k], n[k + 1 :]) >= rule.percent * np.maximum(n[k], n[k + 1 :])) & (not apart or own[k + 1 :] != own[k])) + k + 1
+            if len(near):
+                found, filled = estimate(np.broadcast_to(sketch[k], (len(near), REGISTERS)), sketch[near])
+                near = near[found >= _cut(rule, filled)]
+                a += [ids[k]] * len(near)
+                b += ids[near].tolist()
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose full sets are linked. Only texts of documents in pairs are read into sets."""
     pairs = written(pairs, "likely")
@@ -178,30 +233,25 @@ def links(nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
     First every bucket's members are compared with its smallest id only: as many pairs as members. What these links join needs
     no more comparing. Only buckets whose other members still are in different components are gone through again, for the pairs
-    across components; in crowded ones a pair must meet in a second band too, as linked pairs do in about thirteen of them.
+    across components, in crowded ones block by block.
     """
-    met = nodes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    met = nodes.select("id", "level", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     heads = met.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("members")).filter(F.col("members") > 1)
     heads = heads.select("key", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "members")
     shared = written(met.join(heads, "key").filter(F.col("id") != F.col("head")), "shared")
-    stars = shared.filter(_fits("n", "head_n", rule)).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    stars = shared.filter(_fits("n", "head_n", rule)).groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.min("level").alias("level"))
     first = written(_confirmed(_likely(stars, nodes, rule), docs, rule), "links")
     joined = written(components(first), "components")
 
-    rest = shared.filter(F.col("members") > 2).join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    rest = shared.filter(F.col("members") > 2).join(joined, "id", "left").select("key", "id", "n", "level", F.coalesce("component", "id").alias("component"))
     split = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).filter(F.col("c0") != F.col("c1"))
     rest = written(rest.join(split.select("key", "members"), "key"), "rest")
-    few = rest.filter(F.col("members") <= CROWD).drop("members")
-    crowd = rest.filter(F.col("members") > CROWD).join(nodes.select("id", F.explode("bands").alias("key2")), "id").filter(F.col("key") != F.col("key2"))
-    crowd = crowd.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id", "n", "component").distinct()
-
-    def across(rows: DataFrame) -> DataFrame:
-        x, y = (rows.select("key", *(F.col(c).alias(c + s) for c in ("id", "n", "component"))) for s in "xy")
-        met = x.join(y, "key").filter((F.col("idx") < F.col("idy")) & (F.col("componentx") != F.col("componenty")) & _fits("nx", "ny", rule))
-        return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
-
-    pairs = across(few).unionByName(across(crowd)).distinct()
-    return first.unionByName(_confirmed(_likely(pairs, nodes, rule), docs, rule))
+    few = rest.filter(F.col("members") <= CROWD)
+    x, y = (few.select("key", "level", *(F.col(c).alias(c + s) for c in ("id", "n", "component"))) for s in "xy")
+    pairs = x.join(y.drop("level"), "key").filter((F.col("idx") < F.col("idy")) & (F.col("componentx") != F.col("componenty")) & _fits("nx", "ny", rule))
+    pairs = pairs.groupBy(F.col("idx").alias("a"), F.col("idy").alias("b")).agg(F.min("level").alias("level"))
+    likely = _likely(pairs, nodes, rule).unionByName(_crowded(rest.filter(F.col("members") > CROWD), nodes, rule)).distinct()
+    return first.unionByName(_confirmed(likely, docs, rule))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -214,8 +264,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = written(sketch_documents(docs, rule), "sketches")
     some = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = written(some.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "classes")
-    nodes = some.join(classes.withColumnRenamed("set_hash", "class_hash"), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("class_hash")))
-    nodes = written(nodes.dropDuplicates(["id", "set_hash"]).select("id", "n_shingles", "sketch", "bands"), "nodes")
+    nodes = some.withColumn("_d", F.explode("dealt")).select("doc_id", "n_shingles", "set_hash", "_d.*").join(classes.withColumnRenamed("set_hash", "class_hash"), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("class_hash")))
+    nodes = written(nodes.dropDuplicates(["id", "set_hash", "level"]).select("id", "n_shingles", "level", "sketch", "bands"), "nodes")
     # A class's texts have one set, so the text of its smallest id stands for all.
     joined = components(links(nodes, docs, rule))
     named = classes.join(joined, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
