@@ -38,7 +38,7 @@ TOP = 8
 SALTS = np.random.default_rng(20170814).integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
 MEMO = 400_000
 #: Standard deviations of the estimate below the threshold at which a pair is no longer confirmed.
-MARGIN = 5.0
+MARGIN = 4.0
 #: Buckets with more members than this are compared in blocks of as many sketches.
 CROWD = 64
 BLOCK = 512
@@ -184,12 +184,16 @@ def _crowded(rest: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         sketch = np.frombuffer(b"".join(map(bytes, group["sketch"])), np.uint16).reshape(-1, REGISTERS)
         ids, n, component, own = (group[c].to_numpy() for c in ("id", "n", "component", "_own"))
         apart = group["i"].iloc[0] != group["j"].iloc[0]
+        # A pair is told of by the first bucket that it shares, and by no other.
+        bands = band_keys(sketch, group["level"].to_numpy())
+        here = int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])
         a, b = [], []
         for k in range(len(ids) - 1):
             near = np.flatnonzero((component[k + 1 :] != component[k]) & (100 * np.minimum(n[k], n[k + 1 :]) >= rule.percent * np.maximum(n[k], n[k + 1 :])) & (not apart or own[k + 1 :] != own[k])) + k + 1
             if len(near):
                 found, filled = estimate(np.broadcast_to(sketch[k], (len(near), REGISTERS)), sketch[near])
                 near = near[found >= _cut(rule, filled)]
+                near = near[~(bands[near, :here] == bands[k, :here]).any(1)]
                 a += [ids[k]] * len(near)
                 b += ids[near].tolist()
         return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})

@@ -153,7 +153,7 @@ def brute(texts, size):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_near_duplicates_match_brute_force(spark, odd):
+def near_copies():
     rnd = random.Random(11)
     vocabulary = [f"w{k}" for k in range(300)]
     texts = {}
@@ -164,6 +164,21 @@ def test_near_duplicates_match_brute_force(spark, odd):
             for _ in range(rnd.randint(0, max(1, len(words) // 12))):
                 copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
             texts[len(texts)] = " ".join(copy)
+    return texts
+
+
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
+    """Every bucket of more than two counts as crowded, in blocks of two."""
+    monkeypatch.setattr(neardup, "CROWD", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    texts = near_copies()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, neardup.Rule(2)).collect()}
+    assert got == brute(texts, 2)
+
+
+def test_near_duplicates_match_brute_force(spark, odd):
+    texts = near_copies()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for size in (2, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, neardup.Rule(size)).collect()}
