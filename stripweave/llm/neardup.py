@@ -36,7 +36,7 @@ EMPTY = 0xFFFF
 COLLISION = 0.169919 / 2**MANTISSA
 TOP = 8
 SALTS = np.random.default_rng(20170814).integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
-MEMO = 400_000
+MEMO = 100_000
 #: Standard deviations of the estimate below the threshold at which a pair is no longer confirmed.
 MARGIN = 4.0
 #: Buckets with more members than this are compared in blocks of as many sketches.

@@ -21,7 +21,7 @@ PER_LABEL = 2000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 OWN = 13
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _classes() -> np.ndarray:

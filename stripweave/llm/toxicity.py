@@ -29,7 +29,7 @@ THRESHOLD = 0.5
 #: A term counts as telling if the labels' shares differ by so many standard errors, in so many examples at least.
 TELLING, SUPPORT = 5.0, 5
 PREFIXES = (4, 5, 6)
-MEMO = 400_000
+MEMO = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
