@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text is scanned only if the longest word of one of these is in it. All base phrases hold the first.
-GATES = ("licen", "spdx", "copyright", "permission is hereby", "redistribution and use", "public domain", "creative commons", "warranty", "reserved", "proprietary")
+#: A text is scanned only if the longest word of one of these is in it. All base phrases hold the first, and every wording of every rule holds one
+#: (tested wording by wording): names may stand without the word licence, and some passages name none.
+GATES = ("licen", "spdx", "copyright", "permission is hereby", "redistribution and use", "public domain", "creative commons", "warranty", "reserved", "proprietary", "gpl", "bsd", "wtfpl", "redistribute", "contributors", "advertising")
 
 #: Base phrases with their labels: fixed values.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -113,7 +114,7 @@ PASSAGES = (
     ("bsl", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "organization"),
     ("fdl", r"permission is granted to copy distribute and or modify this document", "permission"),
     ("public-domain", r"(?:dedicated|released|placed)(?: [^ ]+){0,3}? (?:to|into|in) the public domain", "public domain"),
-    ("public-domain", r"no rights reserved|waives? all copyright", "rights"),
+    ("public-domain", r"no rights reserved|waives? all copyright", "right"),
     ("proprietary", r"all rights reserved", "reserved"),
     ("proprietary", r"proprietary and confidential", "proprietary"),
     ("copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright"),

@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, with odd rows: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
+import itertools
 import random
 import re
 import struct
@@ -61,6 +62,49 @@ def test_licenses_odd_rows(odd):
     assert next(r for r in rows if r.doc_id == 1).labels == ""
 
 
+def wordings(regex):
+    """A text for each alternative of a rule's regex, without what is optional."""
+    from re import _constants as C
+    from re import _parser
+
+    def one(op, arg):
+        if op is C.LITERAL:
+            return [chr(arg)]
+        if op is C.NOT_LITERAL:
+            return ["x"]
+        if op is C.IN:
+            return [chr(arg[0][1] if arg[0][0] is C.LITERAL else arg[0][1][0])]
+        if op is C.BRANCH:
+            return [s for branch in arg[1] for s in every(branch)]
+        if op is C.SUBPATTERN:
+            return every(arg[-1])
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            return ["".join(p) for p in itertools.product(every(arg[2]), repeat=arg[0])]
+        assert op is C.ASSERT
+        return [""]
+
+    def every(parsed):
+        return ["".join(p) for p in itertools.product(*(one(*x) for x in parsed))]
+
+    return every(_parser.parse(regex))
+
+
+def test_license_rules_pass_gate_and_keyword(spark):
+    gates = [max(g.split(), key=len) for g in licenses.GATES]
+    for _, _, _, keyword, regex in licenses.rules():
+        for text in wordings(regex):
+            assert re.search(regex, f" {text} ") and keyword in text and any(g in text for g in gates), text
+    texts = {
+        "This code is released under the GPL v3.": "gpl", "LGPL": "lgpl", "See AGPL": "agpl", "WTFPL": "wtfpl", "3-Clause BSD": "bsd-3", "FreeBSD": "bsd-2", "0BSD": "bsd-0",
+        "This program is free software; you can redistribute it and/or modify": "gpl", "This library is free software; you can redistribute it and/or modify": "lgpl",
+        "Neither the name of X nor the names of its contributors may be used to endorse": "bsd-3", "All advertising materials mentioning features or use of this software must display": "bsd-4",
+        "I waive all copyright": "public-domain", "a b c": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_report(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_gif_formats():
     rnd = np.random.default_rng(1)
     for k in range(60):
