@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, with odd rows: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import itertools
+import math
 import random
 import re
 import struct
@@ -212,6 +213,15 @@ def near_copies():
     return texts
 
 
+def test_estimate_loses_less_than_bands():
+    """Of pairs at the threshold, the estimate drops fewer than miss all bands."""
+    n = neardup.REGISTERS
+    found, filled = neardup.estimate(np.zeros((n + 1, n), np.uint16), (np.arange(n) >= np.arange(n + 1)[:, None]).astype(np.uint16))
+    least = int(np.flatnonzero(found >= neardup._cut(neardup.Rule(), filled))[0])
+    lost = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least))
+    assert lost < (1 - 0.8**neardup.ROWS) ** neardup.BANDS
+
+
 def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
     """Every bucket of more than two counts as crowded, in blocks of two."""
     monkeypatch.setattr(neardup, "CROWD", 2)
