@@ -2,8 +2,8 @@
 
 Vectors get one more component that makes all norms equal, so that the nearest by distance are those of the largest inner
 product. The two halves are quantised separately; a pair of centroids is a cell. A query visits cells by rising sum of the two distances, taken off a
-heap, until it has met enough entries; how many are enough is measured on sample queries against all rows. All entries of the
-visited cells are ranked by their exact inner products. Equal vectors are one entry with its smallest ids.
+heap, until it has met enough entries; how many are enough is measured on sample queries, some of them from the emptiest cells, against all rows. All
+entries of the visited cells are ranked by their exact inner products. Equal vectors are one entry with its smallest ids.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from stripweave.llm.common import written
 from stripweave.session import ship
 
 NEAREST = 20
-#: At most so many distinct vectors train the centroids; so many sample queries set how far searches go.
+#: At most so many distinct vectors train the centroids; so many sample queries, and as many from the emptiest cells, set how far searches go.
 TRAIN_ROWS, SAMPLE_QUERIES = 20_000, 128
 RECALL = 0.97
 CELL_ROWS, MOST_CENTROIDS = 200, 256
@@ -93,8 +93,8 @@ class Quantiser:
         return _nearest(first, self.halves[0]) * len(self.halves[1]) + _nearest(second, self.halves[1])
 
     def visits(self, query: np.ndarray, enough: int | None = None) -> Iterator[int]:
-        """Cells by rising distance of their centroid pair, until their entries are enough."""
-        enough = self.enough if enough is None else enough
+        """Cells by rising distance of their centroid pair, until their entries are enough, and no fewer than a result and the query itself."""
+        enough = max(self.enough, NEAREST + 1) if enough is None else enough
         q = query[None] * (self.norm / np.sqrt((query * query).sum()))
         d = [((c * c).sum(1) - 2 * x @ c.T)[0] for x, c in zip(self._parts(q, np.zeros(1)), self.halves, strict=True)]
         order = [np.argsort(x, kind="stable") for x in d]
@@ -161,8 +161,11 @@ def build_index(entries: DataFrame) -> tuple[Quantiser, DataFrame]:
 
 
 def _calibrate(q: Quantiser, index: DataFrame, x: np.ndarray) -> None:
-    """Sets ``enough``: so many entries that the wanted share of the sample queries' true neighbours is among them."""
-    sample, k = x[:SAMPLE_QUERIES], NEAREST + 1
+    """Sets ``enough``: so many entries that the wanted share of sample queries have all their true neighbours among them. Queries from the
+    emptiest cells are judged for themselves, as the large cells' many queries would hide them."""
+    few = index.groupBy("cell").agg(F.count("*").alias("n"), F.min_by("v", "key").alias("v")).orderBy("n", "cell").limit(SAMPLE_QUERIES).collect()
+    common = min(SAMPLE_QUERIES, len(x))
+    sample, k = np.concatenate([x[:common], [np.frombuffer(bytes(r.v), np.float64) for r in few]]), NEAREST + 1
     width = q.width
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +180,18 @@ def _calibrate(q: Quantiser, index: DataFrame, x: np.ndarray) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "cell", "score"])
 
     rows = index.select("cell", "v").mapInArrow(search, "query long, cell long, score double")
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter((F.col("_at") > 1) & (F.col("_at") <= k)).collect()
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_at") <= k).collect()
+    cells: dict[int, list[int]] = {}
+    for r in rows:
+        cells.setdefault(r["query"], []).append(r.cell)
     need = []
     for i in range(len(sample)):
         met, at = 0, {}
         for cell in q.visits(sample[i], 1 << 60):
             at[cell] = met
             met += int(q.counts[cell])
-        need += [at[r.cell] + 1 for r in rows if r["query"] == i]
-    q.enough = int(np.quantile(need, RECALL)) if need else 1
+        need.append(max(at[c] + 1 for c in cells[i]))
+    q.enough = max(int(np.quantile(part, RECALL, method="higher")) for part in (need[:common], need[common:]))
 
 
 def search(q: Quantiser, index: DataFrame, queries: DataFrame) -> DataFrame:

@@ -262,6 +262,19 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_nearest_from_sparse_cells(spark):
+    """Two hot clusters, and five vectors whose halves are one of each: their cell holds fewer than a result."""
+    rnd = np.random.default_rng(5)
+    a, b = np.eye(8)[0] + np.eye(8)[4], np.eye(8)[1] + np.eye(8)[5]
+    x = np.concatenate([np.tile(a, (500, 1)), np.tile(b, (500, 1)), np.tile(np.concatenate([a[:4], b[4:]]), (5, 1))]) + rnd.normal(size=(1005, 8)) * 0.02
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(rows, F.col("vec_id") >= 1000).collect()
+    for q in range(1000, 1005):
+        got = {r.vec_id for r in found if r.query_id == q}
+        order = [k for k in np.argsort(-(x @ x[q])) if k != q][:20]
+        assert len(got) == 20 and len(got & set(order)) >= 18
+
+
 def test_block_max_search_is_exact():
     rnd = np.random.default_rng(1)
     vectors = []
