@@ -8,6 +8,7 @@ training starts from every line having its document's label and then lets lines
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +25,17 @@ OWN = 13
 CHUNK = 1 << 18
 
 
+@cache
 def _classes() -> np.ndarray:
-    """For each code point of the first plane's start, bits: upper, lower, digit, space, sentence mark, symbol, bar, exclamation."""
-    out = np.zeros(0x3000, np.uint8)
-    for c in range(0x3000):
+    """For each code point, bits: upper, lower, digit, space, sentence mark, symbol, bar, exclamation. Made once in each worker."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(len(out)):
         s = chr(c)
         out[c] = s.isupper() | s.islower() << 1 | s.isdigit() << 2 | s.isspace() << 3 | (s in ".,;:?'\"()-") << 4
         out[c] |= (not s.isalnum() and not s.isspace() and s not in ".,;:?'\"()-!|") << 5 | (s == "|") << 6 | (s == "!") << 7
     return out
 
 
-CLASSES = _classes()
-
-
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all lines of all texts, one after the other: features (own, mean of the two neighbours', their places), lengths, and
     lines per text. A text has one line at least; work goes in chunks of bounded size."""
@@ -65,7 +64,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _own(lines: list[str]) -> np.ndarray:
     text = "\n".join(lines) + "\n"
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    kinds = CLASSES[np.minimum(codes, 0x2FFF)]
+    kinds = _classes()[codes]
     size = np.array([len(x) for x in lines])
     starts = np.cumsum(size + 1) - size - 1
     n = [np.add.reduceat(kinds >> b & 1, starts, dtype=np.int64) for b in range(8)]

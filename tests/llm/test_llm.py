@@ -317,6 +317,13 @@ def labelled(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_letters_of_all_scripts_are_no_symbols():
+    lines = ["これは日本語の文です", "這是一個句子", "한국어 문장", "ＡＢＣ ａｂｃ", "𐐀𐐁 𐐨𐐩", "plain words", "☃ 😀"]
+    x = quality._own(lines)
+    assert x[:, 3].tolist() == [0, 0, 0, 0, 0, 0, 1]
+    assert x[3:5, 1].tolist() == [0.5, 0.5]
+
+
 def test_forward_backward_against_enumeration():
     rnd = np.random.default_rng(2)
     field = quality.Field(rnd.normal(size=3), rnd.normal(size=(2, 2)))
