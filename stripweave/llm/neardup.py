@@ -4,7 +4,7 @@ A document's set of word shingles is hashed once; a shingle's hash names a regis
 smallest, as its count of leading zeros and the ten bits after the first one (Yu and Weber, 2017). Small sets would leave most of
 200 registers empty, and bands of empty registers say little; so a set fills as many registers as it has shingles for (four or more each) and is
 dealt out anew, by other hashes, until there are 200. Sets that can be linked are of nearly one size, so they share a dealing. Bands of
-registers are the keys under which documents meet; pairs that meet are estimated from their registers, corrected for chance
+registers are the keys under which documents meet. Where they meet, pairs are estimated from their registers, corrected for chance
 collisions, and what is near enough is confirmed on the full sets. Documents with equal sets are one class, of which only the
 smallest id is compared.
 
@@ -19,10 +19,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +40,12 @@ MEMO = 100_000
 #: Standard deviations of the estimate below the threshold at which a pair is no longer confirmed. What this drops is lost, so it must be rarer than
 #: to miss all bands: at 5 it is ten times as frequent.
 MARGIN = 6.0
-#: Buckets with more members than this are compared in blocks of as many sketches.
-CROWD = 64
-BLOCK = 512
+#: What a task compares at a time: sketches and sets of so many bytes.
+CHUNK_BYTES = 8 << 20
+#: Keys whose facts are broadcast: at most so many, each with more rows than this.
+HOT_KEYS, LEAST_HOT = 20_000, 64
+#: The bits of a band's key that name its level.
+LEVEL_BITS = 15
 
 _memo: dict[bytes, int] = {}
 
@@ -77,6 +79,10 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def level(n: int) -> int:
     """How a set of n shingles is dealt: into 2**level registers at a time, four shingles or more to each; 200 at most."""
     return min(max(0, (n // 4).bit_length() - 1), TOP)
@@ -105,12 +111,12 @@ def registers(shingles: np.ndarray, at: int) -> np.ndarray:
 
 
 def band_keys(sketches: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The keys of each sketch's bands."""
+    """The keys of each sketch's bands, with the level in the last bits."""
     grid = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) + np.asarray(at, np.uint64)[:, None] * np.uint64(64))
     for k in range(ROWS):
         key = _mix(key ^ (grid[:, :, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return key.astype(np.int64)
+    return (key & ~np.uint64(LEVEL_BITS) | np.asarray(at, np.uint64)[:, None]).astype(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +133,6 @@ class Rule:
     shingle: int = 5
     percent: int = 80
 
-    def linked(self, common: int, union: int) -> bool:
-        return 100 * common >= self.percent * union
-
 
 def sketch_documents(docs: DataFrame, rule: Rule, *, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, set_hash, dealt`` of whole texts (null counts as empty); ``dealt`` has ``level, sketch, bands`` of each level."""
@@ -145,7 +148,7 @@ def sketch_documents(docs: DataFrame, rule: Rule, *, text: str = "text") -> Data
             pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
         ], ["level", "sketch", "bands"])
         ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in at])]).astype(np.int32))
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, rows)]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, rows)]
 
     dealt = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("dealt", dealt)]
@@ -159,105 +162,144 @@ def _cut(rule: Rule, filled: np.ndarray) -> np.ndarray:
     return share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs ``a, b`` (met at ``level``) whose sketches do not rule out a link."""
-    own = nodes.select("id", "level", "sketch")
-    rows = pairs.join(own.withColumnsRenamed({"id": "a", "sketch": "sa"}), ["a", "level"]).join(own.withColumnsRenamed({"id": "b", "sketch": "sb"}), ["b", "level"])
+def forest(ids: np.ndarray, component: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Links that join the members' components as all links among them would: fewer than members. Pairs already joined are not looked at, the others are
+    estimated, and confirmed on the full sets if near enough. Members are taken in their order, those of the largest component last."""
+    names, n = np.unique(component, return_counts=True)
+    order = np.argsort(component == names[np.argmax(n)], kind="stable")
+    ids, component, sketches, sets = ids[order], component[order].copy(), sketches[order], [sets[k] for k in order]
+    sizes = np.array([len(x) for x in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    own, out = np.zeros(int(sizes.sum()), bool), []
+    for k in range(len(ids) - 1):
+        later = slice(k + 1, None)
+        near = np.flatnonzero((component[later] != component[k]) & (100 * np.minimum(sizes[k], sizes[later]) >= rule.percent * np.maximum(sizes[k], sizes[later]))) + k + 1
+        if len(near):
+            found, filled = estimate(sketches[k][None], sketches[near])
+            near = near[found >= _cut(rule, filled)]
+        if not len(near):
+            continue
+        own[codes[k]] = True
+        common = np.add.reduceat(own[np.concatenate([codes[j] for j in near])], np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+        own[codes[k]] = False
+        for j in near[100 * common >= rule.percent * (sizes[k] + sizes[near] - common)].tolist():
+            if component[j] != component[k]:
+                out.append((int(ids[k]), int(ids[j])))
+                component[component == component[j]] = component[k]
+    return out
+
+
+def _joining(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The links ``a, b`` that join components among the members (``id, component, sketch, shingles``) of each group ``head, level, i, j``. A task holds one group
+    at a time, beside the batch that it reads."""
+    group = ["head", "level", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def links() -> list[tuple[int, int]]:
+            rows = [x for part in held for x in zip(*(part[c].to_pylist() for c in ("id", "component", "sketch", "shingles")), strict=True)]
+            held.clear()
+            if len(rows) < 2:
+                return []
+            ids, component, sketches, sets = zip(*rows, strict=True)
+            return forest(np.array(ids), np.array(component), np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, REGISTERS), [np.frombuffer(x, np.uint64) for x in sets], rule)
+
+        def sent(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            found, filled = estimate(sa, sb)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(found >= _cut(rule, filled)))
-
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _crowded(rest: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """The likely pairs across components in large buckets. Members are dealt into blocks, and two blocks at a time are compared, sketch by sketch, in one task."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rest.withColumn("_of", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_of")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_of") - 1), lambda k: F.struct(F.least(F.col("_own"), k).alias("i"), F.greatest(F.col("_own"), k).alias("j")))
-    rows = rows.select("key", "id", "n", "level", "component", "_own", F.explode(pairs).alias("_p")).select("key", "id", "n", "level", "component", "_own", "_p.i", "_p.j")
-    rows = rows.join(nodes.select("id", "level", "sketch"), ["id", "level"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        sketch = np.frombuffer(b"".join(map(bytes, group["sketch"])), np.uint16).reshape(-1, REGISTERS)
-        ids, n, component, own = (group[c].to_numpy() for c in ("id", "n", "component", "_own"))
-        apart = group["i"].iloc[0] != group["j"].iloc[0]
-        # A pair is told of by the first bucket that it shares, and by no other.
-        bands = band_keys(sketch, group["level"].to_numpy())
-        here = int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])
-        a, b = [], []
-        for k in range(len(ids) - 1):
-            near = np.flatnonzero((component[k + 1 :] != component[k]) & (100 * np.minimum(n[k], n[k + 1 :]) >= rule.percent * np.maximum(n[k], n[k + 1 :])) & (not apart or own[k + 1 :] != own[k])) + k + 1
-            if len(near):
-                found, filled = estimate(np.broadcast_to(sketch[k], (len(near), REGISTERS)), sketch[near])
-                near = near[found >= _cut(rule, filled)]
-                near = near[~(bands[near, :here] == bands[k, :here]).any(1)]
-                a += [ids[k]] * len(near)
-                b += ids[near].tolist()
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose full sets are linked. Only texts of documents in pairs are read into sets."""
-    pairs = written(pairs, "likely")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+            if not len(batch):
+                continue
+            keys = np.column_stack([batch[c].to_numpy() for c in group])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            pairs = []
+            for first, end in zip(cuts, cuts[1:]):
+                key = tuple(keys[first].tolist())
+                if key != now:
+                    pairs += links()
+                    now = key
+                held.append(batch.slice(first, end - first))
+            yield sent(pairs)
+        yield sent(links())
+
+    rows = rows.select(*group, "id", "component", "sketch", "shingles").repartition(*group).sortWithinPartitions(*group, "id")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _payload(nodes: DataFrame, ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """``id, level, sketch, shingles`` of the nodes named by ``ids``. Only their texts are read into sets again."""
 
     def sets(texts: list[str]) -> list[pa.Array]:
-        return [pa.array([shingle_set(t, rule.shingle).tobytes() for t in texts], pa.binary())]
+        found = [shingle_set(t, rule.shingle) for t in texts]
+        return [pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
 
-    own = append_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "text", sets, [T.StructField("shingles", T.BinaryType())])
-    own = written(own.select("doc_id", "shingles"), "sets")
-    rows = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    own = append_columns(rows, "text", sets, [T.StructField("set_hash", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    own = own.select("id", "set_hash", "shingles").dropDuplicates(["id", "set_hash"])
+    return written(nodes.select("id", "set_hash", "level", "sketch").join(own, ["id", "set_hash"]), "payload")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(rule.linked(common, len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+def _looked_up(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``facts``, of which some keys may have very many rows. Those keys' facts, at most ``HOT_KEYS``, are broadcast, so that their rows stay
+    where they are; the other keys' rows meet in a shuffle. ``facts`` has ``members``, the number of rows of each key."""
+    total = facts.agg(F.sum("members")).first()[0] or 0
+    hot = F.col("members") > max(total // HOT_KEYS, LEAST_HOT)
+    many = F.broadcast(facts.filter(hot))
+    return rows.join(many, on).unionByName(rows.join(many.select(*on), on, "left_anti").join(facts.filter(~hot), on))
+
+
+def _chunks(size: str) -> Column:
+    return F.greatest(F.ceil(F.col(size) / CHUNK_BYTES), F.lit(1)).cast("int")
+
 
+def _dealt(chunks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), chunks).cast("int")
 
-def _fits(x: str, y: str, rule: Rule) -> object:
-    """Set sizes between which a link can be."""
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * rule.percent)
+
+def _all_of(chunks: Column) -> Column:
+    return F.sequence(F.lit(0), chunks - 1)
 
 
 def links(nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a, b`` between classes that give the right components.
 
-    First every bucket's members are compared with its smallest id only: as many pairs as members. What these links join needs
-    no more comparing. Only buckets whose other members still are in different components are gone through again, for the pairs
-    across components, in crowded ones block by block.
+    Buckets with the same smallest id, their head, are one group: documents that meet in a bucket meet in its head's group, and near copies, which share
+    many buckets, are in few groups. Members of a group are compared in one task, up to ``CHUNK_BYTES``; a larger group is dealt into chunks, each with the head
+    in it. What is then still apart from its head's component in such a group is dealt into chunks of its own, which meet all chunks of the group. Tasks send
+    on only the links that join components, so that what is sent grows with the members, not with the pairs.
     """
-    met = nodes.select("id", "level", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    heads = met.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("members")).filter(F.col("members") > 1)
-    heads = heads.select("key", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "members")
-    shared = written(met.join(heads, "key").filter(F.col("id") != F.col("head")), "shared")
-    stars = shared.filter(_fits("n", "head_n", rule)).groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.min("level").alias("level"))
-    first = written(_confirmed(_likely(stars, nodes, rule), docs, rule), "links")
+    met = nodes.select("id", F.explode("bands").alias("key"))
+    heads = written(met.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter(F.col("members") > 1), "heads")
+    level = F.col("key").bitwiseAND(LEVEL_BITS).cast("int").alias("level")
+    others = _looked_up(met, heads, ["key"]).select("head", level, "id").filter(F.col("id") != F.col("head")).distinct()
+    others = written(others, "others")
+    groups = others.groupBy("head", "level").agg(F.count("*").alias("members"))
+    pairs = others.unionByName(groups.select("head", "level", F.col("head").alias("id")))
+    payload = _payload(nodes, pairs.select("id").distinct(), docs, rule)
+    sizes = payload.groupBy("id", "level").agg(F.sum(F.length("sketch") + F.length("shingles")).alias("size"))
+    members = written(pairs.join(sizes, ["id", "level"]), "members")
+    groups = members.groupBy("head", "level").agg(F.sum("size").alias("all"), F.count("*").alias("members"))
+    groups = written(groups.withColumn("chunks", _chunks("all")), "groups")
+    members = written(_looked_up(members, groups, ["head", "level"]).select("head", "level", "id", "size", "chunks"), "chunked")
+    at = F.when(F.col("id") == F.col("head"), _all_of(F.col("chunks"))).otherwise(F.array(_dealt(F.col("chunks"), 1)))
+    rows = members.select("head", "level", "id", F.explode(at).alias("i"), F.lit(0).alias("j"), F.col("id").alias("component"))
+    first = written(_joining(rows.join(payload, ["id", "level"]), rule), "links")
+
+    large = members.filter(F.col("chunks") > 1)
+    if large.isEmpty():
+        return first
     joined = written(components(first), "components")
-
-    rest = shared.filter(F.col("members") > 2).join(joined, "id", "left").select("key", "id", "n", "level", F.coalesce("component", "id").alias("component"))
-    split = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).filter(F.col("c0") != F.col("c1"))
-    rest = written(rest.join(split.select("key", "members"), "key"), "rest")
-    few = rest.filter(F.col("members") <= CROWD)
-    x, y = (few.select("key", "level", *(F.col(c).alias(c + s) for c in ("id", "n", "component"))) for s in "xy")
-    pairs = x.join(y.drop("level"), "key").filter((F.col("idx") < F.col("idy")) & (F.col("componentx") != F.col("componenty")) & _fits("nx", "ny", rule))
-    pairs = pairs.groupBy(F.col("idx").alias("a"), F.col("idy").alias("b")).agg(F.min("level").alias("level"))
-    likely = _likely(pairs, nodes, rule).unionByName(_crowded(rest.filter(F.col("members") > CROWD), nodes, rule)).distinct()
-    return first.unionByName(_confirmed(likely, docs, rule))
+    rows = large.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = rows.filter(F.col("id") == F.col("head")).select("head", "level", F.col("component").alias("main"))
+    sums = rows.groupBy("head", "level").agg(F.count("*").alias("members")).join(own, ["head", "level"])
+    rows = written(_looked_up(rows, sums, ["head", "level"]).withColumn("apart", F.col("component") != F.col("main")).drop("members"), "apart")
+    rest = rows.groupBy("head", "level").agg(F.sum(F.when(F.col("apart"), F.col("size"))).alias("apart_size"), F.count("*").alias("members")).filter(F.col("apart_size") > 0)
+    rows = _looked_up(rows, rest.withColumn("rounds", _chunks("apart_size")), ["head", "level"])
+    each = rows.select("*", _dealt(F.col("chunks"), 1).alias("i"), F.explode(_all_of(F.col("rounds"))).alias("j"))
+    apart = rows.filter("apart").select("*", F.explode(_all_of(F.col("chunks"))).alias("i"), _dealt(F.col("rounds"), 2).alias("j"))
+    rows = each.unionByName(apart).select("head", "level", "i", "j", "id", "component").distinct()
+    return first.unionByName(_joining(rows.join(payload, ["id", "level"]), rule))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -268,17 +310,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = written(sketch_documents(docs, rule), "sketches")
-    some = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(some.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "classes")
-    nodes = some.withColumn("_d", F.explode("dealt")).select("doc_id", "n_shingles", "set_hash", "_d.*").join(classes.withColumnRenamed("set_hash", "class_hash"), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("class_hash")))
-    nodes = written(nodes.dropDuplicates(["id", "set_hash", "level"]).select("id", "n_shingles", "level", "sketch", "bands"), "nodes")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    some = rows.filter(linked)
+    classes = written(some.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("members")), "classes")
+    least = classes.select("id", "set_hash")
+    nodes = some.select(F.col("doc_id").alias("id"), "set_hash", F.explode("dealt").alias("_d")).select("id", "set_hash", "_d.*").join(least, ["id", "set_hash"], "left_semi")
+    nodes = written(nodes.dropDuplicates(["id", "set_hash", "level"]), "nodes")
     # A class's texts have one set, so the text of its smallest id stands for all.
     joined = components(links(nodes, docs, rule))
-    named = classes.join(joined, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(joined, "id", "left").select("set_hash", "members", F.coalesce("component", "id").alias("component"))
+    some = _looked_up(some.select("doc_id", "n_shingles", "set_hash"), named, ["set_hash"])
+    out = some.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(rows.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -222,16 +222,42 @@ def test_estimate_loses_less_than_bands():
     assert lost < (1 - 0.8**neardup.ROWS) ** neardup.BANDS
 
 
-def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
-    """Every bucket of more than two counts as crowded, in blocks of two."""
-    monkeypatch.setattr(neardup, "CROWD", 2)
-    monkeypatch.setattr(neardup, "BLOCK", 2)
+def crowd():
+    """One base text and 150 copies with words of their own in it, of which many are just above or below the threshold from each other."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    texts = {}
+    for k in range(150):
+        copy = list(words)
+        for at in rnd.sample(range(60), rnd.randint(0, 6)):
+            copy[at] = f"x{rnd.randrange(3 if k % 3 else 10_000)}"
+        texts[k] = " ".join(copy)
+    return texts
+
+
+@pytest.mark.parametrize("chunk", [1 << 12, 1 << 14, 8 << 20])
+def test_near_duplicates_in_crowded_groups(spark, monkeypatch, chunk):
+    """Groups are dealt into chunks of a few members; every key with more than two rows counts as hot."""
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(neardup, "HOT_KEYS", 1 << 40)
+    monkeypatch.setattr(neardup, "LEAST_HOT", 2)
     texts = near_copies()
+    texts |= {len(texts) + k: t for k, t in crowd().items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, neardup.Rule(2)).collect()}
     assert got == brute(texts, 2)
 
 
+def test_forest_is_short_and_whole():
+    sets = [neardup.shingle_set(t, 2) for t in crowd().values()]
+    sketches = np.array([neardup.registers(x, neardup.level(len(x))) for x in sets])
+    pairs = neardup.forest(np.arange(len(sets)), np.arange(len(sets)), sketches, sets, neardup.Rule(2))
+    groups = {}
+    for k, (_, c) in brute(crowd(), 2).items():
+        groups.setdefault(c, set()).add(k)
+    assert len(pairs) == sum(len(g) - 1 for g in groups.values())
+
+
 def test_near_duplicates_match_brute_force(spark, odd):
     texts = near_copies()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
