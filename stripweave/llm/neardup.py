@@ -228,13 +228,14 @@ def _joining(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _payload(nodes: DataFrame, ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """``id, level, sketch, shingles`` of the nodes named by ``ids``. Only their texts are read into sets again."""
+    """``id, level, sketch, shingles`` of the nodes named by ``ids``. Only their texts are read into sets again. The ids, which grow with the input, are merged
+    with the texts at every size, not broadcast while they are few."""
 
     def sets(texts: list[str]) -> list[pa.Array]:
         found = [shingle_set(t, rule.shingle) for t in texts]
         return [pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     own = append_columns(rows, "text", sets, [T.StructField("set_hash", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
     own = own.select("id", "set_hash", "shingles").dropDuplicates(["id", "set_hash"])
     return written(nodes.select("id", "set_hash", "level", "sketch").join(own, ["id", "set_hash"]), "payload")
