@@ -1,8 +1,10 @@
 """Best-fit packing with several permitted sequence lengths.
 
-Rows are dealt at random into blocks of bounded size, and each block is packed on its own: longest pieces first, each into the
+Rows are dealt by a hash into blocks of bounded size, and each block is packed on its own: longest pieces first, each into the
 open bin it fills best. If none has room, a bin is opened with the length whose price per packed token is least, judged by how
-the pieces still to come would fill it. At the end each bin shrinks to the shortest permitted length that holds its contents.
+the pieces still to come would fill it. At the end each bin shrinks to the shortest permitted length that holds its contents. What lies in
+bins that are not full enough is packed again, together with that of the other blocks, until one block holds it: a few pieces of each block, so rounds
+are few. The sequences themselves are the pieces' tokens in their bins' order.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from stripweave.llm.common import written
 
 LENGTHS = (512, 1024, 2048, 4096)
 BLOCK_ROWS = 20_000
+#: Bins filled to this share are final; the rest of several blocks is packed again together.
+FULL = 0.97
 #: A sequence of length n is priced n + n * n / QUADRATIC: a fixed share for each place, and attention.
 QUADRATIC = 16_384
 
@@ -82,37 +86,88 @@ def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[
 
 
 def split_documents(docs: DataFrame, size: Column, longest: int) -> DataFrame:
-    """``doc_id, piece, start, n_tokens``: documents over the longest permitted length are cut into pieces of that length and a rest."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("_n"))
-    pieces = rows.select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / longest))).alias("piece"))
+    """``doc_id, text_hash, piece, start, n_tokens``: documents over the longest permitted length are cut into pieces of that length and a rest; ``text_hash`` tells the
+    texts of one id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), size.cast("long").alias("_n"))
+    pieces = rows.select("doc_id", "text_hash", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / longest))).alias("piece"))
     start = F.col("piece") * longest
-    return pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("_n") - start).alias("n_tokens"))
+    return pieces.select("doc_id", "text_hash", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("_n") - start).alias("n_tokens"))
 
 
-def token_count(text: Column) -> Column:
+END = "<|end|>"
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
+
+
+def word_tokens(text: Column) -> Column:
     """A text's words by white space, and one end token; null counts as empty."""
+    return F.concat(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)), F.array(F.lit(END)))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens ``word_tokens`` gives."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)) + 1
 
 
-def pack_documents(docs: DataFrame, *, lengths: Sequence[int] = LENGTHS, size: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, n_tokens, bin_id, place, opened_length, bin_length``.
+SCHEMA = "doc_id long, text_hash long, piece int, start long, n_tokens long, bin_id long, place long, opened_length int, bin_length int"
+
+
+def _dealt(pieces: DataFrame, blocks: int) -> DataFrame:
+    """``pieces`` with ``_block``. Equal pieces are counted first and dealt one after the other from the block of their hash on, so that the
+    result does not depend on how the input is laid out, and no row repeated many times gathers in one block."""
+    same = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("_same"))
+    rows = same.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1)))
+    return rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_hash", "piece") + F.col("_k"), F.lit(blocks))).drop("_same", "_k")
+
+
+def pack_documents(docs: DataFrame, *, lengths: Sequence[int] = LENGTHS, size: Column | None = None, block_rows: int = BLOCK_ROWS, full: float = FULL) -> DataFrame:
+    """One row per piece: ``doc_id, text_hash, piece, start, n_tokens, bin_id, place, opened_length, bin_length``.
 
-    ``place`` is the piece's offset in its bin. Null and empty texts take one token. Repeated rows and ids are packed as they
-    come; blocks are dealt by row number, so that neither a key nor equal rows gather in one. An empty table gives no rows.
+    ``size`` is a document's tokens (its words and an end token, if not given), ``place`` the piece's offset in its bin. Null and empty texts take one token.
+    Repeated rows and ids are packed as they come, pieces of equal size by id. An empty table gives no rows; other columns are ignored.
     """
     lengths = tuple(sorted(set(lengths)))
-    pieces = split_documents(docs, token_count(F.col("text")) if size is None else size, lengths[-1])
-    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")  # narrow, and fixed from here on
-    blocks = max(1, -(-pieces.count() // block_rows))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
-        bins, places, opened, final = pack_sizes(rows["n_tokens"], lengths)
-        return rows.assign(bin_id=rows["_block"].astype("int64") * (1 << 32) + bins, place=places, opened_length=opened.astype("int32"), bin_length=final.astype("int32"))[NAMES]
-
-    schema = "doc_id long, piece int, start long, n_tokens long, bin_id long, place long, opened_length int, bin_length int"
-    NAMES = [x.split()[0] for x in schema.split(", ")]
-    return pieces.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks))).groupBy("_block").applyInPandas(run, schema)
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    left = written(split_documents(docs, token_count(F.col("text")) if size is None else size, lengths[-1]), "pieces")
+    done, rounds = [], 0
+    while True:
+        blocks = max(1, -(-left.count() // block_rows))
+
+        first = rounds << 56
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["n_tokens", "doc_id", "text_hash", "piece"], ascending=[False, True, True, True], ignore_index=True)
+            bins, places, opened, final = pack_sizes(rows["n_tokens"], lengths)
+            return rows.assign(bin_id=first + rows["_block"].astype("int64") * (1 << 24) + bins, place=places, opened_length=opened.astype("int32"), bin_length=final.astype("int32"))[names]
+
+        packed = written(_dealt(left, blocks).groupBy("_block").applyInPandas(run, SCHEMA), "packed")
+        if blocks == 1:
+            break
+        used = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("_used"))
+        packed = written(packed.join(used, "bin_id").withColumn("_full", F.col("_used") >= full * F.col("bin_length")).select(*names, "_full"), "packed")
+        rest = written(packed.filter(~F.col("_full")).select(*left.columns), "pieces")
+        if rest.count() > 0.8 * left.count():  # nothing to gain from more rounds
+            packed = packed.drop("_full")
+            break
+        done.append(packed.filter("_full").drop("_full"))
+        left, rounds = rest, rounds + 1
+    for d in done:
+        packed = packed.unionByName(d)
+    return packed
+
+
+def sequences(docs: DataFrame, packed: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """One row per bin: ``bin_id, bin_length, n_tokens, doc_ids, starts, tokens``: the pieces' documents, the offset of each in the sequence, and the tokens
+    (those of ``tokens``, an array over ``docs``, or words with an end token). What ``n_tokens`` leaves of ``bin_length`` is padding."""
+    body = word_tokens(F.col("text")) if tokens is None else tokens
+    # Repeated rows have one body, so a row repeated many times is read once and joined to its pieces.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("text_hash"), "text", body.alias("_tokens"))
+    rows = rows.groupBy("_id", "text_hash").agg(F.first("_tokens").alias("_tokens"))
+    own = packed.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    piece = F.slice("_tokens", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int"))
+    whole = own.join(rows, ["_id", "text_hash"]).select("bin_id", "bin_length", "place", "doc_id", "n_tokens", piece.alias("_tokens"))
+    found = whole.groupBy("bin_id", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "doc_id", "_tokens"))).alias("_all"))
+    return found.select("bin_id", "bin_length", "n_tokens", F.col("_all.doc_id").alias("doc_ids"), F.col("_all.place").alias("starts"), F.flatten(F.col("_all._tokens")).alias("tokens"))
 
 
 def bin_report(packed: DataFrame) -> DataFrame:
