@@ -15,7 +15,8 @@ from stripweave.llm.common import written
 
 MULTIPLIER = 2862933555777941757
 MASK = 0xFFFFFFFF
-#: Rounds for large shard counts. Jumps are about ln(shards), so 256 rounds are never used up; if they were, the row raises an error.
+#: Rounds for large shard counts; up to so many shards there is a round for each, which cannot be used up. Jumps are independent records, about ln(shards) of them: with
+#: 2**31 shards more than 256 come once in 10**170 keys, and would raise an error.
 ROUNDS = 256
 
 
@@ -67,10 +68,10 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``shard`` comes from ``key`` and the shard count alone; ``grown_shard`` is that of one shard more. ``size`` is the UTF-8
-    length plus 1 (null text: 1, checksum of the empty text). ``slot`` numbers a shard's rows from 0 without gaps, by key
-    modulo ``lanes``, then key, then checksum: a shard is numbered lane by lane and the lanes' counts are summed up, so no task
-    ever sorts a whole shard. Rows without a key go to the shard of key 0, spread over the lanes by checksum. Repeated rows
-    get slots of their own. Other columns are ignored.
+    length plus 1 (null text: 1, checksum of the empty text). ``slot`` numbers a shard's rows from 0 without gaps, by lane,
+    then key, then checksum: a lane is a hash of key and checksum, so that neither strides of keys nor one key of many texts meet in one. A
+    shard is numbered lane by lane and the lanes' counts are summed up, so no task ever sorts a whole shard. Rows without a key go to the shard of
+    key 0. Repeated rows get slots of their own. An empty table gives no rows. Other columns are ignored.
     """
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.octet_length(F.col(text)))
     rows = docs.select(
@@ -79,7 +80,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text
     )
     rows = rows.select(
         "*", F.lit("key").alias("law"), jump_hash(F.col("_key"), shards).alias("shard"), jump_hash(F.col("_key"), shards + 1).alias("grown_shard"),
-        F.pmod(F.coalesce(F.col("_key"), F.col("text_crc32")), F.lit(lanes)).alias("_lane"),
+        (F.crc32(F.concat_ws(":", F.col("_key").cast("string"), F.col("text_crc32").cast("string")).cast("binary")) % lanes).alias("_lane"),
     )
     rows = written(rows, "shards")  # a few bytes a row: texts are read once
     counts = rows.groupBy("shard", "_lane").count()
@@ -92,12 +93,18 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text
 
 def oracle(shards: int = 8, lanes: int = 4096) -> str:
     """DuckDB SQL for ``assign_shards`` over ``documents`` with whole, non-null, non-negative keys."""
+
+    def crc(text: str) -> str:
+        return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295)"""
+
     return f"""
 WITH RECURSIVE crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
 ), checksums AS (
-  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
-    lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) AS text_crc32 FROM documents, crc_table
+  SELECT doc_id, {crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table
+), lanes AS (
+  SELECT doc_id, text_crc32, {crc("doc_id || ':' || text_crc32")} % {lanes} AS lane FROM checksums, crc_table
 ), walk AS (
   SELECT n, doc_id, doc_id::HUGEINT AS state, -1::BIGINT AS b, 0::BIGINT AS j FROM documents, (VALUES ({shards}), ({shards + 1})) v(n)
   UNION ALL
@@ -107,6 +114,6 @@ WITH RECURSIVE crc_table AS (
   SELECT doc_id, max(b) FILTER (n = {shards} AND j >= n) AS shard, max(b) FILTER (n = {shards + 1} AND j >= n) AS grown FROM walk GROUP BY doc_id
 )
 SELECT d.doc_id, strlen(coalesce(d.text, '')) + 1 AS size, c.text_crc32, 'key' AS law, p.shard::INT AS shard,
-  row_number() OVER (PARTITION BY p.shard ORDER BY d.doc_id % {lanes}, d.doc_id) - 1 AS slot, p.grown::INT AS grown_shard
-FROM documents d JOIN placed p USING (doc_id) JOIN checksums c USING (doc_id)
+  row_number() OVER (PARTITION BY p.shard ORDER BY c.lane, d.doc_id) - 1 AS slot, p.grown::INT AS grown_shard
+FROM documents d JOIN placed p USING (doc_id) JOIN lanes c USING (doc_id)
 """
