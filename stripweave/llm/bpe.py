@@ -2,9 +2,9 @@
 
 Two neighbouring tokens of a BPE result never depend on what stands around them: a token list is the result for its text just
 if every neighbouring pair is the result for its own text. So for each prefix of a word the last token is the one suffix that
-goes with the last token of what is left, and it never changes. What is pending are the prefixes that a longer token may still
-begin in; where the token chains of all of them meet, everything before is final and leaves. The merge list bounds how far the
-decision can lie ahead (``lookahead``), so what is pending never outgrows that and a window.
+goes with the last token of what is left, and it never changes. Later symbols can change which prefixes' tokens the result is made of, but
+not further back than the merge list's sufficient lookahead (``lookahead``, after Berglund and van der Merwe, 2023): a border that lies that
+far behind what is read is settled, and the tokens before it leave. So no more than the lookahead, a window and a token are ever pending.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ NEVER = 1 << 60
 #: The last symbol of a word carries the end mark; it is held as one character in a plane of its own.
 END_PLANE = 0xF0000
 #: Symbols between two looks at what is final; words and pairs remembered.
-WINDOW, WORDS, PAIRS = 64, 200_000, 250_000
+WINDOW, WORDS, PAIRS = 16, 200_000, 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -102,9 +102,11 @@ class Merges:
             self.pairs[a, b] = found
         return found
 
+    @cached_property
     def lookahead(self) -> int:
-        """Symbols that suffice beyond a border to settle it. A merge can be kept from happening only by an earlier merge that takes
-        away its right part, which in turn only a still earlier one can prevent: the longest such chain, in symbols."""
+        """Symbols that suffice beyond a border to settle it. A merge over the border can be kept from happening only by a merge of lower rank that takes away what stands at
+        the right end of its right part, which in turn only one of still lower rank can prevent: the longest such chain, in symbols. Of equal merges the leftmost
+        comes first, so they never depend on what is to their right."""
         best: dict[str, int] = {}
         most = 1
         for (a, b), _ in sorted(self.rank.items(), key=lambda x: x[1]):
@@ -127,24 +129,20 @@ class Merges:
 
 class Transducer:
     """Symbols in, token ids out (as bytes, four a token). Held are the last token that left, the symbols pending after it, and the last
-    token of each prefix of these. Whenever ``WINDOW`` more symbols are pending, what is final leaves."""
+    token of each prefix of these. Whenever ``WINDOW`` more symbols are pending than the lookahead, what is settled leaves."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
         self.code = {t: i.to_bytes(4, "little") for t, i in merges.ids.items()}
+        self.lookahead = merges.lookahead
+        self.most_pending = 0  # symbols that were ever pending at once
 
-    def _final(self, pending: str, starts: list[int], tokens: list[str | None]) -> int:
-        """Where the chains of all places meet that a later token can begin at."""
-        n = len(pending)
-        live = [j for j in range(max(0, n - self.merges.longest), n) if tokens[j] is not None and pending[j:] in self.merges.begins]
-        common: set[int] | None = None
-        for j in (*live, n):
-            path = {0, j}
-            while j:
-                j = starts[j]
-                path.add(j)
-            common = path if common is None else common & path
-        return max(common)
+    def _settled(self, at: int, starts: list[int]) -> int:
+        """The last border of what is read that lies the lookahead behind."""
+        end = at
+        while end > 0 and end > at - self.lookahead:
+            end = starts[end]
+        return max(end, 0)
 
     def _leave(self, end: int, starts: list[int], tokens: list[str | None]) -> list[str]:
         out = []
@@ -157,7 +155,7 @@ class Transducer:
         ends, stable, pairs = self.merges.ends.get, self.merges.stable, self.merges.pairs
         longest, code = self.merges.longest, self.code
         out: list[bytes] = []
-        base, mark, starts, tokens = 0, WINDOW, [-1], [""]
+        base, mark, starts, tokens = 0, self.lookahead + WINDOW, [-1], [""]
         for end in range(1, len(symbols) + 1):
             at = end - base
             tries = []
@@ -181,15 +179,16 @@ class Transducer:
             # None: the token would start before what is pending, and no later token begins here.
             tokens.append(found)
             starts.append(place)
-            if at >= mark:
-                final = self._final(symbols[base:end], starts, tokens)
+            if at >= mark and found is not None:
+                self.most_pending = max(self.most_pending, at)
+                final = self._settled(at, starts)
                 if final:
                     gone = self._leave(final, starts, tokens)
                     out += [code[t] for t in gone]
                     starts = [-1, *(x - final for x in starts[final + 1 :])]
                     tokens = [gone[-1], *(t if x >= 0 else None for t, x in zip(tokens[final + 1 :], starts[1:], strict=True))]
                     base += final
-                mark = len(tokens) - 1 + WINDOW
+                mark = self.lookahead + WINDOW
         if tokens[-1] is None:
             raise ValueError("a text without tokens")
         out += [code[t] for t in self._leave(len(tokens) - 1, starts, tokens)]
@@ -304,7 +303,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text") ->
 
 
 def token_report(docs: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``; decoding starts from the ids alone."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per input row; decoding starts from the ids alone. Null texts count as empty; repeated rows are encoded
+    alike, texts of any length whole; an empty table gives no rows, and other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary_path(vocabulary))
