@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stripweave.llm.common import written
@@ -32,9 +33,10 @@ HELD = 20_000
 
 
 def usable_vectors(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """``vec_id, key, v``: rows with a finite vector that is not zero, of the table's commonest length, once per id and vector. ``v`` holds
-    doubles, ``key`` names equal vectors."""
+    """``vec_id, key, v``: rows with a finite vector that is not zero, once per id and vector. A table's vectors are of one length; those of another than the commonest are
+    invalid and take no part. ``v`` holds floats where the table does, else doubles; ``key`` names equal vectors."""
     ship(rows.sparkSession)
+    kind = _kind(rows, vector)
     rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.filter(finite & F.exists("v", lambda x: x != 0))
@@ -45,7 +47,7 @@ def usable_vectors(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, max(width, 1)) + 0.0
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array([x.tobytes() for x in flat], pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array([x.tobytes() for x in flat.astype(kind)], pa.binary())], ["vec_id", "v"])
 
     return rows.mapInArrow(pack, "vec_id long, v binary").select("vec_id", F.md5("v").alias("key"), "v").dropDuplicates(["vec_id", "key"])
 
@@ -66,8 +68,20 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
 
 
+def _kind(rows: DataFrame, vector: str) -> str:
+    """How a table's vectors are held: its floats stay floats, anything else becomes doubles."""
+    element = getattr(rows.schema[vector].dataType, "elementType", None)
+    return "<f4" if isinstance(element, T.FloatType) else "<f8"
+
+
+def _vector(held: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(held, "<f4" if len(held) == 4 * width else "<f8").astype(np.float64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+    """The vectors as doubles."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), "<f4" if held and len(held[0]) == 4 * width else "<f8").reshape(-1, width).astype(np.float64)
 
 
 @dataclass
@@ -126,12 +140,10 @@ def _entries(vectors: DataFrame) -> DataFrame:
     return few.groupBy("key").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def build_index(entries: DataFrame) -> tuple[Quantiser, DataFrame]:
+def build_index(entries: DataFrame, width: int) -> tuple[Quantiser, DataFrame]:
     """The quantiser and ``cell, key, ids, v`` of all entries. Only the training vectors, the cells' sizes and the sample queries'
     neighbours come to the driver; all of these are bounded."""
-    sample = [np.frombuffer(bytes(r.v), np.float64) for r in entries.orderBy("key").limit(TRAIN_ROWS).select("v").collect()]
-    x = np.array(sample)
-    width = x.shape[1]
+    x = np.array([_vector(bytes(r.v), width) for r in entries.orderBy("key").limit(TRAIN_ROWS).select("v").collect()])
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most, n = 0.0, 0
@@ -165,7 +177,7 @@ def _calibrate(q: Quantiser, index: DataFrame, x: np.ndarray) -> None:
     emptiest cells are judged for themselves, as the large cells' many queries would hide them."""
     few = index.groupBy("cell").agg(F.count("*").alias("n"), F.min_by("v", "key").alias("v")).orderBy("n", "cell").limit(SAMPLE_QUERIES).collect()
     common = min(SAMPLE_QUERIES, len(x))
-    sample, k = np.concatenate([x[:common], [np.frombuffer(bytes(r.v), np.float64) for r in few]]), NEAREST + 1
+    sample, k = np.concatenate([x[:common], [_vector(bytes(r.v), x.shape[1]) for r in few]]), NEAREST + 1
     width = q.width
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +215,7 @@ def search(q: Quantiser, index: DataFrame, queries: DataFrame) -> DataFrame:
         for batch in batches:
             cells, keys, vs = [], [], []
             for key, v in zip(batch["key"].to_pylist(), batch["v"].to_pylist(), strict=True):
-                found = list(shared.value.visits(np.frombuffer(v, np.float64)))
+                found = list(shared.value.visits(_vector(v, width)))
                 cells += found
                 keys += [key] * len(found)
                 vs += [v] * len(found)
@@ -272,7 +284,7 @@ def nearest(rows: DataFrame, is_query: Column, *, id_column: str = "vec_id", vec
     if vectors.isEmpty():
         return rows.sparkSession.createDataFrame([], RESULT)
     entries = written(_entries(vectors), "entries")
-    q, index = build_index(entries)
+    q, index = build_index(entries, vectors.select(F.length("v")).first()[0] // int(_kind(rows, vector)[-1]))
     asked = vectors.filter(is_query)
     found = search(q, index, asked.groupBy("key").agg(F.first("v").alias("v")))
     out = asked.select(F.col("vec_id").alias("query_id"), "key").join(found, "key")
