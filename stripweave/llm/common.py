@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,23 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stripweave.session import ship
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; where unset (tests), a new temporary one is set."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
+from stripweave.session import shared_dir, ship
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     ship(df.sparkSession)
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -37,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name like this that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(docs: DataFrame, text: str, run: Callable[[list[str]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """``docs`` with ``fields`` after its own columns (a column of ``docs`` with such a name goes): ``run`` gets the whole texts of a batch, null as empty, and gives
     the new columns. Rows stay as they are, also repeated ones and those without an id."""
@@ -50,7 +47,7 @@ def append_columns(docs: DataFrame, text: str, run: Callable[[list[str]], list[p
             *columns, body = batch.columns
             yield pa.RecordBatch.from_arrays([*columns, *run(body.to_pylist())], schema.names)
 
-    rows = docs.select(*(docs[f"`{f.name}`"] for f in kept), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"))
+    rows = docs.select(*(docs[f"`{f.name}`"] for f in kept), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(fresh(docs, "body")))
     return rows.mapInArrow(batches, schema)
 
 
@@ -60,10 +57,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int) -> DataFrame:
-    """``doc_id, text, label`` of at most ``per_label`` labelled documents of each label 0 and 1, chosen by a hash of the id."""
+    """``doc_id, text, label`` of at most ``per_label`` labelled documents of each label 0 and 1, chosen by a hash of the id. Of an id with several texts the one of
+    the least hash stands, and of its labels the largest."""
     rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     # Only ids that the documents have; the id columns alone are read.
     rows = rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
     sample = written(chosen[0].unionByName(chosen[1]), "sample")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stripweave.llm.common import append_columns, fold, labelled_sample
+from stripweave.llm.common import append_columns, fold, fresh, labelled_sample
 
 PER_LABEL = 2000
+#: Labelled texts of more lines are not in the sample, so that the numbers that come to the driver are bounded.
+MOST_LINES = 400
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 OWN = 13
@@ -128,7 +130,10 @@ def train(x: np.ndarray, counts: np.ndarray, lengths: np.ndarray, labels: np.nda
     """Gradient ascent (Adam) on the likelihood, with lines relabelled between rounds."""
     field = Field(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if not len(counts) or len(set(labels.tolist())) < 2:
-        field.weights[-1] = 0.0 if not len(counts) else (4.0 if labels[0] else -4.0)
+        if len(counts):
+            field.weights[-1] = 4.0 if labels[0] else -4.0
+        else:
+            field.cut = THRESHOLD  # leaves the score of 0.5 as it is
         return field
     doc = np.repeat(np.arange(len(counts)), counts)
     y = labels[doc].astype(float)
@@ -171,11 +176,11 @@ def calibrated(field: Field, score: np.ndarray) -> np.ndarray:
     return np.where(score < field.cut, THRESHOLD * score / field.cut, THRESHOLD + (1 - THRESHOLD) * (score - field.cut) / (1 - field.cut))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per_label: int = PER_LABEL) -> Field:
-    """A field from at most ``per_label`` labelled documents of each label; whole texts. Features are made on the executors; one
+def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per_label: int = PER_LABEL, most_lines: int = MOST_LINES) -> Field:
+    """A field from at most ``per_label`` labelled documents of each label, whole texts of at most ``most_lines`` lines. Features are made on the executors; one
     bounded table of numbers comes to the driver. Without labels every score is 0.5, below the threshold."""
     usable = fold(F.col("doc_id"), FOLDS) != HELD_OUT if usable is None else usable
-    sample = labelled_sample(docs, labels, "quality", usable, per_label)
+    sample = labelled_sample(docs, labels, "quality", usable, per_label).filter(F.regexp_count("text", F.lit("\n")) < most_lines)
 
     def run(texts: list[str]) -> list[pa.Array]:
         rows = []
@@ -193,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per
 
 
 def score_documents(docs: DataFrame, field: Field, *, text: str = "text", name: str = "quality_score") -> DataFrame:
-    """``docs`` with the quality of each whole text, 0 to 1, after its own columns. Null and empty texts are one empty line."""
+    """``docs`` with the quality of each whole text, 0 to 1, after its own columns. Null and empty texts are one empty line. Repeated rows are
+    scored alike, texts of any length whole; an empty table gives no rows. A column of ``docs`` with the new one's name goes."""
 
     def run(texts: list[str]) -> list[pa.Array]:
         out, k = [], 0
@@ -212,12 +218,14 @@ def score_documents(docs: DataFrame, field: Field, *, text: str = "text", name:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, held_out, score, predicted``, one row per input row."""
     field = fit(docs, labels)
     rows = score_documents(docs.select("doc_id", "text"), field)
     return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose quality is at the threshold or above, with their own columns."""
-    rows = score_documents(docs, fit(docs, labels), name="_quality_score")
-    return rows.filter(F.col("_quality_score") >= THRESHOLD).select(docs.columns)
+    """The documents whose quality is at the threshold or above, with their own columns, whatever their names."""
+    name = fresh(docs, "quality")
+    rows = score_documents(docs, fit(docs, labels), name=name)
+    return rows.filter(F.col(name) >= THRESHOLD).drop(name)

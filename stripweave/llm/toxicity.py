@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Terms are words and the beginnings of words. Of those in a bounded labelled sample the most telling are kept; their document
-frequencies are counted over all documents. The index holds the sample's vectors by term, with the largest weight of each block of
-examples: blocks are visited by falling bound, and the search ends when no block can hold a nearer example.
+Terms are words and the beginnings of words: all of them that a bounded labelled sample holds. A term weighs by its frequency in the text, by its rarity in all
+documents, and by how surely its shares in the two labels differ, never 0. The index holds the sample's vectors by term, with the
+largest weight in each block of examples: blocks are visited by falling bound, and the search ends when no block can hold a nearer example.
 """
 
 from __future__ import annotations
@@ -18,18 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stripweave.llm.common import append_columns, fold, labelled_sample
+from stripweave.llm.common import append_columns, fold, fresh, labelled_sample
 
-PER_LABEL = 3000
-TERMS = 2048
+PER_LABEL = 1000
+#: Labelled texts of more characters are not in the sample, so that what it holds is bounded.
+LONGEST = 200_000
 NEIGHBOURS = 15
 BLOCK = 64
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-#: A term counts as telling if the labels' shares differ by so many standard errors, in so many examples at least.
-TELLING, SUPPORT = 5.0, 5
+#: A term whose shares in the labels differ by so many standard errors has half of its full weight; the least share of it that any term has.
+TELLING, LEAST = 5.0, 0.01
 PREFIXES = (4, 5, 6)
-MEMO = 100_000
+MEMO = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,7 +45,7 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Terms:
-    """The kept terms by number, with a bounded memory of words."""
+    """The sample's terms by number, with a bounded memory of words."""
 
     number: dict[str, int]
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
@@ -52,23 +53,29 @@ class Terms:
     def __getstate__(self) -> dict:
         return {"number": self.number, "memo": {}}
 
-    def counts(self, text: str) -> dict[int, int]:
-        """How often each kept term is in the text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        out: dict[int, int] = {}
-        memo = self.memo
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, rising, and how often each is in it."""
+        memo, ids, times = self.memo, [], []
+        if len(memo) > MEMO:
+            memo.clear()
         for word, n in Counter(words(text)).items():
             found = memo.get(word)
             if found is None:
                 found = memo[word] = tuple(self.number[t] for t in word_terms(word) if t in self.number)
-            for t in found:
-                out[t] = out.get(t, 0) + n
-        return out
+            ids += found
+            times += (n,) * len(found)
+        t, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return t, np.bincount(at, times, len(t)) if len(t) else np.zeros(0)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run of n, one run after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
-    """Unit vectors of examples by term: postings cut into blocks of examples, with each block's largest weight."""
+    """Unit vectors of examples by term. A cell is what a term has in a block of examples: its postings and the largest of their weights."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
@@ -77,30 +84,34 @@ class Index:
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         example = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        cell = term[order] * self.blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Inner products with the examples of some blocks, 0 elsewhere: the postings of all terms in these blocks, summed at once."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        first, n = self.start[cells], self.start[cells + 1] - self.start[cells]
-        ends = np.cumsum(n)
-        at = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
-        return np.bincount(self.example[at], np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[at], self.n)
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        cell, start = np.unique(term[order] * max(self.blocks, 1) + self.example // BLOCK, return_index=True)
+        self.start = np.append(start, len(order))
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.block = (cell % max(self.blocks, 1)).astype(np.int32)
+        self.first = np.searchsorted(cell, np.arange(n_terms + 1) * max(self.blocks, 1))
+
+    def _scores(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Inner products with the examples of some cells, 0 elsewhere."""
+        n = self.start[cells + 1] - self.start[cells]
+        at = _spread(self.start[cells], n)
+        return np.bincount(self.example[at], np.repeat(weights, n) * self.weight[at], self.n)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, largest first, ties to the smaller number: exact. Blocks are read a few at a time,
         twice as many each time, until the next bound is below the k-th cosine."""
-        bound = weights @ self.most[terms]
+        n = self.first[terms + 1] - self.first[terms]
+        cells, weights = _spread(self.first[terms], n), np.repeat(weights, n)
+        block = self.block[cells]
+        bound = np.bincount(block, weights * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best_n, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
+        best_n, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while done < len(order) and (len(best_n) < k or bound[order[done]] >= best_s[-1] - 1e-12):
-            score = self._scores(terms, weights, order[done : done + step])
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[done : done + step]] = True
+            own = chosen[block]
+            score = self._scores(cells[own], weights[own])
             if without >= 0:
                 score[without] = 0
             hits = np.flatnonzero(score > (best_s[-1] - 1e-12 if len(best_n) == k else 0))
@@ -114,7 +125,7 @@ class Index:
 @dataclass
 class Model:
     terms: Terms
-    idf: np.ndarray
+    rarity: np.ndarray  # of each term in all documents, times how telling it is
     index: Index
     ids: np.ndarray
     labels: np.ndarray
@@ -123,9 +134,8 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[x] for x in t.tolist()])) * self.idf[t] if len(t) else np.zeros(0)
+    def vector(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.rarity[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
     def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -170,61 +180,58 @@ def _term_rows(sample: DataFrame) -> DataFrame:
     return sample.select("text", "label").mapInArrow(run, "term string, label int")
 
 
-def choose_terms(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
-    """The terms whose shares in the two labels differ most surely; at most ``TERMS``."""
+def weigh_terms(sample: DataFrame, sizes: dict[int, int]) -> tuple[list[str], np.ndarray]:
+    """All terms of the sample, and how telling each is, from LEAST to 1: z * z / (z * z + TELLING * TELLING) for labels whose shares differ by z standard errors."""
     n0, n1 = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
     seen = _term_rows(sample).groupBy("term").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     p = (F.col("n1") + F.col("n0")) / (n0 + n1)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-9)
-    kept = seen.filter(F.col("n1") + F.col("n0") >= SUPPORT).select("term", F.abs(z).alias("z")).filter(F.col("z") >= TELLING)
-    return [r.term for r in kept.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
+    rows = seen.select("term", (z * z).alias("zz")).toArrow()
+    order = np.argsort(rows["term"].to_numpy(), kind="stable")
+    zz = rows["zz"].to_numpy()[order]
+    return rows["term"].take(pa.array(order)).to_pylist(), np.maximum(zz / (zz + TELLING * TELLING), LEAST)
 
 
 def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """In how many of all documents each kept term is, and the number of documents; tasks send sums of their batches."""
+    """In how many of all documents each term is, and the number of documents; tasks send one row of sums each."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(terms.number), np.int64), 0
+        own = shared.value
+        total, n = np.zeros(len(own.number), np.int64), 0
         for batch in batches:
             for text in batch["text"].to_pylist():
-                total[list(terms.counts(text))] += 1
+                total[own.counts(text)[0]] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(total))], pa.int32()), pa.array([n, *total.tolist()], pa.int64())], ["term", "n"])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *met.tolist()], pa.int32()), pa.array([n, *total[met].tolist()], pa.int64())], ["term", "n"])
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
     out = np.zeros(len(terms.number), np.int64)
-    total = 0
-    for r in rows:
-        if r.term < 0:
-            total = int(r.n)
-        else:
-            out[r.term] = r.n
-    return out, total
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per_label: int = PER_LABEL) -> Model:
-    """A model of at most ``per_label`` examples of each label and ``TERMS`` terms: these bounds hold at any size of the input, and
-    nothing larger comes to the driver. Without labels every document gets the prior 0."""
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per_label: int = PER_LABEL, longest: int = LONGEST) -> Model:
+    """A model of at most ``per_label`` examples of each label, of at most ``longest`` characters each: these bounds hold at any size of the input, and
+    nothing larger comes to the driver. Document frequencies are those of all documents. Without labels every document gets the prior 0."""
     usable = fold(F.col("doc_id"), FOLDS) != HELD_OUT if usable is None else usable
-    sample = labelled_sample(docs, labels, "toxic", usable, per_label).persist()
+    sample = labelled_sample(docs, labels, "toxic", usable, per_label).filter(F.length("text") <= longest).persist()
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     every = {r.label: r.n for r in labels.filter(F.col("toxic").isin(0, 1) & usable).groupBy(F.col("toxic").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    terms = Terms({t: k for k, t in enumerate(choose_terms(sample, sizes))})
-
-    def run(texts: list[str]) -> list[pa.Array]:
-        own = [terms.counts(t) for t in texts]
-        return [pa.array([list(c) for c in own], pa.list_(pa.int32())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))]
-
-    fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    examples = sorted(append_columns(sample, "text", run, fields).select("doc_id", "label", "terms", "counts").collect(), key=lambda r: r.doc_id)
+    names, telling = weigh_terms(sample, sizes)
+    terms = Terms({t: k for k, t in enumerate(names)})
+    examples = sorted(sample.select("doc_id", "label", "text").collect(), key=lambda r: r.doc_id)
     sample.unpersist()
     df, n = document_frequencies(docs, terms)
     total = sum(every.values())
     share = np.array([every.get(k, 0) / max(sizes.get(k, 0), 1) for k in (0, 1)])
     share = share / max(share.max(), 1e-9)
     y = np.array([r.label for r in examples], np.int64)
-    model = Model(terms, np.log((n + 1) / (df + 1)) + 1, Index([], len(df)), np.array([r.doc_id for r in examples], np.int64), y, share, every.get(1, 0) / total if total else 0.0)
-    vectors = [model.vector(dict(zip(r.terms, r.counts, strict=True))) for r in examples]
+    rarity = (np.log((n + 1) / (df + 1)) + 1) * telling
+    model = Model(terms, rarity, Index([], len(df)), np.array([r.doc_id for r in examples], np.int64), y, share, every.get(1, 0) / total if total else 0.0)
+    vectors = [model.vector(*terms.counts(r.text)) for r in examples]
     model.index = Index(vectors, len(df))
     if len(set(y.tolist())) == 2:
         votes = np.array([model.vote(*v, without=k)[0] for k, v in enumerate(vectors)])
@@ -237,14 +244,15 @@ EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.St
 
 def score_documents(docs: DataFrame, model: Model, *, text: str = "text", name: str = "toxicity", evidence: str = "evidence") -> DataFrame:
     """``docs`` with the toxicity of each whole text, 0 to 1, and its nearest examples, after its own columns. A text without any
-    kept term, such as an empty or null one, gets the prior's score and no evidence."""
+    term of the sample, such as an empty or null one, gets the prior's score and no evidence. Repeated rows are scored alike, texts of any length whole; an empty
+    table gives no rows. Columns of ``docs`` named like the new ones go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(texts: list[str]) -> list[pa.Array]:
         m, scores, found = shared.value, [], []
         for t in texts:
-            vote, n, s = m.vote(*m.vector(m.terms.counts(t)))
+            vote, n, s = m.vote(*m.vector(*m.terms.counts(t)))
             scores.append(m.calibrated(vote))
             found.append([{"doc_id": int(m.ids[k]), "label": int(m.labels[k]), "cosine": float(c)} for k, c in zip(n[:3].tolist(), s[:3].tolist(), strict=True)])
         return [pa.array(scores, pa.float64()), pa.array(found, kind)]
@@ -253,12 +261,14 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", name:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, held_out, score, predicted, evidence``, one row per input row."""
     rows = score_documents(docs.select("doc_id", "text"), fit(docs, labels))
     predicted = F.when(F.col("toxicity") >= THRESHOLD, 1).otherwise(0)
     return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"), "evidence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not toxic, with their own columns."""
-    rows = score_documents(docs, fit(docs, labels), name="_toxicity", evidence="_evidence")
-    return rows.filter(F.col("_toxicity") < THRESHOLD).select(docs.columns)
+    """The documents that are not toxic, with their own columns, whatever their names."""
+    name, evidence = fresh(docs, "toxicity"), fresh(docs, "evidence")
+    rows = score_documents(docs, fit(docs, labels), name=name, evidence=evidence)
+    return rows.filter(F.col(name) < THRESHOLD).drop(name, evidence)
