@@ -11,20 +11,24 @@ from stripweave.llm.common import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the classifier of lines calls good. Null and empty texts, repeated rows and extra columns are as in ``quality.score_documents``."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what its nearest labelled examples call clean. Odd rows are as in ``toxicity.score_documents``."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8."""
+    """Five-word shingles, similarity 0.8; the smallest id of each group stays. Odd rows are as in ``neardup.near_duplicates``."""
     return neardup.keep_one(docs, neardup.Rule(shingle=5, percent=80))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """One row per training sequence, with its documents' ids and tokens. Odd rows are as in ``packing.pack_documents``."""
+    docs = docs.select("doc_id", "text")
+    return packing.sequences(docs, packing.pack_documents(docs))
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
