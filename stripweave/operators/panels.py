@@ -35,8 +35,9 @@ def payload_gate(content: Column, content_type: Column, width: Column, height: C
     )
 
 
-def blank(white: Column, dark: Column, std: Column, edge: Column) -> Column:
-    return ((white > 0.975) & (edge < 0.004)) | ((std < 12) & (edge < 0.003)) | ((dark < 0.012) & (edge < 0.0025))
+def blank(white: Column, ink: Column, std: Column, edge: Column) -> Column:
+    """``white`` is the share of pixels over 242, ``ink`` that under 232."""
+    return ((white > 0.975) & (edge < 0.004)) | ((std < 12) & (edge < 0.003)) | ((ink < 0.012) & (edge < 0.0025))
 
 
 def panel_gate(width: Column, height: Column, is_blank: Column, duplicate: Column) -> Column:
@@ -47,33 +48,63 @@ def panel_gate(width: Column, height: Column, is_blank: Column, duplicate: Colum
     )
 
 
-def unwanted(width: Column, height: Column, std: Column, edge: Column, position: Column, total: Column) -> Column:
-    """Site furniture by its looks: tiny, small and uniform squares, bars, and flat or busy strips among the first or last three."""
-    aspect = width / height
-    end = (position <= 3) | (position > total - 3)
-    return F.coalesce((width < 100) | (height < 100) | ((F.abs(aspect - 1) < 0.1) & (width < 300) & (std < 20)) | (aspect > 8) | (aspect < 0.08) | (end & (aspect > 3) & (edge > 0.03)) | (end & (height < 250) & (std < 15)), F.lit(False))
+def interface_borders(border_std: Column, edge: Column) -> Column:
+    """Buttons and bars: one border of high contrast, and edges all over."""
+    return (border_std > 60) & (edge > 0.15)
+
+
+def profile_card(width: Column, height: Column, centre_variance: Column, rim_variance: Column) -> Column:
+    """A small portrait: the middle half varies more than twice as much as the rim."""
+    return (height < 300) & (width <= 400) & (centre_variance > 2 * rim_variance)
+
+
+def promotional(mean: Column, std: Column, light_share: Column) -> Column:
+    """Nearly white or black without contrast, or of one colour: ``light_share`` is the share of pixels over the threshold that parts them best."""
+    return (((mean > 240) | (mean < 30)) & (std < 50)) | (light_share > 0.8) | (1 - light_share > 0.8)
+
+
+def unwanted(stats: dict[str, Column], position: Column, total: Column) -> Column:
+    """Site furniture by its looks: tiny, small uniform squares, bars, interface parts among the first or last three (``position`` from 0), portraits and
+    promotion. ``stats`` has the columns width, height, uniformity, edge, border_std, centre_variance, rim_variance, mean, std and light_share."""
+    c, aspect = stats, stats["height"] / stats["width"]
+    square = (aspect >= 0.8) & (aspect <= 1.25) & (c["height"] < 200) & (c["uniformity"] > 0.4)
+    end = ((position < 3) | (position >= total - 3)) & interface_borders(c["border_std"], c["edge"])
+    small = (c["width"] < 80) | (c["height"] < 80)
+    card = profile_card(c["width"], c["height"], c["centre_variance"], c["rim_variance"])
+    return F.coalesce(small | square | (aspect < 0.08) | (aspect > 15) | end | card | promotional(c["mean"], c["std"], c["light_share"]), F.lit(False))
 
 
 def cut(width: Column, height: Column, borders: Sequence[Column]) -> Column:
-    """Cut off on all sides: an aspect out of range, or four dark borders."""
-    aspect, dark = width / height, F.lit(True)
+    """Cut off on all sides: height to width out of range, or four dark borders."""
+    aspect, dark = height / width, F.lit(True)
     for b in borders:
         dark = dark & (b > 0.4)
     return (aspect < 0.05) | (aspect > 25) | dark
 
 
-def panel_class(width: Column, height: Column, mean: Column, white: Column, dark: Column, edge: Column) -> Column:
-    """panel, bubble, black, strip, fragment or other: the first rule that fits."""
-    aspect, area = width / height, width * height
+def panel_class(width: Column, height: Column, white: Column, black: Column, edge: Column, variance: Column) -> Column:
+    """panel, bubble, black, strip, fragment or other: the first of seven rules that fits. ``white`` is the share of pixels over 240, ``black`` that under 15."""
+    aspect = height / width
     return (
-        F.when((area > 400_000) & (edge > 0.02), "panel").when((white > 0.7) & (area < 250_000), "bubble").when((dark > 0.85) | (mean < 20), "black")
-        .when((aspect > 4) | (aspect < 0.2), "strip").when(area < 40_000, "fragment").when(area > 120_000, "panel").otherwise("other")
+        F.when((height > 200) & (width > 200) & (aspect > 0.3) & (aspect < 3) & (edge > 0.02) & (variance > 200), "panel")
+        .when(((height < 200) | (width < 200)) & (white > 0.5) & (edge > 0.01), "bubble")
+        .when((black > 0.5) & (height > 100) & (width > 100), "black")
+        .when((aspect < 0.3) | (aspect > 4), F.when((height > 300) | (width > 300), "strip").otherwise("fragment"))
+        .when((height < 100) | (width < 100) | (variance < 100) | (edge < 0.005), "fragment")
+        .when((height > 100) & (width > 100) & (aspect > 0.2) & (aspect < 5) & (variance > 150), "panel")
+        .otherwise("other")
     )
 
 
-def scene_label(mean: Column, dark: Column, edge: Column) -> Column:
-    is_dark = (dark > 0.38) | (mean < 96)
-    return F.when(is_dark, "night_or_black_background").when(edge > 0.04, "action_or_high_detail").when(mean > 185, "bright_dialogue").otherwise("mixed_scene")
+def scene_is_dark(mean: Column, dark: Column) -> Column:
+    """``dark`` is the share of pixels under 70."""
+    return (dark > 0.38) | (mean < 96)
+
+
+def scene_label(mean: Column, dark: Column, light: Column, edge: Column) -> Column:
+    """``light`` is the share of pixels over 210."""
+    night = scene_is_dark(mean, dark) & (light < 0.2)
+    return F.when(night, "night_or_black_background").when(edge > 0.12, "action_or_high_detail").when(light > 0.55, "bright_dialogue").otherwise("mixed_scene")
 
 
 def scene_type(mean: Column, dark: Column) -> Column:
@@ -85,8 +116,11 @@ def box_style(mean: Column, dark: Column, light: Column, scene_dark: Column) ->
 
 
 def scene_reject(bubble_share: Column, cut_bubbles: Column, density: Column, quality: Column, coverage: Column) -> Column:
-    """Five rules by which a scene is not shown."""
-    return (bubble_share > 0.45) | (cut_bubbles >= 2) | ((density < 0.004) & (quality < 0.3)) | ((coverage < 0.3) & (bubble_share > 0.25)) | (coverage < 0.12)
+    """Five rules by which a scene is mostly dialogue, or shows too little, and is not used."""
+    return (
+        ((cut_bubbles > 0) & (bubble_share > 0.3) & (density < 0.46)) | ((bubble_share > 0.38) & (density < 0.36)) | ((bubble_share > 0.48) & (density < 0.24))
+        | ((bubble_share > 0.68) & (coverage < 0.86)) | ((quality < 0.24) & (coverage < 0.3))
+    )
 
 
 def format_detect(width: Column, height: Column, forced: Column | None = None) -> Column:
@@ -94,12 +128,17 @@ def format_detect(width: Column, height: Column, forced: Column | None = None) -
     return found if forced is None else F.coalesce(forced, found)
 
 
-def bubble_candidate(x: Column, y: Column, w: Column, h: Column, fill: Column, page_width: Column, page_height: Column) -> Column:
-    """Confidence of a bright or dark region as a speech bubble; null where its size, place or fill speak against it."""
-    large = (w > 0.6 * page_width) & ((x <= 1) | (x + w >= page_width - 1))
+def bubble_candidate(box: dict[str, Column], page_width: Column, page_height: Column) -> Column:
+    """Confidence of a bright or dark region as a speech bubble; null where its size, place, fill or texture speak against it. ``box`` has the columns x, y, w, h,
+    area (pixels of the region), edge (share of edge pixels in the box) and std."""
+    x, y, w, h, area = (box[c] for c in ("x", "y", "w", "h", "area"))
+    touches = (x <= 2) | (y <= 2) | (x + w >= page_width - 2)
     size = (w >= 0.1 * page_width) & (w <= 0.94 * page_width) & (h >= 24) & (h <= F.least(F.lit(560.0), 0.3 * page_height))
-    ok = size & ~large & (fill * w * h >= F.greatest(F.lit(260.0), 0.1 * w * h)) & (fill >= 0.2)
-    return F.when(ok, F.least(F.lit(0.98), 0.35 + 0.5 * fill + 0.15 * F.least(F.lit(1.0), w * h / 40_000)))
+    place = ~(touches & (w > 0.44 * page_width) & (h > 0.22 * page_height))
+    fill = area / F.greatest(F.lit(1), w * h)
+    solid = (area >= F.greatest(F.lit(260), F.floor(0.1 * page_width * h))) & (fill >= 0.2)
+    texture = (box["edge"] >= 0.0025) | (box["std"] >= 10)
+    return F.when(size & place & solid & texture, F.round(F.least(F.lit(0.98), 0.4 + 0.35 * fill + 3 * box["edge"]), 3))
 
 
 def ocr_threshold(threshold: float) -> float:

@@ -151,14 +151,25 @@ def pixel_row_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.row_profiles(_pictures(spark, sf_dir)).select("path", "y", F.round("row_mean", 6).alias("row_mean"))
 
 
-@query("pixel_panel_stats", f"SELECT 'x/c' || (vec_id % 10) || '/page-' || vec_id || '.png' AS path, round(list_avg(g), 6) AS mean, round(len(list_filter(g, lambda v: v < 80)) / 64, 9) AS dark_ratio FROM (SELECT vec_id, {GREYS} AS g FROM embeddings) e")
+SHARES_SQL = ", ".join(f"round(len(list_filter(g, lambda v: v {'>' if sign > 0 else '<'} {level})) / 64, 9) AS {name}" for name, (level, sign) in X.SHARES.items())
+
+
+@query("pixel_panel_stats", f"SELECT 'x/c' || (vec_id % 10) || '/page-' || vec_id || '.png' AS path, round(list_avg(g), 6) AS mean, round(list_stddev_pop(g), 6) AS std, {SHARES_SQL} FROM (SELECT vec_id, {GREYS} AS g FROM embeddings) e")
 def pixel_panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.panel_stats(_pictures(spark, sf_dir)).select("path", F.round("mean", 6).alias("mean"), F.round("dark_ratio", 9).alias("dark_ratio"))
+    return X.panel_stats(_pictures(spark, sf_dir)).select("path", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *(F.round(c, 9).alias(c) for c in X.SHARES))
+
+
+def _dct_sql() -> str:
+    """All 64 coefficients, from the pictures' pixels: the n-th of a row is in its column, every fourth row is the same."""
+    wave = "sqrt(CASE {u} WHEN 0 THEN 1.0 ELSE 2.0 END / 16) * cos(pi() * (2 * {x} + 1) * {u} / 32)"
+    return f"""SELECT path, u, v, round(sum(g[(y % 4) * 16 + x + 1] * {wave.format(u='u', x='y')} * {wave.format(u='v', x='x')}), 6) AS value
+FROM (SELECT 'x/c' || (vec_id % 10) || '/page-' || vec_id || '.png' AS path, {GREYS} AS g FROM embeddings) e, (SELECT unnest(range(16)) AS x), (SELECT unnest(range(16)) AS y), (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS v) GROUP BY ALL"""
 
 
-@query("dct8", f"SELECT 'x/c' || (vec_id % 10) || '/page-' || vec_id || '.png' AS path, round(list_avg(g) * 16, 6) AS dc FROM (SELECT vec_id, {GREYS} AS g FROM embeddings) e")
+@query("dct8", _dct_sql())
 def dct8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.panel_stats(_pictures(spark, sf_dir)).select("path", F.round(F.get(X.dct8(C("grid16")), F.lit(0)), 6).alias("dc"))
+    rows = X.panel_stats(_pictures(spark, sf_dir)).select("path", F.posexplode(X.dct8(C("grid16"))).alias("k", "value"))
+    return rows.select("path", F.floor(C("k") / 8).alias("u"), (C("k") % 8).cast("long").alias("v"), F.round("value", 6).alias("value"))
 
 
 @query("page_cleaning")
@@ -175,7 +186,7 @@ def subscene_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stitch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     sections = rows.select("strip_id", "seq", "height").distinct()
-    return S.stitch_plan(sections, seam_overlaps(rows))[0]
+    return S.stitch_manifest(S.stitch_plan(sections, seam_overlaps(rows, most=12, least=2, step=2)))
 
 
 @query("greedy_fold")

@@ -19,10 +19,10 @@ ID = ["panel_id"]
 
 
 def _blank() -> Column:
-    return O.blank(C("white_ratio"), C("dark_ratio"), C("std"), C("edge_ratio"))
+    return O.blank(C("white_ratio"), C("ink_ratio"), C("std"), C("edge_ratio"))
 
 
-BLANK_SQL = "(white_ratio > 0.975 AND edge_ratio < 0.004) OR (std < 12 AND edge_ratio < 0.003) OR (dark_ratio < 0.012 AND edge_ratio < 0.0025)"
+BLANK_SQL = "(white_ratio > 0.975 AND edge_ratio < 0.004) OR (std < 12 AND edge_ratio < 0.003) OR (ink_ratio < 0.012 AND edge_ratio < 0.0025)"
 
 
 def _panel(name: str, columns: Callable[[], dict[str, Column]], sql: str, source: str = "panels") -> None:
@@ -30,13 +30,17 @@ def _panel(name: str, columns: Callable[[], dict[str, Column]], sql: str, source
 
 
 _panel("blank_panel", lambda: {"blank": _blank()}, f"({BLANK_SQL}) AS blank")
-_panel("cut_panel", lambda: {"cut": O.cut(C("width"), C("height"), [C(f"b{k}") for k in range(4)])}, "width / height < 0.05 OR width / height > 25 OR (b0 > 0.4 AND b1 > 0.4 AND b2 > 0.4 AND b3 > 0.4) AS cut")
-_panel("panel_class", lambda: {"kind": O.panel_class(C("width"), C("height"), C("mean"), C("white_ratio"), C("dark_ratio"), C("edge_ratio"))},
-    "CASE WHEN width * height > 400000 AND edge_ratio > 0.02 THEN 'panel' WHEN white_ratio > 0.7 AND width * height < 250000 THEN 'bubble' WHEN dark_ratio > 0.85 OR mean < 20 THEN 'black' WHEN width / height > 4 OR width / height < 0.2 THEN 'strip' WHEN width * height < 40000 THEN 'fragment' WHEN width * height > 120000 THEN 'panel' ELSE 'other' END AS kind")
-_panel("scene_label", lambda: {"label": O.scene_label(C("mean"), C("dark_ratio"), C("edge_ratio"))}, "CASE WHEN dark_ratio > 0.38 OR mean < 96 THEN 'night_or_black_background' WHEN edge_ratio > 0.04 THEN 'action_or_high_detail' WHEN mean > 185 THEN 'bright_dialogue' ELSE 'mixed_scene' END AS label")
+_panel("cut_panel", lambda: {"cut": O.cut(C("width"), C("height"), [C(f"b{k}") for k in range(4)])}, "height / width < 0.05 OR height / width > 25 OR (b0 > 0.4 AND b1 > 0.4 AND b2 > 0.4 AND b3 > 0.4) AS cut")
+_panel("panel_class", lambda: {"kind": O.panel_class(C("width"), C("height"), C("bright_ratio"), C("black_ratio"), C("edge_ratio"), C("std") * C("std"))},
+    """CASE WHEN height > 200 AND width > 200 AND height / width > 0.3 AND height / width < 3 AND edge_ratio > 0.02 AND std * std > 200 THEN 'panel' WHEN (height < 200 OR width < 200) AND bright_ratio > 0.5 AND edge_ratio > 0.01 THEN 'bubble'
+    WHEN black_ratio > 0.5 AND height > 100 AND width > 100 THEN 'black' WHEN height / width < 0.3 OR height / width > 4 THEN CASE WHEN height > 300 OR width > 300 THEN 'strip' ELSE 'fragment' END
+    WHEN height < 100 OR width < 100 OR std * std < 100 OR edge_ratio < 0.005 THEN 'fragment' WHEN height > 100 AND width > 100 AND height / width > 0.2 AND height / width < 5 AND std * std > 150 THEN 'panel' ELSE 'other' END AS kind""")
+_panel("scene_label", lambda: {"label": O.scene_label(C("mean"), C("dark_ratio"), C("light_ratio"), C("edge_ratio"))},
+    "CASE WHEN (dark_ratio > 0.38 OR mean < 96) AND light_ratio < 0.2 THEN 'night_or_black_background' WHEN edge_ratio > 0.12 THEN 'action_or_high_detail' WHEN light_ratio > 0.55 THEN 'bright_dialogue' ELSE 'mixed_scene' END AS label")
 _panel("scene_type", lambda: {"kind": O.scene_type(C("mean"), C("dark_ratio"))}, "CASE WHEN mean < 96 OR dark_ratio > 0.52 THEN 'night' WHEN mean > 188 AND dark_ratio < 0.2 THEN 'bright' ELSE 'mixed' END AS kind")
 _panel("box_style", lambda: {"style": O.box_style(C("mean"), C("dark_ratio"), C("light_ratio"), C("mean") < 96)}, "CASE WHEN mean > 185 AND light_ratio > 0.35 THEN 'light_bubble' WHEN mean < 96 AND dark_ratio > 0.45 THEN 'dark_caption' WHEN dark_ratio > 0.35 AND light_ratio > 0.2 THEN 'high_contrast_bubble' ELSE 'mixed' END AS style")
-_panel("scene_reject", lambda: {"reject": O.scene_reject(C("b0"), C("seq") % 4, C("edge_ratio"), C("b1"), C("b2"))}, "b0 > 0.45 OR seq % 4 >= 2 OR (edge_ratio < 0.004 AND b1 < 0.3) OR (b2 < 0.3 AND b0 > 0.25) OR b2 < 0.12 AS reject")
+_panel("scene_reject", lambda: {"reject": O.scene_reject(C("b0"), C("seq") % 4, C("b3"), C("b1"), C("b2"))},
+    "(seq % 4 > 0 AND b0 > 0.3 AND b3 < 0.46) OR (b0 > 0.38 AND b3 < 0.36) OR (b0 > 0.48 AND b3 < 0.24) OR (b0 > 0.68 AND b2 < 0.86) OR (b1 < 0.24 AND b2 < 0.3) AS reject")
 
 
 def _frame() -> Column:
@@ -46,27 +50,49 @@ def _frame() -> Column:
 _panel("shape_family", lambda: {"family": _frame()["name"], **dict(zip(("fit_w", "fit_h", "pad_x", "pad_y"), G.contain(C("width"), C("height"), _frame()), strict=True))},
     "family, greatest(1, floor(width * s + 0.5))::INT AS fit_w, greatest(1, floor(height * s + 0.5))::INT AS fit_h, floor((fw - greatest(1, floor(width * s + 0.5))) / 2)::INT AS pad_x, floor((fh - greatest(1, floor(height * s + 0.5))) / 2)::INT AS pad_y", "(SELECT *, least(fw / width, fh / height) AS s FROM (SELECT *, CASE WHEN r <= 0.72 THEN 'landscape' WHEN r <= 1.12 THEN 'square' ELSE 'portrait' END AS family, CASE WHEN r <= 0.72 THEN 1600 ELSE 1080 END AS fw, CASE WHEN r <= 0.72 THEN 900 WHEN r <= 1.12 THEN 1080 ELSE 1350 END AS fh FROM (SELECT *, height / width AS r FROM panels) p) q) r")
 _panel("format_detect", lambda: {"format": O.format_detect(C("width"), C("height")), "forced": O.format_detect(C("width"), C("height"), F.when(C("seq") % 5 == 0, "manga"))}, "CASE WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS format, CASE WHEN seq % 5 = 0 THEN 'manga' WHEN height / width > 2.5 THEN 'webtoon' ELSE 'manga' END AS forced")
-_panel("fit_scale", lambda: {"h": G.fit_scale(C("width"), C("height"), 1200)[1]}, "greatest(1, floor(height * 1200 / width + 0.5))::INT AS h")
+_panel("fit_scale", lambda: {"h": G.fit_scale(C("width"), C("height"), 1200)[1], **dict(zip(("page_w", "page_h", "longest"), G.optimal_width(C("width"), C("height"), 700), strict=True))},
+    "greatest(1, floor(height * 1200 / width + 0.5))::INT AS h, 700 AS page_w, CASE WHEN width = 700 THEN height ELSE floor(height * (700 / width))::INT END AS page_h, greatest(700, CASE WHEN width = 700 THEN height ELSE floor(height * (700 / width))::INT END) AS longest")
 _panel("rotate_hint", lambda: {"rotate": G.rotate_hint(C("width"), C("height"))}, "width > height * 1.5 AS rotate")
-_panel("bubble_candidate_filter", lambda: {"confidence": F.round(O.bubble_candidate(C("b0") * 100, C("b1") * 100, C("width") / 2, C("height") / 12, C("light_ratio"), C("width"), C("height")), 10)},
-    "CASE WHEN w >= 0.1 * width AND w <= 0.94 * width AND h >= 24 AND h <= least(560.0, 0.3 * height) AND NOT (w > 0.6 * width AND (b0 * 100 <= 1 OR b0 * 100 + w >= width - 1)) AND light_ratio * w * h >= greatest(260.0, 0.1 * w * h) AND light_ratio >= 0.2 THEN round(least(0.98, 0.35 + 0.5 * light_ratio + 0.15 * least(1.0, w * h / 40000)), 10) END AS confidence", "(SELECT *, width / 2 AS w, height / 12 AS h FROM panels) p")
+def _box() -> dict[str, Column]:
+    w, h = F.floor(C("width") * C("b2")), F.floor(C("height") * C("b3") / 2)
+    return {"x": F.floor(C("b0") * 100), "y": F.floor(C("b1") * 100), "w": w, "h": h, "area": F.floor(w * h * C("light_ratio")), "edge": C("edge_ratio"), "std": C("std")}
+
+
+_panel("bubble_candidate_filter", lambda: {"confidence": O.bubble_candidate(_box(), C("width"), C("height"))},
+    """CASE WHEN w >= 0.1 * width AND w <= 0.94 * width AND h >= 24 AND h <= least(560.0, 0.3 * height) AND NOT ((x <= 2 OR y <= 2 OR x + w >= width - 2) AND w > 0.44 * width AND h > 0.22 * height)
+    AND area >= greatest(260, floor(0.1 * width * h)) AND area / greatest(1, w * h) >= 0.2 AND (edge_ratio >= 0.0025 OR std >= 10) THEN round(least(0.98, 0.4 + 0.35 * (area / greatest(1, w * h)) + 3 * edge_ratio), 3) END AS confidence""",
+    "(SELECT *, floor(w * h * light_ratio) AS area FROM (SELECT *, floor(b0 * 100) AS x, floor(b1 * 100) AS y, floor(width * b2) AS w, floor(height * b3 / 2) AS h FROM panels) p) q")
 _panel("ocr_conf_filter_legacy", lambda: {"ok": O.engine_confidence_ok(F.element_at(F.array(F.lit("words"), F.lit("second"), F.lit("structured")), (C("seq") % 3 + 1).cast("int")), F.when(C("seq") % 3 == 0, C("b0") * 100).otherwise(C("b0")))}, "CASE seq % 3 WHEN 0 THEN b0 * 100 > 60 WHEN 1 THEN b0 > 0.5 ELSE b0 >= 0.35 END AS ok")
 
-GATE_SQL = f"CASE WHEN height < 140 OR width < 200 THEN 'too_small' WHEN width / height > 8 OR height / width > 12 THEN 'extreme_shape' WHEN {BLANK_SQL} THEN 'blank' WHEN panel_id % 17 = 0 THEN 'duplicate' END"
-_panel("panel_gate", lambda: {"reason": O.panel_gate(C("width"), C("height"), _blank(), C("panel_id") % 17 == 0)}, f"{GATE_SQL} AS reason")
+#: A panel is a copy if an earlier one of its chapter looks the same.
+SEEN_SQL = "seen AS (SELECT *, row_number() OVER (PARTITION BY chapter, look ORDER BY seq) > 1 AS copy FROM panels)"
+GATE_SQL = f"CASE WHEN height < 140 OR width < 200 THEN 'too_small' WHEN width / height > 8 OR height / width > 12 THEN 'extreme_shape' WHEN {BLANK_SQL} THEN 'blank' WHEN copy THEN 'duplicate' END"
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feed(spark, sf_dir, "panels")
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("chapter", "look").orderBy("seq")) > 1)
+
+
+@query("panel_gate", with_feeds(f"WITH {SEEN_SQL} SELECT panel_id, {GATE_SQL} AS reason FROM seen", "panels"))
+def panel_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(spark, sf_dir).select("panel_id", O.panel_gate(C("width"), C("height"), _blank(), C("copy")).alias("reason"))
 
 
-@query("unwanted_panel", with_feeds("SELECT panel_id, width < 100 OR height < 100 OR (abs(width / height - 1) < 0.1 AND width < 300 AND std < 20) OR width / height > 8 OR width / height < 0.08 OR (e AND width / height > 3 AND edge_ratio > 0.03) OR (e AND height < 250 AND std < 15) AS unwanted FROM (SELECT *, r <= 3 OR r > n - 3 AS e FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS r, count(*) OVER (PARTITION BY chapter) AS n FROM panels) p) q", "panels"))
+@query("unwanted_panel", with_feeds("""SELECT panel_id, width < 80 OR height < 80 OR (height / width >= 0.8 AND height / width <= 1.25 AND height < 200 AND uniformity > 0.4) OR height / width < 0.08 OR height / width > 15
+    OR ((r < 3 OR r >= n - 3) AND border_std > 60 AND edge_ratio > 0.15) OR (height < 300 AND width <= 400 AND centre_variance > 2 * rim_variance) OR ((mean > 240 OR mean < 30) AND std < 50) OR light_share > 0.8 OR 1 - light_share > 0.8 AS unwanted
+    FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) - 1 AS r, count(*) OVER (PARTITION BY chapter) AS n FROM panels) p""", "panels"))
 def unwanted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS r, count(*) OVER (PARTITION BY chapter) AS n FROM {p}", p=feed(spark, sf_dir, "panels"))
-    return rows.select("panel_id", O.unwanted(C("width"), C("height"), C("std"), C("edge_ratio"), C("r"), C("n")).alias("unwanted"))
+    rows = spark.sql("SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) - 1 AS r, count(*) OVER (PARTITION BY chapter) AS n FROM {p}", p=feed(spark, sf_dir, "panels"))
+    stats = {c: C(c) for c in ("width", "height", "uniformity", "border_std", "centre_variance", "rim_variance", "mean", "std", "light_share")} | {"edge": C("edge_ratio")}
+    return rows.select("panel_id", O.unwanted(stats, C("r"), C("n")).alias("unwanted"))
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed(spark, sf_dir, "panels").withColumn("reason", F.coalesce(O.panel_gate(C("width"), C("height"), _blank(), C("panel_id") % 17 == 0), F.lit("kept")))
+    return _seen(spark, sf_dir).withColumn("reason", F.coalesce(O.panel_gate(C("width"), C("height"), _blank(), C("copy")), F.lit("kept")))
 
 
-GATED = f"gated AS (SELECT *, coalesce({GATE_SQL}, 'kept') AS reason FROM panels)"
+GATED = f"{SEEN_SQL}, gated AS (SELECT *, coalesce({GATE_SQL}, 'kept') AS reason FROM seen)"
 
 
 @query("validation_counts", with_feeds(f"WITH {GATED} SELECT chapter, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'extreme_shape') AS extreme_shape, count(*) FILTER (reason = 'blank') AS blank, count(*) FILTER (reason = 'duplicate') AS duplicate, count(*) FILTER (reason = 'kept') AS kept, round(count(*) FILTER (reason = 'kept') * 100.0 / count(*), 4) AS retention FROM gated GROUP BY 1", "panels"))

@@ -41,9 +41,11 @@ FEEDS = {
     "chapters": ("documents", "SELECT source AS series, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS chapter, doc_id, text FROM documents"),
     "panels": (
         "part",
-        "SELECT p_partkey AS panel_id, concat('c', CAST(p_partkey % 40 AS STRING)) AS chapter, CAST(p_partkey AS INT) AS seq, CAST(100 + (p_partkey * 37) % 1500 AS INT) AS width, CAST(80 + (p_partkey * 91) % 4000 AS INT) AS height, "
+        "SELECT p_partkey AS panel_id, concat('c', CAST(p_partkey % 40 AS STRING)) AS chapter, CAST(p_partkey AS INT) AS seq, CAST(60 + (p_partkey * 37) % 1500 AS INT) AS width, CAST(50 + (p_partkey * 91) % (CASE p_partkey % 3 WHEN 0 THEN 4000 WHEN 1 THEN 900 ELSE 300 END) AS INT) AS height, "
         "CAST((p_partkey * 17) % 256 AS DOUBLE) AS mean, CAST((p_partkey * 7) % 90 AS DOUBLE) AS std, CAST((p_partkey * 13) % 101 AS DOUBLE) / 100 AS white_ratio, CAST((p_partkey * 29) % 101 AS DOUBLE) / 100 AS dark_ratio, "
-        "CAST((p_partkey * 31) % 101 AS DOUBLE) / 100 AS light_ratio, CAST((p_partkey * 11) % 60 AS DOUBLE) / 1000 AS edge_ratio, CAST((p_partkey * 23) % 101 AS DOUBLE) / 100 AS b0, CAST((p_partkey * 41) % 101 AS DOUBLE) / 100 AS b1, "
+        "CAST((p_partkey * 31) % 101 AS DOUBLE) / 100 AS light_ratio, CAST((p_partkey * 11) % (CASE p_partkey % 4 WHEN 0 THEN 8 ELSE 200 END) AS DOUBLE) / 1000 AS edge_ratio, CAST((p_partkey * 23) % 101 AS DOUBLE) / 100 AS b0, CAST((p_partkey * 41) % 101 AS DOUBLE) / 100 AS b1, "
+        "CAST((p_partkey * 19) % 101 AS DOUBLE) / 100 AS ink_ratio, CAST((p_partkey * 59) % 101 AS DOUBLE) / 100 AS bright_ratio, CAST((p_partkey * 61) % 101 AS DOUBLE) / 100 AS black_ratio, CAST((p_partkey * 67) % 101 AS DOUBLE) / 100 AS uniformity, "
+        "CAST((p_partkey * 53) % 100 AS DOUBLE) AS border_std, CAST((p_partkey * 71) % 1000 AS DOUBLE) AS centre_variance, CAST((p_partkey * 73) % 700 AS DOUBLE) AS rim_variance, CAST((p_partkey * 79) % 101 AS DOUBLE) / 100 AS light_share, (p_partkey * 83) % 131 AS look, "
         "CAST((p_partkey * 43) % 101 AS DOUBLE) / 100 AS b2, CAST((p_partkey * 47) % 101 AS DOUBLE) / 100 AS b3 FROM part",
     ),
     "hour_sums": (
@@ -53,8 +55,16 @@ FEEDS = {
 }
 
 ROW_COLUMNS = (
-    "CASE WHEN n IS NULL THEN 250.0E0 ELSE CAST(v % 200 AS DOUBLE) END AS row_mean, CASE WHEN n IS NULL THEN 2.0E0 ELSE CAST((n * 13 + v) % 60 AS DOUBLE) END AS row_std, "
-    "CASE WHEN n IS NULL THEN 0.001E0 ELSE CAST(v % 64 AS DOUBLE) / 512 END AS edge_density, CASE WHEN n IS NULL THEN 0.01E0 ELSE CAST(v % 32 AS DOUBLE) / 128 END AS foreground, CASE WHEN n IS NULL THEN 3.0E0 ELSE CAST(v % 256 AS DOUBLE) END AS saturation"
+    "CASE WHEN n IS NULL THEN 250.0E0 ELSE CAST(v % 200 AS DOUBLE) END AS row_mean, "
+    "CASE WHEN n IS NULL THEN 2.0E0 ELSE CAST((n * 13 + v) % 60 AS DOUBLE) END AS row_std, "
+    "CASE WHEN n IS NULL THEN 0.001E0 ELSE CAST(v % 64 AS DOUBLE) / 512 END AS edge_density, "
+    "CASE WHEN n IS NULL THEN 0.01E0 ELSE CAST(v % 32 AS DOUBLE) / 128 END AS foreground, "
+    "CASE WHEN n IS NULL THEN 0.01E0 ELSE CAST(v % 256 AS DOUBLE) / 256 END AS saturation, "
+    "CASE WHEN n IS NULL THEN 0.01E0 ELSE CAST((v * 7) % 64 AS DOUBLE) / 64 END AS energy, "
+    "CASE WHEN n IS NULL THEN 0.5E0 ELSE CAST((v * 11) % 128 AS DOUBLE) / 128 END AS focus, "
+    "CASE WHEN n IS NULL THEN 1.0E0 ELSE CAST((v * 5) % 64 AS DOUBLE) / 64 END AS white, "
+    "CASE WHEN n IS NULL THEN 0.0E0 ELSE CAST((v * 3) % 64 AS DOUBLE) / 64 END AS ink, "
+    "CASE WHEN n IS NULL THEN 0.0E0 ELSE CAST((v * 13) % 64 AS DOUBLE) / 64 END AS dark"
 )
 #: Row profiles: each user is a strip, each hour of the month a row; hours without events are blank paper.
 ROWS_SPARK = f"SELECT s.strip_id, s.y, {ROW_COLUMNS} FROM (SELECT strip_id, explode(sequence(0, 719)) AS y FROM (SELECT DISTINCT strip_id FROM hour_sums)) s LEFT JOIN hour_sums h ON s.strip_id = h.strip_id AND s.y = h.y"

@@ -72,7 +72,17 @@ def _edges(grey: np.ndarray, level: float = 60.0) -> np.ndarray:
     return np.hypot(gx, gy) > level
 
 
-ROW_PROFILE = "path string, y int, row_mean double, row_std double, edge_density double, foreground double, saturation double"
+def _saliency(grey: np.ndarray, edges: np.ndarray, saturation: np.ndarray) -> np.ndarray:
+    """What catches the eye in each pixel: fine detail, edges and strong colours."""
+    p = np.pad(grey, 1, mode="reflect" if min(grey.shape) > 1 else "edge")
+    detail = np.abs(p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * grey)
+    detail = np.clip(detail / (np.percentile(detail, 97) + 1), 0, 1)
+    return 0.55 * detail + 0.3 * edges + 0.15 * saturation[:, None]
+
+
+#: ``foreground`` is what differs from the borders, ``energy`` and ``focus`` (0 to 1) the amount and the centre of what catches the eye; ``white``, ``ink`` and ``dark`` are
+#: the shares of pixels over 242, under 232 and under 72.
+ROW_PROFILE = "path string, y int, row_mean double, row_std double, edge_density double, foreground double, saturation double, energy double, focus double, white double, ink double, dark double"
 
 
 def row_profiles(pictures: DataFrame) -> DataFrame:
@@ -84,7 +94,15 @@ def row_profiles(pictures: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 grey = _grey(r["data"], r["height"], r["width"], r["channels"])
                 colours = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])[:, :, :3].astype(float)
-                values = [grey.mean(1), grey.std(1), _edges(grey).mean(1), (grey < 235).mean(1), (colours.max(2) - colours.min(2)).mean(1)]
+                top = colours.max(2)
+                saturation = ((top - colours.min(2)) / np.maximum(top, 1)).mean(1)
+                border = max(1, min(r["width"] // 2, max(4, r["width"] // 24)))
+                rim = np.concatenate([grey[:, :border], grey[:, -border:]], axis=1).mean(1)
+                edges = _edges(grey)
+                catching = _saliency(grey, edges, saturation)
+                weight = catching.sum(1)
+                focus = np.where(weight > 1e-6, catching @ np.arange(r["width"]) / np.maximum(weight, 1e-6), r["width"] / 2) / max(1, r["width"])
+                values = [grey.mean(1), grey.std(1), edges.mean(1), (np.abs(grey - rim[:, None]) > 18).mean(1), saturation, catching.mean(1), focus, (grey > 242).mean(1), (grey < 232).mean(1), (grey < 72).mean(1)]
                 h = r["height"]
                 names = [x.split()[0] for x in ROW_PROFILE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * h), pa.array(range(h), pa.int32()), *(pa.array(v, pa.float64()) for v in values)], names)
@@ -92,7 +110,36 @@ def row_profiles(pictures: DataFrame) -> DataFrame:
     return pictures.select("path", "width", "height", "channels", "data").mapInArrow(run, ROW_PROFILE)
 
 
-PANEL_STATS = "path string, width int, height int, mean double, std double, white_ratio double, dark_ratio double, light_ratio double, edge_ratio double, border_dark array<double>, grid8 array<double>, grid16 array<double>"
+#: Shares of pixels: ``white_ratio`` over 242, ``bright_ratio`` over 240, ``light_ratio`` over 210, ``ink_ratio`` under 232, ``shade_ratio`` under 80, ``dark_ratio`` under 70, ``black_ratio``
+#: under 15; ``uniformity`` is that of the commonest grey, ``light_share`` that over the threshold which parts light from dark best. ``border_std`` is the largest deviation
+#: within a border, ``border_dark`` each border's share under 150, and ``centre_variance`` that of the middle half, ``rim_variance`` that of the four outer quarters.
+SHARES = {"white_ratio": (242, 1), "bright_ratio": (240, 1), "light_ratio": (210, 1), "ink_ratio": (232, -1), "shade_ratio": (80, -1), "dark_ratio": (70, -1), "black_ratio": (15, -1)}
+PANEL_STATS = (
+    "path string, width int, height int, mean double, std double, " + "".join(f"{c} double, " for c in SHARES)
+    + "edge_ratio double, uniformity double, light_share double, border_std double, centre_variance double, rim_variance double, border_dark array<double>, grid8 array<double>, grid16 array<double>"
+)
+
+
+def _light_share(grey: np.ndarray) -> float:
+    """The share of pixels above the grey that parts them into the two classes furthest apart, as Otsu's method does."""
+    n = np.bincount(np.clip(np.rint(grey), 0, 255).astype(int).ravel(), minlength=256).astype(float)
+    below, sums = np.cumsum(n), np.cumsum(n * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = below * above * (sums / below - (sums[-1] - sums) / above) ** 2
+    at = int(np.argmax(np.where(np.isfinite(apart), apart, -1)))
+    return float(above[at] / below[-1])
+
+
+def _borders(grey: np.ndarray, thickness: int) -> tuple[np.ndarray, ...]:
+    return grey[:thickness], grey[-thickness:], grey[:, :thickness], grey[:, -thickness:]
+
+
+def _centre_and_rim(grey: np.ndarray) -> tuple[float, float]:
+    h, w = grey.shape
+    centre = grey[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4]
+    rim = np.concatenate([x.ravel() for x in (grey[: h // 4], grey[3 * h // 4 :], grey[:, : w // 4], grey[:, 3 * w // 4 :])])
+    return (float(centre.var()), float(rim.var())) if centre.size and rim.size else (0.0, 0.0)
 
 
 def _grid(grey: np.ndarray, n: int) -> list[float]:
@@ -111,9 +158,13 @@ def panel_stats(pictures: DataFrame) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 g = _grey(r["data"], r["height"], r["width"], r["channels"])
-                borders = [float((b < 150).mean()) for b in (g[0], g[-1], g[:, 0], g[:, -1])]
-                rows.append((r["path"], r["width"], r["height"], float(g.mean()), float(g.std()), float((g > 240).mean()), float((g < 80).mean()), float((g > 210).mean()), float(_edges(g).mean()), borders, _grid(g, 8), _grid(g, 16)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 6, *[pa.list_(pa.float64())] * 3]
+                side = min(g.shape)
+                shares = [float((g > level).mean() if sign > 0 else (g < level).mean()) for level, sign in SHARES.values()]
+                uniform = float(np.bincount(np.clip(g, 0, 255).astype(int).ravel()).max() / g.size)
+                border_std = max(float(b.std()) for b in _borders(g, max(5, side // 20)))
+                borders = [float((b < 150).mean()) for b in _borders(g, max(3, side // 30))]
+                rows.append((r["path"], r["width"], r["height"], float(g.mean()), float(g.std()), *shares, float(_edges(g).mean()), uniform, _light_share(g), border_std, *_centre_and_rim(g), borders, _grid(g, 8), _grid(g, 16)))
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * (len(names) - 6), *[pa.list_(pa.float64())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
 
     return pictures.select("path", "width", "height", "channels", "data").mapInArrow(run, PANEL_STATS)
