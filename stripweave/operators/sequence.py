@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from stripweave.operators.folds import ordered_fold
+from stripweave.session import stored
 
 
 def _strip() -> WindowSpec:
@@ -56,19 +58,27 @@ def merge_close(ranges: DataFrame, gap: int = 24) -> DataFrame:
     return rows.groupBy("strip_id", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 
+def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows that lie in ranges which do not overlap, with their range's ``start`` and ``end``: each row takes the last range that began, in one pass over the strip."""
+    marks = ranges.select("strip_id", F.col("start").alias("y"), F.lit(0).alias("_kind"), F.struct("start", "end").alias("_range"))
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_range", F.last("_range", ignorenulls=True).over(_strip().orderBy("y", "_kind").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = both.filter((F.col("_kind") == 1) & (F.col("y") < F.col("_range.end")))
+    return inside.withColumns({"start": F.col("_range.start"), "end": F.col("_range.end")}).drop("_kind", "_range")
+
+
 def range_stats(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each range's pooled mean and deviation (from the rows' own means and deviations), mean edge density, share of content and bright and dark rows."""
-    inside = ranges.join(rows, "strip_id").filter((F.col("y") >= F.col("start")) & (F.col("y") < F.col("end")))
+    """Each range's pooled mean and deviation (from the rows' own means and deviations), mean edge density, share of content and of white, inked and dark pixels, and what
+    catches the eye. Ranges do not overlap."""
     mean, square = F.avg("row_mean"), F.avg(F.col("row_std") * F.col("row_std") + F.col("row_mean") * F.col("row_mean"))
-    stats = inside.groupBy("strip_id", "start", "end").agg(
+    return in_ranges(rows, ranges).groupBy("strip_id", "start", "end").agg(
         mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("contrast"), F.avg("edge_density").alias("edge"), F.avg("foreground").alias("content_ratio"),
-        F.avg((F.col("row_mean") > 240).cast("int")).alias("white_ratio"), F.avg((F.col("row_mean") < 72).cast("int")).alias("dark_ratio"),
+        F.avg("white").alias("white_ratio"), F.avg("ink").alias("ink_ratio"), F.avg("dark").alias("dark_ratio"), F.avg("energy").alias("energy"),
     )
-    return ranges.join(stats, ["strip_id", "start", "end"])
 
 
-def content_range_ok(height: Column, white: Column, dark: Column, contrast: Column, edge: Column, least: int = 140) -> Column:
-    return (height >= least) & ~(((white > 0.955) & (edge < 0.006)) | ((contrast < 14) & (edge < 0.004)) | ((dark < 0.018) & (edge < 0.0035)))
+def content_range_ok(height: Column, white: Column, ink: Column, contrast: Column, edge: Column, least: int = 140) -> Column:
+    return (height >= least) & ~(((white > 0.955) & (edge < 0.006)) | ((contrast < 14) & (edge < 0.004)) | ((ink < 0.018) & (edge < 0.0035)))
 
 
 def transition_scores(rows: DataFrame, window: int = 7, offset: int = 10, least: float = 0.16, percentile: float = 0.96, radius: int = 5) -> DataFrame:
@@ -82,28 +92,60 @@ def transition_scores(rows: DataFrame, window: int = 7, offset: int = 10, least:
     return s.filter((F.col("strength") >= F.col("_least")) & (F.col("strength") >= F.col("_top"))).select("strip_id", "y", "strength")
 
 
-#: How much a change of each feature counts towards an action beat.
-BEAT_WEIGHTS = (("row_mean", 1 / 255), ("row_std", 1 / 90), ("edge_density", 6.0), ("foreground", 1.2), ("saturation", 1 / 255))
+#: The features of an action beat, what each is divided by, and how much its change counts.
+BEATS = (("row_mean", 1 / 255, 0.55), ("row_std", 1 / 90, 0.45), ("edge_density", 7.0, 0.70), ("foreground", 1.0, 0.55), ("saturation", 1.0, 0.85), ("energy", 3.0, 1.05), ("focus", 1.0, 1.15))
+
+
+def beat_span(width: int) -> int:
+    """How many rows before and after count towards a beat, for a strip of this width."""
+    return max(48, min(150, int(width * 0.45)))
+
 
+def window_sums(rows: DataFrame, columns: Sequence[str], frames: dict[str, tuple[int, int]]) -> DataFrame:
+    """``<column>_<name>``: the sums of each column over the rows from ``first`` to ``last`` places on, for each named frame, what lies beyond the strip counting as 0.
+    They are differences of running sums, so that wide frames cost no more than narrow ones."""
+    running = _by_y().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_run_{c}": F.sum(c).over(running) for c in columns} | {f"_all_{c}": F.sum(c).over(_strip()) for c in columns})
 
-def action_beats(rows: DataFrame, span: int = 24, gap: int = 4, least: float = 0.92, percentile: float = 0.94, radius: int = 5) -> DataFrame:
-    """``strip_id, y, strength`` where the mean profile before and after differ most."""
-    score = F.lit(0.0)
-    for c, weight in BEAT_WEIGHTS:
-        score = score + F.abs(F.avg(c).over(_by_y().rowsBetween(-span, -gap - 1)) - F.avg(c).over(_by_y().rowsBetween(gap, span - 1))) * weight
-    s = rows.select("strip_id", "y", F.round(score, 9).alias("strength")).filter(F.col("strength").isNotNull())
+    def upto(c: str, places: int) -> Column:
+        return F.coalesce(F.lead(f"_run_{c}", places).over(_by_y()), F.when(F.lit(places >= 0), F.col(f"_all_{c}")).otherwise(F.lit(0.0)))
+
+    out = rows.withColumns({f"{c}_{name}": upto(c, last) - upto(c, first - 1) for c in columns for name, (first, last) in frames.items()})
+    return out.drop(*(f"_run_{c}" for c in columns), *(f"_all_{c}" for c in columns))
+
+
+def action_beats(rows: DataFrame, *, width: int = 720, least: float = 0.92, percentile: float = 0.94) -> DataFrame:
+    """``strip_id, y, strength`` where the smoothed profile before and after differ most: the threshold or more, and the largest within a quarter of the span."""
+    span = beat_span(width)
+    gap, window, radius = max(8, span // 5), max(9, min(41, (span // 3) | 1)), max(12, span // 4)
+    names = [c for c, _, _ in BEATS]
+    s = window_sums(rows.select("strip_id", "y", *names), names, {"near": (-(window // 2), (window - 1) // 2)})
+    s = s.select("strip_id", "y", *((F.col(f"{c}_near") / window * scale).alias(c) for c, scale, _ in BEATS))
+    s = window_sums(s, names, {"before": (-span, -gap - 1), "after": (gap, span - 1)})
+    score = sum((F.abs(F.col(f"{c}_before") - F.col(f"{c}_after")) / (span - gap) * weight for c, _, weight in BEATS), F.lit(0.0))
+    total = F.max("y").over(_strip()) + 1
+    # Rounded, so that rows of one profile tie whatever the order of summation.
+    s = s.select("strip_id", "y", F.round(score, 8).alias("strength"), total.alias("_total")).filter((F.col("y") >= span) & (F.col("y") < F.col("_total") - span))
     cut = s.groupBy("strip_id").agg(F.greatest(F.lit(least), F.percentile("strength", F.lit(percentile))).alias("_least"))
     s = s.withColumn("_top", F.max("strength").over(_by_y().rowsBetween(-radius, radius))).join(cut, "strip_id")
     return s.filter((F.col("strength") >= F.col("_least")) & (F.col("strength") >= F.col("_top"))).select("strip_id", "y", "strength")
 
 
+def fixed_cost() -> Column:
+    """What a row costs to cut at, but for its distance from the target."""
+    return 0.42 * F.least(F.lit(1.0), F.col("row_std") / 55) + 0.38 * F.least(F.lit(1.0), F.col("edge_density") / 0.08) + 0.16 * F.least(F.lit(1.0), F.col("foreground"))
+
+
 def boundary_cost(target: Column, span: Column) -> Column:
-    return 0.42 * F.least(F.lit(1.0), F.col("row_std") / 55) + 0.38 * F.least(F.lit(1.0), F.col("edge_density") / 0.08) + 0.16 * F.least(F.lit(1.0), F.col("foreground")) + 0.04 * F.abs(F.col("y") - target) / F.greatest(F.lit(1), span)
+    return fixed_cost() + 0.04 * F.abs(F.col("y") - target) / F.greatest(F.lit(1), span)
 
 
-def safe_boundaries(candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """For each candidate (``strip_id, target, low, high``) the row of [low, high) that costs least to cut at, the first of equals."""
-    near = candidates.join(rows, "strip_id").filter((F.col("y") >= F.col("low")) & (F.col("y") < F.col("high")))
+def safe_boundaries(candidates: DataFrame, rows: DataFrame, stretch: int = 64) -> DataFrame:
+    """For each candidate (``strip_id, target, low, high``) the row of [low, high) that costs least to cut at, the first of equals. Candidates meet only the rows of the
+    stretches that they reach into."""
+    parts = F.sequence(F.floor(F.col("low") / stretch), F.floor((F.col("high") - 1) / stretch))
+    near = candidates.filter(F.col("high") > F.col("low")).withColumn("_part", F.explode(parts)).join(rows.withColumn("_part", F.floor(F.col("y") / stretch)), ["strip_id", "_part"])
+    near = near.filter((F.col("y") >= F.col("low")) & (F.col("y") < F.col("high")))
     near = near.withColumn("_cost", F.round(boundary_cost(F.col("target"), F.col("high") - F.col("low")), 12))
     kept = [c for c in candidates.columns if c not in ("low", "high")]
     best = near.groupBy(*kept, "low", "high").agg(F.min(F.struct("_cost", "y")).alias("_best"))
@@ -119,11 +161,18 @@ def gutter_candidates(rows: DataFrame, least: int = 6) -> DataFrame:
     return safe_boundaries(runs, rows).select("strip_id", "cut", "strength", F.lit("gutter").alias("kind"))
 
 
-def cut_candidates(rows: DataFrame) -> DataFrame:
-    """Gutters, transitions and action beats of every strip."""
-    turns = transition_scores(rows).select("strip_id", F.col("y").alias("target"), F.greatest(F.lit(1), F.col("y") - 36).alias("low"), (F.col("y") + 37).alias("high"), (1 + F.col("strength")).alias("strength"))
-    turns = safe_boundaries(turns, rows).select("strip_id", "cut", "strength", F.lit("transition").alias("kind"))
-    beats = action_beats(rows).select("strip_id", F.col("y").alias("cut"), "strength", F.lit("action").alias("kind"))
+def _near(found: DataFrame, rows: DataFrame, before: int, after: int, strength: Column, kind: str) -> DataFrame:
+    """The safest row near each found one, at least one row off the strip's ends."""
+    total = rows.groupBy("strip_id").agg((F.max("y") + 1).alias("_total"))
+    near = found.join(total, "strip_id").select("strip_id", F.col("y").alias("target"), F.greatest(F.lit(1), F.col("y") - before).alias("low"), F.least(F.col("_total") - 1, F.col("y") + after).alias("high"), strength.alias("strength"))
+    return safe_boundaries(near, rows).select("strip_id", "cut", "strength", F.lit(kind).alias("kind"))
+
+
+def cut_candidates(rows: DataFrame, *, width: int = 720, beat: float = 0.92) -> DataFrame:
+    """``strip_id, cut, strength, kind``: gutters, transitions and action beats of every strip."""
+    reach = beat_span(width) // 2
+    turns = _near(transition_scores(rows), rows, 36, 37, 1 + F.col("strength"), "transition")
+    beats = _near(action_beats(rows, width=width, least=beat), rows, max(36, reach), max(37, reach + 1), 1.6 + F.least(F.lit(2.2), F.col("strength")), "action_beat")
     return gutter_candidates(rows).unionByName(turns).unionByName(beats)
 
 
@@ -144,89 +193,167 @@ def dedupe_boundaries(candidates: DataFrame, spacing: int = 180) -> DataFrame:
     return ordered_fold(candidates.select("strip_id", "cut", "strength", "kind"), "strip_id", ["cut", "kind"], lambda _: [], step, finish, "strip_id long, cut int, strength double, kind string")
 
 
-def scene_cuts(candidates: DataFrame, heights: DataFrame, *, least: int = 60, most: int = 240, target: int = 120) -> DataFrame:
-    """``strip_id, start, end, start_kind, end_kind``: cuts taken greedily so that scenes have the least height; too long gaps are cut at the target height, and
-    a tail under the least height joins the scene before."""
+def scene_heights(width: int, total: int | None = None) -> tuple[int, int, int]:
+    """Least, most and target height of scenes in strips of this width."""
+    least = max(180, min(260, int(width * 1.4))) if width < 260 else max(240, min(720, int(width * 0.6)))
+    least = least if total is None else min(total, least)
+    return least, max(least * 3, max(2200, min(4200, int(width * 3.0)))), max(least * 2, max(1300, min(2600, int(width * 1.75))))
 
-    def start(_: object) -> dict:
-        return {"cuts": [], "previous": 0, "total": 0}
 
-    def guard(state: dict, until: int, last: bool) -> None:
-        while until - state["previous"] > most:
-            at = state["previous"] + target if last else min(state["previous"] + target, until - least)
-            if at <= state["previous"]:
-                break
-            state["cuts"].append((at, "length_guard"))
-            state["previous"] = at
+def scene_cuts(candidates: DataFrame, rows: DataFrame, *, least: int = 432, most: int = 2200, target: int = 1300) -> DataFrame:
+    """``strip_id, start, end, start_kind, end_kind``: cuts taken greedily so that scenes have the least height. Gaps over the most height are cut at the row near
+    the target height that costs least, and a tail under the least height joins the scene before. Rows pass in order; no more than ``most + least`` of
+    them are held, as a gap of that height is cut in the same way whatever comes after."""
+
+    def start(_: object) -> dict:
+        return {"cuts": [], "previous": 0, "from": 0, "costs": []}
+
+    def guard(state: dict, until: int, target_until: int) -> bool:
+        """One cut in the gap before ``until``; false if there is none."""
+        previous = state["previous"]
+        goal, low, high = min(previous + target, target_until), max(1, previous + least), min(previous + most, until)
+        if high <= low:
+            return False
+        y = np.arange(low, high)
+        cost = np.array(state["costs"][low - state["from"] : high - state["from"]]) + 0.04 * np.abs(y - goal) / (high - low)
+        found = int(y[np.argmin(np.round(cost, 12))])
+        state["cuts"].append((found, "length_guard"))
+        state["costs"] = state["costs"][found - state["from"] :]
+        state["previous"] = state["from"] = found
+        return True
 
     def step(state: dict, row: object) -> None:
-        state["total"] = int(row.total)
-        if row.cut is None or row.cut != row.cut or row.cut - state["previous"] < least:
+        y = int(row.y)
+        if row.is_row:
+            state["costs"].append(row.cost)
+            if y + 1 - state["previous"] >= most + least:
+                guard(state, y, y)
+            return
+        if y - state["previous"] < least:
             return
-        guard(state, int(row.cut), False)
-        if row.cut - state["previous"] >= least:
-            state["cuts"].append((int(row.cut), row.kind))
-            state["previous"] = int(row.cut)
+        while y - state["previous"] > most and guard(state, y - least, y - least):
+            pass
+        if y - state["previous"] >= least:
+            state["cuts"].append((y, row.kind))
+            state["costs"] = state["costs"][y - state["from"] :]
+            state["previous"] = state["from"] = y
 
     def finish(key: object, state: dict) -> list[tuple]:
-        guard(state, state["total"], True)
-        cuts = [c for c in state["cuts"] if 0 < c[0] < state["total"]]
-        if cuts and state["total"] - cuts[-1][0] < least:
+        total = state["from"] + len(state["costs"])
+        while total - state["previous"] > most and guard(state, total - least, total):
+            pass
+        cuts = [c for c in state["cuts"] if 0 < c[0] < total]
+        if cuts and total - cuts[-1][0] < least:
             cuts.pop()
-        edges = [(0, "strip_start"), *cuts, (state["total"], "strip_end")]
+        edges = [(0, "strip_start"), *cuts, (total, "strip_end")]
         return [(key, a, b, ka, kb) for (a, ka), (b, kb) in zip(edges, edges[1:], strict=False)]
 
-    rows = heights.join(candidates, "strip_id", "left").select("strip_id", "total", "cut", "kind")
-    return ordered_fold(rows, "strip_id", ["cut", "kind"], start, step, finish, "strip_id long, start int, end int, start_kind string, end_kind string")
+    lines = rows.select("strip_id", "y", F.lit(True).alias("is_row"), fixed_cost().alias("cost"), F.lit(None).cast("string").alias("kind"))
+    marks = candidates.filter(F.col("cut").isNotNull()).select("strip_id", F.col("cut").cast("int").alias("y"), F.lit(False).alias("is_row"), F.lit(None).cast("double").alias("cost"), "kind")
+    return ordered_fold(lines.unionByName(marks), "strip_id", ["y", "is_row", "kind"], start, step, finish, "strip_id long, start int, end int, start_kind string, end_kind string")
 
 
 def trim_quiet_edges(scenes: DataFrame, rows: DataFrame, *, limit: int = 180, least: int = 60) -> DataFrame:
-    """Each scene without its quiet rows at both ends, at most ``limit`` of them, never under the least height."""
-    marked = rows.withColumn("_quiet", quiet(F.col("row_std"), F.col("edge_density"), F.col("foreground")))
-    loud = scenes.join(marked.filter(~F.col("_quiet")).select("strip_id", "y"), "strip_id").filter((F.col("y") >= F.col("start")) & (F.col("y") < F.col("end")))
+    """Each scene without its quiet rows at both ends, at most ``limit`` of them, never under the least height. Scenes do not overlap."""
+    loud = in_ranges(rows.filter(~quiet(F.col("row_std"), F.col("edge_density"), F.col("foreground"))).select("strip_id", "y"), scenes)
     ends = loud.groupBy("strip_id", "start", "end").agg(F.min("y").alias("_first"), F.max("y").alias("_last"))
     out = scenes.join(ends, ["strip_id", "start", "end"], "left")
-    top = F.least(F.col("start") + limit, F.coalesce("_first", F.col("start") + limit), F.greatest("start", F.col("end") - least))
-    bottom = F.greatest(F.col("end") - limit, F.coalesce(F.col("_last") + 1, F.col("end") - limit), F.least("end", top + least))
+    top = F.greatest("start", F.least(F.col("start") + limit, F.col("end") - least, F.coalesce("_first", F.col("end"))))
+    bottom = F.least("end", F.greatest(F.coalesce(F.col("_last") + 1, F.lit(0)), F.greatest(top + least, F.col("end") - limit) + 1))
     return out.withColumn("_top", top).withColumn("_bottom", bottom).drop("start", "end", "_first", "_last").withColumnsRenamed({"_top": "start", "_bottom": "end"})
 
 
-def split_long(ranges: DataFrame, rows: DataFrame, *, most: int = 200, target: int = 160, reach: int = 30) -> DataFrame:
-    """Ranges over the most height, cut again and again near the target height where the profile is nearest the background and has least edges. Each round is one join; it ends when no range is too long."""
+def split_long(ranges: DataFrame, rows: DataFrame, *, most: int = 3200, target: int = 2600, reach: int = 500, margin: int = 900) -> DataFrame:
+    """Ranges over the most height, cut near the target height where the profile is nearest the background and has least edges, ``margin`` rows off both ends, until
+    no part is too long; where the margins leave no room, at the most height. One pass over the rows of long ranges."""
+    if margin < 1 or target - reach <= 2 * reach:
+        raise ValueError("the stretches that cuts are looked for in must follow each other")
     base = rows.groupBy("strip_id").agg(F.percentile("row_mean", F.lit(0.88)).alias("background"))
-    cost = rows.join(base, "strip_id").select("strip_id", "y", F.round(F.abs(F.col("row_mean") - F.col("background")) / 255 + 3 * F.col("edge_density"), 12).alias("_cost"))
-    longest = ranges.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
-    rounds = max(0, -(-longest // max(1, target - reach)))
-    done, now = [], ranges.select("strip_id", "start", "end")
-    for _ in range(rounds):
-        long = now.filter(F.col("end") - F.col("start") > most)
-        done.append(now.filter(F.col("end") - F.col("start") <= most))
-        near = long.join(cost, "strip_id").filter((F.col("y") >= F.col("start") + target - reach) & (F.col("y") <= F.least(F.col("start") + target + reach, F.col("end") - 1)))
-        cut = near.groupBy("strip_id", "start", "end").agg(F.min(F.struct("_cost", "y")).getField("y").alias("cut"))
-        done.append(cut.select("strip_id", "start", F.col("cut").alias("end")))
-        now = cut.select("strip_id", F.col("cut").alias("start"), "end")
-    for d in done:
-        now = now.unionByName(d)
-    return now.filter(F.col("end") > F.col("start"))
-
-
-def content_panels(rows: DataFrame, *, least: int = 4, most: int = 200, gap: int = 3) -> DataFrame:
-    """Content ranges of every strip: content rows, dilated, as runs, close ones merged, long ones split, blank ones dropped."""
-    marked = content_rows(rows).withColumn("_mask", dilated(F.col("content"), 2))
-    ranges = split_long(merge_close(boolean_runs(marked, "_mask"), gap), rows, most=most)
+    cost = rows.join(base, "strip_id").select("strip_id", "y", F.round(F.abs(F.col("row_mean") - F.col("background")) / 255 + 3 * F.col("edge_density"), 12).alias("cost"))
+    long = ranges.filter(F.col("end") - F.col("start") > most).select("strip_id", "start", "end")
+    lines = in_ranges(cost, long).withColumn("range_key", F.concat_ws(":", "strip_id", "start"))
+
+    def start(_: object) -> dict:
+        return {"at": None, "best": None}
+
+    def step(state: dict, row: object) -> list[tuple]:
+        if state["at"] is None:
+            state["at"] = int(row.start)
+        out, end = [], int(row.end)
+        while end - state["at"] > most:
+            at = state["at"]
+            low, high = max(at + margin, at + target - reach), min(end - margin, at + target + reach)
+            if high <= low:
+                cut = min(at + most, end)
+            else:
+                if low <= row.y < high and (state["best"] is None or row.cost < state["best"][0]):
+                    state["best"] = (row.cost, int(row.y))
+                if row.y < high - 1:
+                    break
+                cut = state["best"][1]
+            out.append((row.strip_id, at, cut, end))
+            state["at"], state["best"] = cut, None
+        state["last"] = (row.strip_id, state["at"], end, end)
+        return out
+
+    finish = lambda _, state: [state["last"]]
+    parts = ordered_fold(lines, "range_key", ["y"], start, step, finish, "strip_id long, start int, end int, _whole int").select("strip_id", "start", "end")
+    return ranges.filter(F.col("end") - F.col("start") <= most).select("strip_id", "start", "end").unionByName(parts)
+
+
+def content_panels(rows: DataFrame, *, reach: int = 2, shortest: int = 80, gap: int = 24, most: int = 3200, target: int = 2600, near: int = 500, margin: int = 900, least: int = 140) -> DataFrame:
+    """Content ranges of every strip: content rows, dilated, as runs of ``shortest`` rows or more, close ones merged, long ones split, blank ones dropped."""
+    rows = stored(rows)
+    marked = content_rows(rows).withColumn("_mask", dilated(F.col("content"), reach))
+    runs = boolean_runs(marked, "_mask").filter(F.col("end") - F.col("start") >= shortest)
+    ranges = stored(split_long(stored(merge_close(runs, gap)), rows, most=most, target=target, reach=near, margin=margin))
     stats = range_stats(rows, ranges)
-    return stats.filter(content_range_ok(F.col("end") - F.col("start"), F.col("white_ratio"), F.col("dark_ratio"), F.col("contrast"), F.col("edge"), least))
+    return stats.filter(content_range_ok(F.col("end") - F.col("start"), F.col("white_ratio"), F.col("ink_ratio"), F.col("contrast"), F.col("edge"), least))
 
 
-def scene_detection(rows: DataFrame, *, spacing: int = 30, least: int = 60, most: int = 240, target: int = 120) -> DataFrame:
-    """Scenes of every strip, trimmed, with their statistics and type."""
-    heights = rows.groupBy("strip_id").agg((F.max("y") + 1).alias("total"))
-    scenes = scene_cuts(dedupe_boundaries(cut_candidates(rows), spacing), heights, least=least, most=most, target=target)
-    scenes = trim_quiet_edges(scenes, rows, limit=40, least=least)
-    stats = range_stats(rows, scenes).filter((F.col("end") - F.col("start") >= least) & ~((F.col("contrast") < 9) & (F.col("edge") < 0.003) & (F.col("content_ratio") < 0.02)))
-    from stripweave.operators.panels import scene_type
+def scene_detection(rows: DataFrame, bubbles: DataFrame | None = None, *, width: int = 720, spacing: int = 180, beat: float = 0.92, least: int | None = None, most: int | None = None, target: int | None = None, trim: int = 180) -> DataFrame:
+    """Scenes of every strip, trimmed, with their statistics, type, bubbles, frame, and whether they are of use.
+
+    ``bubbles`` (``strip_id, box_id, x, y, width, height``) that reach into a scene are counted with it; ``cut_bubbles`` reach beyond it, and ``bubble_share`` is the share of
+    the scene that boxes, a twentieth wider at each side, cover (boxes over each other count twice, up to the whole). Density, detail and quality come from the
+    row profile. Blank ranges are left out; ``rejected`` marks scenes of little but dialogue.
+    """
+    from stripweave.functions.geometry import shape_family
+    from stripweave.operators.panels import scene_reject, scene_type
 
-    return stats.withColumn("scene_type", scene_type(F.col("mean"), F.col("dark_ratio")))
+    heights = scene_heights(width)
+    least, most, target = (own or default for own, default in zip((least, most, target), heights, strict=True))
+    rows = stored(rows)
+    cuts = stored(dedupe_boundaries(cut_candidates(rows, width=width, beat=beat), spacing))
+    scenes = stored(trim_quiet_edges(scene_cuts(cuts, rows, least=least, most=most, target=target), rows, limit=trim, least=least))
+    stats = range_stats(rows, scenes).filter((F.col("end") - F.col("start") >= least) & ~((F.col("contrast") < 9) & (F.col("edge") < 0.003) & (F.col("content_ratio") < 0.02)))
+    stats = stats.join(scenes, ["strip_id", "start", "end"]).withColumn("scene_type", scene_type(F.col("mean"), F.col("dark_ratio")))
+    height = F.col("end") - F.col("start")
+    if bubbles is None:
+        stats = stats.withColumns({"bubbles": F.lit(0).cast("long"), "cut_bubbles": F.lit(0).cast("long"), "bubble_share": F.lit(0.0)})
+    else:
+        met = overlapping(bubbles, scenes)
+        pad = lambda c: F.greatest(F.lit(2), F.least(F.lit(18), F.floor(F.col(c) / 20)))
+        across = F.least(F.lit(width), F.col("x") + F.col("width") + pad("width")) - F.greatest(F.lit(0), F.col("x") - pad("width"))
+        down = F.least(height, F.col("scene_y") + F.col("height") + pad("height")) - F.greatest(F.lit(0), F.col("scene_y") - pad("height"))
+        beyond = (F.col("x") < 0) | (F.col("x") + F.col("width") > width) | (F.col("scene_y") + F.col("height") > height)
+        sums = met.groupBy("strip_id", "start", "end").agg(F.count("*").alias("bubbles"), F.count_if(beyond).alias("cut_bubbles"), F.sum(F.greatest(F.lit(0), across) * F.greatest(F.lit(0), down)).alias("_area"))
+        stats = stats.join(sums, ["strip_id", "start", "end"], "left").na.fill(0, ["bubbles", "cut_bubbles"])
+        stats = stats.withColumn("bubble_share", F.round(F.least(F.lit(1.0), F.coalesce("_area", F.lit(0)) / (height * width)), 4)).drop("_area")
+    density = F.least(F.lit(1.0), F.col("energy") * (1 - 0.88 * F.col("bubble_share")) / 0.16)
+    quality = F.least(F.lit(1.0), 0.46 + 0.28 * density + 0.16 * F.least(F.lit(1.0), F.col("energy")) + 0.1 * F.least(F.lit(1.0), F.col("contrast") / 72))
+    stats = stats.withColumns({"density": F.round(density, 3), "quality": F.round(quality, 3), "shape": shape_family(F.lit(width), height)["name"]})
+    return stats.withColumn("rejected", scene_reject(F.col("bubble_share"), F.col("cut_bubbles"), F.col("density"), F.col("quality"), F.lit(1.0)))
+
+
+def scene_manifest(scenes: DataFrame) -> DataFrame:
+    """Per strip: scenes, kept and rejected ones, those at night, bubbles, and averages over the kept ones."""
+    kept = ~F.col("rejected")
+    mean = lambda c: F.avg(F.when(kept, F.col(c)))
+    return scenes.groupBy("strip_id").agg(
+        F.count("*").alias("scenes"), F.count_if(kept).alias("kept"), F.count_if(F.col("rejected")).alias("rejected"), F.count_if(kept & (F.col("scene_type") == "night")).alias("night"),
+        F.sum(F.when(kept, F.col("bubbles")).otherwise(0)).alias("bubbles"), mean("quality").alias("quality"), mean("contrast").alias("contrast"), F.avg(F.when(kept, F.col("end") - F.col("start"))).alias("height"),
+    )
 
 
 def overlapping(boxes: DataFrame, scenes: DataFrame, bucket: int = 64) -> DataFrame:
@@ -251,24 +378,48 @@ def visual_focus(rows: DataFrame, by: Sequence[str], weight: Column, x: Column,
     return rows.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(weight * x), F.sum(weight)), F.lit(default)).alias("focus"))
 
 
-def part_cuts(sections: DataFrame, *, most: int = 14_000, share: float = 0.55) -> DataFrame:
-    """Parts of at most the given height, each ending at the last section end between ``share`` and the whole of it, else at the limit: ``strip_id, part, start, end``."""
+def part_cuts(sections: DataFrame, rows: DataFrame, *, most: int = 14_000, share: float = 0.55, shortest: int = 1600, before: int = 900, after: int = 300, margin: int = 1000) -> DataFrame:
+    """``strip_id, part, start, end``: parts of at most the given height, each ending at the last section end (``y_end``) between ``share`` and the whole of it, at least
+    ``shortest`` rows on; where there is none, at the brightest row with the fewest edges near the limit. Rows pass in order; only the best one is held."""
+    shortest = max(shortest, int(most * share))
 
     def start(_: object) -> dict:
-        return {"at": 0, "last": 0, "part": 0}
-
-    def step(s: dict, row: object) -> list[tuple]:
-        out = []
-        while row.y_end - s["at"] > most:
-            end = s["last"] if s["last"] - s["at"] >= share * most else s["at"] + most
-            s["part"] += 1
-            out.append((row.strip_id, s["part"], s["at"], end))
-            s["at"] = end
-        s["last"] = int(row.y_end)
+        return {"at": 0, "section": None, "best": None, "part": 0, "total": 0}
+
+    def close(state: dict, key: object, cut: int) -> tuple:
+        state["part"] += 1
+        out = (key, state["part"], state["at"], cut)
+        state.update(at=cut, section=None, best=None)
         return out
 
-    finish = lambda k, s: [(k, s["part"] + 1, s["at"], s["last"])] if s["last"] > s["at"] else []
-    return ordered_fold(sections.select("strip_id", "y_end"), "strip_id", ["y_end"], start, step, finish, "strip_id string, part int, start long, end long")
+    def step(state: dict, row: object) -> list[tuple]:
+        y, total = int(row.y), int(row.total)
+        state["total"] = total
+        if total - state["at"] <= most:
+            return []
+        ideal = state["at"] + most
+        if not row.is_row:
+            if state["at"] + shortest <= y <= ideal:
+                state["section"] = y
+            return []
+        if y >= ideal and state["section"] is not None:
+            return [close(state, row.strip_id, state["section"])]
+        low, high = max(state["at"] + margin, ideal - before), min(total - 1, ideal + after)
+        if low <= y < high and (state["best"] is None or row.worth > state["best"][0]):
+            state["best"] = (row.worth, y)
+        if y >= max(high - 1, ideal) and state["section"] is None:
+            return [close(state, row.strip_id, state["best"][1] if high > low else ideal)]
+        return []
+
+    def finish(key: object, state: dict) -> list[tuple]:
+        out = [close(state, key, state["section"])] if state["total"] - state["at"] > most and state["section"] is not None else []
+        return out + ([close(state, key, state["total"])] if state["total"] > state["at"] else [])
+
+    totals = rows.groupBy("strip_id").agg((F.max("y") + 1).alias("total"))
+    lines = rows.select("strip_id", "y", F.lit(True).alias("is_row"), F.round(F.col("row_mean") / 255 - 2.5 * F.col("edge_density"), 12).alias("worth"))
+    marks = sections.select("strip_id", F.col("y_end").cast("int").alias("y"), F.lit(False).alias("is_row"), F.lit(None).cast("double").alias("worth"))
+    both = lines.unionByName(marks).join(totals, "strip_id").filter((F.col("y") > 0) | F.col("is_row"))
+    return ordered_fold(both, "strip_id", ["y", "is_row"], start, step, finish, "strip_id long, part int, start int, end int")
 
 
 def white_level(rows: DataFrame) -> DataFrame:
@@ -317,11 +468,21 @@ def subscenes(rows: DataFrame, *, least_gap: int = 4, least: int = 8) -> DataFra
     return parts.select("strip_id", F.format_string("%d_s%02d", F.col("strip_id"), F.row_number().over(_strip().orderBy("start"))).alias("name"), "start", "end")
 
 
-def stitch_plan(sections: DataFrame, overlaps: DataFrame, *, most: int = 14_000) -> tuple[DataFrame, DataFrame]:
-    """Where each section lies in its strip once overlaps are taken off, and the strip's parts: ``strip_id, seq, height, overlap, y_start, y_end`` and parts.
+def stitch_plan(sections: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """Where each section lies in its strip once overlaps are taken off: ``strip_id, seq, height, overlap, score, y_start, y_end``.
     The contributions tile the canvas by construction: each starts where the one before ends."""
     rows = sections.join(overlaps.select("strip_id", "seq", "overlap", "score"), ["strip_id", "seq"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     own = F.col("height") - F.col("overlap")
     end = F.sum(own).over(_strip().orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("strip_id", "seq", "height", "overlap", "score", (end - own).alias("y_start"), end.alias("y_end"))
-    return rows, part_cuts(rows.select(F.col("strip_id").cast("string").alias("strip_id"), "y_end"), most=most)
+    return rows.select("strip_id", "seq", "height", "overlap", "score", (end - own).alias("y_start"), end.alias("y_end"))
+
+
+def stitch_manifest(plan: DataFrame, *, widths: DataFrame | None = None) -> DataFrame:
+    """One row per strip: sections, rows taken off, canvas height, format, and whether the sections tile the canvas without gap or overlap."""
+    from stripweave.operators.panels import format_detect
+
+    gap = F.col("y_start") != F.coalesce(F.lag("y_end").over(_strip().orderBy("seq")), F.lit(0))
+    rows = plan.withColumn("_gap", gap.cast("int"))
+    out = rows.groupBy("strip_id").agg(F.count("*").alias("sections"), F.sum("overlap").alias("overlap_removed"), F.max("y_end").alias("canvas_height"), (F.sum("_gap") == 0).alias("tiles"))
+    out = out.withColumn("width", F.lit(800)) if widths is None else out.join(widths, "strip_id")
+    return out.withColumn("format", format_detect(F.col("width"), F.col("canvas_height")))

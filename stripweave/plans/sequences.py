@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from stripweave.operators import sequence as O
 from stripweave.plans.registry import query
+from stripweave.session import stored
 from stripweave.sources.feeds import feed, with_feeds
 
 C = F.col
 QUIET = "row_std < 10 AND edge_density < 0.006 AND foreground < 0.045"
+#: The test strips have 720 rows, so heights are scaled down.
+SCENES = {"least": 60, "most": 240, "target": 120}
+PANELS = {"shortest": 4, "gap": 3, "most": 20, "target": 16, "near": 3, "margin": 4, "least": 4}
+BEAT = 0.1
 W = "WINDOW w AS (PARTITION BY strip_id ORDER BY y)"
 
 
@@ -51,7 +56,7 @@ def dilate_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MERGED = f"{CONTENT}, {_runs('mask', 'runs', 'grown')}, merged AS (SELECT strip_id, min(start) AS start, max(\"end\") AS \"end\" FROM (SELECT *, sum(n) OVER (PARTITION BY strip_id ORDER BY start) AS g FROM (SELECT *, coalesce(start - lag(\"end\") OVER (PARTITION BY strip_id ORDER BY start) >= 3, true)::INT AS n FROM runs) a) b GROUP BY strip_id, g)"
-STATS = """SELECT m.strip_id, m.start, m."end", avg(row_mean) AS mean, sqrt(greatest(0, avg(row_std * row_std + row_mean * row_mean) - avg(row_mean) * avg(row_mean))) AS contrast, avg(edge_density) AS edge, avg(foreground) AS content_ratio, avg((row_mean > 240)::INT) AS white_ratio, avg((row_mean < 72)::INT) AS dark_ratio FROM merged m JOIN strip_rows r ON r.strip_id = m.strip_id AND r.y >= m.start AND r.y < m."end" GROUP BY 1, 2, 3"""
+STATS = """SELECT m.strip_id, m.start, m."end", avg(row_mean) AS mean, sqrt(greatest(0, avg(row_std * row_std + row_mean * row_mean) - avg(row_mean) * avg(row_mean))) AS contrast, avg(edge_density) AS edge, avg(foreground) AS content_ratio, avg(white) AS white_ratio, avg(ink) AS ink_ratio, avg(dark) AS dark_ratio FROM merged m JOIN strip_rows r ON r.strip_id = m.strip_id AND r.y >= m.start AND r.y < m."end" GROUP BY 1, 2, 3"""
 
 
 @query("merge_close_ranges", with_feeds(f"WITH {MERGED} SELECT * FROM merged", "rows"))
@@ -64,16 +69,16 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_close_ranges(spark, sf_dir)
 
 
-@query("range_stats", with_feeds(f"WITH {MERGED} SELECT strip_id, start, \"end\", round(mean, 6) AS mean, round(contrast, 6) AS contrast, round(edge, 8) AS edge, round(white_ratio, 8) AS white_ratio, round(dark_ratio, 8) AS dark_ratio FROM ({STATS}) s", "rows"))
+@query("range_stats", with_feeds(f"WITH {MERGED} SELECT strip_id, start, \"end\", round(mean, 6) AS mean, round(contrast, 6) AS contrast, round(edge, 8) AS edge, round(white_ratio, 8) AS white_ratio, round(ink_ratio, 8) AS ink_ratio, round(dark_ratio, 8) AS dark_ratio FROM ({STATS}) s", "rows"))
 def range_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = O.range_stats(_rows(spark, sf_dir), _merged(spark, sf_dir))
-    return s.select("strip_id", "start", "end", *(F.round(c, n).alias(c) for c, n in (("mean", 6), ("contrast", 6), ("edge", 8), ("white_ratio", 8), ("dark_ratio", 8))))
+    return s.select("strip_id", "start", "end", *(F.round(c, n).alias(c) for c, n in (("mean", 6), ("contrast", 6), ("edge", 8), ("white_ratio", 8), ("ink_ratio", 8), ("dark_ratio", 8))))
 
 
-@query("content_range_filter", with_feeds(f"WITH {MERGED} SELECT strip_id, start, \"end\" FROM ({STATS}) s WHERE \"end\" - start >= 4 AND NOT ((white_ratio > 0.955 AND edge < 0.006) OR (contrast < 14 AND edge < 0.004) OR (dark_ratio < 0.018 AND edge < 0.0035))", "rows"))
+@query("content_range_filter", with_feeds(f"WITH {MERGED} SELECT strip_id, start, \"end\" FROM ({STATS}) s WHERE \"end\" - start >= 4 AND NOT ((white_ratio > 0.955 AND edge < 0.006) OR (contrast < 14 AND edge < 0.004) OR (ink_ratio < 0.018 AND edge < 0.0035))", "rows"))
 def content_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = O.range_stats(_rows(spark, sf_dir), _merged(spark, sf_dir))
-    return s.filter(O.content_range_ok(C("end") - C("start"), C("white_ratio"), C("dark_ratio"), C("contrast"), C("edge"), 4)).select("strip_id", "start", "end")
+    return s.filter(O.content_range_ok(C("end") - C("start"), C("white_ratio"), C("ink_ratio"), C("contrast"), C("edge"), 4)).select("strip_id", "start", "end")
 
 
 def _smooth_sql(c: str) -> str:
@@ -85,14 +90,23 @@ t AS (SELECT strip_id, y, round(abs(lead(row_mean, 10) OVER w - lag(row_mean, 10
 u AS (SELECT *, max(strength) OVER (PARTITION BY strip_id ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top, quantile_cont(strength, 0.96) OVER (PARTITION BY strip_id) AS q FROM t WHERE strength IS NOT NULL)"""
 
 
-@query("transition_score", with_feeds(f"WITH {TRANSITION} SELECT strip_id, count(*) AS n, round(sum(strength), 4) AS total FROM u WHERE strength >= greatest(0.16, q) AND strength >= top GROUP BY 1", "rows"))
+@query("transition_score", with_feeds(f"WITH {TRANSITION} SELECT strip_id, y, strength FROM u WHERE strength >= greatest(0.16, q) AND strength >= top", "rows"))
 def transition_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.transition_scores(_rows(spark, sf_dir)).groupBy("strip_id").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 4).alias("total"))
+    return O.transition_scores(_rows(spark, sf_dir))
 
 
-@query("action_beats")
+def _beats_sql() -> str:
+    """Span 150, gap 30, smoothing over 41 rows, radius 37: those of a strip 720 wide."""
+    smooth = ", ".join(f"sum({c}) OVER (PARTITION BY strip_id ORDER BY y ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) / 41 * {scale!r} AS {c}" for c, scale, _ in O.BEATS)
+    score = " + ".join(f"abs(avg({c}) OVER (PARTITION BY strip_id ORDER BY y ROWS BETWEEN 150 PRECEDING AND 31 PRECEDING) - avg({c}) OVER (PARTITION BY strip_id ORDER BY y ROWS BETWEEN 30 FOLLOWING AND 149 FOLLOWING)) * {weight!r}" for c, _, weight in O.BEATS)
+    return f"""bs AS (SELECT strip_id, y, {smooth} FROM strip_rows), bt AS (SELECT strip_id, y, round({score}, 8) AS strength, max(y) OVER (PARTITION BY strip_id) + 1 AS total FROM bs),
+bu AS (SELECT *, max(strength) OVER (PARTITION BY strip_id ORDER BY y ROWS BETWEEN 37 PRECEDING AND 37 FOLLOWING) AS top, quantile_cont(strength, 0.94) OVER (PARTITION BY strip_id) AS q FROM bt WHERE y >= 150 AND y < total - 150),
+beats AS (SELECT strip_id, y, strength FROM bu WHERE strength >= greatest({BEAT}, q) AND strength >= top)"""
+
+
+@query("action_beats", with_feeds(f"WITH {_beats_sql()} SELECT * FROM beats", "rows"))
 def action_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.action_beats(_rows(spark, sf_dir))
+    return O.action_beats(_rows(spark, sf_dir), least=BEAT)
 
 
 @query("safe_boundary", with_feeds(f"""WITH {_runs(QUIET, 'runs')}, h AS (SELECT strip_id, max(y) + 1 AS total FROM strip_rows GROUP BY 1), c AS (SELECT strip_id, start + ("end" - start) // 2 AS target, greatest(1, start) AS low, least(total - 1, "end") AS high FROM runs JOIN h USING (strip_id) WHERE "end" - start >= 6)
@@ -105,34 +119,52 @@ def safe_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.safe_boundaries(candidates, rows)
 
 
-@query("candidate_union")
+def _safest(source: str) -> str:
+    return f"""SELECT strip_id, y AS cut, strength, kind FROM (SELECT c.strip_id, c.strength, c.kind, s.y, row_number() OVER (PARTITION BY c.strip_id, target, low, high, c.strength, c.kind ORDER BY round(0.42 * least(1.0, row_std / 55) + 0.38 * least(1.0, edge_density / 0.08) + 0.16 * least(1.0, foreground) + 0.04 * abs(s.y - target) / greatest(1, high - low), 12), s.y) AS r
+FROM {source} c JOIN strip_rows s ON s.strip_id = c.strip_id AND s.y >= low AND s.y < high) x WHERE r = 1"""
+
+
+CANDIDATES = f"""{_runs(QUIET, 'runs')}, h AS (SELECT strip_id, max(y) + 1 AS total FROM strip_rows GROUP BY 1), {TRANSITION}, {_beats_sql()},
+wanted AS (SELECT strip_id, start + ("end" - start) // 2 AS target, greatest(1, start) AS low, least(total - 1, "end") AS high, 3 + least(2.0, ("end" - start) / 40) AS strength, 'gutter' AS kind FROM runs JOIN h USING (strip_id) WHERE "end" - start >= 6
+  UNION ALL SELECT strip_id, y, greatest(1, y - 36), least(total - 1, y + 37), 1 + strength, 'transition' FROM u JOIN h USING (strip_id) WHERE strength >= greatest(0.16, q) AND strength >= top
+  UNION ALL SELECT strip_id, y, greatest(1, y - 75), least(total - 1, y + 76), 1.6 + least(2.2, strength), 'action_beat' FROM beats JOIN h USING (strip_id)), candidates AS ({_safest('wanted')})"""
+
+
+@query("candidate_union", with_feeds(f"WITH {CANDIDATES} SELECT strip_id, cut, round(strength, 6) AS strength, kind FROM candidates", "rows"))
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.cut_candidates(_rows(spark, sf_dir))
+    return O.cut_candidates(_rows(spark, sf_dir), beat=BEAT).withColumn("strength", F.round("strength", 6))
 
 
 @query("dedupe_boundaries")
 def dedupe_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.dedupe_boundaries(O.cut_candidates(_rows(spark, sf_dir)), 30)
+    return O.dedupe_boundaries(O.cut_candidates(stored(_rows(spark, sf_dir)), beat=BEAT), 30)
 
 
 @query("scene_cuts")
 def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return O.scene_cuts(O.gutter_candidates(rows), rows.groupBy("strip_id").agg((F.max("y") + 1).alias("total")))
+    return O.scene_cuts(O.gutter_candidates(rows), rows, **SCENES)
+
+
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bubbles = feed(spark, sf_dir, "boxes").select((C("image_id") % 1000).alias("strip_id"), F.concat_ws(":", "image_id", "ann_id").alias("box_id"), "x", ((C("y") + C("image_id") * 13) % 690).alias("y"), C("w").alias("width"), (C("h") / 2).alias("height"))
+    return O.scene_detection(_rows(spark, sf_dir), bubbles, spacing=30, trim=40, beat=BEAT, **SCENES)
 
 
 @query("scene_detection")
 def scene_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.scene_detection(_rows(spark, sf_dir))
+    return _scenes(spark, sf_dir)
 
 
 @query("scene_manifest_stats")
 def scene_manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = O.scene_detection(_rows(spark, sf_dir))
-    return s.groupBy("strip_id").agg(F.count("*").alias("scenes"), F.count_if(C("scene_type") == "night").alias("night"), F.sum(C("end") - C("start")).alias("rows"), F.avg("contrast").alias("contrast"))
+    return O.scene_manifest(_scenes(spark, sf_dir))
 
 
-@query("trim_quiet_edges")
+@query("trim_quiet_edges", with_feeds(f"""WITH w AS (SELECT strip_id, k * 120 AS start, k * 120 + 120 AS "end" FROM (SELECT DISTINCT strip_id FROM strip_rows) d, (SELECT unnest(range(6)) AS k)),
+l AS (SELECT w.strip_id, w.start, w."end", min(y) AS a, max(y) AS b FROM w LEFT JOIN (SELECT * FROM strip_rows WHERE NOT ({QUIET})) r ON r.strip_id = w.strip_id AND y >= start AND y < "end" GROUP BY 1, 2, 3),
+t AS (SELECT *, greatest(start, least(start + 40, "end" - 60, coalesce(a, "end"))) AS top FROM l)
+SELECT strip_id, top AS start, least("end", greatest(coalesce(b + 1, 0), greatest(top + 60, "end" - 40) + 1)) AS "end" FROM t""", "rows"))
 def trim_quiet_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     whole = rows.select("strip_id").distinct().select("strip_id", F.posexplode(F.sequence(F.lit(0), F.lit(600), F.lit(120)))).select("strip_id", C("col").alias("start"), (C("col") + 120).alias("end"))
@@ -141,12 +173,12 @@ def trim_quiet_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("split_long_ranges")
 def split_long_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.split_long(_merged(spark, sf_dir), _rows(spark, sf_dir))
+    return O.split_long(_merged(spark, sf_dir), _rows(spark, sf_dir), most=20, target=16, reach=3, margin=4)
 
 
 @query("content_panels")
 def content_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.content_panels(_rows(spark, sf_dir)).select("strip_id", "start", "end", F.round("mean", 6).alias("mean"))
+    return O.content_panels(_rows(spark, sf_dir), **PANELS).select("strip_id", "start", "end", F.round("mean", 6).alias("mean"))
 
 
 @query("webtoon_panels")
@@ -172,11 +204,14 @@ def bubble_scene_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.overlapping(boxes, scenes).select("strip_id", "box_id", "start", "scene_y")
 
 
-@query("range_manifest_join", with_feeds(f"WITH {_runs(QUIET, 'runs')}, a AS (SELECT *, row_number() OVER (PARTITION BY strip_id ORDER BY start) AS n FROM runs) SELECT u.strip_id, 'cut_' || lpad(u.n::VARCHAR, 3, '0') AS name, a.start, a.\"end\" FROM (SELECT strip_id, unnest(range(1, 41)) AS n FROM (SELECT DISTINCT strip_id FROM strip_rows) d) u LEFT JOIN a ON a.strip_id = u.strip_id AND a.n = u.n", "rows"))
+@query("range_manifest_join", with_feeds(f"WITH {_runs(QUIET, 'runs')}, a AS (SELECT *, row_number() OVER (PARTITION BY strip_id ORDER BY start) AS n FROM runs), c AS (SELECT strip_id, n FROM a UNION ALL SELECT strip_id, coalesce(max(n), 0) + 1 FROM (SELECT DISTINCT strip_id FROM strip_rows) d LEFT JOIN a USING (strip_id) GROUP BY 1) SELECT c.strip_id, 'cut_' || lpad(c.n::VARCHAR, 3, '0') AS name, a.start, a.\"end\" FROM c LEFT JOIN a ON a.strip_id = c.strip_id AND a.n = c.n", "rows"))
 def range_manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many cuts as a strip has quiet runs, and one that has none."""
     rows = _rows(spark, sf_dir)
-    cuts = rows.select("strip_id").distinct().select("strip_id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("n")).select("strip_id", F.format_string("cut_%03d", "n").alias("name"))
-    return O.manifest_by_place(cuts, O.boolean_runs(rows.withColumn("q", O.quiet(C("row_std"), C("edge_density"), C("foreground"))), "q"))
+    runs = O.boolean_runs(rows.withColumn("q", O.quiet(C("row_std"), C("edge_density"), C("foreground"))), "q")
+    counts = rows.select("strip_id").distinct().join(runs.groupBy("strip_id").agg(F.count("*").alias("n")), "strip_id", "left").na.fill(0, ["n"])
+    cuts = counts.select("strip_id", F.explode(F.sequence(F.lit(1), C("n") + 1)).alias("n")).select("strip_id", F.format_string("cut_%03d", "n").alias("name"))
+    return O.manifest_by_place(cuts, runs)
 
 
 @query("visual_focus", with_feeds("SELECT strip_id, round(coalesce(sum(edge_density * y) / nullif(sum(edge_density), 0), 360), 6) AS focus FROM strip_rows GROUP BY 1", "rows"))
@@ -186,7 +221,7 @@ def visual_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("part_cuts")
 def part_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stripweave.plans.panels import running_offsets
-
-    files = feed(spark, sf_dir, "files").join(running_offsets(spark, sf_dir), "doc_id")
-    return O.part_cuts(files.select(F.concat_ws("/", "series", "chapter").alias("strip_id"), "y_end"))
+    """Sections end where the quiet runs do."""
+    rows = _rows(spark, sf_dir)
+    runs = O.boolean_runs(rows.withColumn("q", O.quiet(C("row_std"), C("edge_density"), C("foreground"))), "q").filter(C("end") - C("start") > 3)
+    return O.part_cuts(runs.select("strip_id", C("end").alias("y_end")), rows, most=140, shortest=20, before=9, after=3, margin=10)

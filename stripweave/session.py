@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "stripweave") -> SparkSession:
@@ -32,10 +32,26 @@ def ship(spark: SparkSession) -> None:
     context._stripweave_shipped = True
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new name in the folder that all executors share: that of spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; on a cluster that is an error,
+    as a machine's own folder is none that the others see."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new name in the folder that all executors share."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a Parquet table in the shared folder: what is read more than once is computed once, and a lost executor costs no recomputation."""
+    path = work_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

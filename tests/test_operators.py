@@ -2,6 +2,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,14 +96,108 @@ def test_runs_tile_the_axis(spark):
     assert [(r.start, r.end) for r in sequence.merge_close(sequence.boolean_runs(rows, "m"), 24).collect()] == [(5, 90)]
 
 
-def test_scenes_cover_and_respect_heights(spark):
-    rows = profile(spark, [(0, 40), (60, 100), (120, 400)], 480)
-    total = rows.groupBy("strip_id").agg((F.max("y") + 1).alias("total"))
-    scenes = sorted((r.start, r.end) for r in sequence.scene_cuts(sequence.gutter_candidates(rows), total, least=40, most=150, target=90).collect())
-    assert scenes[0][0] == 0 and scenes[-1][1] == 480
-    assert all(a[1] == b[0] for a, b in zip(scenes, scenes[1:])) and all(b - a >= 40 for a, b in scenes)
-    none = spark.createDataFrame([], "strip_id long, cut int, strength double, kind string")
-    assert sequence.scene_cuts(none, total, least=40, most=600).collect()[0][1:3] == (0, 480)
+def random_rows(spark, strips=4, height=900, seed=3):
+    rnd = random.Random(seed)
+    rows = [(k, y, rnd.random() * 255, rnd.random() * 60, rnd.random() / 8, rnd.random() / 4, *(rnd.random() for _ in range(6))) for k in range(strips) for y in range(height - 37 * k)]
+    names = ("row_mean", "row_std", "edge_density", "foreground", "saturation", "energy", "focus", "white", "ink", "dark")
+    return rows, spark.createDataFrame(rows, "strip_id long, y int, " + ", ".join(f"{c} double" for c in names))
+
+
+def cheapest(strip, target, low, high):
+    """The row of [low, high) that costs least to cut at; None where there is no row."""
+    low, high = max(1, low), min(len(strip) - 1, high)
+    cost = lambda y: round(0.42 * min(1, strip[y][3] / 55) + 0.38 * min(1, strip[y][4] / 0.08) + 0.16 * min(1, strip[y][5]) + 0.04 * abs(y - target) / (high - low), 12)
+    return min(range(low, high), key=cost) if high > low else None
+
+
+def plain_scenes(strip, cuts, least, most, target):
+    out, last = [], 0
+    for at in [*cuts, None]:
+        end = len(strip) if at is None else at
+        if at is not None and at - last < least:
+            continue
+        while end - last > most:
+            safe = cheapest(strip, last + target if at is None else min(last + target, end - least), last + least, min(last + most, end - least))
+            if safe is None or safe <= last:
+                break
+            out.append(safe)
+            last = safe
+        if at is not None and at - last >= least:
+            out.append(at)
+            last = at
+    if out and len(strip) - out[-1] < least:
+        out.pop()
+    return [0, *out, len(strip)]
+
+
+def test_scene_cuts_are_those_of_the_plain_walk(spark):
+    raw, rows = random_rows(spark)
+    for k, marks in enumerate([[], [5, 70, 71, 400, 700, 880], [300, 310, 420, 780]]):
+        cuts = spark.createDataFrame([(s, c, 1.0, "gutter") for s in range(4) for c in marks if c < 780], "strip_id long, cut int, strength double, kind string")
+        found = sequence.scene_cuts(cuts, rows, least=40, most=150, target=90).collect()
+        for s in range(4):
+            strip = [r for r in raw if r[0] == s]
+            wanted = plain_scenes(strip, [c for c in marks if c < 780], 40, 150, 90)
+            got = sorted((r.start, r.end) for r in found if r.strip_id == s)
+            assert got == list(zip(wanted, wanted[1:])), (k, s)
+
+
+def test_long_ranges_are_split_as_by_the_plain_rule(spark):
+    raw, rows = random_rows(spark)
+    ranges = [(0, 3, 600), (0, 610, 640), (1, 0, 863), (2, 100, 195), (3, 50, 170)]
+    found = sequence.split_long(spark.createDataFrame(ranges, "strip_id long, start int, end int"), rows, most=120, target=100, reach=30, margin=25).collect()
+    wanted = []
+    for s, start, end in ranges:
+        strip = [r for r in raw if r[0] == s]
+        paper = float(np.percentile([r[2] for r in strip], 88))
+        while end - start > 120:
+            low, high = max(start + 25, start + 70), min(end - 25, start + 130)
+            cut = min(range(low, high), key=lambda y: round(abs(strip[y][2] - paper) / 255 + 3 * strip[y][4], 12)) if high > low else start + 120
+            wanted.append((s, start, cut))
+            start = cut
+        wanted.append((s, start, end))
+    assert sorted((r.strip_id, r.start, r.end) for r in found) == sorted(wanted)
+    with pytest.raises(ValueError):
+        sequence.split_long(rows, rows, target=100, reach=50)
+
+
+def test_parts_end_at_sections_or_safe_rows(spark):
+    raw, rows = random_rows(spark)
+    ends = [(0, e) for e in (40, 150, 160, 330, 700, 899)] + [(1, 863)] + [(2, e) for e in range(30, 820, 30)]
+    found = sequence.part_cuts(spark.createDataFrame(ends, "strip_id long, y_end int"), rows, most=150, shortest=20, before=20, after=10, margin=30).collect()
+    for s in range(4):
+        strip = [r for r in raw if r[0] == s]
+        total, at, wanted = len(strip), 0, []
+        while total - at > 150:
+            near = [e for k, e in ends if k == s and 0 < e < total and at + 82 <= e <= at + 150]
+            low, high = max(at + 30, at + 130), min(total - 1, at + 160)
+            cut = max(near) if near else max(range(low, high), key=lambda y: (round(strip[y][2] / 255 - 2.5 * strip[y][4], 12), -y)) if high > low else at + 150
+            wanted.append((at, cut))
+            at = cut
+        wanted.append((at, total))
+        assert sorted((r.start, r.end) for r in found if r.strip_id == s) == wanted
+
+
+def test_scenes_count_their_bubbles(spark):
+    _, rows = random_rows(spark)
+    boxes = [(0, "a", 10, 5, 200, 60), (0, "b", 10, 840, 200, 200), (0, "c", 700, 100, 100, 40)]
+    scenes = sequence.scene_detection(rows, spark.createDataFrame(boxes, "strip_id long, box_id string, x int, y int, width int, height int"), spacing=30, least=60, most=240, target=120, trim=40).collect()
+    own = sorted((r for r in scenes if r.strip_id == 0), key=lambda r: r.start)
+    assert own[0].start == 0 and own[-1].end == 900 and all(a.end <= b.start for a, b in zip(own, own[1:]))
+    assert sum(r.bubbles for r in own) >= 3 and own[-1].cut_bubbles == 1 and all(0 <= r.bubble_share <= 1 for r in own)
+    assert all(r.bubbles == 0 for r in scenes if r.strip_id)
+
+
+def test_beats_are_those_of_plain_means(spark):
+    raw, rows = random_rows(spark, 1, 700)
+    found = {r.y: r.strength for r in sequence.action_beats(rows, width=100, least=0.0).collect()}
+    span, gap, window, radius = 48, 9, 17, 12
+    values = np.array([[r[k] for k in (2, 3, 4, 5, 6, 7, 8)] for r in raw]) * [s for _, s, _ in sequence.BEATS]
+    smooth = np.column_stack([np.convolve(v, np.ones(window) / window, "same") for v in values.T])
+    score = {y: round(float(np.abs(smooth[y - span : y - gap].mean(0) - smooth[y + gap : y + span].mean(0)) @ [w for _, _, w in sequence.BEATS]), 8) for y in range(span, 700 - span)}
+    least = float(np.percentile(list(score.values()), 94))
+    wanted = {y: s for y, s in score.items() if s >= least and s >= max(v for k, v in score.items() if abs(k - y) <= radius)}
+    assert found.keys() == wanted.keys() and all(abs(found[y] - wanted[y]) < 1e-7 for y in wanted)
 
 
 def test_attempts_follow_the_plain_state_machine(spark):
