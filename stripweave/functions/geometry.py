@@ -63,6 +63,12 @@ def fit_scale(width: Column, height: Column, target_width: int) -> tuple[Column,
     return F.lit(target_width), F.greatest(F.lit(1), F.floor(height * target_width / width + 0.5)).cast("int")
 
 
+def optimal_width(width: Column, height: Column, target: int = 1200) -> tuple[Column, Column, Column]:
+    """Size at the target width, rows rounded down, and the longest side then allowed; a page of that width stays as it is."""
+    rows = F.when(width == target, height).otherwise(F.floor(height * (target / width)).cast("int"))
+    return F.lit(target), rows, F.greatest(F.lit(target), rows)
+
+
 def rotate_hint(width: Column, height: Column) -> Column:
     return width > height * 1.5
 

@@ -133,9 +133,10 @@ def tagged_lines(text: Column) -> Column:
 
 
 def series_id(name: Column) -> Column:
-    """The name's first 30 word characters and eight digits of its hash; ``unknown_series`` where there is no name."""
-    clean = F.substring(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), 1, 30)
-    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "unknown_series").otherwise(F.concat(clean, F.lit("_"), F.substring(F.md5(F.encode(name, "UTF-8")), 1, 8)))
+    """The name in small letters, trimmed: its first 30 word characters and hyphens, spaces as underscores, and eight digits of its hash; ``unknown_series`` where there is no name."""
+    low = F.regexp_replace(F.lower(name), r"(?U)^\s+|\s+$", "")
+    clean = F.substring(F.regexp_replace(F.regexp_replace(low, r"(?U)[^\w\s-]", ""), r"(?U)\s+", "_"), 1, 30)
+    return F.when(F.coalesce(name, F.lit("")) == "", "unknown_series").otherwise(F.concat(clean, F.lit("_"), F.substring(F.md5(F.encode(low, "UTF-8")), 1, 8)))
 
 
 def token_estimate(text: Column, characters: int = 3) -> Column:

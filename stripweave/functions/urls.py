@@ -70,10 +70,20 @@ def chapter_number(url: Column, fallback: int | None = None) -> Column:
     return F.coalesce(F.coalesce(named, last).try_cast("int"), F.lit(1))
 
 
-def series_name(url: Column) -> Column:
-    """The path segment after manga, series, comic, title or read, with spaces and capitals; null where there is none."""
-    found = F.regexp_extract(F.lower(url), r"/(?:manga|series|comic|title|read)/([^/?#]+)", 1)
-    return F.initcap(F.replace(F.nullif(found, F.lit("")), F.lit("-"), F.lit(" ")))
+def _title(text: Column) -> Column:
+    """Every run of letters with a capital first and small letters after, hyphens as spaces."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.replace(F.array_join(F.transform(runs, F.initcap), ""), F.lit("-"), F.lit(" "))
+
+
+def series_name(url: Column, given: Column | None = None) -> Column:
+    """The given name; else the path segment after manga, series, comic, title or read; else the last but one of the address's parts; else ``Auto_`` and the domain."""
+    found = F.regexp_extract(url, r"/(?:manga|series|comic|title|read)/([^/?]+)", 1)
+    parts = F.filter(F.split(url, "/"), lambda x: x != "")
+    domain = F.replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("www."), F.lit(""))
+    auto = F.concat(F.lit("Auto_"), F.coalesce(F.nullif(domain, F.lit("")), F.lit("chapter")))
+    name = F.when(found != "", _title(found)).when(F.size(parts) >= 2, _title(F.get(parts, F.size(parts) - 2))).otherwise(auto)
+    return name if given is None else F.coalesce(F.nullif(given, F.lit("")), name)
 
 
 def _any(text: Column, words: Iterable[str]) -> Column:
@@ -88,7 +98,7 @@ SKIP_GENERIC = ("logo", "avatar", "icon", "banner", "thumb", "button", "backgrou
 SKIP_THEME = ("logo", "avatar", "icon", "banner", "button", "background", "zeropixel", "pixel", "tracking", "spacer", "transparent", "ad-", "/ads/", "advertisement", "promo", "sponsor", "favicon", "emoji", "smiley", "captcha", "badge", "gravatar", "wp-content/plugins", "wp-includes")
 SKIP_ENGINE = ("logo", "avatar", "icon", "banner", "button", "background", "zeropixel", "pixel", "tracking", "spacer", "transparent", "gravatar", "captcha", "/ads/")
 SKIP_DOWNLOAD = ("logo", "avatar", "icon", "banner", "button", "background", "zeropixel", "pixel", "tracking", "spacer", "transparent")
-SKIP_CDN = ("thumb", "landing-page", "landing_page", "mobile.jpg", "icon", "logo", "avatar", "profile", "button", "banner", "promo", "cover", "poster", "type=a92", "type=f218", "type=q85", "type=a100", "type=m", "_m.jpg", "_s.jpg", "genre", "title_card", "character", "creator", "notice", "event", "sharing", "facebook", "twitter", "instagram")
+SKIP_CDN = ("thumbnail", "thumb", "landing-page", "landing_page", "mobile.jpg", "icon", "logo", "avatar", "profile", "button", "banner", "ad", "promo", "cover", "poster", "type=a92", "type=f218", "type=q85", "type=a100", "type=m", "_m.jpg", "_s.jpg", "_thumb", "genre", "title_card", "character", "creator", "notice", "event", "sharing", "facebook", "twitter", "instagram")
 JUNK_WORDS = ("logo", "avatar", "icon", "banner", "button", "background", "zeropixel", "pixel", "tracking", "spacer", "transparent", "thumb", "footer", "header")
 AD_MARKS = ("/ad/", "/ads/", "adserver", "advertis")
 
@@ -112,7 +122,7 @@ def url_is_page_cdn_strict(url: Column, host: str = "cdn.", least_width: int = 6
     """Only addresses of the host that hold a long number in an episode, a wide rendition, or a viewer's episode."""
     low = F.lower(url)
     name = F.substring_index(F.substring_index(low, "/", -1), "?", 1)
-    bad = _any(low, SKIP_CDN) | low.rlike(r"(^|[/_.-])ads?([/_.-]|$)")
+    bad = _any(low, SKIP_CDN)
     episode = name.rlike("[0-9]{10,}") & (low.contains("/episode/") | low.contains("viewer") | low.contains("title_no="))
     width = F.regexp_extract(low, "type=w([0-9]+)", 1).try_cast("int")
     wide = F.when(low.contains("type=w") & low.contains("/episode/") & width.isNotNull(), width >= least_width)

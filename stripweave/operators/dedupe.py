@@ -128,18 +128,52 @@ def top_faces(faces: DataFrame, by: str, page_area: Column, n: int = 8, least: f
     return faces.filter(area >= page_area * least).withColumn("rank", at).filter(F.col("rank") <= n)
 
 
-def seam_overlaps(rows: DataFrame, *, most: int = 12, least: int = 2, good: float = 0.94, fair: float = 0.9) -> DataFrame:
+def _overlap_rows(rows: DataFrame, most: int, least: int, step: int) -> DataFrame:
+    """For each page, the one before it and each overlap k (the most that both have, and down by ``step``) the k pairs of rows that then lie on each other: ``strip_id, seq, k``,
+    the rows' vectors ``hv, tv`` and edge vectors ``he, te``, and ``n``, how many pairs there must be."""
+    heights = rows.groupBy("strip_id", "seq").agg(F.max("height").alias("own"))
+    above = heights.select("strip_id", (F.col("seq") + 1).alias("seq"), F.col("own").alias("above"))
+    top = F.least(F.lit(most), "own", "above")
+    ks = heights.join(above, ["strip_id", "seq"]).withColumn("_top", top).filter(F.col("_top") >= least).select("strip_id", "seq", F.explode(F.sequence(F.col("_top"), F.lit(least), F.lit(-step))).alias("k"))
+    head = rows.filter(F.col("y") < most).select("strip_id", "seq", F.col("y").alias("j"), F.col("vec").alias("hv"), F.col("edge_vec").alias("he"))
+    tail = rows.filter(F.col("y") >= F.col("height") - most).select("strip_id", (F.col("seq") + 1).alias("seq"), (F.col("height") - F.col("y")).alias("up"), F.col("vec").alias("tv"), F.col("edge_vec").alias("te"))
+    met = ks.join(head, ["strip_id", "seq"]).filter(F.col("j") < F.col("k")).withColumn("up", F.col("k") - F.col("j"))
+    return met.join(tail, ["strip_id", "seq", "up"])
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two vectors with values from 0 to 1."""
+    return _sum(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))) / F.greatest(F.lit(1), F.size(a))
+
+
+def seam_overlaps(rows: DataFrame, *, most: int = 420, least: int = 24, step: int = 4, good: float = 0.94, fair: float = 0.9, flat: float = 8 / 255) -> DataFrame:
     """``strip_id, seq, overlap, score`` for each page and the one before: for every overlap k the likeness of the last k rows and the first k, as .65 of
-    pixels and .35 of edges; the first k (from the largest) that is good, else the best that is fair, else 0. ``rows`` has ``strip_id, seq, y, height, vec, edge_vec``."""
-    head = rows.filter(F.col("y") < most).select("strip_id", "seq", F.col("y").alias("j"), F.col("vec").alias("hv"), F.col("edge_vec").alias("he"), F.col("height").alias("own"))
-    tail = rows.filter(F.col("y") >= F.col("height") - most).select("strip_id", (F.col("seq") + 1).alias("seq"), (F.col("height") - F.col("y")).alias("up"), F.col("vec").alias("tv"), F.col("edge_vec").alias("te"), F.col("height").alias("above"))
-    ks = head.select("strip_id", "seq", "j", "hv", "he", "own").withColumn("k", F.explode(F.sequence(F.greatest(F.lit(least), F.col("j") + 1), F.lit(most))))
-    met = ks.withColumn("up", F.col("k") - F.col("j")).join(tail, ["strip_id", "seq", "up"]).filter((F.col("k") <= F.col("own")) & (F.col("k") <= F.col("above")))
-    like = lambda a, b: 1 - F.least(F.lit(1.0), F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(a)))
-    score = met.groupBy("strip_id", "seq", "k").agg(F.avg(0.65 * like(F.col("hv"), F.col("tv")) + 0.35 * like(F.col("he"), F.col("te"))).alias("s"), F.count("*").alias("n")).filter(F.col("n") == F.col("k"))
-    score = score.withColumn("s", F.round("s", 9))
-    best = score.groupBy("strip_id", "seq").agg(F.max(F.when(F.col("s") >= good, F.struct("k", "s"))).alias("g"), F.max(F.when(F.col("s") >= fair, F.struct("s", "k"))).alias("f"))
-    return best.select("strip_id", "seq", F.coalesce("g.k", "f.k", F.lit(0)).alias("overlap"), F.coalesce("g.s", "f.s", F.lit(0.0)).alias("score"))
+    pixels and .35 of edges; the first k (from the largest) that is good, else the best that is fair, else 0. Overlaps of which a side is flat (a deviation of less than
+    ``flat``) are not looked at. ``rows`` has ``strip_id, seq, y, height, vec, edge_vec``, values from 0 to 1."""
+    squares = lambda v: _sum(F.transform(v, lambda x: (x * x).cast("double")))
+    plain = lambda v: _sum(F.transform(v, lambda x: x.cast("double")))
+    met = _overlap_rows(rows, most, least, step)
+    likeness = 0.65 * (1 - _apart(F.col("hv"), F.col("tv"))) + 0.35 * (1 - _apart(F.col("he"), F.col("te")))
+    sums = {f"{kind}{side}": F.sum(f(F.col(side))) for side in ("hv", "tv") for kind, f in (("s_", plain), ("q_", squares))}
+    score = met.groupBy("strip_id", "seq", "k").agg(F.avg(likeness).alias("s"), F.count("*").alias("n"), F.sum(F.size("hv")).alias("_size"), *(c.alias(n) for n, c in sums.items())).filter(F.col("n") == F.col("k"))
+    deviation = lambda side: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{side}") / F.col("_size") - F.pow(F.col(f"s_{side}") / F.col("_size"), 2)))
+    score = score.filter((deviation("hv") >= flat) & (deviation("tv") >= flat)).select("strip_id", "seq", "k", F.round("s", 9).alias("s"))
+    best = score.groupBy("strip_id", "seq").agg(F.max(F.when(F.col("s") >= good, F.struct("k", "s"))).alias("g"), F.max(F.struct("s", "k")).alias("f"))
+    pages = rows.select("strip_id", "seq").distinct().filter(F.col("seq") > 0)
+    best = pages.join(best, ["strip_id", "seq"], "left")
+    some = F.when(F.col("f.s") >= fair, F.col("f.k"))
+    return best.select("strip_id", "seq", F.coalesce("g.k", some, F.lit(0)).alias("overlap"), F.coalesce("g.s", "f.s", F.lit(0.0)).alias("score"))
+
+
+def seam_first_fit(rows: DataFrame, *, most: int = 300, least: int = 30, step: int = 1, difference: float = 0.04) -> DataFrame:
+    """``strip_id, seq, overlap``: the largest overlap at which the rows differ by no more than ``difference`` on average, else 0. ``rows`` as for ``seam_overlaps``."""
+    met = _overlap_rows(rows, most, least, step).groupBy("strip_id", "seq", "k").agg(F.avg(_apart(F.col("hv"), F.col("tv"))).alias("d"), F.count("*").alias("n"))
+    best = met.filter((F.col("n") == F.col("k")) & (F.round("d", 12) <= difference)).groupBy("strip_id", "seq").agg(F.max("k").alias("overlap"))
+    return rows.select("strip_id", "seq").distinct().filter(F.col("seq") > 0).join(best, ["strip_id", "seq"], "left").na.fill(0, ["overlap"])
 
 
 def false_splits(panels: DataFrame, least: float = 0.96) -> DataFrame:

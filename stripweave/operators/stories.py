@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Capitalised words that are not names.
-STOP_NAMES = ("The", "And", "But", "For", "Not", "You", "She", "Her", "His", "Him", "They", "This", "That", "With", "From", "What", "When", "Where", "Who", "Why", "How", "Panel", "Narrator", "SFX", "Scene", "Chapter")
+#: Capitalised words that are not names, words that tell of two people, and words that tell of action.
+STOP_NAMES = ("Panel", "Chapter", "The", "And", "But", "This", "That")
+TALK_WORDS = ("you", "your", "me", "my", "us", "we")
+ACTION_WORDS = ("fight", "run", "attack", "move", "go")
 
 
 def story_names(chapters: DataFrame, least: int = 2) -> DataFrame:
     """``series, chapter, name, n``: capitalised words of more than two letters that come up at least so often."""
-    words = chapters.select("series", "chapter", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("name")).filter(F.col("name").rlike("^[A-Z][a-z]{2,}$") & ~F.col("name").isin(*STOP_NAMES))
+    words = chapters.select("series", "chapter", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("name")).filter(F.col("name").rlike("^[A-Z][a-z]{2,}$") & ~F.col("name").isin(*STOP_NAMES))
     return words.groupBy("series", "chapter", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def _holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
+
+
 def chapter_summary(chapters: DataFrame) -> DataFrame:
-    """Per chapter: its key lines (the first two, and the last two of more than four), up to three of its first ten lines with two speakers' marks, flags and counts."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Per chapter, from what follows a bracketed tag: its key lines (the first two, and the last two of more than four), up to three of its first ten lines that speak of
+    two people, cut to 100 characters, flags and counts."""
+    lines = F.regexp_extract_all("text", F.lit(r"(?d)\[.*?\]\s*(.+)"), F.lit(1))
     rows = chapters.withColumn("_l", lines).withColumn("_n", F.size("_l"))
     last = F.when(F.col("_n") > 4, F.slice("_l", F.col("_n") - 1, F.lit(2))).otherwise(F.array().cast("array<string>"))
-    talks = F.slice(F.transform(F.filter(F.slice("_l", 1, 10), lambda x: x.contains(",")), lambda x: F.substring(x, 1, 100)), 1, 3)
+    talks = F.slice(F.transform(F.filter(F.slice("_l", 1, 10), lambda x: _holds_any(x, TALK_WORDS)), lambda x: F.substring(x, 1, 100)), 1, 3)
     return rows.select(
         "series", "chapter", F.concat(F.slice("_l", 1, 2), last).alias("key_dialogue"), talks.alias("interactions"), F.length("text").cast("long").alias("text_length"),
-        F.col("text").contains("!").alias("has_action"), F.col("text").rlike("[?!]").alias("has_emotion"), F.col("_n").cast("long").alias("dialogue_count"),
+        _holds_any(F.col("text"), ACTION_WORDS).alias("has_action"), F.col("text").contains("[").alias("has_emotion"), F.col("_n").cast("long").alias("dialogue_count"),
     )
 
 
@@ -33,11 +40,11 @@ def series_characters(names: DataFrame) -> DataFrame:
 
 
 def retained_chapters(summaries: DataFrame, *, most: int = 30, recent: int = 20, older: int = 10) -> DataFrame:
-    """Of a series with more chapters than ``most`` the recent ones and the best of the older, by twice its characters, lines and action; else all. A snapshot: what is left out may come back."""
+    """Of a series with more chapters than ``most`` the recent ones and the best of the older, by twice its characters, lines and action, ties to the older; else all. A snapshot: what is left out may come back."""
     series = Window.partitionBy("series")
     rows = summaries.withColumn("_n", F.count("*").over(series)).withColumn("_age", F.row_number().over(series.orderBy(F.desc("chapter"))))
     score = 2 * F.col("characters") + 0.1 * F.col("dialogue_count") + F.when(F.col("has_action"), 5).otherwise(0)
-    rows = rows.withColumn("_score", score).withColumn("_best", F.row_number().over(Window.partitionBy("series", F.col("_age") > recent).orderBy(F.desc("_score"), F.desc("chapter"))))
+    rows = rows.withColumn("_score", score).withColumn("_best", F.row_number().over(Window.partitionBy("series", F.col("_age") > recent).orderBy(F.desc("_score"), "chapter")))
     keep = (F.col("_n") <= most) | (F.col("_age") <= recent) | (F.col("_best") <= older)
     return rows.filter(keep).withColumn("why", F.when(F.col("_n") <= most, "all").when(F.col("_age") <= recent, "recent").otherwise("best")).drop("_n", "_age", "_best", "_score")
 
@@ -52,14 +59,22 @@ def token_budget(chapters: DataFrame, budget: int, *, most: int = 10) -> DataFra
 
 
 def context_digest(characters: DataFrame, summaries: DataFrame, *, top: int = 6, lines: int = 3, width: int = 30) -> DataFrame:
-    """``series, digest`` (JSON): the most frequent characters, the last key lines cut short, and every max(10, n / 5)-th chapter."""
-    best = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("appearances"), "name"))
-    cast = characters.withColumn("_r", best).filter(F.col("_r") <= top).groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda c: c["name"]).alias("characters"))
+    """``series, digest`` (JSON): chapters in all, the most frequent characters with their appearances and first and last chapter, the first key line of the last chapters,
+    cut short, and of every max(10, n / 5)-th chapter its number of characters and whether it has action."""
+    best = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("appearances"), "first_chapter", "name"))
+    about = F.struct(F.col("appearances").alias("app"), F.col("first_chapter").alias("first"), F.col("last_seen").alias("last"))
+    cast = characters.withColumn("_r", best).filter(F.col("_r") <= top).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("_r", "name", about.alias("about")))).alias("_c"))
+    cast = cast.select("series", F.map_from_entries(F.transform("_c", lambda c: F.struct(c["name"], c["about"]))).alias("main_characters"))
     series = Window.partitionBy("series")
     s = summaries.withColumn("_n", F.count("*").over(series)).withColumn("_age", F.row_number().over(series.orderBy(F.desc("chapter")))).withColumn("_i", F.row_number().over(series.orderBy("chapter")) - 1)
-    latest = s.filter(F.col("_age") <= lines).groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter", F.substring(F.get("key_dialogue", F.lit(0)), 1, width).alias("l")))), lambda x: x["l"]).alias("lines"))
-    marks = s.filter(F.col("_i") % F.greatest(F.lit(10), F.floor(F.col("_n") / 5)) == 0).groupBy("series").agg(F.array_sort(F.collect_list("chapter")).alias("chapters"))
-    return latest.join(cast, "series", "left").join(marks, "series").select("series", F.to_json(F.struct("characters", "lines", "chapters")).alias("digest"))
+    event = F.struct(F.col("chapter").alias("ch"), F.concat(F.substring(F.get("key_dialogue", F.lit(0)), 1, width), F.lit("...")).alias("key"))
+    mark = F.struct(F.col("chapter").alias("ch"), F.col("characters").alias("c"), F.col("has_action").alias("act"))
+    told = s.groupBy("series").agg(
+        F.max("_n").alias("total_chapters"), F.array_sort(F.collect_list(F.when((F.col("_age") <= lines) & (F.size("key_dialogue") > 0), event))).alias("recent_events"),
+        F.array_sort(F.collect_list(F.when(F.col("_i") % F.greatest(F.lit(10), F.floor(F.col("_n") / 5)) == 0, mark))).alias("series_progression"),
+    )
+    rows = told.join(cast, "series", "left").withColumn("main_characters", F.coalesce("main_characters", F.from_json(F.lit("{}"), cast.schema["main_characters"].dataType)))
+    return rows.select("series", F.to_json(F.struct("total_chapters", "main_characters", "recent_events", "series_progression")).alias("digest"))
 
 
 def series_report(characters: DataFrame, summaries: DataFrame) -> DataFrame:

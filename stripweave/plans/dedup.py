@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stripweave.functions import geometry as G
 from stripweave.functions import vectors as V
@@ -26,8 +27,15 @@ _scalar("avg_hash64", "@embeddings", ["vec_id"], lambda: {"bits": F.bit_count(V.
 _scalar("hash_similarity", "@events", ["event_id"], lambda: {"s": V.hash_similarity(C("event_id"), C("user_id"))}, "SELECT event_id, 1 - bit_count(xor(event_id, user_id)) / 64 AS s FROM events")
 _scalar("bbox_iou", "boxes", ["image_id", "ann_id"], lambda: {"iou": F.round(G.bbox_iou(G.box(), (F.lit(100.0), F.lit(100.0), F.lit(200.0), F.lit(200.0))), 9)}, with_feeds(
     "SELECT image_id, ann_id, round(i / greatest(1.0, w * h + 40000 - i), 9) AS iou FROM (SELECT *, greatest(0, least(x + w, 300) - greatest(x, 100)) * greatest(0, least(y + h, 300) - greatest(y, 100)) AS i FROM boxes) b", "boxes"))
-_scalar("jaccard_tokens", "blocks", ["chapter", "block"], lambda: {"j": F.round(G.jaccard_tokens(C("text"), F.substring("text", 1, 200)), 9)}, with_feeds(
-    "SELECT chapter, block, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 9) AS j FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) AS b FROM blocks) x", "blocks"))
+
+
+@query("jaccard_tokens", with_feeds("""SELECT chapter, block, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 9) AS j
+FROM (SELECT chapter, block, a, coalesce(lead(a) OVER (PARTITION BY chapter ORDER BY block), []) AS b FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM blocks) x) y""", "blocks"))
+def jaccard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's text with the next one's."""
+    following = F.coalesce(F.lead("text").over(Window.partitionBy("chapter").orderBy("block")), F.lit(""))
+    return feed(spark, sf_dir, "blocks").select("chapter", "block", F.round(G.jaccard_tokens(C("text"), following), 9).alias("j"))
+
 
 #: Pages with hashes of which many differ in a few bits only.
 HASHED = "SELECT concat('c', CAST(vec_id % 5 AS STRING)) AS chapter, vec_id AS seq, CAST((vec_id // 40) * 1000003 + (vec_id % 3) AS BIGINT) AS hash FROM embeddings"
@@ -94,22 +102,32 @@ def signature_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 24 rows each; the last four rows of a page are the first four of the next."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("vec"))
+    """Pages of 24 rows each, all values brought to 0 to 1; the last four rows of a page are the first four of the next."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") + 0.5))).alias("vec"))
     page = lambda shift: e.select((C("vec_id") % 4).alias("strip_id"), F.floor(C("vec_id") / 80).alias("seq"), (F.floor(C("vec_id") / 4) % 20 + shift).cast("int").alias("y"), "vec")
     rows = page(0).unionByName(page(0).filter("y < 4").select("strip_id", (C("seq") - 1).alias("seq"), (C("y") + 20).alias("y"), "vec").filter("seq >= 0"))
-    edges = F.transform("vec", lambda x: F.when(x > 0.1, 1.0).otherwise(0.0))
+    edges = F.transform("vec", lambda x: F.when(x > 0.6, 1.0).otherwise(0.0))
     return rows.withColumn("height", F.lit(24)).withColumn("edge_vec", edges)
 
 
-@query("seam_overlap_join")
+VECTORS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0.0, least(1.0, x::DOUBLE + 0.5))) AS vec FROM embeddings),
+p AS (SELECT vec_id % 4 AS strip_id, vec_id // 80 AS seq, (vec_id // 4) % 20 AS y, vec FROM e), v AS (SELECT *, list_transform(vec, lambda x: CASE WHEN x > 0.6 THEN 1.0 ELSE 0.0 END::DOUBLE) AS edge FROM (SELECT * FROM p UNION ALL SELECT strip_id, seq - 1, y + 20, vec FROM p WHERE y < 4 AND seq > 0) u),
+ks AS (SELECT strip_id, seq, unnest([12, 10, 8, 6, 4, 2]) AS k FROM (SELECT DISTINCT strip_id, seq FROM v) d WHERE EXISTS (SELECT 1 FROM p WHERE p.strip_id = d.strip_id AND p.seq = d.seq - 1)),
+m AS (SELECT ks.strip_id, ks.seq, k, count(*) AS n, avg(list_avg(list_transform(list_zip(h.vec, t.vec), lambda z: abs(z[1] - z[2])))) AS d, avg(list_avg(list_transform(list_zip(h.edge, t.edge), lambda z: abs(z[1] - z[2])))) AS de
+FROM ks JOIN v h ON h.strip_id = ks.strip_id AND h.seq = ks.seq AND h.y < k JOIN v t ON t.strip_id = ks.strip_id AND t.seq = ks.seq - 1 AND t.y = 24 - k + h.y GROUP BY ALL),
+pages AS (SELECT DISTINCT strip_id, seq FROM v WHERE seq > 0)"""
+
+
+@query("seam_overlap_join", f"""WITH {VECTORS}, s AS (SELECT strip_id, seq, k, round(0.65 * (1 - d) + 0.35 * (1 - de), 9) AS s FROM m WHERE n = k),
+b AS (SELECT strip_id, seq, max(k) FILTER (s >= 0.94) AS gk, arg_max(s, k) FILTER (s >= 0.94) AS gs, max(s) AS fs, arg_max(k, s) AS fk FROM s GROUP BY 1, 2)
+SELECT strip_id, seq, coalesce(gk, CASE WHEN fs >= 0.9 THEN fk END, 0) AS overlap, coalesce(gs, fs, 0) AS score FROM pages LEFT JOIN b USING (strip_id, seq)""")
 def seam_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.seam_overlaps(_vectors(spark, sf_dir))
+    return O.seam_overlaps(_vectors(spark, sf_dir), most=12, least=2, step=2)
 
 
-@query("seam_overlap_first_fit")
+@query("seam_overlap_first_fit", f"WITH {VECTORS} SELECT strip_id, seq, coalesce(max(k) FILTER (n = k AND round(d, 12) <= 0.04), 0) AS overlap FROM pages LEFT JOIN m USING (strip_id, seq) GROUP BY 1, 2")
 def seam_overlap_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.seam_overlaps(_vectors(spark, sf_dir), good=0.96, fair=2.0)
+    return O.seam_first_fit(_vectors(spark, sf_dir), most=12, least=2, step=2)
 
 
 @query("merge_false_splits", "WITH p AS (SELECT user_id AS strip_id, event_id AS seq, value < 200 AS hit FROM events), g AS (SELECT *, coalesce(sum((NOT hit)::INT) OVER (PARTITION BY strip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM p), f AS (SELECT *, hit AND row_number() OVER (PARTITION BY strip_id, run ORDER BY seq) % 2 = 1 AS one FROM g) SELECT strip_id, seq, one OR coalesce(lag(one) OVER (PARTITION BY strip_id ORDER BY seq), false) AS merged FROM f")

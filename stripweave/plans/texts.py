@@ -73,8 +73,8 @@ _scalar(
 )
 _scalar("natural_key", "files", ["doc_id"], lambda: {"key": X.natural_key(F.col("name"))}, with_feeds(
     "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(ltrim(x, '0'), 20, '0') ELSE '1' || x END), chr(1)) AS key FROM files", "files"))
-_scalar("series_id", "files", ["doc_id"], lambda: {"id": X.series_id(F.concat_ws(" ", "series", "chapter"))}, with_feeds(
-    "SELECT doc_id, substr(regexp_replace(lower(trim(s)), '[^a-z0-9]+', '_', 'g'), 1, 30) || '_' || substr(md5(s), 1, 8) AS id FROM (SELECT doc_id, series || ' ' || chapter AS s FROM files) f", "files"))
+_scalar("series_id", "files", ["doc_id"], lambda: {"id": X.series_id(F.concat(F.lit(" "), "series", F.lit("  The "), "chapter", F.lit("!-")))}, with_feeds(
+    r"SELECT doc_id, substr(regexp_replace(regexp_replace(l, '[^\w\s-]', '', 'g'), '\s+', '_', 'g'), 1, 30) || '_' || substr(md5(l), 1, 8) AS id FROM (SELECT doc_id, lower(trim(series || '  The ' || chapter || '!-')) AS l FROM files) f", "files"))
 _scalar("token_estimate", "@documents", ["doc_id"], lambda: {"by3": X.token_estimate(F.col("text")), "by4": X.token_estimate(F.col("text"), 4)}, "SELECT doc_id, greatest(1, length(text) // 3)::INT AS by3, greatest(1, length(text) // 4)::INT AS by4 FROM documents")
 _scalar("extract_tagged_lines", "blocks", ["chapter", "block"], lambda: {"lines": F.array_join(X.tagged_lines(F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n[x]")))), "|")}, with_feeds(
     r"SELECT chapter, block, array_to_string(regexp_extract_all('[' || speaker || '] ' || replace(text, chr(10), chr(10) || '[x]'), '\[[^\]\n]*\][ \t]*([^\n]+)', 1), '|') AS lines FROM blocks", "blocks"))
@@ -89,7 +89,8 @@ _scalar("domain_lower_replace", "@pages", PAGE, lambda: {"domain": U.domain_lowe
 _scalar("url_key", "@pages", PAGE, lambda: {"key": U.url_key(F.col("url")), "same": U.same_page(F.col("url"), F.concat(F.col("url"), F.lit("/#x")))}, "SELECT page_id, rtrim(string_split(url, '#')[1], '/') AS key, rtrim(regexp_extract(url, '^([^?#]*)', 1), '/') = rtrim(regexp_extract(url || '/#x', '^([^?#]*)', 1), '/') AS same FROM pages")
 _scalar("chapter_number", "@pages", PAGE, lambda: {"last": U.chapter_number(F.col("url")), "first": U.chapter_number(F.concat(F.lit("x/ch-"), F.col("page_id")), 7), "none": U.chapter_number(F.col("url"), 7)},
     "SELECT page_id, coalesce(list_last(regexp_extract_all(lower(url), '[0-9]+'))::INT, 1) AS last, page_id::INT AS first, coalesce(nullif(regexp_extract(lower(url), '(?:chapter|ch|episode|ep)[-_]?([0-9]+)', 1), '')::INT, 7) AS none FROM pages")
-_scalar("series_name", "@pages", PAGE, lambda: {"name": U.series_name(F.concat(F.lit("https://a.example/series/big-"), F.col("page_id"), F.lit("-story/chapter-1"))), "none": U.series_name(F.col("url"))}, "SELECT page_id, 'Big ' || page_id || ' Story' AS name, NULL::VARCHAR AS none FROM pages")
+_scalar("series_name", "@pages", PAGE, lambda: {"name": U.series_name(F.concat(F.lit("https://a.example/series/big-"), F.col("page_id"), F.lit("-story/chapter-1"))), "given": U.series_name(F.col("url"), F.when(F.col("page_id") % 2 == 0, "Own name")), "last": U.series_name(F.concat(F.lit("https://www.a.example/o'neil-2nd/"), "page_id")), "auto": U.series_name(F.concat(F.lit("p"), "page_id"))},
+    "SELECT page_id, 'Big ' || page_id || ' Story' AS name, 'O''Neil 2Nd' AS last, 'Auto_chapter' AS auto, CASE WHEN page_id % 2 = 0 THEN 'Own name' ELSE (SELECT string_agg(upper(x[1]) || substr(x, 2), '' ORDER BY k) FROM (SELECT unnest(r) AS x, unnest(range(len(r))) AS k FROM (SELECT regexp_extract_all(lower(replace(string_split(u, '/')[-2], '-', ' ')), '[a-z]+|[^a-z]+') AS r) q) t) END AS given FROM (SELECT page_id, rtrim(url, '/') AS u FROM pages) p")
 _scalar("abs_url", "@pages", PAGE, lambda: {"rooted": U.abs_url(F.lit("/a?b"), F.col("url")), "up": U.abs_url(F.lit("../x/./y"), F.lit("https://h.example/a/b/c")), "other": U.abs_url(F.lit("//o.example/z"), F.col("url"))},
     "SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/a?b' AS rooted, 'https://h.example/a/x/y' AS up, regexp_extract(url, '^([A-Za-z]+):', 1) || '://o.example/z' AS other FROM pages")
 
@@ -127,7 +128,7 @@ def _link_rule(name: str, rule: Callable[[], Column], sql: str) -> None:
 PATH = "regexp_extract(low, '^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)"
 _link_rule("url_is_page_generic", lambda: U.url_is_page_generic(F.col("url")), rf"NOT {_any_sql('low', U.SKIP_GENERIC)} AND (regexp_matches({PATH}, '\.(jpg|jpeg|png|webp|gif|avif)$') OR contains(low, 'image') OR contains({PATH}, 'img'))")
 _link_rule("url_is_page_theme", lambda: U.url_is_page_theme(F.col("url")), rf"(regexp_matches(low, '\.(jpg|jpeg|png|webp|gif)') OR contains(low, 'image')) AND NOT {_any_sql('low', U.SKIP_THEME)} AND coalesce(NOT (try_cast(regexp_extract(low, '[/=_-]([0-9]+)x([0-9]+)', 1) AS INT) < 50 OR try_cast(regexp_extract(low, '[/=_-]([0-9]+)x([0-9]+)', 2) AS INT) < 50), true)")
-_link_rule("url_is_page_cdn_strict", lambda: U.url_is_page_cdn_strict(F.col("url")), rf"""CASE WHEN {_any_sql('low', U.SKIP_CDN)} OR regexp_matches(low, '(^|[/_.-])ads?([/_.-]|$)') OR NOT contains(low, 'cdn.') THEN false
+_link_rule("url_is_page_cdn_strict", lambda: U.url_is_page_cdn_strict(F.col("url")), rf"""CASE WHEN {_any_sql('low', U.SKIP_CDN)} OR NOT contains(low, 'cdn.') THEN false
  WHEN regexp_matches(string_split(list_last(string_split(low, '/')), '?')[1], '[0-9]{{10,}}') AND (contains(low, '/episode/') OR contains(low, 'viewer') OR contains(low, 'title_no=')) THEN true
  WHEN contains(low, 'type=w') AND contains(low, '/episode/') THEN try_cast(regexp_extract(low, 'type=w([0-9]+)', 1) AS INT) >= 600 ELSE contains(low, 'viewer') AND contains(low, 'episode_no=') END""")
 _link_rule("url_is_page_engine", lambda: U.url_is_page_engine(F.col("url")), rf"NOT {_any_sql('low', U.SKIP_ENGINE)} AND (regexp_matches(string_split(low, '?')[1], '\.(jpg|jpeg|png|webp)') OR contains(low, 'image') OR contains(low, 'img'))")
