@@ -20,13 +20,14 @@ def exact_hash_dedupe(pages: DataFrame, by: Sequence[str] = ("chapter",), order:
 
 
 def hash_pairs(pages: DataFrame, most_bits: int = 3, bits: int = 64) -> DataFrame:
-    """``chapter, a, b`` (a before b) of pages whose hashes differ in at most so many bits: exact. Of ``most_bits`` + 1 bands at least one is equal in such a pair. Pages with
+    """``chapter, a, b`` (a before b) of pages whose hashes differ in at most so many bits: exact. Of ``most_bits`` + 2 bands at least two are equal in such a pair, so pages
+    meet by pairs of bands: a stretch that many pages have in common, such as a blank one, does not bring them all together. Pages with
     equal hashes meet through the first of them only; the fold in order needs no more."""
-    bands = most_bits + 1
+    bands = most_bits + 2
     size = -(-bits // bands)
     first = exact_hash_dedupe(pages)
-    mask = (1 << size) - 1
-    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", size * k).bitwiseAND(mask if size < 63 else -1).alias("key")) for k in range(bands)))
+    part = [F.shiftrightunsigned("hash", size * k).bitwiseAND((1 << size) - 1) for k in range(bands)]
+    keys = F.array(*(F.struct(F.lit(i * bands + j).alias("band"), (F.shiftleft(part[i], size) + part[j]).alias("key")) for i in range(bands) for j in range(i)))
     rows = first.select("chapter", "seq", "hash", F.explode(keys).alias("_b")).select("chapter", "seq", "hash", "_b.band", "_b.key")
     x, y = (rows.select("chapter", "band", "key", *(F.col(c).alias(c + s) for c in ("seq", "hash"))) for s in "xy")
     met = x.join(y, ["chapter", "band", "key"]).filter((F.col("seqx") < F.col("seqy")) & (V.hash_distance(F.col("hashx"), F.col("hashy")) <= most_bits))
@@ -69,17 +70,17 @@ def text_block_dedupe(blocks: DataFrame, by: str, likeness: float = 0.86, overla
 
 def _keep_best(boxes: DataFrame, by: str, near: object, likeness: float | None, cell: int = 128) -> DataFrame:
     """Boxes meet in the grid cells that they share, so far ones are never paired."""
-    text = ["text"] if likeness is not None else []
-    rows = boxes.filter((F.col("w") > 0) & (F.col("h") > 0)).select(by, "box_id", "x", "y", "w", "h", "confidence", *text)
+    rows = boxes.filter((F.col("w") > 0) & (F.col("h") > 0)).select(by, "box_id", "x", "y", "w", "h", "confidence")
     span = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
     rows = rows.withColumn("_cx", F.explode(span(F.col("x"), F.col("w")))).withColumn("_cy", F.explode(span(F.col("y"), F.col("h"))))
-    names = ["box_id", "x", "y", "w", "h", "confidence", *text]
+    names = ["box_id", "x", "y", "w", "h", "confidence"]
     a, b = (rows.select(by, "_cx", "_cy", *(F.col(c).alias(s + c) for c in names)) for s in ("a_", "b_"))
     rank = lambda s: F.struct(-F.col(s + "confidence"), F.col(s + "y"), F.col(s + "x"), F.col(s + "box_id"))
-    met = a.join(b, [by, "_cx", "_cy"]).filter((rank("a_") < rank("b_")) & near(G.box("a_"), G.box("b_")))
-    if likeness is not None:
-        met = met.filter(G.jaccard_tokens(F.col("a_text"), F.col("b_text")) > likeness)
-    pairs = met.select(by, "a_box_id", "b_box_id").distinct().groupBy(by, F.col("b_box_id").alias("box_id")).agg(F.sort_array(F.collect_list("a_box_id")).alias("near"))
+    met = a.join(b, [by, "_cx", "_cy"]).filter((rank("a_") < rank("b_")) & near(G.box("a_"), G.box("b_"))).select(by, "a_box_id", "b_box_id").distinct()
+    if likeness is not None:  # texts join pairs, not the cells that a pair shares
+        x, y = (boxes.select(by, F.col("box_id").alias(s + "box_id"), F.col("text").alias(s + "text")) for s in ("a_", "b_"))
+        met = met.join(x, [by, "a_box_id"]).join(y, [by, "b_box_id"]).filter(G.jaccard_tokens(F.col("a_text"), F.col("b_text")) > likeness)
+    pairs = met.groupBy(by, F.col("b_box_id").alias("box_id")).agg(F.sort_array(F.collect_list("a_box_id")).alias("near"))
     every = boxes.select(by, "box_id", "x", "y", (-F.col("confidence")).alias("_less")).join(pairs, [by, "box_id"], "left")
     linked = every.filter(F.col("near").isNotNull()).select(by).distinct()
     folded = _greedy(every.join(linked, by, "left_semi"), by, ["_less", "y", "x", "box_id"], "box_id", dict(boxes.dtypes)["box_id"])

@@ -67,15 +67,39 @@ def line_blocks(lines: DataFrame, key: str = "panel_id") -> DataFrame:
     return ordered_fold(rows, key, ["y", "x", "text"], lambda _: {}, step, finish, f"{key} {dict(lines.dtypes)[key]}, block int, text string, x int, y int, w int, h int, conf double, lines int")
 
 
-def dialogue_blocks(words: DataFrame, threshold: float = 55) -> DataFrame:
-    """Blocks of each panel's best reading, cleaned, with name hint, kind and reading order."""
+def with_fallback(blocks: DataFrame, words: DataFrame, fallback: DataFrame | None, least: int = 250) -> DataFrame:
+    """``blocks`` and, for panels whose best reading has less than so many votes or none, those of another engine (``panel_id, text, x, y, w, h, conf``)."""
+    if fallback is None:
+        return blocks
+    well = variant_vote(words).filter(F.col("votes") >= least).select("panel_id")
+    first = blocks.groupBy("panel_id").agg(F.max("block").alias("_last"))
+    more = fallback.join(well, "panel_id", "left_anti").join(first, "panel_id", "left")
+    at = F.row_number().over(Window.partitionBy("panel_id").orderBy("y", "x", "text")) + F.coalesce("_last", F.lit(0))
+    more = more.select("panel_id", at.cast("int").alias("block"), "text", *(F.col(c).cast("int").alias(c) for c in "xywh"), F.col("conf").cast("double").alias("conf"), F.lit(1).alias("lines"))
+    return blocks.unionByName(more)
+
+
+def dialogue_blocks(words: DataFrame, threshold: float = 55, *, fallback: DataFrame | None = None, panels: DataFrame | None = None) -> DataFrame:
+    """Blocks of each panel's best reading, or of another engine's where that is poor, nearly equal ones that overlap only once, cleaned, with name hint, box style, kind and
+    reading order. ``panels`` has ``panel_id, height, mean, shade_ratio, light_ratio, is_dark``; without it a panel is 1200 high and its boxes' style is mixed."""
+    from stripweave.operators.dedupe import text_block_dedupe
+    from stripweave.operators.panels import box_style
+
     kept = ocr_words(words, threshold)
     best = kept.join(variant_vote(kept).select("panel_id", "variant"), ["panel_id", "variant"])
-    blocks = line_blocks(word_lines(best))
+    blocks = with_fallback(line_blocks(word_lines(best)), kept, fallback)
+    single = text_block_dedupe(blocks.select("panel_id", F.col("block").alias("box_id"), "x", "y", "w", "h", F.col("conf").alias("confidence"), "text"), "panel_id").filter("kept")
+    blocks = blocks.join(single.select("panel_id", F.col("box_id").alias("block")), ["panel_id", "block"], "left_semi")
     blocks = blocks.withColumn("raw_text", F.col("text")).withColumn("text", X.clean_text(F.col("text")))
     blocks = blocks.withColumn("name_hint", X.name_hint(F.col("text"))).withColumn("text", X.hinted_speech(F.col("text")))
-    kind = X.block_type(F.col("text"), F.col("name_hint"), F.col("y"), F.col("h"), F.lit(1200), F.lit("mixed"))
-    return reading_order(blocks.withColumn("kind", kind), ["panel_id"])
+    if panels is None:
+        blocks = blocks.withColumns({"box_style": F.lit("mixed"), "_height": F.lit(1200)})
+    else:
+        style = box_style(F.col("mean"), F.col("shade_ratio"), F.col("light_ratio"), F.col("is_dark"))
+        own = panels.select("panel_id", style.alias("_style"), F.col("height").alias("_own"))
+        blocks = blocks.join(own, "panel_id", "left").withColumns({"box_style": F.coalesce("_style", F.lit("mixed")), "_height": F.coalesce("_own", F.lit(1200))}).drop("_style", "_own")
+    kind = X.block_type(F.col("text"), F.col("name_hint"), F.col("y"), F.col("h"), F.col("_height"), F.col("box_style"))
+    return reading_order(blocks.withColumn("kind", kind), ["panel_id"]).drop("_height")
 
 
 def reading_order(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -122,6 +146,7 @@ class Profiles:
         self.made = 0
         self.all: dict[str, dict] = {}
         self.names: dict[str, str] = {}
+        self.merged: dict[str, str] = {}  # profiles that are part of another now
 
     @staticmethod
     def _key(name: str) -> str:
@@ -150,24 +175,37 @@ class Profiles:
         a["signatures"] = (a["signatures"] + b["signatures"])[-self.signatures :]
         a["first"], a["last"], a["seen"] = min(a["first"], b["first"]), max(a["last"], b["last"]), a["seen"] + b["seen"]
         self.names = {k: keeper if p == duplicate else p for k, p in self.names.items()}
+        self.merged = {k: keeper if p == duplicate else p for k, p in self.merged.items()} | {duplicate: keeper}
+
+    def named(self, name: str, chapter: object) -> str | None:
+        """The profile that goes by the name, made if there is none; nothing for a name without letters and digits."""
+        key = self._key(name)
+        if not key:
+            return None
+        profile = self.names.get(key) or self._new(chapter)
+        self.names[key] = profile
+        if name not in self.all[profile]["aliases"]:
+            self.all[profile]["aliases"] = [*self.all[profile]["aliases"], name][-self.aliases :]
+        return profile
+
+    def display(self, profile: str) -> str:
+        """The first of its names, or its number."""
+        return next(iter(self.all[profile]["aliases"]), profile)
 
     def observe(self, chapter: object, name: str | None, signature: list[float]) -> tuple[str, float, str]:
         """The mention's profile, confidence and reason. A name known under one profile and a face known under another make them one."""
+        by_name = self.named(name, chapter) if name else None
         by_face, near = self.nearest(signature) if signature else (None, 0.0)
-        key = self._key(name) if name else ""
-        by_name = self.names.get(key) if key else None
         if by_name and by_face and by_name != by_face:
             self.merge(by_name, by_face)
             by_face = by_name
-        profile = by_name or by_face
-        reason = "explicit_name" if by_name else "face_match" if by_face else "new_profile"
-        confidence = 0.9 if by_name else near if by_face else 0.5
-        profile = profile or self._new(chapter)
+        if by_face:
+            profile, confidence, reason = by_face, max(near, 0.62) if by_name else near, "matched_face"
+        elif by_name:
+            profile, confidence, reason = by_name, 0.9, "explicit_name"
+        else:
+            profile, confidence, reason = self._new(chapter), 0.42, "new_visual_profile"
         p = self.all[profile]
-        if name and key:
-            self.names[key] = profile
-            if name not in p["aliases"]:
-                p["aliases"] = [*p["aliases"], name][-self.aliases :]
         if signature and min((self._distance(signature, s) for s in p["signatures"]), default=999.0) > self.novelty:
             p["signatures"] = [*p["signatures"], signature][-self.signatures :]
         p["last"], p["seen"] = max(p["last"], chapter), p["seen"] + 1
@@ -191,20 +229,57 @@ def identity_fold(mentions: DataFrame) -> DataFrame:
     return ordered_fold(mentions.select("series", "chapter", "block", "name_hint", "signature"), "series", ["chapter", "block"], lambda _: new_profiles(), step, lambda k, p: [], MENTION)
 
 
-def assign_speakers(blocks: DataFrame, faces: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``speaker, reason, speaker_confidence`` of blocks: sound effects and captions by kind, then the name given, then the nearest face's profile, else Unknown."""
+SPOKEN = "series long, chapter long, panel string, block long, speaker_id string, speaker string, reason string, speaker_confidence double"
+
+
+def assign_speakers(blocks: DataFrame, faces: DataFrame) -> DataFrame:
+    """``blocks`` with ``speaker_id, speaker, reason, speaker_confidence``.
+
+    Sound effects and captions go by kind. Other blocks take the profile of their name, of their panel's nearest face, or of both, which then are one; a face
+    without a profile gets a new one. Profiles live through a series, in order of chapter, panel and block; faces are matched when their panel begins. A series
+    is one fold: what it holds is bounded by its characters. ``blocks`` has ``series, chapter, panel, block, kind, name_hint`` and boxes, ``faces`` has ``chapter, panel,
+    face, signature`` and boxes.
+    """
     from stripweave.operators.dedupe import nearest_face
 
-    near = nearest_face(blocks, faces, "chapter").select("chapter", "block", "face")
-    named = near.join(profiles.select("chapter", "face", "profile_id", F.col("confidence").alias("match")), ["chapter", "face"], "left")
-    rows = blocks.drop("speaker").join(named, ["chapter", "block"], "left")
-    reason = (
-        F.when(F.col("kind") == "sfx", "sound_effect").when(F.col("kind") == "narration", "caption_or_edge_text").when(F.col("name_hint").isNotNull() & F.col("face").isNull(), "explicit_name_no_face")
-        .when(F.col("name_hint").isNotNull(), "explicit_name").when(F.col("profile_id").isNotNull(), "nearest_known_face").when(F.col("face").isNotNull(), "nearest_face").otherwise("no_name_or_face_match")
-    )
-    rows = rows.withColumn("reason", reason)
-    speaker = F.when(F.col("reason") == "sound_effect", F.lit("SFX")).when(F.col("reason") == "caption_or_edge_text", F.lit("Narrator")).otherwise(F.coalesce("name_hint", "profile_id", F.when(F.col("face").isNotNull(), F.concat(F.lit("Face_"), F.col("face").cast("string"))), F.lit("Unknown")))
-    return rows.withColumn("speaker", speaker).withColumn("speaker_confidence", X.speaker_confidence(F.col("reason"), F.coalesce("match", F.lit(0.5))))
+    key = F.concat_ws(":", "chapter", "panel").alias("_panel")
+    own = faces.select("*", key)
+    near = nearest_face(blocks.select("*", key), own, "_panel").select("_panel", "block", "face")
+    # A panel's faces that any block is near to, at most the few that a panel has, ride along with each of its blocks.
+    met = own.join(near.select("_panel", "face").distinct(), ["_panel", "face"]).groupBy("_panel").agg(F.array_sort(F.collect_list(F.struct("face", F.col("signature").cast("array<double>").alias("signature")))).alias("panel_faces"))
+    rows = blocks.select("series", "chapter", "panel", "block", "kind", "name_hint", key).join(near, ["_panel", "block"], "left").join(met, "_panel", "left")
+    rows = rows.select("series", "chapter", "panel", "block", "kind", "name_hint", "face", "panel_faces", X.natural_key(F.col("panel")).alias("place"))
+
+    def step(s: dict, r: object) -> list[tuple]:
+        p: Profiles = s["profiles"]
+        if s.get("panel") != (r.chapter, r.panel):
+            s["panel"] = (r.chapter, r.panel)
+            s["faces"] = {f["face"]: [float(x) for x in f["signature"]] for f in (r.panel_faces if r.panel_faces is not None else ())}
+            s["known"] = {f: p.nearest(v)[0] for f, v in s["faces"].items()}
+        face = None if r.face is None or r.face != r.face else r.face
+        name = r.name_hint if isinstance(r.name_hint, str) else None
+        at = (r.series, r.chapter, r.panel, r.block)
+        if r.kind == "sfx":
+            return [(*at, None, "SFX", "sound_effect", 1.0)]
+        if r.kind == "narration":
+            return [(*at, None, "Narrator", "caption_or_edge_text", 0.82)]
+        if face is None:
+            profile = p.named(name, r.chapter) if name else None
+            if profile is None:
+                return [(*at, None, "Unknown", "no_name_or_face_match", 0.0)]
+            return [(*at, profile, p.display(profile), "explicit_name_no_face", 0.88)]
+        known = s["known"].get(face)
+        known = p.merged.get(known, known)
+        if name or known is None:
+            profile, confidence, reason = p.observe(r.chapter, name, s["faces"][face])
+            s["known"][face] = profile
+            confidence = confidence if name else min(0.72, max(confidence, 0.42))
+        else:
+            profile, confidence, reason = known, 0.56, "nearest_known_face"
+        return [(*at, profile, p.display(profile), reason, confidence)]
+
+    found = ordered_fold(rows, "series", ["chapter", "place", "panel", "block"], lambda _: {"profiles": new_profiles()}, step, lambda k, s: [], SPOKEN)
+    return blocks.drop("speaker").join(found, ["series", "chapter", "panel", "block"], "left")
 
 
 def chapter_documents(blocks: DataFrame) -> DataFrame:
@@ -214,6 +289,23 @@ def chapter_documents(blocks: DataFrame) -> DataFrame:
     return panels.groupBy("series", "chapter").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["panel"].alias("panel"), p["text_boxes"].alias("text_boxes"))).alias("panels"))
 
 
+def transcript_scripts(transcripts: DataFrame) -> DataFrame:
+    """``series, chapter, script``: the transcripts' texts under their panels' names, in natural order; empty ones go, and unreadable (null) ones say so."""
+    body = F.when(F.col("text").isNull(), F.concat(F.lit("[Panel "), "panel", F.lit(" - Error]"))).otherwise(F.concat(F.lit("[Panel "), "panel", F.lit("]\n"), F.trim("text")))
+    rows = transcripts.filter(F.col("text").isNull() | (F.trim("text") != "")).select("series", "chapter", F.struct(X.natural_key(F.col("panel")).alias("k"), "panel", body.alias("t")).alias("p"))
+    return rows.groupBy("series", "chapter").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n\n").alias("script"))
+
+
+def chapter_scripts(blocks: DataFrame, transcripts: DataFrame, chapters: DataFrame, emotions: bool = False) -> DataFrame:
+    """``series, chapter, script, clean, spoken, source`` of every chapter in ``chapters``: from its blocks; where it has none, from its transcripts; with neither, empty."""
+    own = render_scripts(blocks, emotions)
+    rest = transcript_scripts(transcripts).select("series", "chapter", F.col("script").alias("_t"))
+    rows = chapters.select("series", "chapter").distinct().join(own, ["series", "chapter"], "left").join(rest, ["series", "chapter"], "left")
+    source = F.when(F.col("script").isNotNull(), "blocks").when(F.col("_t").isNotNull(), "transcripts").otherwise("none")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return rows.select("series", "chapter", F.coalesce("script", "_t", F.lit("")).alias("script"), empty("clean"), empty("spoken"), source.alias("source"))
+
+
 def render_scripts(blocks: DataFrame, emotions: bool = False) -> DataFrame:
     """``series, chapter, script, clean, spoken``: the whole script with panel headers, its lines without them, and what is spoken. Lines are made before they are put together."""
     line = X.script_line(F.col("kind"), F.col("speaker"), F.col("text"), emotions)

@@ -86,11 +86,21 @@ def series_report(characters: DataFrame, summaries: DataFrame) -> DataFrame:
     return totals.join(last, "series").join(cast, "series", "left").withColumn("characters", F.coalesce("characters", F.lit(0).cast("long")))
 
 
-def prompts(chapters: DataFrame, digests: DataFrame, budget: DataFrame, style: str = "Plain prose, present tense.") -> DataFrame:
-    """``series, chapter, prompt``: for each chapter the series' digest, what of the recent chapters fits, the style and the chapter's own text. A table; no model is called."""
+def prompts(chapters: DataFrame, digests: DataFrame, budget: DataFrame, characters: DataFrame | None = None, panels: DataFrame | None = None, style: str = "Plain prose, present tense.") -> DataFrame:
+    """``series, chapter, prompt``: for each chapter the series' digest, what of the recent chapters fits, notes on its characters, which of its panels have text, the style and the
+    chapter's own text. A table; no model is called. ``characters`` has ``series, name, appearances`` (most frequent first in the notes), ``panels`` has ``series, chapter, panel, has_text``."""
     recent = budget.groupBy("series").agg(F.array_join(F.transform(F.array_sort(F.collect_list("chapter")), lambda c: c.cast("string")), ", ").alias("recent"))
-    rows = chapters.join(digests, "series", "left").join(recent, "series", "left")
-    parts = F.concat_ws("\n\n", F.lit("Write this chapter as a script."), F.concat(F.lit("Story so far: "), "digest"), F.concat(F.lit("Recent chapters: "), "recent"), F.lit("Style: " + style), F.concat(F.lit("Text:\n"), "text"))
+    rows = chapters.join(digests, "series", "left").join(recent, "series", "left").withColumns({"notes": F.lit(None).cast("string"), "seen": F.lit(None).cast("string")})
+    if characters is not None:
+        place = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("appearances"), "name"))
+        note = F.concat("name", F.lit(" ("), F.col("appearances").cast("string"), F.lit(")"))
+        notes = characters.withColumn("_r", place).filter(F.col("_r") <= 12).groupBy("series").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", note.alias("n")))), lambda c: c["n"]), ", ").alias("notes"))
+        rows = rows.drop("notes").join(notes, "series", "left")
+    if panels is not None:
+        text = F.array_sort(F.collect_list(F.when(F.col("has_text"), F.col("panel"))))
+        seen = panels.groupBy("series", "chapter").agg(F.concat(F.size(text).cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(": "), F.array_join(F.transform(text, lambda p: p.cast("string")), ", ")).alias("seen"))
+        rows = rows.drop("seen").join(seen, ["series", "chapter"], "left")
+    parts = F.concat_ws("\n\n", F.lit("Write this chapter as a script."), F.concat(F.lit("Story so far: "), "digest"), F.concat(F.lit("Recent chapters: "), "recent"), F.concat(F.lit("Characters: "), "notes"), F.concat(F.lit("Panels with text: "), "seen"), F.lit("Style: " + style), F.concat(F.lit("Text:\n"), "text"))
     return rows.select("series", "chapter", parts.alias("prompt"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stripweave.functions import geometry as G
 from stripweave.operators import dataset as O
 from stripweave.plans.registry import query
+from stripweave.session import work_dir
+from stripweave.sinks.writers import write_yolo_labels as write_labels
 from stripweave.sources.feeds import feed, with_feeds
 
 PROBLEM = """CASE WHEN class_id >= 5 THEN 'unknown_class' WHEN w <= 0 OR h <= 0 THEN 'empty' WHEN NOT ((x + w / 2) / img_w BETWEEN 0 AND 1 AND (y + h / 2) / img_h BETWEEN 0 AND 1) THEN 'centre_outside' WHEN NOT (w / img_w BETWEEN 0 AND 1 AND h / img_h BETWEEN 0 AND 1) THEN 'too_large' END"""
@@ -67,11 +69,14 @@ def augment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.augment_labels(O.yolo_labels(feed(spark, sf_dir, "boxes"))).select("image_id", "ann_id", "class_id", "variant", F.round("cx", 6).alias("cx"))
 
 
-@query("write_yolo_labels", _with("SELECT image_id, count(*) AS lines, string_agg(class_id::VARCHAR, ' ' ORDER BY ann_id, class_id, cx, cy, nw, nh) AS classes FROM labels_ok GROUP BY 1", LABELS))
+@query("write_yolo_labels", _with("SELECT image_id, count(*) AS lines, string_agg(class_id::VARCHAR, ' ' ORDER BY class_id) AS classes FROM labels_ok GROUP BY 1", LABELS))
 def write_yolo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = O.label_files(O.yolo_labels(feed(spark, sf_dir, "boxes")))
-    lines = F.split("value", "\n")
-    return files.select("image_id", F.size(lines).cast("long").alias("lines"), F.array_join(F.transform(lines, lambda x: F.split(x, " ")[0]), " ").alias("classes"))
+    """Written by split, and the lines of each image read back."""
+    path = work_dir(spark)
+    write_labels(O.yolo_labels(feed(spark, sf_dir, "boxes")).withColumn("split", F.lit("train")), path)
+    line = F.split(F.substring_index("value", "\t", -1), " ")
+    rows = spark.read.text(f"{path}/labels").select(F.substring_index("value", "\t", 1).cast("long").alias("image_id"), line[0].alias("class_id"))
+    return rows.groupBy("image_id").agg(F.count("*").alias("lines"), F.array_join(F.array_sort(F.collect_list("class_id")), " ").alias("classes"))
 
 
 COCO_IMAGES = "coco_images AS (SELECT split, image_id, row_number() OVER (PARTITION BY split ORDER BY image_id) AS id FROM (SELECT DISTINCT split, image_id FROM labels_ok JOIN splits USING (image_id)))"

@@ -48,7 +48,11 @@ def line_block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dialogue_blocks")
 def dialogue_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.dialogue_blocks(_words(spark, sf_dir)).select("panel_id", "block", "text", "kind", "name_hint", "order")
+    """Every seventh panel has no page to read style from; the second engine has one line for each panel."""
+    words = _words(spark, sf_dir)
+    panels = words.select("panel_id").distinct().filter("panel_id % 7 <> 0").select("panel_id", F.lit(1200).alias("height"), (C("panel_id") * 17 % 256).cast("double").alias("mean"), (C("panel_id") * 29 % 101 / 100).alias("shade_ratio"), (C("panel_id") * 31 % 101 / 100).alias("light_ratio"), (C("panel_id") % 3 == 0).alias("is_dark"))
+    other = words.groupBy("panel_id").agg(F.min_by("text", "pos").alias("text")).select("panel_id", "text", F.lit(0).alias("x"), F.lit(5).alias("y"), F.lit(60).alias("w"), F.lit(20).alias("h"), F.lit(50.0).alias("conf"))
+    return O.dialogue_blocks(words, fallback=other, panels=panels).select("panel_id", "block", "text", "kind", "name_hint", "box_style", "order")
 
 
 @query("reading_order", with_feeds('SELECT chapter, block, (row_number() OVER (PARTITION BY chapter ORDER BY y, x, block))::INT AS "order" FROM blocks', "blocks"))
@@ -98,9 +102,9 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("speaker_assignment")
 def speaker_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = feed(spark, sf_dir, "faces")
-    profiles = faces.filter("face % 3 = 0").select("chapter", "face", F.concat(F.lit("Character_"), C("face").cast("string")).alias("profile_id"), F.lit(0.8).alias("confidence"))
-    return O.assign_speakers(_spoken(spark, sf_dir), faces, profiles).select("chapter", "block", "speaker", "reason", "speaker_confidence")
+    faces = feed(spark, sf_dir, "faces").withColumn("panel", F.concat(F.lit("p"), (C("face") % 8).cast("string")))
+    rows = O.assign_speakers(_spoken(spark, sf_dir).withColumn("series", C("series").cast("long")), faces)
+    return rows.select("series", "chapter", "panel", "block", "speaker_id", "speaker", "reason", "speaker_confidence")
 
 
 @query("chapter_dialogue_model", with_feeds("SELECT series, chapter, count(DISTINCT panel) AS panels, count(*) AS boxes FROM blocks GROUP BY 1, 2", "blocks"))
@@ -113,3 +117,15 @@ def chapter_dialogue_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 coalesce(string_agg(speaker || ': ' || trim(text), chr(10) ORDER BY block) FILTER (kind NOT IN ('sfx', 'narration')), '') AS spoken FROM (SELECT *, {TYPE_SQL} AS kind FROM blocks) b GROUP BY 1, 2""", "blocks"))
 def script_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.render_scripts(_spoken(spark, sf_dir)).select("series", "chapter", "clean", "spoken")
+
+
+@query("chapter_scripts", with_feeds(f"""WITH k AS (SELECT *, {TYPE_SQL} AS kind FROM blocks), c AS (SELECT DISTINCT series, chapter FROM blocks UNION SELECT series + 100, chapter FROM blocks UNION SELECT series + 200, chapter FROM blocks),
+s AS (SELECT series, chapter, coalesce(string_agg(speaker || ': ' || trim(text), chr(10) ORDER BY block) FILTER (kind NOT IN ('sfx', 'narration')), '') AS spoken FROM k GROUP BY 1, 2),
+t AS (SELECT series + 100 AS series, chapter, string_agg('[Panel ' || panel || ']' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY block) AS told FROM blocks WHERE trim(text) <> '' GROUP BY 1, 2)
+SELECT series, chapter, coalesce(spoken, '') AS spoken, coalesce(told, '') AS told, CASE WHEN spoken IS NOT NULL THEN 'blocks' WHEN told IS NOT NULL THEN 'transcripts' ELSE 'none' END AS source FROM c LEFT JOIN s USING (series, chapter) LEFT JOIN t USING (series, chapter)""", "blocks"))
+def chapter_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chapter with blocks, and twice more: with transcripts only, and with nothing."""
+    blocks = _spoken(spark, sf_dir)
+    chapters = blocks.select("series", "chapter", F.explode(F.array(F.lit(0), F.lit(100), F.lit(200))).alias("k")).select((C("series") + C("k")).alias("series"), "chapter")
+    rows = O.chapter_scripts(blocks, blocks.select((C("series") + 100).alias("series"), "chapter", "panel", "text"), chapters)
+    return rows.select("series", "chapter", "spoken", F.when(C("source") == "transcripts", C("script")).otherwise("").alias("told"), "source")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stripweave.functions import urls as U
 from stripweave.operators import elements as O
+from stripweave.operators.ranking import global_row_number
 from stripweave.plans.registry import query
 from stripweave.plans.texts import LINK_SQL, page_links
 from stripweave.sources.feeds import read
@@ -129,7 +130,8 @@ UNION ALL SELECT 'https://r.example/c' || conv_id, 1, NULL, 'chain too short' FR
 def next_link_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations stand for pages, each linking to the one with the next number."""
     ids = read(spark, sf_dir, "conversations").select("conv_id").distinct()
-    later = spark.sql("SELECT conv_id AS a, lead(conv_id) OVER (ORDER BY conv_id) AS b FROM {ids}", ids=ids).filter("b IS NOT NULL")
+    numbered = global_row_number(ids, F.floor(F.col("conv_id") / 10_000), ["conv_id"], "n")
+    later = numbered.select(F.col("conv_id").alias("a"), (F.col("n") + 1).alias("n")).join(numbered.select(F.col("conv_id").alias("b"), "n"), "n")
     page = lambda c: F.concat(F.lit("https://r.example/c"), F.col(c).cast("string"))
     return O.follow_links(later.select(page("a").alias("source"), page("b").alias("target")), ids.select(page("conv_id").alias("url")), 4)
 

@@ -16,9 +16,10 @@ from stripweave.operators.folds import ordered_fold
 from stripweave.plans.dataset import COCO_IMAGES, LABELS, SPLITS, _with
 from stripweave.plans.dedup import _vectors
 from stripweave.plans.dialogue import _spoken
-from stripweave.plans.panels import GATED, _gated, running_offsets
+from stripweave.plans.panels import GATED, KEY_SQL, _gated, running_offsets
 from stripweave.plans.registry import query
-from stripweave.plans.stories import CAST, NAMES
+from stripweave.plans.stories import CAST, NAMES, _chapters
+from stripweave.plans.texts import TYPE_SQL
 from stripweave.session import work_dir
 from stripweave.sinks import writers as W
 from stripweave.sources import files as X
@@ -40,34 +41,37 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dataset_export(feed(spark, sf_dir, "boxes"))
 
 
-@query("scan_yolo_labels", with_feeds(f"WITH {LABELS} SELECT split_part(image_id::VARCHAR, '.', 1) AS image_id, class_id, count(*) AS n FROM (SELECT image_id % 50 AS image_id, class_id FROM labels_ok) l GROUP BY 1, 2", "boxes"))
+@query("scan_yolo_labels", _with("SELECT image_id::VARCHAR AS stem, class_id, count(*) AS n FROM labels_ok JOIN splits USING (image_id) GROUP BY 1, 2", LABELS, SPLITS))
 def scan_yolo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label lines of all images, written under fifty folders and scanned again."""
-    labels = D.yolo_labels(feed(spark, sf_dir, "boxes")).withColumn("image_id", C("image_id") % 50)
+    """Label lines of all images, written by split and scanned again."""
     path = work_dir(spark)
-    labels.select("image_id", D.label_line().alias("value")).repartition("image_id").write.partitionBy("image_id").text(path)
-    lines = spark.read.text(path).select(C("image_id").cast("string").alias("image_id"), F.split("value", r"\s+").alias("f"))
-    return lines.filter(F.size("f") >= 5).groupBy("image_id", C("f")[0].cast("int").alias("class_id")).agg(F.count("*").alias("n"))
+    W.write_yolo_labels(_exported(spark, sf_dir), path)
+    return X.yolo_labels(spark, f"{path}/labels").groupBy("stem", "class_id").agg(F.count("*").alias("n"))
 
 
-@query("scan_annotations", with_feeds("SELECT image_id, count(*) AS n, round(sum(x), 4) AS x FROM boxes GROUP BY 1", "boxes"))
+@query("scan_annotations", with_feeds("SELECT image_id, count(*) AS n, round(sum(x), 4) AS x, round(sum(w), 4) AS w, min(CASE WHEN image_id % 2 = 0 THEN 'face' ELSE 'panel' END) AS class FROM boxes GROUP BY 1", "boxes"))
 def scan_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document has classes; the others use the older key."""
     boxes = feed(spark, sf_dir, "boxes")
-    box = F.struct("x", "y", C("w").alias("width"), C("h").alias("height"), F.lit(None).cast("string").alias("class"))
-    docs = boxes.groupBy("image_id").agg(F.collect_list(box).alias("panels"))
+    box = F.struct("x", "y", C("w").alias("width"), C("h").alias("height"), F.when(C("image_id") % 2 == 0, "face").alias("class"))
+    docs = boxes.groupBy("image_id").agg(F.collect_list(box).alias("b"))
     path = work_dir(spark)
-    docs.select(C("image_id").cast("string").alias("image_path"), F.lit(800).alias("image_width"), F.lit(600).alias("image_height"), "panels").write.json(path)
-    rows = spark.read.schema(X.ANNOTATION).json(path)
-    rows = rows.select(C("image_path").cast("long").alias("image_id"), F.explode(F.coalesce("annotations", "panels")).alias("b"))
-    return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("b.x"), 4).alias("x"))
+    new = C("image_id") % 2 == 0
+    docs.select(F.concat(F.lit("a/"), "image_id", F.lit(".png")).alias("image_path"), F.lit(800).alias("image_width"), F.lit(600).alias("image_height"), F.when(new, C("b")).alias("annotations"), F.when(~new, C("b")).alias("panels")).write.json(path)
+    rows = X.annotations(spark, path, one_per_file=False)
+    return rows.groupBy(C("stem").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"), F.round(F.sum("w"), 4).alias("w"), F.min("class").alias("class"))
 
 
-@query("write_coco_json", _with("SELECT split, count(DISTINCT i.id) AS images, count(*) AS annotations FROM labels_ok l JOIN coco_images i USING (image_id) GROUP BY 1", LABELS, SPLITS, COCO_IMAGES))
+@query("write_coco_json", _with("SELECT split, i.id AS image_id, count(*) AS annotations, count(DISTINCT l.class_id) AS classes FROM labels_ok l JOIN coco_images i USING (image_id) GROUP BY 1, 2", LABELS, SPLITS, COCO_IMAGES))
 def write_coco_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of every image, read back from its document."""
     labels = D.yolo_labels(feed(spark, sf_dir, "boxes"))
     path = work_dir(spark)
-    W.write_coco_json(labels, D.split_images(labels, "image_id"), path)
-    return spark.read.json(path).select("split", F.size("images").cast("long").alias("images"), F.size("annotations").cast("long").alias("annotations"))
+    W.write_coco_json(labels, D.split_images(labels, "image_id"), path, images_each=2000)
+    docs = spark.read.json(path)
+    anns = docs.select("split", "part", F.explode("annotations").alias("a")).groupBy("split", "part", C("a.image_id").alias("image_id")).agg(F.count("*").alias("annotations"), F.count_distinct("a.category_id").alias("classes"))
+    images = docs.select("split", "part", F.explode("images.id").alias("image_id"))
+    return images.join(anns, ["split", "part", "image_id"]).select("split", "image_id", "annotations", "classes")
 
 
 @query("write_splits", _with("SELECT split, count(*) AS labels, count(DISTINCT image_id) AS images FROM labels_ok JOIN splits USING (image_id) GROUP BY 1", LABELS, SPLITS))
@@ -85,16 +89,16 @@ def _manifest(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query("write_manifest", with_feeds("SELECT series || '-' || chapter AS strip_id, count(*) AS sections, sum(height)::BIGINT AS canvas_height FROM files GROUP BY 1", "files"))
+@query("write_manifest", with_feeds(f"SELECT series || '-' || chapter AS strip_id, name AS source, height, (sum(height) OVER w)::BIGINT AS y_end, (sum(height) OVER (PARTITION BY series, chapter))::BIGINT AS canvas_height FROM files WINDOW w AS (PARTITION BY series, chapter ORDER BY {KEY_SQL}, name ROWS UNBOUNDED PRECEDING)", "files"))
 def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.json(_manifest(spark, sf_dir))
-    return rows.select("strip_id", F.size("sections").cast("long").alias("sections"), "canvas_height")
+    rows = spark.read.json(_manifest(spark, sf_dir)).select("strip_id", "canvas_height", F.explode("sections").alias("s"))
+    return rows.select("strip_id", C("s.source").alias("source"), C("s.height").alias("height"), C("s.y_end").alias("y_end"), "canvas_height")
 
 
 @query("scan_documents_json", with_feeds("SELECT series || '-' || chapter AS strip_id, 2 AS version, false AS corrupt FROM files GROUP BY series, chapter", "files"))
 def scan_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.schema("version int, canvas_height long, _corrupt_record string, strip_id string").option("columnNameOfCorruptRecord", "_corrupt_record").json(_manifest(spark, sf_dir))
-    return rows.select("strip_id", "version", C("_corrupt_record").isNotNull().alias("corrupt"))
+    rows = X.json_documents(spark, _manifest(spark, sf_dir), "version int, canvas_height long, strip_id string", one_per_file=False)
+    return rows.select("strip_id", "version", "corrupt")
 
 
 @query("write_dialogue", with_feeds("SELECT series, chapter, count(DISTINCT panel) AS panels FROM blocks GROUP BY 1, 2", "blocks"))
@@ -104,11 +108,13 @@ def write_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).select(C("series").cast("long").alias("series"), C("chapter").cast("long").alias("chapter"), F.size("panels").cast("long").alias("panels"))
 
 
-@query("write_scripts")
+@query("write_scripts", with_feeds(f"SELECT series::VARCHAR AS series, chapter::VARCHAR AS chapter, 'spoken' AS kind, coalesce(string_agg(speaker || ': ' || trim(text), chr(10) ORDER BY block) FILTER (k NOT IN ('sfx', 'narration')), '') AS text FROM (SELECT *, {TYPE_SQL} AS k FROM blocks) b GROUP BY 1, 2", "blocks"))
 def write_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spoken texts of all chapters, read back whole from their files."""
     path = work_dir(spark)
     W.write_scripts(L.render_scripts(_spoken(spark, sf_dir)), path)
-    return spark.read.text(f"{path}/clean").groupBy("series", "chapter").agg(F.count("*").alias("lines"))
+    rows = spark.read.text(f"{path}/spoken", wholetext=True).select(C("series").cast("string").alias("series"), C("chapter").cast("string").alias("chapter"), F.lit("spoken").alias("kind"), F.regexp_replace("value", "\n$", "").alias("text"))
+    return rows
 
 
 @query("write_rejects", with_feeds(f"WITH {GATED} SELECT reason, count(*) AS n FROM gated GROUP BY 1", "panels"))
@@ -214,15 +220,35 @@ def _streamed(spark: SparkSession, rows: DataFrame, transform: object, keys: lis
     return spark.read.parquet(out).withColumn("_at", last).filter("_at = 1").drop("_at", "_batch")
 
 
-@query("arm_learner", with_feeds("SELECT arm, count(*) AS requests, count(*) FILTER (success) AS successes FROM attempts GROUP BY 1", "attempts"))
+@query("arm_learner", with_feeds("SELECT arm, count(*) AS requests, count(*) FILTER (success) AS successes, round(list_reduce(list_prepend(5.0, list(duration ORDER BY ts, attempt_id)), lambda s, x: 0.7 * s + 0.3 * x), 6) AS ema FROM attempts GROUP BY 1", "attempts"))
 def arm_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed(spark, sf_dir, "attempts").select("arm", "ts", "attempt_id", "success", "blocked", "duration")
-    return _streamed(spark, rows, learners.arm_learner, ["arm"], "requests").select("arm", "requests", "successes")
+    return _streamed(spark, rows, learners.arm_learner, ["arm"], "requests").select("arm", "requests", "successes", F.round("ema", 6).alias("ema"))
+
+
+@query("attempt_learner_stream", with_feeds("SELECT domain, count(*) AS attempts, count(*) FILTER (success) AS successes FROM attempts GROUP BY 1", "attempts"))
+def attempt_learner_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feed(spark, sf_dir, "attempts").select("domain", "ts", "attempt_id", "method", "success", "blocked")
+    methods = sorted(r.method for r in rows.select("method").distinct().collect())  # the few event types
+    return _streamed(spark, rows, lambda s: learners.attempt_learner(s, methods), ["domain"], "attempts").select("domain", "attempts", "successes")
+
+
+@query("status_stream", with_feeds("SELECT job_id, CAST(ts AS DATE)::VARCHAR AS day, arg_max(status, (ts, event_id)) AS status, max(progress) AS progress FROM jobs GROUP BY 1, 2", "jobs"))
+def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _streamed(spark, feed(spark, sf_dir, "jobs").withColumn("ts", C("ts").cast("timestamp")), learners.status_feed, ["job_id", "day"], "progress")
+    return rows.select("job_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "status", "progress")
+
+
+@query("missing_pages", with_feeds("SELECT series, chapter, doc_id AS seq FROM files WHERE doc_id % 9 = 0", "files"))
+def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are wanted; every ninth has not come."""
+    files = feed(spark, sf_dir, "files").select("series", "chapter", C("doc_id").alias("seq"))
+    return learners.missing_pages(files, files.filter("seq % 9 <> 0"), ["series", "chapter", "seq"])
 
 
 @query("series_memory_stream", with_feeds(f"WITH {NAMES}, {CAST} SELECT * FROM cast_", "chapters"))
 def series_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = T.story_names(feed(spark, sf_dir, "chapters")).select("series", "chapter", "name")
+    names = T.story_names(_chapters(spark, sf_dir)).select("series", "chapter", "name")
     return _streamed(spark, names, learners.series_memory, ["series", "name"], "appearances")
 
 
@@ -235,10 +261,9 @@ def page_arrival_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "length")
 
 
-@query("scan_page_files")
+@query("scan_page_files", "SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
 def scan_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files, listed by their names and sizes."""
+    """All texts in files by source, listed with their sizes."""
     path = work_dir(spark)
     read(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    return rows.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return X.page_files(spark, path, ("txt",)).groupBy(F.regexp_extract("folder", "source=(.*)", 1).alias("source")).agg(F.sum("length").alias("bytes"))

@@ -70,7 +70,10 @@ def series_memory_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prompt_assembly")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.prompts(_chapters(spark, sf_dir), context_digest(spark, sf_dir), token_budget(spark, sf_dir))
+    """A chapter's panels are its lines."""
+    chapters = _chapters(spark, sf_dir)
+    panels = chapters.select("series", "chapter", F.posexplode(F.split("text", "\n")).alias("panel", "line")).select("series", "chapter", "panel", (F.trim("line") != "").alias("has_text"))
+    return O.prompts(chapters, context_digest(spark, sf_dir), token_budget(spark, sf_dir), series_characters(spark, sf_dir), panels)
 
 
 @query("scan_transcripts", with_feeds("SELECT series, chapter, (row_number() OVER (PARTITION BY series, chapter ORDER BY doc_id))::INT AS panel_number, trim(text) <> '' AS has_text FROM (SELECT source AS series, 'Chapter_' || (doc_id % 25) AS chapter, doc_id, text FROM documents) d", "files"))

@@ -8,26 +8,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripweave.operators.dataset import CLASSES, coco_tables, label_files
+from stripweave.operators.dataset import CLASSES, coco_tables, label_line
 
 
 def write_yolo_labels(labels: DataFrame, path: str, classes: Sequence[str] = CLASSES) -> None:
-    """One label text per image under ``split=/image_id=`` folders, and the class names in order of their ids."""
-    label_files(labels, ["split", "image_id"]).repartition("split", "image_id").write.mode("overwrite").partitionBy("split", "image_id").text(f"{path}/labels")
+    """Label lines under ``split=`` folders, each after its image's name and a tab, and the class names in order of their ids. A file of its own for each image would be
+    millions of them; whoever needs these splits the lines by name."""
+    lines = labels.select("split", F.concat(F.col("image_id").cast("string"), F.lit("\t"), label_line()).alias("value"))
+    lines.write.mode("overwrite").partitionBy("split").text(f"{path}/labels")
     labels.sparkSession.createDataFrame([("\n".join(classes),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/classes")
 
 
-def coco_documents(labels: DataFrame, splits: DataFrame) -> DataFrame:
-    """One document per split: info, categories, images and annotations. Only this last step brings a split's rows into one."""
+def coco_documents(labels: DataFrame, splits: DataFrame, images_each: int = 10_000) -> DataFrame:
+    """Documents of about ``images_each`` images and all their annotations, numbered within each split: info, categories, images and annotations. Images are dealt by a hash of
+    their ids, so that no document grows with the split."""
     images, anns, categories = coco_tables(labels, splits)
-    i = images.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "width", "height"))).alias("images"))
-    a = anns.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("annotations"))
+    parts = images.groupBy("split").agg(F.ceil(F.count("*") / images_each).alias("_parts"))  # one row a split
+    images = images.join(F.broadcast(parts), "split").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    i = images.groupBy("split", "part").agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "width", "height"))).alias("images"))
+    anns = anns.join(F.broadcast(parts), "split").withColumn("part", F.pmod(F.xxhash64("image_id"), F.col("_parts")).cast("int"))
+    a = anns.groupBy("split", "part").agg(F.array_sort(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("annotations"))
     c = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
-    return i.join(a, "split").crossJoin(F.broadcast(c)).withColumn("info", F.struct(F.lit("1.0").alias("version")))  # one row: the classes
+    return i.join(a, ["split", "part"], "left").crossJoin(F.broadcast(c)).withColumn("info", F.struct(F.lit("1.0").alias("version")))  # one row: the classes
 
 
-def write_coco_json(labels: DataFrame, splits: DataFrame, path: str) -> None:
-    coco_documents(labels, splits).write.mode("overwrite").partitionBy("split").json(path)
+def write_coco_json(labels: DataFrame, splits: DataFrame, path: str, images_each: int = 10_000) -> None:
+    coco_documents(labels, splits, images_each).write.mode("overwrite").partitionBy("split", "part").json(path)
 
 
 def write_splits(rows: DataFrame, path: str, seed: int = 42) -> None:

@@ -20,12 +20,12 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def page_files(spark: SparkSession, path: str, stage: str = "pages", content: bool = False) -> DataFrame:
-    """``path, name, folder, ext, length, modified`` and the sort key of a stage's files; contents only if asked for."""
+def page_files(spark: SparkSession, path: str, stage: str | Sequence[str] = "pages", content: bool = False) -> DataFrame:
+    """``path, name, folder, ext, length, modified`` and the sort key of a stage's files, or of those with the given endings; contents only if asked for."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = _name(F.col("path"))
     rows = rows.select("path", name.alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"), F.lower(F.substring_index(name, ".", -1)).alias("ext"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    return rows.filter(F.col("ext").isin(*EXTENSIONS[stage])).withColumn("key", natural_key(F.col("name")))
+    return rows.filter(F.col("ext").isin(*(EXTENSIONS[stage] if isinstance(stage, str) else stage))).withColumn("key", natural_key(F.col("name")))
 
 
 def images(spark: SparkSession, path: str, least_side: int = 10) -> DataFrame:
@@ -38,24 +38,27 @@ BOX = "struct<x:double,y:double,width:double,height:double,class:string>"
 ANNOTATION = f"image_path string, image_width int, image_height int, annotations array<{BOX}>, panels array<{BOX}>, _corrupt_record string"
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """``stem, image_w, image_h, ann_id, x, y, w, h, class`` from annotation files; the older key ``panels`` counts where there is no other, and a box without
-    a class is a panel. Broken files give no rows."""
-    rows = spark.read.schema(ANNOTATION).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.select(F.regexp_replace(_name(F.col("_metadata.file_path")), r"\.[^.]*$", "").alias("stem"), "image_width", "image_height", F.posexplode(F.coalesce("annotations", "panels")).alias("ann_id", "b"))
+def annotations(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """``stem, img_w, img_h, ann_id, x, y, w, h, class`` from annotation files; the older key ``panels`` counts where there is no other, and a box without
+    a class is a panel. Broken files give no rows. With several documents in a file, one a line, the stem is that of a document's own image."""
+    rows = spark.read.schema(ANNOTATION).option("multiLine", one_per_file).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    named = _name(F.col("_metadata.file_path")) if one_per_file else _name(F.col("image_path"))
+    rows = rows.select(F.regexp_replace(named, r"\.[^.]*$", "").alias("stem"), "image_width", "image_height", F.posexplode(F.coalesce("annotations", "panels")).alias("ann_id", "b"))
     return rows.select("stem", F.col("image_width").alias("img_w"), F.col("image_height").alias("img_h"), "ann_id", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.width").alias("w"), F.col("b.height").alias("h"), F.coalesce("b.class", F.lit("panel")).alias("class"))
 
 
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``stem, class_id, cx, cy, nw, nh`` from label lines; lines of fewer than five fields or without numbers are left out."""
-    rows = spark.read.text(path).select(F.regexp_replace(_name(F.col("_metadata.file_path")), r"\.[^.]*$", "").alias("stem"), F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") >= 5)
+    """``stem, class_id, cx, cy, nw, nh`` from label lines; lines of fewer than five fields or without numbers are left out. The stem is what stands before a line's tab, else
+    the file's name."""
+    own = F.when(F.instr("value", "\t") > 0, F.substring_index("value", "\t", 1)).otherwise(F.regexp_replace(_name(F.col("_metadata.file_path")), r"\.[^.]*$", ""))
+    rows = spark.read.text(path).select(own.alias("stem"), F.split(F.trim(F.substring_index("value", "\t", -1)), r"\s+").alias("f")).filter(F.size("f") >= 5)
     number = lambda k: F.col("f")[k].try_cast("double")
     return rows.select("stem", F.col("f")[0].try_cast("int").alias("class_id"), number(1).alias("cx"), number(2).alias("cy"), number(3).alias("nw"), number(4).alias("nh")).na.drop()
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON files under a schema, one row a file, with ``corrupt``: broken files are rows of nulls, never an error."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def json_documents(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """JSON documents under a schema, one a file or one a line, with ``corrupt``: broken ones are rows of nulls, never an error."""
+    rows = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", one_per_file).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return rows.withColumn("corrupt", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 

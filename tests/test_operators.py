@@ -244,6 +244,33 @@ def test_identities(spark):
     assert len(p.all) == 1 and p.observe(3, None, [0.0, 1.0])[0] == "Character_01"
 
 
+def test_speakers_meet_profiles_through_chapters(spark):
+    blocks = [
+        (1, 1, "p1", 1, "dialogue", "Ann", 10, 10), (1, 1, "p1", 2, "dialogue", None, 12, 30), (1, 1, "p2", 1, "dialogue", None, 10, 10), (1, 1, "p2", 2, "sfx", None, 10, 10),
+        (1, 1, "p10", 1, "dialogue", "Bo", 10, 10), (1, 2, "p1", 1, "dialogue", None, 10, 10), (1, 2, "p2", 1, "narration", None, 10, 10), (1, 2, "p3", 1, "dialogue", None, 10, 10), (2, 1, "p1", 1, "dialogue", None, 10, 10),
+    ]
+    df = spark.createDataFrame(blocks, "series long, chapter long, panel string, block long, kind string, name_hint string, x int, y int").withColumns({"w": F.lit(40), "h": F.lit(10), "width": F.lit(800), "height": F.lit(1200)})
+    faces = [(1, "p1", 1, [1.0, 0.0]), (1, "p2", 2, [0.0, 1.0]), (2, "p1", 3, [1.0, 0.02]), (2, "p3", 4, [0.05, 1.0])]
+    near = spark.createDataFrame(faces, "chapter long, panel string, face long, signature array<double>").withColumns({"x": F.lit(20), "y": F.lit(40), "w": F.lit(60), "h": F.lit(60)})
+    found = {(r.series, r.chapter, r.panel, r.block): (r.speaker, r.reason) for r in dialogue.assign_speakers(df, near).collect()}
+    assert found[1, 1, "p1", 1] == ("Ann", "explicit_name") and found[1, 1, "p1", 2] == ("Ann", "nearest_known_face")
+    assert found[1, 1, "p2", 1] == ("Character_02", "new_visual_profile") and found[1, 1, "p2", 2] == ("SFX", "sound_effect")
+    assert found[1, 1, "p10", 1] == ("Bo", "explicit_name_no_face")
+    assert found[1, 2, "p1", 1] == ("Ann", "nearest_known_face") and found[1, 2, "p2", 1] == ("Narrator", "caption_or_edge_text") and found[1, 2, "p3", 1] == ("Character_02", "nearest_known_face")
+    assert found[2, 1, "p1", 1][1] == "new_visual_profile"  # the other series' face of this chapter and panel is no profile here
+
+
+def test_dialogue_blocks_in_full(spark):
+    words = [(1, 0, 0, 0, 0, 50, 16, 90, k, t) for k, t in enumerate(["Ann:", "hello", "there", "friend"])] + [(2, 0, 0, 0, 0, 50, 16, 60, 0, "Hey")]
+    words = spark.createDataFrame([(p, v, n, 60 * k, y, w, h, c, k, t) for p, v, n, x, y, w, h, c, k, t in words], "panel_id long, variant int, line_num int, x int, y int, w int, h int, conf int, pos int, text string")
+    other = spark.createDataFrame([(1, "not used", 0, 90, 50, 16, 99.0), (2, "Hey", 0, 0, 50, 16, 99.0), (2, "what is going on here", 0, 100, 200, 16, 40.0), (3, "only engine two saw me", 0, 0, 50, 16, 80.0)], "panel_id long, text string, x int, y int, w int, h int, conf double")
+    panels = spark.createDataFrame([(1, 400, 200.0, 0.0, 0.6, False), (3, 100, 50.0, 0.9, 0.0, True)], "panel_id long, height int, mean double, shade_ratio double, light_ratio double, is_dark boolean")
+    found = sorted((r.panel_id, r.order, r.text, r.box_style, r.kind) for r in dialogue.dialogue_blocks(words, fallback=other, panels=panels).collect())
+    assert [f[0] for f in found] == [1, 2, 2, 3]  # the copy of "Hey" goes, panel 1 is read well enough
+    assert found[0][3] == "light_bubble" and found[3][3:] == ("dark_caption", "narration") and found[1][3] == "mixed"
+
+
+
 def png(width, height, grey):
     raw = b"".join(b"\0" + bytes([grey(x, y) for x in range(width)]) for y in range(height))
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
