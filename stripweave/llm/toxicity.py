@@ -8,10 +8,10 @@ largest weight in each block of examples: blocks are visited by falling bound, a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from stripweave.llm.common import append_columns, fold, fresh, labelled_sample
 
-PER_LABEL = 1000
+PER_LABEL = 600
 #: Labelled texts of more characters are not in the sample, so that what it holds is bounded.
 LONGEST = 200_000
 NEIGHBOURS = 15
@@ -30,42 +30,45 @@ THRESHOLD = 0.5
 #: A term whose shares in the labels differ by so many standard errors has half of its full weight; the least share of it that any term has.
 TELLING, LEAST = 5.0, 0.01
 PREFIXES = (4, 5, 6)
-MEMO = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_terms(word: str) -> list[str]:
     """A word's terms: itself, and its first letters with a star."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-@dataclass
 class Terms:
-    """The sample's terms by number, with a bounded memory of words."""
+    """The sample's terms by number. They are found in a text by one pass of an automaton over its words, each between spaces; it is built once in each worker."""
 
-    number: dict[str, int]
-    memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.automaton: ahocorasick.Automaton | None = None
 
     def __getstate__(self) -> dict:
-        return {"number": self.number, "memo": {}}
+        return {"names": self.names, "automaton": None}
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def _built(self) -> ahocorasick.Automaton:
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for k, t in enumerate(self.names):
+                self.automaton.add_word(f" {t[:-1]}" if t.endswith("*") else f" {t} ", k)
+            self.automaton.make_automaton()
+        return self.automaton
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, rising, and how often each is in it."""
-        memo, ids, times = self.memo, [], []
-        if len(memo) > MEMO:
-            memo.clear()
-        for word, n in Counter(words(text)).items():
-            found = memo.get(word)
-            if found is None:
-                found = memo[word] = tuple(self.number[t] for t in word_terms(word) if t in self.number)
-            ids += found
-            times += (n,) * len(found)
-        t, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return t, np.bincount(at, times, len(t)) if len(t) else np.zeros(0)
+        if not self.names:
+            return np.zeros(0, np.int64), np.zeros(0)
+        met = np.array([k for _, k in self._built().iter(f" {' '.join(words(text))} ")], np.int64)
+        return np.unique(met, return_counts=True)
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -75,7 +78,8 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors of examples by term. A cell is what a term has in a block of examples: its postings and the largest of their weights."""
+    """Unit vectors of examples by term. A cell is what a term has in a block of examples: its postings and the largest of their weights. Terms of at least an eighth of the
+    examples are rows over all of them, so that their part of every inner product is one product of a vector and a matrix."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
@@ -83,6 +87,12 @@ class Index:
         term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         example = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        often = np.bincount(term, minlength=n_terms) * 8 >= max(self.n, 8)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.n))
+        own = often[term]
+        self.rows[self.row[term[own]], example[own]] = weight[own]
+        term, weight, example = term[~own], weight[~own], example[~own]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order]
         cell, start = np.unique(term[order] * max(self.blocks, 1) + self.example // BLOCK, return_index=True)
@@ -91,34 +101,36 @@ class Index:
         self.block = (cell % max(self.blocks, 1)).astype(np.int32)
         self.first = np.searchsorted(cell, np.arange(n_terms + 1) * max(self.blocks, 1))
 
-    def _scores(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Inner products with the examples of some cells, 0 elsewhere."""
-        n = self.start[cells + 1] - self.start[cells]
-        at = _spread(self.start[cells], n)
-        return np.bincount(self.example[at], np.repeat(weights, n) * self.weight[at], self.n)
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, largest first, ties to the smaller number: exact. Blocks are read a few at a time,
-        twice as many each time, until the next bound is below the k-th cosine."""
+        four times as many each time, until the next bound is below the k-th cosine."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        row = self.row[terms]
+        known = np.zeros(self.blocks * BLOCK)
+        known[: self.n] = weights[row >= 0] @ self.rows[row[row >= 0]]
+        terms, weights = terms[row < 0], weights[row < 0]
         n = self.first[terms + 1] - self.first[terms]
         cells, weights = _spread(self.first[terms], n), np.repeat(weights, n)
         block = self.block[cells]
-        bound = np.bincount(block, weights * self.most[cells], self.blocks)
+        bound = np.bincount(block, weights * self.most[cells], self.blocks) + known.reshape(-1, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_n, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while done < len(order) and (len(best_n) < k or bound[order[done]] >= best_s[-1] - 1e-12):
             chosen = np.zeros(self.blocks, bool)
             chosen[order[done : done + step]] = True
-            own = chosen[block]
-            score = self._scores(cells[own], weights[own])
+            own = cells[chosen[block]]
+            size = self.start[own + 1] - self.start[own]
+            at = _spread(self.start[own], size)
+            score = np.bincount(self.example[at], np.repeat(weights[chosen[block]], size) * self.weight[at], len(known)) + np.where(np.repeat(chosen, BLOCK), known, 0)
             if without >= 0:
                 score[without] = 0
             hits = np.flatnonzero(score > (best_s[-1] - 1e-12 if len(best_n) == k else 0))
             n, s = np.concatenate([best_n, hits]), np.concatenate([best_s, score[hits]])
             top = np.lexsort((n, -s.round(12)))[:k]
             best_n, best_s = n[top], s[top]
-            done, step = done + step, 2 * step
+            done, step = done + step, 4 * step
         return best_n, best_s
 
 
@@ -198,7 +210,7 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        total, n = np.zeros(len(own.number), np.int64), 0
+        total, n = np.zeros(len(own), np.int64), 0
         for batch in batches:
             for text in batch["text"].to_pylist():
                 total[own.counts(text)[0]] += 1
@@ -208,7 +220,7 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
-    out = np.zeros(len(terms.number), np.int64)
+    out = np.zeros(len(terms), np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
 
@@ -221,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     every = {r.label: r.n for r in labels.filter(F.col("toxic").isin(0, 1) & usable).groupBy(F.col("toxic").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     names, telling = weigh_terms(sample, sizes)
-    terms = Terms({t: k for k, t in enumerate(names)})
+    terms = Terms(names)
     examples = sorted(sample.select("doc_id", "label", "text").collect(), key=lambda r: r.doc_id)
     sample.unpersist()
     df, n = document_frequencies(docs, terms)

@@ -543,7 +543,7 @@ def test_documents_with_any_common_term_have_neighbours(spark, labelled):
     model = toxicity.fit(docs, labels)
     scored = toxicity.score_documents(docs, model)
     assert scored.filter(F.size("evidence") == 0).count() == 0
-    dense = np.zeros((model.index.n, len(model.terms.number)))
+    dense = np.zeros((model.index.n, len(model.terms)))
     texts = {r.doc_id: r.text for r in docs.collect()}
     for k, i in enumerate(model.ids.tolist()):
         t, w = model.vector(*model.terms.counts(texts[i]))
