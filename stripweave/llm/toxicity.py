@@ -20,17 +20,20 @@ from pyspark.sql import types as T
 
 from stripweave.llm.common import append_columns, fold, fresh, labelled_sample
 
-PER_LABEL = 600
+PER_LABEL = 500
 #: Labelled texts of more characters are not in the sample, so that what it holds is bounded.
 LONGEST = 200_000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Texts whose products with the examples are worked out together.
+BATCH = 32
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 #: A term whose shares in the labels differ by so many standard errors has half of its full weight; the least share of it that any term has.
 TELLING, LEAST = 5.0, 0.01
-PREFIXES = (4, 5, 6)
+PREFIXES = (5, 6)
 WORD = re.compile(r"[^\W\d_]+")
+BETWEEN = re.compile(r"[\W\d_]+")
 
 
 def word_terms(word: str) -> list[str]:
@@ -67,7 +70,7 @@ class Terms:
         """The terms of a text, rising, and how often each is in it."""
         if not self.names:
             return np.zeros(0, np.int64), np.zeros(0)
-        met = np.array([k for _, k in self._built().iter(f" {' '.join(words(text))} ")], np.int64)
+        met = np.array([k for _, k in self._built().iter(BETWEEN.sub(" ", f" {text.lower()} "))], np.int64)
         return np.unique(met, return_counts=True)
 
 
@@ -101,37 +104,58 @@ class Index:
         self.block = (cell % max(self.blocks, 1)).astype(np.int32)
         self.first = np.searchsorted(cell, np.arange(n_terms + 1) * max(self.blocks, 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0, largest first, ties to the smaller number: exact. Blocks are read a few at a time,
-        four times as many each time, until the next bound is below the k-th cosine."""
-        if not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        row = self.row[terms]
-        known = np.zeros(self.blocks * BLOCK)
-        known[: self.n] = weights[row >= 0] @ self.rows[row[row >= 0]]
-        terms, weights = terms[row < 0], weights[row < 0]
+    def _known(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What frequent terms add to the inner products of some vectors with all examples: one product of matrices."""
+        wide = np.zeros((len(vectors), len(self.rows)))
+        for k, (t, w) in enumerate(vectors):
+            row = self.row[t]
+            wide[k, row[row >= 0]] = w[row >= 0]
+        out = np.zeros((len(vectors), self.blocks * BLOCK))
+        out[:, : self.n] = wide @ self.rows
+        return out
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of a few vectors the k examples of the largest cosine above 0, largest first, ties to the smaller number: exact. First the blocks with the largest bounds
+        are read, then all whose bound is not below the k-th cosine found in these."""
+        if not self.n or not vectors:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        known = self._known(vectors)
+        width = known.shape[1]
+        rare = [self.row[t] < 0 for t, _ in vectors]
+        terms, weights = (np.concatenate([v[j][r] for v, r in zip(vectors, rare, strict=True)]) for j in (0, 1))
         n = self.first[terms + 1] - self.first[terms]
         cells, weights = _spread(self.first[terms], n), np.repeat(weights, n)
-        block = self.block[cells]
-        bound = np.bincount(block, weights * self.most[cells], self.blocks) + known.reshape(-1, BLOCK).max(1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_n, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(order) and (len(best_n) < k or bound[order[done]] >= best_s[-1] - 1e-12):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : done + step]] = True
-            own = cells[chosen[block]]
-            size = self.start[own + 1] - self.start[own]
-            at = _spread(self.start[own], size)
-            score = np.bincount(self.example[at], np.repeat(weights[chosen[block]], size) * self.weight[at], len(known)) + np.where(np.repeat(chosen, BLOCK), known, 0)
-            if without >= 0:
-                score[without] = 0
-            hits = np.flatnonzero(score > (best_s[-1] - 1e-12 if len(best_n) == k else 0))
-            n, s = np.concatenate([best_n, hits]), np.concatenate([best_s, score[hits]])
-            top = np.lexsort((n, -s.round(12)))[:k]
-            best_n, best_s = n[top], s[top]
-            done, step = done + step, 4 * step
-        return best_n, best_s
+        asker = np.repeat(np.repeat(np.arange(len(vectors)), [int(r.sum()) for r in rare]), n)
+        place = asker * self.blocks + self.block[cells]
+        bound = np.bincount(place, weights * self.most[cells], len(vectors) * self.blocks).reshape(-1, self.blocks) + known.reshape(len(vectors), -1, BLOCK).max(2)
+
+        def scores(blocks: np.ndarray) -> np.ndarray:
+            """Inner products with the examples of each vector's own blocks, 0 elsewhere."""
+            own = blocks.ravel()[place]
+            met = cells[own]
+            size = self.start[met + 1] - self.start[met]
+            at = _spread(self.start[met], size)
+            out = np.bincount(np.repeat(asker[own] * width, size) + self.example[at], np.repeat(weights[own], size) * self.weight[at], known.size).reshape(known.shape)
+            out = out + np.where(np.repeat(blocks, BLOCK, axis=1), known, 0)
+            if without is not None:
+                out[np.arange(len(out)), without] = 0
+            return out
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :4], True, axis=1)
+        found = scores(first & (bound > 0))
+        kth = min(k, width)
+        least = np.partition(found, width - kth, axis=1)[:, width - kth]
+        more = ~first & (bound > 0) & (bound >= least[:, None] - 1e-12)
+        if more.any():
+            found += scores(more)
+            least = np.partition(found, width - kth, axis=1)[:, width - kth]
+        out = []
+        for score, floor in zip(found, least.tolist(), strict=True):
+            hits = np.flatnonzero(score >= floor - 1e-12) if floor > 0 else np.flatnonzero(score > 0)
+            top = hits[np.lexsort((hits, -score[hits].round(12)))[:k]]
+            out.append((top, score[top]))
+        return out
 
 
 @dataclass
@@ -150,13 +174,13 @@ class Model:
         w = (1 + np.log(n)) * self.rarity[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic votes, each example weighing by its squared cosine and what it stands for; the prior has a small voice."""
-        if not len(t):
-            return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        n, s = self.index.nearest(t, w, NEIGHBOURS, without)
-        voice = s * s * self.share[self.labels[n]]
-        return (float((voice * self.labels[n]).sum()) + 0.25 * self.prior) / (float(voice.sum()) + 0.25), n, s
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of toxic votes, each example weighing by its squared cosine and what it stands for; the prior has a small voice. With the examples and their cosines."""
+        out = []
+        for n, s in self.index.nearest(vectors, NEIGHBOURS, without):
+            voice = s * s * self.share[self.labels[n]]
+            out.append(((float((voice * self.labels[n]).sum()) + 0.25 * self.prior) / (float(voice.sum()) + 0.25), n, s))
+        return out
 
     def calibrated(self, vote: float) -> float:
         v = min(max(vote, 1e-4), 1 - 1e-4)
@@ -246,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, per
     vectors = [model.vector(*terms.counts(r.text)) for r in examples]
     model.index = Index(vectors, len(df))
     if len(set(y.tolist())) == 2:
-        votes = np.array([model.vote(*v, without=k)[0] for k, v in enumerate(vectors)])
+        places = range(0, len(vectors), BATCH)
+        votes = np.array([v[0] for k in places for v in model.votes(vectors[k : k + BATCH], list(range(k, min(k + BATCH, len(vectors)))))])
         model.slope, model.offset = _platt(votes, y, model.share[y])
     return model
 
@@ -263,10 +288,11 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", name:
 
     def run(texts: list[str]) -> list[pa.Array]:
         m, scores, found = shared.value, [], []
-        for t in texts:
-            vote, n, s = m.vote(*m.vector(*m.terms.counts(t)))
-            scores.append(m.calibrated(vote))
-            found.append([{"doc_id": int(m.ids[k]), "label": int(m.labels[k]), "cosine": float(c)} for k, c in zip(n[:3].tolist(), s[:3].tolist(), strict=True)])
+        for first in range(0, len(texts), BATCH):
+            vectors = [m.vector(*m.terms.counts(t)) for t in texts[first : first + BATCH]]
+            for vote, n, s in m.votes(vectors):
+                scores.append(m.calibrated(vote))
+                found.append([{"doc_id": int(m.ids[k]), "label": int(m.labels[k]), "cosine": float(c)} for k, c in zip(n[:3].tolist(), s[:3].tolist(), strict=True)])
         return [pa.array(scores, pa.float64()), pa.array(found, kind)]
 
     return append_columns(docs, text, run, [T.StructField(name, T.DoubleType()), T.StructField(evidence, EVIDENCE)])

@@ -472,7 +472,7 @@ def test_block_max_search_is_exact():
             s = dense @ dense[k]
             s[k] = 0
             order = [i for i in np.lexsort((np.arange(500), -s.round(12)))[:15] if s[i] > 0]
-            assert index.nearest(t, w, 15, k)[0].tolist() == order
+            assert index.nearest([(t, w), (t, w)], 15, [k, k])[1][0].tolist() == order
 
 
 def corpus(n=600):
