@@ -424,45 +424,94 @@ def part_cuts(sections: DataFrame, rows: DataFrame, *, most: int = 14_000, share
 
 def white_level(rows: DataFrame) -> DataFrame:
     """Per strip the brightness above which a row is paper: its 95th percentile, kept in [180, 250]."""
-    return rows.groupBy("strip_id").agg(F.greatest(F.lit(180.0), F.least(F.lit(250.0), F.percentile("row_mean", F.lit(0.95)))).alias("white"))
+    return rows.groupBy("strip_id").agg(F.greatest(F.lit(180.0), F.least(F.lit(250.0), F.percentile("row_mean", F.lit(0.95)))).alias("paper"))
 
 
-def webtoon_panels(rows: DataFrame, *, least: int = 5, gap: int = 2, padding: int = 2, fallback_edge: float = 0.01, equal: int = 160) -> DataFrame:
-    """Panels between rows of paper. A strip with at most one is cut by edge density instead, and one where that fails too into equal parts."""
+def webtoon_panels(rows: DataFrame, *, window: int = 3, least: int | None = None, gap: int | None = None, padding: int = 10, margin: int = 50, most: int = 1600, shortest: int = 100) -> DataFrame:
+    """``strip_id, start, end, by``: panels between rows of paper.
+
+    Rows darker than paper, smoothed over ``window`` rows, make runs; those closer than ``gap`` are one, their pale beginning goes, and what is at least ``least`` high is refined: both
+    ends move to the outermost dark row within a tenth of the height (``margin`` at most), and ``padding`` further out. A strip with at most one panel takes
+    the stretches of more edges than .6 of its average instead. Panels over ``most`` are cut into equal parts. ``least`` and ``gap`` follow the strip's height if not given.
+    """
     level = white_level(rows)
     heights = rows.groupBy("strip_id").agg((F.max("y") + 1).alias("total"))
+    total = F.col("total")
+    clip = lambda low, high, c: F.greatest(F.lit(low), F.least(F.lit(high), F.floor(c)))
+    tall = (lambda high: clip(120, high, total / 90)) if least is None else (lambda _: F.lit(least))
+    near = clip(1, 12, total / 2000) if gap is None else F.lit(gap)
+    ahead = clip(20, 120, total / 1000)
+    strips = stored(level.join(heights, "strip_id").withColumns({"_tall": tall(600), "_tall2": tall(800), "_near": near, "_ahead": ahead}))
+    marked = rows.join(strips, "strip_id").withColumn("_dark", F.col("row_mean") < F.col("paper"))
+    marked = marked.withColumn("_mask", dilated(F.col("_dark"), window // 2, window // 3))
+
+    # Close runs become one; each strip has its own least gap.
+    order = _strip().orderBy("start")
+    runs = boolean_runs(marked, "_mask").join(strips, "strip_id")
+    runs = runs.withColumn("_new", F.coalesce(F.col("start") - F.lag("end").over(order) >= F.col("_near"), F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(order))
+    runs = stored(runs.groupBy("strip_id", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group"))
+
+    inked = rows.select("strip_id", "y", "row_mean").join(strips.select("strip_id", "paper"), "strip_id")
+    solid = in_ranges(inked.filter(F.col("row_mean") <= F.col("paper") - 20), runs).groupBy("strip_id", "start").agg(F.min("y").alias("_solid"))
+    found = runs.join(strips, "strip_id").join(solid, ["strip_id", "start"], "left")
+    begin = F.least(F.coalesce("_solid", F.col("start") + F.col("_ahead")), F.col("start") + F.col("_ahead"))
+    found = found.withColumn("start", begin).filter(F.col("end") - F.col("start") >= F.col("_tall")).select("strip_id", "start", "end", "total", "_tall")
+    reach = F.least(F.lit(margin), F.floor((F.col("end") - F.col("start")) / 10))
+
+    def outermost(name: str, low: Column, high: Column, pick: object) -> DataFrame:
+        """The first or last dark row of [low, high) near each panel's end; looked for in the stretches that it reaches into."""
+        near = found.select("strip_id", "start", "end", low.alias("low"), high.alias("high")).filter("high > low")
+        parts = F.sequence(F.floor(F.col("low") / 64), F.floor((F.col("high") - 1) / 64))
+        met = near.withColumn("_part", F.explode(parts)).join(inked.filter(F.col("row_mean") < F.col("paper") - 10).withColumn("_part", F.floor(F.col("y") / 64)), ["strip_id", "_part"])
+        return met.filter((F.col("y") >= F.col("low")) & (F.col("y") < F.col("high"))).groupBy("strip_id", "start", "end").agg(pick("y").alias(name))
+
+    first = outermost("_first", F.greatest(F.lit(0), F.col("start") - reach), F.least(total - 1, F.col("start") + reach), F.min)
+    last = outermost("_last", F.greatest(F.lit(0), F.col("end") - reach) + 1, F.least(total - 1, F.col("end") + reach) + 1, F.max)
+    panels = found.join(first, ["strip_id", "start", "end"], "left").join(last, ["strip_id", "start", "end"], "left")
+    top = F.greatest(F.lit(0), F.least(F.coalesce("_first", "start") - padding, F.col("start")))
+    bottom = F.least(total, F.greatest(F.coalesce(F.col("_last") + 1, F.col("end")) + padding, F.col("end")))
+    panels = panels.select("strip_id", top.alias("start"), bottom.alias("end"), "_tall").filter(F.col("end") - F.col("start") >= F.col("_tall")).select("strip_id", "start", "end", F.lit("paper").alias("by"))
+    panels = stored(panels)
+
+    few = strips.join(panels.groupBy("strip_id").agg(F.count("*").alias("_n")), "strip_id", "left").filter(F.coalesce("_n", F.lit(0)) <= 1)
+    edges = rows.join(few.select("strip_id", "_tall2"), "strip_id").withColumn("_smooth", smoothed("edge_density", window))
+    average = edges.groupBy("strip_id").agg(F.greatest(F.lit(0.0005), 0.6 * F.avg("_smooth")).alias("_least"))
+    extra = boolean_runs(edges.join(average, "strip_id").withColumn("_mask", F.col("_smooth") > F.col("_least")), "_mask").join(few.select("strip_id", "_tall2"), "strip_id")
+    extra = extra.filter(F.col("end") - F.col("start") >= F.col("_tall2")).select("strip_id", "start", "end", F.lit("edges").alias("by"))
+    panels = panels.join(extra.select("strip_id").distinct(), "strip_id", "left_anti").unionByName(extra)
 
-    def found(mask: Column) -> DataFrame:
-        marked = rows.join(level, "strip_id").withColumn("_mask", mask)
-        runs = merge_close(boolean_runs(marked, "_mask"), gap).filter(F.col("end") - F.col("start") >= least)
-        return runs.withColumn("_n", F.count("*").over(_strip())).filter(F.col("_n") > 1).drop("_n")
-
-    first = found(F.col("row_mean") < F.col("white") - 5)
-    second = found(F.col("edge_density") > fallback_edge).join(first.select("strip_id").distinct(), "strip_id", "left_anti")
-    some = first.withColumn("by", F.lit("paper")).unionByName(second.withColumn("by", F.lit("edges")))
-    rest = heights.join(some.select("strip_id").distinct(), "strip_id", "left_anti")
-    rest = rest.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(equal)))).select("strip_id", "start", F.least(F.col("start") + equal, F.col("total")).alias("end"), F.lit("equal").alias("by"))
-    some = some.join(heights, "strip_id").select("strip_id", F.greatest(F.lit(0), F.col("start") - padding).alias("start"), F.least(F.col("total"), F.col("end") + padding).alias("end"), "by")
-    return some.unionByName(rest)
+    height = F.col("end") - F.col("start")
+    parts = F.when(height > most, F.greatest(F.lit(2), F.floor(height / most) + 1)).otherwise(F.lit(1)).cast("int")
+    pieces = panels.withColumn("_parts", parts).withColumn("_each", F.floor(height / F.col("_parts"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = F.when(F.col("_parts") == 1, F.col("end")).otherwise(F.col("start") + (F.col("_k") + 1) * F.col("_each"))
+    pieces = pieces.select("strip_id", (F.col("start") + F.col("_k") * F.col("_each")).alias("start"), own.alias("end"), "by", "_parts")
+    return pieces.filter((F.col("_parts") == 1) | (F.col("end") - F.col("start") > shortest)).drop("_parts")
 
 
-def chunks_by_count(panels: DataFrame, rows: DataFrame, *, least: int = 5, most: int = 10) -> DataFrame:
-    """Groups of (least + most) / 2 panels, a short last one joined to the one before, with the whitest row of the gap after each as ``cut``."""
-    size = (least + most) // 2
+def chunks_by_count(panels: DataFrame, rows: DataFrame, *, least: int = 5, most: int = 10, shortest: int = 50) -> DataFrame:
+    """``strip_id, chunk, from, cut, panels``: groups of (least + most) / 2 panels; the last ones take what is left up to ``most``, or the last two share it so that neither is under ``least``. A
+    group ends at the whitest row of the gap after it; groups of no more than ``shortest`` rows go."""
+    size = max(least, min(most, (least + most) // 2))
     order = _strip().orderBy("start")
     p = panels.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(_strip()))
-    chunk = F.least(F.floor(F.col("_i") / size), F.greatest(F.lit(0), F.floor(F.col("_n") / size) - 1 + (F.col("_n") % size >= least).cast("int")))
-    g = p.withColumn("chunk", chunk).groupBy("strip_id", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("panels"))
+    enough = max(most + 1, size + least)
+    p = p.withColumn("_k", F.when(F.col("_n") < enough, F.lit(0)).otherwise(F.floor((F.col("_n") - enough) / size) + 1))
+    p = p.withColumn("_rest", F.col("_n") - F.col("_k") * size)
+    inside = F.col("_i") - F.col("_k") * size
+    chunk = F.when(inside < 0, F.floor(F.col("_i") / size)).when((F.col("_rest") > most) & (inside >= F.col("_rest") - least), F.col("_k") + 1).otherwise(F.col("_k"))
+    g = p.withColumn("chunk", chunk.cast("int")).groupBy("strip_id", "chunk").agg(F.max_by("end", "start").alias("end"), F.min("start").alias("start"), F.count("*").alias("panels"))
     g = g.withColumn("_next", F.lead("start").over(_strip().orderBy("chunk")))
-    gap = g.join(rows.select("strip_id", "y", "row_mean"), "strip_id").filter((F.col("y") >= F.col("end")) & (F.col("y") < F.col("_next")))
-    cut = gap.groupBy("strip_id", "chunk").agg(F.max(F.struct("row_mean", (-F.col("y")).alias("_y"))).alias("_b"))
-    return g.join(cut, ["strip_id", "chunk"], "left").select("strip_id", "chunk", "start", "end", "panels", F.coalesce(-F.col("_b._y"), F.col("end")).alias("cut"))
+    gaps = g.filter(F.col("_next") > F.col("end")).select("strip_id", F.col("end").alias("start"), F.col("_next").alias("end"))
+    cut = in_ranges(rows.select("strip_id", "y", "row_mean"), gaps).groupBy("strip_id", F.col("start").alias("end")).agg(F.max(F.struct("row_mean", (-F.col("y")).alias("_y"))).alias("_b"))
+    g = g.join(cut, ["strip_id", "end"], "left").withColumn("cut", F.coalesce(-F.col("_b._y"), F.col("end")))
+    g = g.withColumn("from", F.coalesce(F.lag("cut").over(_strip().orderBy("chunk")), F.lit(0)))
+    return g.filter(F.col("cut") - F.col("from") > shortest).select("strip_id", "chunk", "from", "cut", "panels")
 
 
 def subscenes(rows: DataFrame, *, least_gap: int = 4, least: int = 8) -> DataFrame:
     """``strip_id, name, start, end``: a panel's parts between white gaps, named ``_s01`` and so on; a panel without such a gap has none."""
     level = white_level(rows)
-    marked = rows.join(level, "strip_id").withColumn("_ink", F.col("row_mean") < F.col("white") - 5)
+    marked = rows.join(level, "strip_id").withColumn("_ink", F.col("row_mean") < F.col("paper") - 5)
     parts = merge_close(boolean_runs(marked, "_ink"), least_gap).filter(F.col("end") - F.col("start") >= least)
     parts = parts.withColumn("_n", F.count("*").over(_strip())).filter(F.col("_n") > 1)
     return parts.select("strip_id", F.format_string("%d_s%02d", F.col("strip_id"), F.row_number().over(_strip().orderBy("start"))).alias("name"), "start", "end")

@@ -181,20 +181,24 @@ def content_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.content_panels(_rows(spark, sf_dir), **PANELS).select("strip_id", "start", "end", F.round("mean", 6).alias("mean"))
 
 
+WEB = {"least": 5, "gap": 2, "padding": 2, "margin": 4, "most": 60, "shortest": 10}
+
+
 @query("webtoon_panels")
 def webtoon_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.webtoon_panels(_rows(spark, sf_dir))
+    return O.webtoon_panels(stored(_rows(spark, sf_dir)), **WEB)
 
 
 @query("panels_no_filter")
 def panels_no_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.webtoon_panels(_rows(spark, sf_dir), least=1, gap=1, padding=0, equal=1 << 30)
+    """Every run between rows of paper, whole."""
+    return O.webtoon_panels(stored(_rows(spark, sf_dir)), least=1, gap=1, padding=0, margin=0, most=1 << 30, shortest=0)
 
 
 @query("chunk_by_count")
 def chunk_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    return O.chunks_by_count(O.webtoon_panels(rows, padding=0), rows)
+    rows = stored(_rows(spark, sf_dir))
+    return O.chunks_by_count(O.webtoon_panels(rows, **{**WEB, "padding": 0}), rows, shortest=5)
 
 
 @query("bubble_scene_overlap", with_feeds("WITH b AS (SELECT panel_id % 100 AS strip_id, panel_id AS box_id, (panel_id * 37) % 700 AS y, 10 + panel_id % 60 AS height FROM panels), s AS (SELECT strip_id, k * 90 AS start, k * 90 + 90 AS \"end\" FROM (SELECT DISTINCT strip_id FROM b) d, (SELECT unnest(range(8)) AS k)) SELECT b.strip_id, box_id, start, greatest(0, y - start) AS scene_y FROM b JOIN s ON b.strip_id = s.strip_id AND y < \"end\" AND y + height > start", "panels"))

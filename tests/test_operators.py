@@ -188,6 +188,86 @@ def test_scenes_count_their_bubbles(spark):
     assert all(r.bubbles == 0 for r in scenes if r.strip_id)
 
 
+def plain_panels(means, edges, least, gap, padding, margin, most, shortest):
+    total = len(means)
+    white = max(180.0, min(250.0, float(np.percentile(means, 95))))
+    mask = np.convolve(np.array(means) < white, np.ones(3), "same") > 1
+    runs, k = [], 0
+    while k < total:
+        if mask[k]:
+            e = next((j for j in range(k, total) if not mask[j]), total)
+            if runs and k - runs[-1][1] < gap:
+                runs[-1] = (runs[-1][0], e)
+            else:
+                runs.append((k, e))
+            k = e
+        k += 1
+    out = []
+    for a, b in runs:
+        a = next((j for j in range(a, min(a + 20, total)) if means[j] <= white - 20), a + 20)
+        if b - a < least:
+            continue
+        m = min(margin, (b - a) // 10)
+        top = next((j for j in range(max(0, a - m), min(total - 1, a + m)) if means[j] < white - 10), a)
+        end = next((j + 1 for j in range(min(total - 1, b + m), max(0, b - m), -1) if means[j] < white - 10), b)
+        top, end = max(0, min(top - padding, a)), min(total, max(end + padding, b))
+        if end - top >= least:
+            out.append((top, end))
+    if len(out) <= 1:
+        smooth = np.convolve(edges, np.ones(3) / 3, "same")
+        busy, extra, k = smooth > max(0.0005, smooth.mean() * 0.6), [], 0
+        while k < total:
+            e = k
+            while e < total and busy[e]:
+                e += 1
+            if e - k >= least:
+                extra.append((k, e))
+            k = max(e, k + 1)
+        out = extra or out
+    cut = []
+    for a, b in out:
+        n = max(2, (b - a) // most + 1) if b - a > most else 1
+        each = (b - a) // n
+        cut += [(a, b)] if n == 1 else [(a + i * each, a + (i + 1) * each) for i in range(n) if each > shortest]
+    return cut
+
+
+def plain_chunks(panels, means, least, most, shortest):
+    size, i, start, out = (least + most) // 2, 0, 0, []
+    while i < len(panels):
+        left = len(panels) - i
+        n = left if left <= most else left - least if left - size < least else size
+        end = panels[i + n - 1][1]
+        nxt = panels[i + n][0] if i + n < len(panels) else end
+        cut = end + int(np.argmax(means[end:nxt])) if nxt > end else end
+        if cut - start > shortest:
+            out.append((start, cut, n))
+        start, i = cut, i + n
+    return out
+
+
+def test_panels_and_chunks_are_those_of_the_plain_walk(spark):
+    rnd, raw = random.Random(31), []
+    for strip in range(6):
+        y = 0
+        while y < 800:
+            n = rnd.choice([3, 9, 30, 80] if strip else [60, 90])
+            paper = rnd.random() < 0.45 and strip != 5
+            for _ in range(n):
+                raw.append((strip, y, 252.0 - rnd.random() if paper else 60 + rnd.random() * (190 if strip == 4 else 120), 10.0, 0.0 if rnd.random() < 0.5 else 0.05, 0.1, *[0.5] * 6))
+                y += 1
+    names = ("row_mean", "row_std", "edge_density", "foreground", "saturation", "energy", "focus", "white", "ink", "dark")
+    rows = spark.createDataFrame(raw, "strip_id long, y int, " + ", ".join(f"{c} double" for c in names))
+    rules = {"least": 12, "gap": 4, "padding": 3, "margin": 6, "most": 60, "shortest": 10}
+    panels = sequence.webtoon_panels(rows, **rules)
+    found = {k: sorted((r.start, r.end) for r in panels.collect() if r.strip_id == k) for k in range(6)}
+    chunks = sequence.chunks_by_count(panels, rows, least=2, most=4, shortest=5).collect()
+    for k in range(6):
+        means, edges = [r[2] for r in raw if r[0] == k], [r[4] for r in raw if r[0] == k]
+        assert found[k] == sorted(plain_panels(means, edges, **rules)), k
+        assert sorted((r["from"], r["cut"], r["panels"]) for r in chunks if r.strip_id == k) == plain_chunks(found[k], means, 2, 4, 5), k
+
+
 def test_beats_are_those_of_plain_means(spark):
     raw, rows = random_rows(spark, 1, 700)
     found = {r.y: r.strength for r in sequence.action_beats(rows, width=100, least=0.0).collect()}
