@@ -8,6 +8,8 @@ stronger priority is suppressed; of equal spans the stronger, then the earlier r
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 _V = r"(?: version| v)?"
-_LIC = r"(?: (?:public|software|open source|free))?(?: licen[cs]e)"
+_LIC = r"(?: (?:public|software|open source|free))? licen[cs]e"
 #: label, SPDX identifiers in word form, name, keywords (any of them, parted by a bar).
 FAMILIES = (
     ("mit", r"mit(?: 0)?", rf"(?:the )?(?:mit|expat|x11)(?: style)?{_LIC}", "mit|expat|x11"),
@@ -49,7 +51,7 @@ FAMILIES = (
     ("elastic", r"elastic 2 0", rf"(?:the )?elastic licen[cs]e(?:{_V} 2(?: 0)?)?", "elastic"),
     ("unlicense", r"unlicense", r"(?:the )?unlicense(?: licen[cs]e)?", "unlicense"),
     ("wtfpl", r"wtfpl", r"(?:the )?(?:wtfpl|do what the [^ ]+ you want to public licen[cs]e)", "wtfpl|want to public"),
-    ("cc0", r"cc0 1 0", r"(?:the )?(?:creative commons )?(?:cc0|zero)(?: 1 0)?(?: universal)?(?: public domain dedication)?(?: licen[cs]e)", "cc0|zero"),
+    ("cc0", r"cc0 1 0", r"(?:the )?(?:creative commons )?(?:cc0|zero)(?: 1 0)?(?: universal)?(?: public domain dedication)? licen[cs]e", "cc0|zero"),
     ("cc-by", r"cc by [1234] [05]", rf"(?:the )?creative commons attribution(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?(?:{_V} [1234] [05])?", "attribution"),
     ("cc-by-sa", r"cc by sa [1234] [05]", rf"(?:the )?creative commons attribution share ?alike(?: [1234] [05])?(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?(?:{_V} [1234] [05])?", "attribution"),
     ("cc-by-nd", r"cc by nd [1234] [05]", r"(?:the )?creative commons attribution no ?deriv(?:ative)?s?(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)?", "attribution"),
@@ -74,7 +76,7 @@ FAMILIES = (
     ("vim", r"vim", r"(?:the )?vim licen[cs]e", "vim"),
     ("qpl", r"qpl 1 0", r"(?:the )?q public licen[cs]e", "q public"),
     ("lppl", r"lppl 1 [0123]c?", r"(?:the )?latex project public licen[cs]e", "latex"),
-    ("openrail", r"(?:bigscience )?openrail m?", r"(?:the )?(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]e)", "rail"),
+    ("openrail", r"(?:bigscience )?openrail m?", r"(?:the )?(?:creativeml |bigscience )?open ?rail(?: m)? licen[cs]e", "rail"),
     ("beerware", r"beerware", r"(?:the )?beer ?ware licen[cs]e", "beer"),
     ("json", r"json", r"(?:the )?json licen[cs]e", "json"),
     ("tcl", r"tcl", r"(?:the )?tcl tk licen[cs]e", "tcl"),
@@ -328,11 +330,30 @@ def _unsuppressed(matches: Column) -> Column:
     return scanned(matches, F.struct(*(F.lit(-1).alias(f"e{p}") for p in CONFIDENCE)), DETECTION, step)
 
 
+def certain_words(regex: str) -> list[set[str]]:
+    """For each alternative of a rule the words (of six letters or more, or the beginning ``licen``) that every match holds: those that stand outside all groups."""
+    flat, depth = "", 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        flat += c if depth == 0 and c != ")" else " " if depth == 0 else ""
+    return [{"licen" if w == "licen[cs]e" else w for w in re.sub(r"[?{][^ ]*", " ", part).split() if w == "licen[cs]e" or (w.isalnum() and len(w) > 5)} for part in flat.split("|")]
+
+
 def gates() -> list[str]:
-    """Strings of which every text that any rule or base phrase can match holds one: the longest word of each keyword. In the text itself words may be apart by
-    anything but word characters, so a single word is looked for."""
-    words = {max(k.split(), key=len) for _, _, _, keywords, _ in rules() for k in keywords.split("|")} | {max(phrase.split(), key=len) for phrase, _ in BASE}
-    return sorted(w for w in words if not any(v != w and v in w for v in words))
+    """Strings of which every text that any rule or base phrase can match holds one: few words that cover all rules, the one that covers most first. A rule without certain
+    words is covered by its keywords'. In the text itself words may be apart by anything but word characters, so single words are looked for."""
+    needs = [{"licen"}]
+    for _, _, _, keywords, regex in rules():
+        certain = certain_words(regex[len("(?<= )(?:") : -len(")(?= )")])
+        needs += certain if all(certain) else [{max(k.split(), key=len)} for k in keywords.split("|")]
+    needs = [{"licen" if w.startswith("licen") else w for w in n} for n in needs]
+    out = []
+    while needs:
+        votes = Counter(w for n in needs for w in n)
+        best = max(votes, key=lambda w: (votes[w], len(w), w))
+        out.append(best)
+        needs = [n for n in needs if best not in n]
+    return [w for w in out if not any(v != w and v in w for v in out)]
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
