@@ -159,15 +159,19 @@ def pack_documents(docs: DataFrame, *, lengths: Sequence[int] = LENGTHS, size: C
 def sequences(docs: DataFrame, packed: DataFrame, tokens: Column | None = None) -> DataFrame:
     """One row per bin: ``bin_id, bin_length, n_tokens, doc_ids, starts, tokens``: the pieces' documents, the offset of each in the sequence, and the tokens
     (those of ``tokens``, an array over ``docs``, or words with an end token). What ``n_tokens`` leaves of ``bin_length`` is padding."""
-    body = word_tokens(F.col("text")) if tokens is None else tokens
-    # Repeated rows have one body, so a row repeated many times is read once and joined to its pieces.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("text_hash"), "text", body.alias("_tokens"))
-    rows = rows.groupBy("_id", "text_hash").agg(F.first("_tokens").alias("_tokens"))
+    docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text_hash": F.xxhash64("text")})
+    body = F.coalesce(F.col("text"), F.lit("")) if tokens is None else tokens
+    # Repeated rows have one body: it is read once and joined to all their pieces. Words travel as text, which is far smaller than arrays of them.
+    rows = docs.select("_id", "text_hash", body.alias("_body")).dropDuplicates(["_id", "text_hash"])
     own = packed.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    piece = F.slice("_tokens", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int"))
-    whole = own.join(rows, ["_id", "text_hash"]).select("bin_id", "bin_length", "place", "doc_id", "n_tokens", piece.alias("_tokens"))
-    found = whole.groupBy("bin_id", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "doc_id", "_tokens"))).alias("_all"))
-    return found.select("bin_id", "bin_length", "n_tokens", F.col("_all.doc_id").alias("doc_ids"), F.col("_all.place").alias("starts"), F.flatten(F.col("_all._tokens")).alias("tokens"))
+    every = F.col("_body") if tokens is not None else word_tokens(F.col("_body"))
+    piece = F.slice(every, F.col("start").cast("int") + 1, F.col("n_tokens").cast("int"))
+    piece = piece if tokens is not None else F.array_join(piece, " ")
+    whole = own.join(rows, ["_id", "text_hash"]).select("bin_id", "bin_length", "place", "doc_id", "n_tokens", piece.alias("_piece"))
+    found = whole.groupBy("bin_id", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "doc_id", "_piece"))).alias("_all"))
+    pieces = F.col("_all._piece")
+    joined = F.flatten(pieces) if tokens is not None else F.split(F.array_join(pieces, " "), " ")
+    return found.select("bin_id", "bin_length", "n_tokens", F.col("_all.doc_id").alias("doc_ids"), F.col("_all.place").alias("starts"), joined.alias("tokens"))
 
 
 def bin_report(packed: DataFrame) -> DataFrame:

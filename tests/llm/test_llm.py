@@ -287,7 +287,7 @@ def test_packing_of_token_ids(spark):
     ids = bpe.encode_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "word_bpe_49k.json")
     own = bpe.tokenizer(bpe.vocabulary_path("word_bpe_49k.json"))
     docs = ids.withColumn("text", F.hex("ids"))
-    tokens = F.append(F.transform(F.regexp_extract_all("text", F.lit("[0-9A-F]{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10)), F.lit("end"))
+    tokens = F.array_append(F.transform(F.regexp_extract_all("text", F.lit("[0-9A-F]{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10)), F.lit("end"))
     bins = packing.sequences(docs, packing.pack_documents(docs, size=F.size(tokens)), tokens).collect()
     wanted = [(k, [*(str(int(x.hex(), 16)) for x in (own.encode(t)[j : j + 4] for j in range(0, len(own.encode(t)), 4))), "end"]) for k, t in texts.items()]
     check_sequences(bins, wanted, packing.LENGTHS[-1])
