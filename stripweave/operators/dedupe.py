@@ -177,6 +177,21 @@ def seam_first_fit(rows: DataFrame, *, most: int = 300, least: int = 30, step: i
     return rows.select("strip_id", "seq").distinct().filter(F.col("seq") > 0).join(best, ["strip_id", "seq"], "left").na.fill(0, ["overlap"])
 
 
+def seam_correlations(rows: DataFrame, *, depth: int = 30, least_width: int = 10) -> DataFrame:
+    """``strip_id, seq, seam``: how the last ``depth`` rows of each panel correlate with the first of the next one, over their common width; 0 where one side is flat or the
+    common width is not over ``least_width``. Panels of fewer rows have none. ``rows`` has ``strip_id, seq, y, height, vec``."""
+    deep = rows.filter(F.col("height") >= depth)
+    tail = deep.filter(F.col("y") >= F.col("height") - depth).select("strip_id", "seq", (F.col("y") - F.col("height") + depth).alias("j"), F.col("vec").alias("tv"))
+    head = deep.filter(F.col("y") < depth).select("strip_id", (F.col("seq") - 1).alias("seq"), F.col("y").alias("j"), F.col("vec").alias("hv"))
+    met = tail.join(head, ["strip_id", "seq", "j"]).withColumn("_w", F.least(F.size("tv"), F.size("hv")))
+    a, b = F.slice("tv", F.lit(1), F.col("_w")), F.slice("hv", F.lit(1), F.col("_w"))
+    sums = met.select("strip_id", "seq", "_w", _sum(a).alias("a"), _sum(b).alias("b"), *(_sum(F.zip_with(x, y, lambda u, v: (u * v).cast("double"))).alias(n) for n, x, y in (("aa", a, a), ("bb", b, b), ("ab", a, b))))
+    t = sums.groupBy("strip_id", "seq").agg(F.sum("_w").alias("n"), F.min("_w").alias("_w"), *(F.sum(c).alias(c) for c in ("a", "b", "aa", "bb", "ab")))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("aa") - F.col("a") * F.col("a") / F.col("n")) * F.greatest(F.lit(0.0), F.col("bb") - F.col("b") * F.col("b") / F.col("n")))
+    seam = F.when((spread > 1e-6) & (F.col("_w") > least_width), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / spread).otherwise(0.0)
+    return t.select("strip_id", "seq", seam.alias("seam"))
+
+
 def false_splits(panels: DataFrame, least: float = 0.96) -> DataFrame:
     """``strip_id, seq, merged``: adjacent panels whose seam correlates (``seam``, with the next one) are merged in pairs from the left, none twice."""
     order = Window.partitionBy("strip_id").orderBy("seq")

@@ -62,13 +62,16 @@ def keep_by_threshold(rows: DataFrame, *, least_top: float = 30, least: float =
 
 
 def scored_elements(elements: DataFrame, pages: DataFrame, tag: str = "img", source: Column | None = None) -> DataFrame:
-    """``page_id, domain, idx, url, score`` and selectors' columns of the elements with an address that is not furniture."""
+    """``page_id, domain, idx, url, score`` and selectors' columns of the elements with an address that is not furniture.
+
+    Addresses are made once: as the only element of an array that is exploded, for a condition on a plain column goes below it and repeats how it is made at each of its uses.
+    """
     source = U.pick_src(F.col("attrs")) if source is None else source
     rows = elements.filter(F.col("tag") == tag)
     page = Window.partitionBy("page_id")
     rows = rows.withColumn("nth", F.row_number().over(page.orderBy("idx")) - 1).withColumn("total", F.count("*").over(page))
-    rows = rows.join(pages.select("page_id", F.col("url").alias("base")), "page_id").withColumn("src", source).filter(F.col("src").isNotNull())
-    rows = rows.withColumn("url", U.abs_url(F.col("src"), F.col("base"))).filter(~U.is_junk_element(F.col("url"), F.col("classes")))
+    rows = rows.join(pages.select("page_id", F.col("url").alias("base")), "page_id").withColumn("src", F.explode(F.array(source))).filter(F.col("src").isNotNull())
+    rows = rows.withColumn("url", F.explode(F.array(U.abs_url(F.col("src"), F.col("base"))))).filter(~U.is_junk_element(F.col("url"), F.col("classes")))
     score = U.element_score("tag", F.col("classes"), F.col("id"), F.col("attrs"), F.col("parent_classes"), F.col("depth"), F.col("nth"), F.col("total"))
     return rows.select("page_id", U.domain_strip_www(F.col("base")).alias("domain"), "idx", "tag", "id", "classes", "parent_id", "parent_classes", "url", score.alias("score"))
 

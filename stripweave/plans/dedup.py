@@ -130,6 +130,12 @@ def seam_overlap_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.seam_first_fit(_vectors(spark, sf_dir), most=12, least=2, step=2)
 
 
+@query("seam_correlation", f"""WITH {VECTORS}, s AS (SELECT strip_id, seq, corr(a, b) AS seam FROM (SELECT t.strip_id, t.seq, unnest(t.vec) AS a, unnest(h.vec) AS b FROM v t JOIN v h ON h.strip_id = t.strip_id AND h.seq = t.seq + 1 AND h.y = t.y - 18 WHERE t.y >= 18) x GROUP BY 1, 2)
+SELECT strip_id, seq, round(seam, 8) AS seam FROM s""")
+def seam_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.seam_correlations(_vectors(spark, sf_dir), depth=6).withColumn("seam", F.round("seam", 8))
+
+
 @query("merge_false_splits", "WITH p AS (SELECT user_id AS strip_id, event_id AS seq, value < 200 AS hit FROM events), g AS (SELECT *, coalesce(sum((NOT hit)::INT) OVER (PARTITION BY strip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM p), f AS (SELECT *, hit AND row_number() OVER (PARTITION BY strip_id, run ORDER BY seq) % 2 = 1 AS one FROM g) SELECT strip_id, seq, one OR coalesce(lag(one) OVER (PARTITION BY strip_id ORDER BY seq), false) AS merged FROM f")
 def merge_false_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select(C("user_id").alias("strip_id"), C("event_id").alias("seq"), F.when(C("value") < 200, 0.97).otherwise(0.5).alias("seam"))

@@ -18,7 +18,7 @@ from stripweave.plans.dedup import _vectors
 from stripweave.plans.dialogue import _spoken
 from stripweave.plans.panels import GATED, KEY_SQL, _gated, running_offsets
 from stripweave.plans.registry import query
-from stripweave.plans.stories import CAST, NAMES, _chapters
+from stripweave.plans.stories import CAST, NAMES, RETAINED, _chapters, _summaries
 from stripweave.plans.texts import TYPE_SQL
 from stripweave.session import work_dir
 from stripweave.sinks import writers as W
@@ -252,6 +252,16 @@ def series_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, names, learners.series_memory, ["series", "name"], "appearances")
 
 
+@query("chapter_memory_stream", RETAINED)
+def chapter_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chapters in one batch, so that what is kept is what the batch operator keeps."""
+    path, out = work_dir(spark), work_dir(spark)
+    rows = _summaries(spark, sf_dir).select("series", "chapter", "characters", "dialogue_count", "has_action")
+    rows.write.parquet(path)
+    learners.chapter_memory(spark.readStream.schema(rows.schema).parquet(path), out, work_dir(spark)).trigger(once=True).start().awaitTermination()
+    return W.latest_state(spark, out).select("series", "chapter")
+
+
 @query("page_arrival_stream")
 def page_arrival_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a table written from all documents, as they arrive."""

@@ -46,8 +46,12 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.chapter_summary(_chapters(spark, sf_dir)).join(counts, ["series", "chapter"], "left").withColumn("characters", F.coalesce("characters", F.lit(0).cast("long")))
 
 
-@query("retained_chapters", with_feeds(f"""WITH {NAMES}, {SUMMARY}, s AS (SELECT l.series, l.chapter, len(l) AS d, {_any_sql('text', O.ACTION_WORDS)} AS a, (SELECT count(*) FROM names n WHERE n.series = l.series AND n.chapter = l.chapter) AS c FROM lines l),
-r AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, row_number() OVER (PARTITION BY series ORDER BY chapter DESC) AS age FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY series, age > 20 ORDER BY 2 * c + 0.1::DOUBLE * d + CASE WHEN a THEN 5 ELSE 0 END DESC, chapter) AS best FROM r)
+KEPT = f"""WITH {NAMES}, {SUMMARY}, s AS (SELECT l.series, l.chapter, len(l) AS d, {_any_sql('text', O.ACTION_WORDS)} AS a, (SELECT count(*) FROM names n WHERE n.series = l.series AND n.chapter = l.chapter) AS c FROM lines l),
+r AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, row_number() OVER (PARTITION BY series ORDER BY chapter DESC) AS age FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY series, age > 20 ORDER BY 2 * c + 0.1::DOUBLE * d + CASE WHEN a THEN 5 ELSE 0 END DESC, chapter) AS best FROM r)"""
+RETAINED = with_feeds(f"{KEPT} SELECT series, chapter FROM b WHERE n <= 30 OR age <= 20 OR best <= 10", "chapters")
+
+
+@query("retained_chapters", with_feeds(f"""{KEPT}
 SELECT series, chapter, CASE WHEN n <= 30 THEN 'all' WHEN age <= 20 THEN 'recent' ELSE 'best' END AS why FROM b WHERE n <= 30 OR age <= 20 OR best <= 10""", "chapters"))
 def retained_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.retained_chapters(_summaries(spark, sf_dir)).select("series", "chapter", "why")

@@ -6,13 +6,16 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stripweave.operators.attempts import learn, new_preference
+from stripweave.operators.stories import retained_chapters
 from stripweave.session import ship
+from stripweave.sinks.writers import latest_state, save_state
 
 
 def attempt_learner(attempts: DataFrame, methods: Sequence[str]) -> DataFrame:
@@ -70,6 +73,20 @@ def series_memory(names: DataFrame) -> DataFrame:
     return names.groupBy("series", "name").agg(F.count("*").alias("appearances"), F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_seen"))
 
 
+def chapter_memory(summaries: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A stream of chapters' summaries as the memory of their series: each batch is joined to what was kept, what ``retained_chapters`` keeps of both is the next version of the
+    state at ``path`` (``latest_state`` reads it). What a series holds is bounded by that rule."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        try:
+            batch = latest_state(batch.sparkSession, path).select(batch.columns).unionByName(batch)
+        except AnalysisException:  # nothing is kept yet
+            pass
+        save_state(retained_chapters(batch).select(batch.columns), path)
+
+    return summaries.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(keep)
+
+
 def page_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataStreamWriter:
     """New files of a folder, each path once, appended to a table as they come."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(path)
