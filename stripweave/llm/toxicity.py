@@ -8,8 +8,10 @@ largest weight in each block of examples: blocks are visited by falling bound, a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import ahocorasick
 import numpy as np
@@ -46,25 +48,27 @@ def words(text: str) -> list[str]:
 
 
 class Terms:
-    """The sample's terms by number. They are found in a text by one pass of an automaton over its words, each between spaces; it is built once in each worker."""
+    """The sample's terms by number. They are found in a text by one pass of an automaton over its words, each between spaces; a worker holds one automaton, that of the
+    terms last asked for, however many copies of these it got."""
+
+    held: ClassVar[tuple[str, ahocorasick.Automaton | None]] = ("", None)
 
     def __init__(self, names: list[str]):
         self.names = names
-        self.automaton: ahocorasick.Automaton | None = None
-
-    def __getstate__(self) -> dict:
-        return {"names": self.names, "automaton": None}
+        self.key = uuid.uuid4().hex
 
     def __len__(self) -> int:
         return len(self.names)
 
     def _built(self) -> ahocorasick.Automaton:
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
+        if Terms.held[0] != self.key:
+            Terms.held = ("", None)
+            automaton = ahocorasick.Automaton()
             for k, t in enumerate(self.names):
-                self.automaton.add_word(f" {t[:-1]}" if t.endswith("*") else f" {t} ", k)
-            self.automaton.make_automaton()
-        return self.automaton
+                automaton.add_word(f" {t[:-1]}" if t.endswith("*") else f" {t} ", k)
+            automaton.make_automaton()
+            Terms.held = (self.key, automaton)
+        return Terms.held[1]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, rising, and how often each is in it."""
