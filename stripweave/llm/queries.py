@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripweave.llm import ann, bpe, chat, gif, licenses, neardup, packing, quality, sharding, toxicity
+from stripweave.llm import ann, bpe, chat, gif, licenses, neardup, packing, quality, sharding, topk, toxicity, whitening
 from stripweave.llm.common import table
 
 
@@ -62,9 +62,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(docs, packing.pack_documents(docs))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors, whitened by the first 16 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest scores of every vector whose id is divisible by 50, among all rows."""
+    rows = topk.sparse_rows(table(spark, sf_dir, "embeddings"), 256.0)
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index, op2_chat_format, op3_toxicity, op4_gif_media, op5_bpe_tokens, op6_jump_shards, op7_license_scan, op8_hyperminhash, op9_quality, op10_best_fit_packing)}
+    found = (
+        op1_multi_index, op2_chat_format, op3_toxicity, op4_gif_media, op5_bpe_tokens, op6_jump_shards, op7_license_scan,
+        op8_hyperminhash, op9_quality, op10_best_fit_packing, op12_whitening, op13_exact_topk,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op6_jump_shards": sharding.oracle(8)}
+    return {"op2_chat_format": chat.ORACLE, "op6_jump_shards": sharding.oracle(8), "op13_exact_topk": topk.ORACLE}
