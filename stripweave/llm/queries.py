@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripweave.llm import ann, bpe, chat, gif, licenses, neardup, packing, quality, sharding, topk, toxicity, whitening
+from stripweave.llm import ann, bpe, chat, gif, licenses, neardup, packing, quality, sharding, topk, toxicity, trie, whitening
 from stripweave.llm.common import table
 
 
@@ -62,6 +62,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(docs, packing.pack_documents(docs))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the conversations that begin with turns of their hundred's first."""
+    paths = trie.conversation_paths(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.share_beginnings(paths))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable vectors, whitened by the first 16 components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -76,10 +82,10 @@ def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_multi_index, op2_chat_format, op3_toxicity, op4_gif_media, op5_bpe_tokens, op6_jump_shards, op7_license_scan,
-        op8_hyperminhash, op9_quality, op10_best_fit_packing, op12_whitening, op13_exact_topk,
+        op8_hyperminhash, op9_quality, op10_best_fit_packing, op11_prefix_trie, op12_whitening, op13_exact_topk,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op6_jump_shards": sharding.oracle(8), "op13_exact_topk": topk.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op6_jump_shards": sharding.oracle(8), "op11_prefix_trie": trie.ORACLE, "op13_exact_topk": topk.ORACLE}

@@ -91,17 +91,23 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text
     return out.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
 
 
-def oracle(shards: int = 8, lanes: int = 4096) -> str:
-    """DuckDB SQL for ``assign_shards`` over ``documents`` with whole, non-null, non-negative keys."""
+#: A table expression with the list ``t`` that ``crc_sql`` reads.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
+)"""
+
 
-    def crc(text: str) -> str:
-        return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+def crc_sql(text: str) -> str:
+    """DuckDB SQL of the checksum of a text's UTF-8 bytes."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
     lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295)"""
 
+
+def oracle(shards: int = 8, lanes: int = 4096) -> str:
+    """DuckDB SQL for ``assign_shards`` over ``documents`` with whole, non-null, non-negative keys."""
+    crc = crc_sql
     return f"""
-WITH RECURSIVE crc_table AS (
-  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
-), checksums AS (
+WITH RECURSIVE {CRC_TABLE}, checksums AS (
   SELECT doc_id, {crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table
 ), lanes AS (
   SELECT doc_id, text_crc32, {crc("doc_id || ':' || text_crc32")} % {lanes} AS lane FROM checksums, crc_table
