@@ -34,21 +34,29 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def append_columns(docs: DataFrame, text: str, run: Callable[[list[str]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
-    """``docs`` with ``fields`` after its own columns (a column of ``docs`` with such a name goes): ``run`` gets the whole texts of a batch, null as empty, and gives
-    the new columns. Rows stay as they are, also repeated ones and those without an id."""
+    """``docs`` with ``fields`` after its own columns (a column of ``docs`` with such a name goes): ``run`` gets the whole texts of a
+    batch, null as empty, and gives the new columns. Rows stay as they are, also repeated ones and those without an id. Columns may
+    have any names: they go through Python under numbers."""
     ship(docs.sparkSession)
     names = {f.name for f in fields}
     kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = T.StructType(kept + fields)
+    inner = [f"c{i}" for i in range(len(kept) + len(fields))]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, kept + fields, strict=True)])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             *columns, body = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns, *run(body.to_pylist())], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *run(body.to_pylist())], inner)
 
-    rows = docs.select(*(docs[f"`{f.name}`"] for f in kept), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(fresh(docs, "body")))
-    return rows.mapInArrow(batches, schema)
+    body = F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("body")
+    rows = docs.select(*(docs[quoted(f.name)].alias(c) for f, c in zip(kept, inner, strict=False)), body)
+    return rows.mapInArrow(batches, schema).toDF(*(f.name for f in kept + fields))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stripweave.llm.common import append_columns, written
+from stripweave.llm.common import append_columns, fresh, quoted, written
 from stripweave.llm.graph import components
 from stripweave.session import ship
 
@@ -326,6 +326,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents without those that have a smaller id in their component, with their own columns."""
+    """The documents without those that have a smaller id in their component, with their own columns, whatever their names. Of several
+    rows of one id with one set of shingles one stays; rows without an id all stay."""
+    ship(docs.sparkSession)
     gone = written(near_duplicates(docs, rule).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_anti").select(docs.columns)
+    id_type = docs.schema["doc_id"].dataType
+    kept = docs.join(gone.withColumn("doc_id", F.col("doc_id").cast(id_type)), "doc_id", "left_anti")
+    kept = kept.select(*(F.col(quoted(c)) for c in docs.columns))
+    many = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    many = written(many, "repeated")
+    if many.isEmpty():
+        return kept
+
+    def sets(texts: list[str]) -> list[pa.Array]:
+        return [pa.array([_digest(shingle_set(t, rule.shingle)) for t in texts], pa.binary())]
+
+    name = fresh(docs, "set_hash")
+    again = append_columns(kept.join(many, "doc_id", "left_semi"), "text", sets, [T.StructField(name, T.BinaryType())])
+    return kept.join(many, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id", name]).drop(name))

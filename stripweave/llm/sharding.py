@@ -59,6 +59,10 @@ def jump_hash(key: Column, shards: int) -> Column:
     return out.cast("int")
 
 
+#: Equal rows that part in one piece.
+RUN = 10_000
+
+
 def shard_key(df: DataFrame, column: str) -> Column:
     """Whole numbers are their own keys; anything else is hashed first."""
     return F.col(column).cast("long") if isinstance(df.schema[column].dataType, T.IntegralType) else F.xxhash64(column)
@@ -82,13 +86,20 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text
         "*", F.lit("key").alias("law"), jump_hash(F.col("_key"), shards).alias("shard"), jump_hash(F.col("_key"), shards + 1).alias("grown_shard"),
         (F.crc32(F.concat_ws(":", F.col("_key").cast("string"), F.col("text_crc32").cast("string")).cast("binary")) % lanes).alias("_lane"),
     )
-    rows = written(rows, "shards")  # a few bytes a row: texts are read once
-    counts = rows.groupBy("shard", "_lane").count()
+    # Equal rows are one row with a number, so that a row repeated however often is sorted once; they part again in runs.
+    rows = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "shards")
+    counts = rows.groupBy("shard", "_lane").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    place = Window.partitionBy("shard", "_lane").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32")
-    out = rows.withColumn("_at", F.row_number().over(place) - 1).join(offsets, ["shard", "_lane"])
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
+    offsets = counts.select("shard", "_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = Window.partitionBy("shard", "_lane").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    place = place.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_at", F.coalesce(F.sum("_n").over(place), F.lit(0))).join(offsets, ["shard", "_lane"])
+    out = out.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
+    out = out.repartition("doc_id", "text_crc32", "_run")
+    last = F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN) - 1
+    out = out.withColumn("_same", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    slot = F.col("_before") + F.col("_at") + F.col("_run") * RUN + F.col("_same")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", slot.cast("long").alias("slot"), "grown_shard")
 
 
 #: A table expression with the list ``t`` that ``crc_sql`` reads.
