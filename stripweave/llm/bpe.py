@@ -13,8 +13,9 @@ import codecs
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ NEVER = 1 << 60
 END_PLANE = 0xF0000
 #: Symbols between two looks at what is final; words and pairs remembered.
 WINDOW, WORDS, PAIRS = 16, 200_000, 250_000
+#: Texts of more characters are read STEP words at a time.
+LONG, STEP = 65_536, 4096
 
 
 def byte_alphabet() -> list[str]:
@@ -209,7 +212,7 @@ class Tokenizer:
         split = next(x for x in self._list(spec["pre_tokenizer"], "pretokenizers") if x["type"] == "Split")
         if not (split["invert"] and split["behavior"] == "Removed") or "ByteLevel" not in str(spec["pre_tokenizer"]):
             raise ValueError("words must be what the pattern finds, in byte-level symbols")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] or []}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         suffix = model["end_of_word_suffix"] or ""
@@ -238,44 +241,71 @@ class Tokenizer:
     def _list(node: dict | None, inner: str) -> list[dict]:
         return [] if node is None else node[inner] if node["type"] == "Sequence" else [node]
 
-    def _plain(self, text: str) -> bytes:
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text in order: of a long one a few thousand at a time."""
+        if len(text) <= LONG:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group(1 if self.pattern.groups else 0) for m in self.pattern.finditer(text))
+        while some := list(islice(found, STEP)):
+            yield some
+
+    def _plain(self, text: str) -> Iterator[bytes]:
         if self.nfc and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = "σ".join(part.lower() for part in text.split("Σ"))  # one character at a time: never a final sigma
-        words, seen = self.words(text), self.seen
-        for w in set(words).difference(seen):
-            ids = self.older.get(w)
-            if ids is None:
-                symbols = w.encode().decode("latin-1").translate(self.symbols)
-                if self.end:
-                    symbols = symbols[:-1] + chr(END_PLANE + ord(symbols[-1]))
-                ids = self.transducer.word(symbols)
-            seen[w] = ids
-        out = b"".join([seen[w] for w in words])
-        if len(seen) > WORDS:
-            self.older, self.seen = seen, {}
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. Special tokens' strings in the text become these tokens."""
+        for words in self._words(text):
+            seen = self.seen
+            for w in set(words).difference(seen):
+                ids = self.older.get(w)
+                if ids is None:
+                    symbols = w.encode().decode("latin-1").translate(self.symbols)
+                    if self.end:
+                        symbols = symbols[:-1] + chr(END_PLANE + ord(symbols[-1]))
+                    ids = self.transducer.word(symbols)
+                seen[w] = ids
+            yield b"".join([seen[w] for w in words])
+            if len(seen) > WORDS:
+                self.older, self.seen = seen, {}
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, piece by piece. Special tokens' strings in the text become these tokens."""
         if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._plain(p) for p in self.cut.split(text) if p)
+            yield from self._plain(text)
+            return
+        for p in self.cut.split(text):
+            if p in self.special:
+                yield self.special[p].to_bytes(4, "little")
+            elif p:
+                yield from self._plain(p)
 
-    def decode(self, ids: bytes, *, as_text: bool = False, step: int = 4096) -> str:
-        """The tokens' names joined by spaces, as the library does for a file without a decoder; ``as_text`` gives their texts, a
-        word end as a space. Bytes go through an incremental UTF-8 machine that holds back unfinished characters."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+    def encode(self, text: str) -> bytes:
+        """All ids of a text."""
+        return b"".join(self.pieces(text))
+
+    def reader(self, *, as_text: bool = False) -> Callable[..., str]:
+        """Takes ids piece by piece and gives their text so far: the tokens' names joined by spaces, as the library does for a file
+        without a decoder; ``as_text`` gives their texts, a word end as a space. Bytes go through an incremental UTF-8 machine that
+        holds back unfinished characters; the last call says so."""
+        machine, begun = codecs.getincrementaldecoder("utf-8")("replace"), False
         if as_text and self.raw is None:
             self.raw = self._raw()
         table = self.raw if as_text else self.names
-        numbers, out = np.frombuffer(ids, "<u4"), []
-        for k in range(0, len(numbers), step):
-            piece = (b"" if as_text else b" ").join(map(table.__getitem__, numbers[k : k + step].tolist()))
-            out.append(machine.decode(piece if as_text or not k else b" " + piece))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+
+        def read(ids: bytes, last: bool = False) -> str:
+            nonlocal begun
+            piece = (b"" if as_text else b" ").join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+            gap = b" " if begun and ids and not as_text else b""
+            begun = begun or bool(ids)
+            return machine.decode(gap + piece, last)
+
+        return read
+
+    def decode(self, ids: bytes, *, as_text: bool = False) -> str:
+        """The text of all ids, a few thousand at a time."""
+        read = self.reader(as_text=as_text)
+        return "".join([read(ids[k : k + 4 * STEP]) for k in range(0, len(ids), 4 * STEP)] + [read(b"", True)])
 
 
 @lru_cache(maxsize=2)
@@ -306,16 +336,22 @@ def token_report(docs: DataFrame, vocabulary: str, *, text: str = "text") -> Dat
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per input row; decoding starts from the ids alone. Null texts count as empty; repeated rows are encoded
     alike, texts of any length whole; an empty table gives no rows, and other columns are ignored."""
 
+    def digests(t: Tokenizer, body: str) -> tuple[int, str, str]:
+        """Each piece of ids is hashed and read back as it comes, so a text needs no more memory than itself."""
+        n, ids_sha, text_sha, read = 0, hashlib.sha256(), hashlib.sha256(), t.reader()
+        for ids in t.pieces(body):
+            n += len(ids) // 4
+            ids_sha.update(ids)
+            text_sha.update(read(ids).encode())
+        text_sha.update(read(b"", True).encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary_path(vocabulary))
         for rows in batches:
-            n, ids_sha, text_sha = [], [], []
-            for x in rows["body"]:
-                ids = t.encode(x.as_py())
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            told = [digests(t, x.as_py()) for x in rows["body"]]
+            columns = [pa.array([x[i] for x in told], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
