@@ -28,8 +28,12 @@ NEVER = 1 << 60
 END_PLANE = 0xF0000
 #: Symbols between two looks at what is final; words and pairs remembered.
 WINDOW, WORDS, PAIRS = 16, 200_000, 250_000
-#: Texts of more characters are read STEP words at a time.
+#: Words begin alike: what is held after so many symbols is remembered. All are less than any lookahead and window.
+BEGINNINGS, BEGUN = (8, 6, 4), 100_000
+#: Longer texts are read in stretches of so many characters, or STEP words at a time.
 LONG, STEP = 65_536, 4096
+#: Patterns of public files whose words never hold or depend on white space: a text may be cut at spaces and line feeds first.
+SPACED = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 
 
 def byte_alphabet() -> list[str]:
@@ -138,6 +142,7 @@ class Transducer:
         self.merges = merges
         self.code = {t: i.to_bytes(4, "little") for t, i in merges.ids.items()}
         self.lookahead = merges.lookahead
+        self.begun: dict[str, tuple[list[int], list[str | None]]] = {}  # what is held after these first symbols
         self.most_pending = 0  # symbols that were ever pending at once
 
     def _settled(self, at: int, starts: list[int]) -> int:
@@ -158,8 +163,13 @@ class Transducer:
         ends, stable, pairs = self.merges.ends.get, self.merges.stable, self.merges.pairs
         longest, code = self.merges.longest, self.code
         out: list[bytes] = []
-        base, mark, starts, tokens = 0, self.lookahead + WINDOW, [-1], [""]
-        for end in range(1, len(symbols) + 1):
+        base, mark, first, starts, tokens = 0, self.lookahead + WINDOW, 0, [-1], [""]
+        for n in BEGINNINGS:
+            known = self.begun.get(symbols[:n]) if n < len(symbols) else None
+            if known:
+                first, starts, tokens = n, known[0].copy(), known[1].copy()
+                break
+        for end in range(first + 1, len(symbols) + 1):
             at = end - base
             tries = []
             for start in range(at - 1, max(-1, at - 1 - longest), -1):
@@ -182,6 +192,10 @@ class Transducer:
             # None: the token would start before what is pending, and no later token begins here.
             tokens.append(found)
             starts.append(place)
+            if end in BEGINNINGS and end < len(symbols):
+                if len(self.begun) >= BEGUN:
+                    self.begun.clear()
+                self.begun[symbols[:end]] = (starts.copy(), tokens.copy())
             if at >= mark and found is not None:
                 self.most_pending = max(self.most_pending, at)
                 final = self._settled(at, starts)
@@ -213,6 +227,7 @@ class Tokenizer:
         if not (split["invert"] and split["behavior"] == "Removed") or "ByteLevel" not in str(spec["pre_tokenizer"]):
             raise ValueError("words must be what the pattern finds, in byte-level symbols")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.spaced = split["pattern"]["Regex"] in SPACED
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] or []}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         suffix = model["end_of_word_suffix"] or ""
@@ -222,8 +237,10 @@ class Tokenizer:
         self.transducer = Transducer(self.merges)
         alphabet = byte_alphabet()
         self.symbols = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
-        self.seen: dict[str, bytes] = {}  # words met of late, and before: words in use stay
+        self.seen: dict[str, bytes] = {}  # parts met of late, and before: parts in use stay
         self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # and the same for words
+        self.known_before: dict[str, bytes] = {}
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names[i].encode() if i in names else b"" for i in range(max(names) + 1)]
         back = {c: b for b, c in enumerate(alphabet)}
@@ -241,31 +258,48 @@ class Tokenizer:
     def _list(node: dict | None, inner: str) -> list[dict]:
         return [] if node is None else node[inner] if node["type"] == "Sequence" else [node]
 
-    def _words(self, text: str) -> Iterator[list[str]]:
-        """The words of a text in order: of a long one a few thousand at a time."""
-        if len(text) <= LONG:
-            yield self.pattern.findall(text)
+    def _parts(self, text: str) -> Iterator[list[str]]:
+        """A text in order, as stretches between spaces or as words: of a long one a few thousand at a time."""
+        if not self.spaced:
+            found = (m.group(1 if self.pattern.groups else 0) for m in self.pattern.finditer(text))
+            while some := list(islice(found, STEP)):
+                yield some
             return
-        found = (m.group(1 if self.pattern.groups else 0) for m in self.pattern.finditer(text))
-        while some := list(islice(found, STEP)):
-            yield some
+        at = 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= LONG else text.find(" ", at + LONG) + 1 or len(text)
+            yield text[at:end].replace("\n", " ").split(" ")
+            at = end
+
+    def _word(self, word: str) -> bytes:
+        symbols = word.encode().decode("latin-1").translate(self.symbols)
+        if self.end:
+            symbols = symbols[:-1] + chr(END_PLANE + ord(symbols[-1]))
+        return self.transducer.word(symbols)
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a stretch not met of late: its words are looked for among all words met of late."""
+        words, known = self.pattern.findall(part) if self.spaced else [part], self.known
+        for w in words:
+            if w not in known:
+                ids = self.known_before.get(w)
+                known[w] = self._word(w) if ids is None else ids
+        ids = b"".join([known[w] for w in words])
+        if len(known) > WORDS:
+            self.known_before, self.known = known, {}
+        return ids
 
     def _plain(self, text: str) -> Iterator[bytes]:
         if self.nfc and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = "σ".join(part.lower() for part in text.split("Σ"))  # one character at a time: never a final sigma
-        for words in self._words(text):
+        for parts in self._parts(text):
             seen = self.seen
-            for w in set(words).difference(seen):
+            for w in set(parts).difference(seen):
                 ids = self.older.get(w)
-                if ids is None:
-                    symbols = w.encode().decode("latin-1").translate(self.symbols)
-                    if self.end:
-                        symbols = symbols[:-1] + chr(END_PLANE + ord(symbols[-1]))
-                    ids = self.transducer.word(symbols)
-                seen[w] = ids
-            yield b"".join([seen[w] for w in words])
+                seen[w] = self._part(w) if ids is None else ids
+            yield b"".join([seen[w] for w in parts])
             if len(seen) > WORDS:
                 self.older, self.seen = seen, {}
 
