@@ -45,15 +45,32 @@ def ucb_rank(stats: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("rank", F.when(F.col("free"), place))
 
 
-def quality_fold(results: DataFrame, key: str = "domain", order: Sequence[str] = ORDER) -> DataFrame:
-    """``key, streak, density, clean, fast``: a streak of good (+1) and bad (-1) results kept in [-5, 10], and the moving average of text density."""
-
-    def step(state: dict, row: object) -> None:
-        state["streak"] = max(-5, min(10, state["streak"] + (1 if row.good else -1)))
-        state["density"] = 0.3 * row.density + 0.7 * state["density"]
-
-    finish = lambda k, s: [(k, s["streak"], s["density"], s["streak"] > 2, s["density"] < 0.1)]
-    return ordered_fold(results, key, list(order), lambda _: {"streak": 0, "density": 0.5}, step, finish, f"{key} string, streak int, density double, clean boolean, fast boolean")
+def clamped_sums(
+    rows: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], step: Column, low: int, high: int, name: str
+) -> DataFrame:
+    """``by, name``: each key's steps added up in order from 0, the sum kept in [``low``, ``high``] after each.
+
+    One step turns x to min(h, max(l, x + a)), and so do any number of them: the steps of a bucket are three numbers, and only these
+    meet. So a key's rows are spread over as many tasks as it has buckets."""
+    lo, hi = F.lit(low), F.lit(high)
+    kept = lambda x: F.least(hi, F.greatest(lo, x))
+    steps = F.array_sort(F.collect_list(F.struct(*order, step.cast("int").alias("_s"))))
+    whole = F.struct(F.lit(0).alias("a"), lo.alias("l"), hi.alias("h"))
+    one = lambda f, r: F.struct((f["a"] + r["_s"]).alias("a"), kept(f["l"] + r["_s"]).alias("l"), kept(f["h"] + r["_s"]).alias("h"))
+    parts = rows.groupBy(*by, bucket.alias("_bucket")).agg(F.aggregate(steps, whole, one).alias("_f"))
+    inner = F.array_sort(F.collect_list(F.struct("_bucket", "_f")))
+    apply = lambda x, p: F.least(p["_f"]["h"], F.greatest(p["_f"]["l"], x + p["_f"]["a"]))
+    return parts.groupBy(*by).agg(F.aggregate(inner, F.lit(0), apply).alias(name))
+
+
+def quality_streak_and_density(results: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
+    """``by, streak, density, clean, fast``: a streak of good (+1) and bad (-1) results kept in [-5, 10], and the moving average of text
+    density. ``results`` has ``ts, attempt_id, good, density``; both are worked out hour by hour."""
+    hour = F.date_trunc("hour", F.col("ts"))
+    rows = results.filter(F.coalesce(*(F.col(c).cast("string") for c in by)).isNotNull())
+    streak = clamped_sums(rows, by, hour, ORDER, F.when(F.col("good"), 1).otherwise(-1), -5, 10, "streak")
+    density = moving_average(rows, by, hour, ORDER, F.col("density"), 0.5).withColumnRenamed("ema", "density")
+    return streak.join(density, list(by)).withColumns({"clean": F.col("streak") > 2, "fast": F.col("density") < 0.1})
 
 
 def new_preference(methods: Sequence[str]) -> dict:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 from stripweave.functions import geometry as G
 from stripweave.functions import vectors as V
 from stripweave.operators.folds import ordered_fold
+from stripweave.session import ship
 
 
 def exact_hash_dedupe(pages: DataFrame, by: Sequence[str] = ("chapter",), order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -87,18 +90,97 @@ def _keep_best(boxes: DataFrame, by: str, near: object, likeness: float | None,
     return every.join(folded, [by, "box_id"], "left").select(by, "box_id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
+#: Signatures of a block, and pivots to which their angles are known.
+SIGNATURES_EACH, PIVOTS = 1024, 6
+
+
+def _signature_blocks(rows: DataFrame, by: str, ident: str, name: str) -> DataFrame:
+    """``by, {name}``: the signatures that have a direction, in blocks of about SIGNATURES_EACH of one key."""
+    usable = F.col("signature").isNotNull() & F.exists("signature", lambda x: x != 0) & ~F.exists("signature", lambda x: x.isNull())
+    rows = rows.filter(F.col(by).isNotNull() & usable).select(by, F.col(ident).alias("id"), F.col("signature").cast("array<double>").alias("v"))
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / SIGNATURES_EACH).alias("_n"))
+    rows = rows.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64("id", "v"), F.col("_n")))
+    return rows.groupBy(by, "_block").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("_block")
+
+
+def _unit(side: pa.StructArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of the signatures their places and the unit vectors."""
+    lengths = np.array([len(v) for v in side.field("v")])
+    out, flat = {}, side.field("v").flatten().to_numpy(zero_copy_only=False)
+    starts = np.append(0, np.cumsum(lengths))
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        m = flat[starts[at][:, None] + np.arange(n)]
+        out[n] = at, m / np.sqrt((m * m).sum(1))[:, None]
+    return out
+
+
+def nearest_within(asked: np.ndarray, known: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs of unit vectors at a cosine distance of at most ``most``: their places, distances, and how many pairs were compared.
+
+    Angles obey the triangle inequality: where the angles of two vectors to one pivot differ by more than the limit, so do they, and
+    the pair is skipped. Pivots are known vectors far from each other."""
+    angle = lambda x, y: np.arccos(np.clip(x @ y.T, -1, 1))
+    picks, far = [0], np.full(len(known), np.inf)
+    for _ in range(min(PIVOTS, len(known)) - 1):
+        far = np.minimum(far, angle(known, known[picks[-1:]])[:, 0])
+        picks.append(int(far.argmax()))
+    limit = float(np.arccos(max(-1.0, 1 - most))) + 1e-7
+    to_known, to_asked = angle(known, known[picks]), angle(asked, known[picks])
+    order = np.argsort(to_known[:, 0], kind="stable")
+    first = np.searchsorted(to_known[order, 0], to_asked[:, 0] - limit)
+    last = np.searchsorted(to_known[order, 0], to_asked[:, 0] + limit, "right")
+    left = np.repeat(np.arange(len(asked)), last - first)
+    right = order[np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)]).astype(np.int64)]
+    for p in range(1, len(picks)):
+        near = np.abs(to_asked[left, p] - to_known[right, p]) <= limit
+        left, right = left[near], right[near]
+    d = 1 - np.einsum("ij,ij->i", asked[left], known[right])
+    hit = d <= most
+    return left[hit], right[hit], d[hit], len(left)
+
+
+def signature_candidates(signatures: DataFrame, profiles: DataFrame, by: str, most: float = 0.18) -> DataFrame:
+    """``by, face, profile_id, d, compared``: within each key and pair of blocks the nearest profile of each face, if it is near enough;
+    ``compared`` are the pairs of which the distance was worked out, told with the first row of a pair of blocks."""
+    kinds = dict(signatures.dtypes) | {"profile_id": dict(profiles.dtypes)["profile_id"]}
+    schema = f"{by} {kinds[by]}, face {kinds['face']}, profile_id {kinds['profile_id']}, d double, compared long"
+    met = _signature_blocks(signatures, by, "face", "asked").join(_signature_blocks(profiles, by, "profile_id", "known"), by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                asked, known = batch["asked"][i].values, batch["known"][i].values
+                theirs, best, compared = _unit(known), {}, 0
+                for n, (at, m) in _unit(asked).items():
+                    if n in theirs:
+                        left, right, d, tried = nearest_within(m, theirs[n][1], most)
+                        compared += tried
+                        names = known.field("id").take(pa.array(theirs[n][0][right])).to_pylist()
+                        for a, name, x in zip(at[left].tolist(), names, d.tolist(), strict=True):
+                            best[a] = min(best.get(a, (x, name)), (x, name))
+                places = sorted(best)
+                columns = [
+                    pa.array([batch[by][i].as_py()] * len(places), batch[by].type), asked.field("id").take(pa.array(places, pa.int64())),
+                    pa.array([best[p][1] for p in places], known.field("id").type), pa.array([best[p][0] for p in places], pa.float64()),
+                    pa.array([compared if not j else 0 for j in range(len(places))], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    ship(signatures.sparkSession)
+    return met.mapInArrow(run, schema)
+
+
 def signature_match(signatures: DataFrame, profiles: DataFrame, by: str, most: float = 0.18) -> DataFrame:
-    """``by, face, profile_id, confidence``: the profile with the nearest signature within its series, where near enough."""
-    met = signatures.select(by, "face", "signature").join(profiles.select(by, "profile_id", F.col("signature").alias("known")), by)
-    met = met.withColumn("d", V.cosine_distance(F.col("signature"), F.col("known")))
+    """``by, face, profile_id, confidence``: the profile with the nearest signature within its series, where near enough. Faces and known
+    signatures meet in blocks, so a frequent series is many tasks' work."""
+    met = signature_candidates(signatures, profiles, by, most)
     best = met.groupBy(by, "face").agg(F.min(F.struct("d", "profile_id")).alias("_b"))
-    return best.filter(F.col("_b.d") <= most).select(by, "face", F.col("_b.profile_id").alias("profile_id"), (1 - F.col("_b.d") / most).alias("confidence"))
+    return best.select(by, "face", F.col("_b.profile_id").alias("profile_id"), (1 - F.col("_b.d") / most).alias("confidence"))
 
 
 def signature_novelty(signatures: DataFrame, by: str, order: Sequence[str], *, least: float = 0.04, last: int = 16) -> DataFrame:
     """``by, face``: signatures that were new when they came, of each key the last ones: a vector is added only if it is further than ``least`` from all held ones."""
-    import numpy as np
-
     def step(held: list, row: object) -> None:
         v = np.asarray(row.signature, float)
         norm = np.sqrt((v * v).sum())
@@ -129,40 +211,77 @@ def top_faces(faces: DataFrame, by: str, page_area: Column, n: int = 8, least: f
     return faces.filter(area >= page_area * least).withColumn("rank", at).filter(F.col("rank") <= n)
 
 
-def _overlap_rows(rows: DataFrame, most: int, least: int, step: int) -> DataFrame:
-    """For each page, the one before it and each overlap k (the most that both have, and down by ``step``) the k pairs of rows that then lie on each other: ``strip_id, seq, k``,
-    the rows' vectors ``hv, tv`` and edge vectors ``he, te``, and ``n``, how many pairs there must be."""
-    heights = rows.groupBy("strip_id", "seq").agg(F.max("height").alias("own"))
-    above = heights.select("strip_id", (F.col("seq") + 1).alias("seq"), F.col("own").alias("above"))
-    top = F.least(F.lit(most), "own", "above")
-    ks = heights.join(above, ["strip_id", "seq"]).withColumn("_top", top).filter(F.col("_top") >= least).select("strip_id", "seq", F.explode(F.sequence(F.col("_top"), F.lit(least), F.lit(-step))).alias("k"))
-    head = rows.filter(F.col("y") < most).select("strip_id", "seq", F.col("y").alias("j"), F.col("vec").alias("hv"), F.col("edge_vec").alias("he"))
-    tail = rows.filter(F.col("y") >= F.col("height") - most).select("strip_id", (F.col("seq") + 1).alias("seq"), (F.col("height") - F.col("y")).alias("up"), F.col("vec").alias("tv"), F.col("edge_vec").alias("te"))
-    met = ks.join(head, ["strip_id", "seq"]).filter(F.col("j") < F.col("k")).withColumn("up", F.col("k") - F.col("j"))
-    return met.join(tail, ["strip_id", "seq", "up"])
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
-def _apart(a: Column, b: Column) -> Column:
-    """Mean absolute difference of two vectors with values from 0 to 1."""
-    return _sum(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))) / F.greatest(F.lit(1), F.size(a))
-
-
-def seam_overlaps(rows: DataFrame, *, most: int = 420, least: int = 24, step: int = 4, good: float = 0.94, fair: float = 0.9, flat: float = 8 / 255) -> DataFrame:
-    """``strip_id, seq, overlap, score`` for each page and the one before: for every overlap k the likeness of the last k rows and the first k, as .65 of
-    pixels and .35 of edges; the first k (from the largest) that is good, else the best that is fair, else 0. Overlaps of which a side is flat (a deviation of less than
-    ``flat``) are not looked at. ``rows`` has ``strip_id, seq, y, height, vec, edge_vec``, values from 0 to 1."""
-    squares = lambda v: _sum(F.transform(v, lambda x: (x * x).cast("double")))
-    plain = lambda v: _sum(F.transform(v, lambda x: x.cast("double")))
-    met = _overlap_rows(rows, most, least, step)
-    likeness = 0.65 * (1 - _apart(F.col("hv"), F.col("tv"))) + 0.35 * (1 - _apart(F.col("he"), F.col("te")))
-    sums = {f"{kind}{side}": F.sum(f(F.col(side))) for side in ("hv", "tv") for kind, f in (("s_", plain), ("q_", squares))}
-    score = met.groupBy("strip_id", "seq", "k").agg(F.avg(likeness).alias("s"), F.count("*").alias("n"), F.sum(F.size("hv")).alias("_size"), *(c.alias(n) for n, c in sums.items())).filter(F.col("n") == F.col("k"))
-    deviation = lambda side: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{side}") / F.col("_size") - F.pow(F.col(f"s_{side}") / F.col("_size"), 2)))
-    score = score.filter((deviation("hv") >= flat) & (deviation("tv") >= flat)).select("strip_id", "seq", "k", F.round("s", 9).alias("s"))
+def _page_edges(rows: DataFrame, most: int) -> DataFrame:
+    """One row for each page with one before it: ``strip_id, seq, own, above`` (their heights), ``head`` (its first rows) and ``tail`` (the
+    last rows of the one before). Each edge row is shuffled once as head and once as tail; both sides are grouped by the keys they
+    meet by, so nothing else is."""
+    own = F.struct(F.col("y").cast("int").alias("at"), "vec", "edge_vec")
+    head = rows.filter(F.col("y") < most).groupBy("strip_id", "seq").agg(F.max("height").cast("int").alias("own"), F.collect_list(own).alias("head"))
+    up = F.struct((F.col("height") - F.col("y")).cast("int").alias("at"), "vec", "edge_vec")
+    tail = rows.filter(F.col("y") >= F.col("height") - most).withColumn("seq", F.col("seq") + 1)
+    tail = tail.groupBy("strip_id", "seq").agg(F.max("height").cast("int").alias("above"), F.collect_list(up).alias("tail"))
+    return head.join(tail, ["strip_id", "seq"])
+
+
+def _matrices(side: pa.StructArray, width: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors and edge vectors of rows by their place from ``first`` on; rows that are missing are not numbers."""
+    at = side.field("at").to_numpy(zero_copy_only=False) - first
+    out = []
+    for name in ("vec", "edge_vec"):
+        m = np.full((int(at.max()) + 1, width), np.nan)
+        m[at] = side.field(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        out.append(m)
+    return out[0], out[1]
+
+
+def _overlaps(rows: DataFrame, most: int, least: int, step: int) -> DataFrame:
+    """``strip_id, seq, k, d, de, head_dev, tail_dev`` for each page, the one before it and each overlap k (the most that both have, and down
+    by ``step``): mean differences of the k pairs of rows that then lie on each other, of pixels and of edges, and the deviation of
+    each side. Overlaps with a missing row, and pages of unequal widths, have none."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"strip_id {kinds['strip_id']}, seq {kinds['seq']}, k int, d double, de double, head_dev double, tail_dev double"
+
+    def deviations(m: np.ndarray) -> np.ndarray:
+        n = np.arange(1, len(m) + 1) * m.shape[1]
+        s, q = np.cumsum(m.sum(1)), np.cumsum((m * m).sum(1))
+        return np.sqrt(np.maximum(0, q / n - (s / n) ** 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (own, above) in enumerate(zip(batch["own"].to_pylist(), batch["above"].to_pylist(), strict=True)):
+                top, head, tail = min(most, own, above), batch["head"][i].values, batch["tail"][i].values
+                widths = {len(v) for side in (head, tail) for name in ("vec", "edge_vec") for v in side.field(name)}
+                if top < least or len(widths) != 1 or not min(widths):
+                    continue
+                h, he = _matrices(head, min(widths), 0)
+                t, te = _matrices(tail, min(widths), 1)  # row u - 1 is u rows above the border
+                head_dev, tail_dev = deviations(h), deviations(t)
+                for k in range(top, least - 1, -step):
+                    if k > len(h) or k > len(t):
+                        continue
+                    d = float(np.abs(h[:k] - t[k - 1 :: -1]).mean(1).mean())
+                    if d == d:
+                        at.append(i)
+                        found.append((k, d, float(np.abs(he[:k] - te[k - 1 :: -1]).mean(1).mean()), head_dev[k - 1], tail_dev[k - 1]))
+            columns = [pa.array([x[j] for x in found], pa.int32() if not j else pa.float64()) for j in range(5)]
+            places = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["strip_id"].take(places), batch["seq"].take(places), *columns], [c.split()[0] for c in schema.split(", ")])
+
+    ship(rows.sparkSession)
+    return _page_edges(rows, most).mapInArrow(run, schema)
+
+
+def seam_overlaps(
+    rows: DataFrame, *, most: int = 420, least: int = 24, step: int = 4, good: float = 0.94, fair: float = 0.9, flat: float = 8 / 255
+) -> DataFrame:
+    """``strip_id, seq, overlap, score`` for each page and the one before: for every overlap k the likeness of the last k rows and the first
+    k, as .65 of pixels and .35 of edges; the first k (from the largest) that is good, else the best that is fair, else 0. Overlaps of
+    which a side is flat (a deviation of less than ``flat``) are not looked at. ``rows`` has ``strip_id, seq, y, height, vec,
+    edge_vec``, values from 0 to 1. A strip's pages meet two by two, as one row of packed edges."""
+    score = _overlaps(rows, most, least, step).filter((F.col("head_dev") >= flat) & (F.col("tail_dev") >= flat))
+    likeness = 0.65 * (1 - F.col("d")) + 0.35 * (1 - F.col("de"))
+    score = score.select("strip_id", "seq", "k", F.round(likeness, 9).alias("s"))
     best = score.groupBy("strip_id", "seq").agg(F.max(F.when(F.col("s") >= good, F.struct("k", "s"))).alias("g"), F.max(F.struct("s", "k")).alias("f"))
     pages = rows.select("strip_id", "seq").distinct().filter(F.col("seq") > 0)
     best = pages.join(best, ["strip_id", "seq"], "left")
@@ -171,12 +290,16 @@ def seam_overlaps(rows: DataFrame, *, most: int = 420, least: int = 24, step: in
 
 
 def seam_first_fit(rows: DataFrame, *, most: int = 300, least: int = 30, step: int = 1, difference: float = 0.04) -> DataFrame:
-    """``strip_id, seq, overlap``: the largest overlap at which the rows differ by no more than ``difference`` on average, else 0. ``rows`` as for ``seam_overlaps``."""
-    met = _overlap_rows(rows, most, least, step).groupBy("strip_id", "seq", "k").agg(F.avg(_apart(F.col("hv"), F.col("tv"))).alias("d"), F.count("*").alias("n"))
-    best = met.filter((F.col("n") == F.col("k")) & (F.round("d", 12) <= difference)).groupBy("strip_id", "seq").agg(F.max("k").alias("overlap"))
+    """``strip_id, seq, overlap``: the largest overlap at which the rows differ by no more than ``difference`` on average, else 0. ``rows``
+    as for ``seam_overlaps``."""
+    best = _overlaps(rows, most, least, step).filter(F.round("d", 12) <= difference).groupBy("strip_id", "seq").agg(F.max("k").alias("overlap"))
     return rows.select("strip_id", "seq").distinct().filter(F.col("seq") > 0).join(best, ["strip_id", "seq"], "left").na.fill(0, ["overlap"])
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
 def seam_correlations(rows: DataFrame, *, depth: int = 30, least_width: int = 10) -> DataFrame:
     """``strip_id, seq, seam``: how the last ``depth`` rows of each panel correlate with the first of the next one, over their common width; 0 where one side is flat or the
     common width is not over ``least_width``. Panels of fewer rows have none. ``rows`` has ``strip_id, seq, y, height, vec``."""

@@ -96,6 +96,10 @@ def transition_scores(rows: DataFrame, window: int = 7, offset: int = 10, least:
 BEATS = (("row_mean", 1 / 255, 0.55), ("row_std", 1 / 90, 0.45), ("edge_density", 7.0, 0.70), ("foreground", 1.0, 0.55), ("saturation", 1.0, 0.85), ("energy", 3.0, 1.05), ("focus", 1.0, 1.15))
 
 
+#: Fixed value: a shorter strip has no beats.
+BEAT_ROWS = 420
+
+
 def beat_span(width: int) -> int:
     """How many rows before and after count towards a beat, for a strip of this width."""
     return max(48, min(150, int(width * 0.45)))
@@ -115,7 +119,8 @@ def window_sums(rows: DataFrame, columns: Sequence[str], frames: dict[str, tuple
 
 
 def action_beats(rows: DataFrame, *, width: int = 720, least: float = 0.92, percentile: float = 0.94) -> DataFrame:
-    """``strip_id, y, strength`` where the smoothed profile before and after differ most: the threshold or more, and the largest within a quarter of the span."""
+    """``strip_id, y, strength`` where the smoothed profile before and after differ most: the threshold or more, and the largest within a
+    quarter of the span. Strips of fewer than BEAT_ROWS rows have none."""
     span = beat_span(width)
     gap, window, radius = max(8, span // 5), max(9, min(41, (span // 3) | 1)), max(12, span // 4)
     names = [c for c, _, _ in BEATS]
@@ -125,7 +130,8 @@ def action_beats(rows: DataFrame, *, width: int = 720, least: float = 0.92, perc
     score = sum((F.abs(F.col(f"{c}_before") - F.col(f"{c}_after")) / (span - gap) * weight for c, _, weight in BEATS), F.lit(0.0))
     total = F.max("y").over(_strip()) + 1
     # Rounded, so that rows of one profile tie whatever the order of summation.
-    s = s.select("strip_id", "y", F.round(score, 8).alias("strength"), total.alias("_total")).filter((F.col("y") >= span) & (F.col("y") < F.col("_total") - span))
+    s = s.select("strip_id", "y", F.round(score, 8).alias("strength"), total.alias("_total"))
+    s = s.filter((F.col("y") >= span) & (F.col("y") < F.col("_total") - span) & (F.col("_total") >= BEAT_ROWS))
     cut = s.groupBy("strip_id").agg(F.greatest(F.lit(least), F.percentile("strength", F.lit(percentile))).alias("_least"))
     s = s.withColumn("_top", F.max("strength").over(_by_y().rowsBetween(-radius, radius))).join(cut, "strip_id")
     return s.filter((F.col("strength") >= F.col("_least")) & (F.col("strength") >= F.col("_top"))).select("strip_id", "y", "strength")

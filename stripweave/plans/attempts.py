@@ -43,10 +43,15 @@ def ucb_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.ucb_rank(O.arm_stats(feed(spark, sf_dir, "attempts")), F.lit("2024-01-30 23:00:00").cast("timestamp_ntz")).select("arm", F.round("score", 6).alias("score"), "rank")
 
 
-@query("quality_streak_and_density")
+STREAK_SQL = """SELECT domain, streak::INT AS streak, round(density, 9) AS density, streak > 2 AS clean, density < 0.1 AS fast FROM (SELECT domain,
+ list_reduce(list_prepend(0, list(CASE WHEN success THEN 1 ELSE -1 END ORDER BY ts, attempt_id)), lambda s, x: greatest(-5, least(10, s + x))) AS streak,
+ list_reduce(list_prepend(0.5::DOUBLE, list(duration::DOUBLE / 500 ORDER BY ts, attempt_id)), lambda s, x: 0.7 * s + 0.3 * x) AS density FROM attempts GROUP BY 1) q"""
+
+
+@query("quality_streak_and_density", with_feeds(STREAK_SQL, "attempts"))
 def quality_streak_and_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed(spark, sf_dir, "attempts").select("domain", "ts", "attempt_id", F.col("success").alias("good"), (F.col("duration") / 500).alias("density"))
-    return O.quality_fold(rows)
+    return O.quality_streak_and_density(rows).withColumn("density", F.round("density", 9))
 
 
 @query("attempt_learner")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stripweave.operators import dataset as D
 from stripweave.operators import dialogue as L
@@ -13,14 +12,15 @@ from stripweave.operators import sequence as S
 from stripweave.operators import stories as T
 from stripweave.operators.dedupe import seam_overlaps
 from stripweave.operators.folds import ordered_fold
+from stripweave.plans.attempts import ARM_SQL, METHODS
 from stripweave.plans.dataset import COCO_IMAGES, LABELS, SPLITS, _with
 from stripweave.plans.dedup import _vectors
-from stripweave.plans.dialogue import _spoken
+from stripweave.plans.dialogue import _mentions, _spoken
 from stripweave.plans.panels import GATED, KEY_SQL, _gated, running_offsets
 from stripweave.plans.registry import query
 from stripweave.plans.stories import CAST, NAMES, RETAINED, _chapters, _summaries
 from stripweave.plans.texts import TYPE_SQL
-from stripweave.session import work_dir
+from stripweave.session import stored, work_dir
 from stripweave.sinks import writers as W
 from stripweave.sources import files as X
 from stripweave.sources.feeds import feed, read, with_feeds
@@ -209,33 +209,61 @@ def greedy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(rows, "user_id", ["t", "event_id"], lambda _: {}, step, lambda k, s: [], "user_id long, event_id long")
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, transform: object, keys: list[str], order: str) -> DataFrame:
-    """Rows as a stream of files, taken in one batch (timeouts would keep a stream going); the last update of every key."""
-    path, out = work_dir(spark), work_dir(spark)
-    rows.write.parquet(path)
-    stream = transform(spark.readStream.schema(rows.schema).parquet(path))
-    put = lambda batch, number: batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
-    stream.writeStream.outputMode("update").option("checkpointLocation", work_dir(spark)).trigger(once=True).foreachBatch(put).start().awaitTermination()
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc(order)))
-    return spark.read.parquet(out).withColumn("_at", last).filter("_at = 1").drop("_at", "_batch")
+def _streamed(spark: SparkSession, parts: list[DataFrame], transform: object, out: str, checkpoint: str) -> None:
+    """Parts as the files of a stream, each taken by a run of one batch from the same checkpoint (timers would keep a longer one going); each batch's rows with its number."""
+    path = work_dir(spark)
+    for rows in parts:
+        rows.write.mode("append").parquet(path)
+        stream = transform(spark.readStream.schema(parts[0].schema).parquet(path))
+        put = learners.keep_changes(stream, out, checkpoint)
+        put.trigger(once=True).start().awaitTermination()
+
+
+def _halves(rows: DataFrame, at: Column) -> list[DataFrame]:
+    """Rows up to the middle of ``at``, and the rest; nothing else is needed of the median than that it cuts."""
+    middle = rows.select(F.percentile_approx(at, F.lit(0.5)).alias("m")).first().m
+    return [rows.filter(at <= F.lit(middle)), rows.filter(at > F.lit(middle))]
+
 
+def _last(spark: SparkSession, parts: list[DataFrame], transform: object, keys: list[str]) -> DataFrame:
+    """The last change of every key after all parts."""
+    out = work_dir(spark)
+    _streamed(spark, parts, transform, out, work_dir(spark))
+    return learners.latest_changes(spark, out, keys)
 
-@query("arm_learner", with_feeds("SELECT arm, count(*) AS requests, count(*) FILTER (success) AS successes, round(list_reduce(list_prepend(5.0, list(duration ORDER BY ts, attempt_id)), lambda s, x: 0.7 * s + 0.3 * x), 6) AS ema FROM attempts GROUP BY 1", "attempts"))
+
+ARM_STREAM = f"""WITH {ARM_SQL} SELECT arm, requests, successes, round(ema, 6) AS ema, strftime(cooldown, '%Y-%m-%d %H:%M:%S') AS cooldown_end, false AS cooling FROM arms"""
+
+
+@query("arm_learner", with_feeds(ARM_STREAM, "attempts"))
 def arm_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All attempts in two runs of a stream; their cooldowns ended long ago."""
     rows = feed(spark, sf_dir, "attempts").select("arm", "ts", "attempt_id", "success", "blocked", "duration")
-    return _streamed(spark, rows, learners.arm_learner, ["arm"], "requests").select("arm", "requests", "successes", F.round("ema", 6).alias("ema"))
+    found = _last(spark, _halves(rows, C("ts")), learners.arm_learner, ["arm"])
+    end = F.date_format("cooldown_end", "yyyy-MM-dd HH:mm:ss").alias("cooldown_end")
+    return found.select("arm", "requests", "successes", F.round("ema", 6).alias("ema"), end, "cooling")
 
 
-@query("attempt_learner_stream", with_feeds("SELECT domain, count(*) AS attempts, count(*) FILTER (success) AS successes FROM attempts GROUP BY 1", "attempts"))
+@query("attempt_learner_stream", with_feeds("SELECT domain, count(*) AS attempts, count(*) FILTER (success) AS successes, least(10.0, 0.5 + count(*) FILTER (blocked AND NOT success)) AS delay FROM attempts GROUP BY 1", "attempts"))
 def attempt_learner_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All attempts in two runs of a stream. Tests hold the preferred method against the batch fold."""
     rows = feed(spark, sf_dir, "attempts").select("domain", "ts", "attempt_id", "method", "success", "blocked")
-    methods = sorted(r.method for r in rows.select("method").distinct().collect())  # the few event types
-    return _streamed(spark, rows, lambda s: learners.attempt_learner(s, methods), ["domain"], "attempts").select("domain", "attempts", "successes")
+    found = _last(spark, _halves(rows, C("ts")), lambda s: learners.attempt_learner(s, METHODS), ["domain"])
+    return found.select("domain", "attempts", "successes", "delay")
+
+
+@query("identity_stream")
+def identity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles of all mentions, earlier chapters first; tests hold them against the batch fold."""
+    out = work_dir(spark)
+    _streamed(spark, _halves(_mentions(spark, sf_dir), C("chapter")), learners.identity_stream, out, work_dir(spark))
+    return spark.read.parquet(out).drop("batch")
 
 
 @query("status_stream", with_feeds("SELECT job_id, CAST(ts AS DATE)::VARCHAR AS day, arg_max(status, (ts, event_id)) AS status, max(progress) AS progress FROM jobs GROUP BY 1, 2", "jobs"))
 def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _streamed(spark, feed(spark, sf_dir, "jobs").withColumn("ts", C("ts").cast("timestamp")), learners.status_feed, ["job_id", "day"], "progress")
+    jobs = feed(spark, sf_dir, "jobs").withColumn("ts", C("ts").cast("timestamp"))
+    rows = _last(spark, [jobs], learners.status_feed, ["job_id", "day"])
     return rows.select("job_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "status", "progress")
 
 
@@ -249,17 +277,35 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("series_memory_stream", with_feeds(f"WITH {NAMES}, {CAST} SELECT * FROM cast_", "chapters"))
 def series_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = T.story_names(_chapters(spark, sf_dir)).select("series", "chapter", "name")
-    return _streamed(spark, names, learners.series_memory, ["series", "name"], "appearances")
+    return _last(spark, _halves(names, C("chapter")), learners.series_memory, ["series", "name"])
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = T.story_names(_chapters(spark, sf_dir)).groupBy("series", "chapter").agg(F.collect_list("name").alias("names"))
+    rows = _summaries(spark, sf_dir).join(names, ["series", "chapter"], "left").withColumn("sent", F.lit(2).cast("long"))
+    return rows.select("series", "chapter", "sent", "names", "dialogue_count", "has_action")
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> str:
+    """Late chapters, early ones, then some of both again: as they are, and as an earlier sending that must not count."""
+    early, late = _halves(stored(_sent(spark, sf_dir)), C("chapter"))
+    again = early.unionByName(late).filter("chapter % 3 = 0")
+    stale = again.withColumns({"sent": F.lit(1).cast("long"), "names": F.array(F.lit("Nobody")), "has_action": F.lit(True)})
+    out = work_dir(spark)
+    _streamed(spark, [late, early.unionByName(stale.filter("chapter % 2 = 0")), again.unionByName(stale)], learners.chapter_memory, out, work_dir(spark))
+    return out
 
 
 @query("chapter_memory_stream", RETAINED)
 def chapter_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chapters in one batch, so that what is kept is what the batch operator keeps."""
-    path, out = work_dir(spark), work_dir(spark)
-    rows = _summaries(spark, sf_dir).select("series", "chapter", "characters", "dialogue_count", "has_action")
-    rows.write.parquet(path)
-    learners.chapter_memory(spark.readStream.schema(rows.schema).parquet(path), out, work_dir(spark)).trigger(once=True).start().awaitTermination()
-    return W.latest_state(spark, out).select("series", "chapter")
+    """What is kept after three batches is what the batch operator keeps of all chapters."""
+    return learners.kept_chapters(spark, _memory(spark, sf_dir)).select("series", "chapter")
+
+
+@query("character_memory_stream", with_feeds(f"WITH {NAMES}, {CAST} SELECT * FROM cast_", "chapters"))
+def character_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the same three batches: no chapter counts twice."""
+    return learners.kept_characters(spark, _memory(spark, sf_dir))
 
 
 @query("page_arrival_stream")

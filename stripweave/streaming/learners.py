@@ -2,64 +2,38 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-from stripweave.operators.attempts import learn, new_preference
-from stripweave.operators.stories import retained_chapters
-from stripweave.session import ship
-from stripweave.sinks.writers import latest_state, save_state
+from stripweave.operators.dialogue import MENTION
+from stripweave.streaming.state import ArmLearner, AttemptLearner, ChapterMemory, IdentityStream, keeps_state
 
 
 def attempt_learner(attempts: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """Preferred method of each domain after every batch of a stream of ``domain, ts, attempt_id, method, success, blocked``; within a batch attempts count in their order."""
-    ship(attempts.sparkSession)
-    methods = list(methods)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else new_preference(methods)
-        rows = pd.concat(list(batches)).sort_values(["ts", "attempt_id"])
-        for r in rows.itertuples(index=False):
-            learn(s, methods, r.method, bool(r.success), bool(r.blocked))
-        state.update((json.dumps(s),))
-        yield pd.DataFrame({"domain": [key[0]], "best": [s["best"]], "delay": [s["delay"]], "attempts": [s["attempts"]], "successes": [s["successes"]]})
-
-    return attempts.groupBy("domain").applyInPandasWithState(update, "domain string, best string, delay double, attempts long, successes long", "state string", "update", GroupStateTimeout.NoTimeout)
-
-
-def arm_learner(attempts: DataFrame, *, blocked_s: int = 3600, failing_s: int = 600) -> DataFrame:
-    """Per arm: requests, successes, moving average of latency and whether it is in cooldown; a cooldown ends by itself with a timeout in processing time."""
-    ship(attempts.sparkSession)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, ok, ema, cooling = state.get if state.exists else (0, 0, 5.0, False)
-        pause = None
-        if state.hasTimedOut:
-            cooling = False
-        else:
-            for r in pd.concat(list(batches)).sort_values(["ts", "attempt_id"]).itertuples(index=False):
-                rate, n = ok / max(n, 1), n + 1
-                if r.success:
-                    ok += 1
-                elif r.blocked:
-                    pause = blocked_s
-                elif ok == 0 or (rate < 0.2 and n > 5):
-                    pause = failing_s
-                ema = 0.3 * float(r.duration) + 0.7 * ema
-        cooling = cooling or pause is not None
-        state.update((n, ok, ema, cooling))
-        if pause is not None:
-            state.setTimeoutDuration(pause * 1000)
-        yield pd.DataFrame({"arm": [key[0]], "requests": [n], "successes": [ok], "ema": [ema], "cooling": [cooling]})
-
-    return attempts.groupBy("arm").applyInPandasWithState(update, "arm string, requests long, successes long, ema double, cooling boolean", "n long, ok long, ema double, cooling boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """Preferred method of each domain after every batch of a stream of ``domain, ts, attempt_id, method, success, blocked``; within a
+    batch attempts count in their order."""
+    rows = attempts.select("domain", "ts", "attempt_id", "method", "success", "blocked")
+    return keeps_state(rows, "domain", AttemptLearner(methods), AttemptLearner.SCHEMA)
+
+
+def arm_learner(
+    attempts: DataFrame, *, blocked_s: int = 3600, failing_s: int = 600, forget_s: int = 90 * 86_400
+) -> DataFrame:
+    """Per arm after every batch of ``arm, ts, attempt_id, success, blocked, duration``: requests, successes, moving average of latency,
+    the end of its last cooldown, and whether that lasts; when it ends, a timer in processing time says so."""
+    rows = attempts.select("arm", "ts", "attempt_id", "success", "blocked", "duration")
+    return keeps_state(rows, "arm", ArmLearner(blocked_s, failing_s, forget_s), ArmLearner.SCHEMA, time="ProcessingTime")
+
+
+def identity_stream(mentions: DataFrame) -> DataFrame:
+    """The profile of every mention of a stream of ``series, chapter, block, name_hint, signature``, as ``identity_fold`` gives it for all
+    at once, however chapters are spread over batches in their order."""
+    rows = mentions.select("series", "chapter", "block", "name_hint", "signature")
+    return keeps_state(rows, "series", IdentityStream(), MENTION, mode="Append")
 
 
 def status_feed(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -73,18 +47,43 @@ def series_memory(names: DataFrame) -> DataFrame:
     return names.groupBy("series", "name").agg(F.count("*").alias("appearances"), F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_seen"))
 
 
-def chapter_memory(summaries: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A stream of chapters' summaries as the memory of their series: each batch is joined to what was kept, what ``retained_chapters`` keeps of both is the next version of the
-    state at ``path`` (``latest_state`` reads it). What a series holds is bounded by that rule."""
+def chapter_memory(chapters: DataFrame, *, most: int = 30, recent: int = 20, older: int = 10) -> DataFrame:
+    """The changes that a stream of chapters (``series, chapter, sent, names, dialogue_count, has_action``) makes to the memory of their
+    series; ``sent`` rises with each sending of a chapter. ``keep_changes`` writes them, ``kept_chapters`` and ``kept_characters``
+    read what holds. Other columns are ignored."""
+    rows = chapters.filter(F.col("chapter").isNotNull()).select(
+        F.col("series").cast("string").alias("series"), F.col("chapter").cast("long").alias("chapter"),
+        F.coalesce(F.col("sent").cast("long"), F.lit(0)).alias("sent"), F.coalesce("names", F.array().cast("array<string>")).alias("names"),
+        F.coalesce(F.col("dialogue_count").cast("long"), F.lit(0)).alias("dialogue_count"),
+        F.coalesce("has_action", F.lit(False)).alias("has_action"),
+    )
+    return keeps_state(rows, "series", ChapterMemory(most, recent, older), ChapterMemory.SCHEMA)
+
+
+def keep_changes(changes: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writes each batch of changes to a folder of its number: a batch that is done again after a failure takes its own place."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def latest_changes(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Of the changes at ``path`` the last of each key."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_at", last).filter("_at = 1").drop("_at", "batch")
+
+
+def kept_chapters(spark: SparkSession, path: str) -> DataFrame:
+    rows = latest_changes(spark, path, ["series", "kind", "chapter", "name"]).filter("kind = 'chapter' AND kept")
+    return rows.select("series", "chapter", "characters", "dialogue_count", "has_action")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        try:
-            batch = latest_state(batch.sparkSession, path).select(batch.columns).unionByName(batch)
-        except AnalysisException:  # nothing is kept yet
-            pass
-        save_state(retained_chapters(batch).select(batch.columns), path)
 
-    return summaries.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(keep)
+def kept_characters(spark: SparkSession, path: str) -> DataFrame:
+    rows = latest_changes(spark, path, ["series", "kind", "chapter", "name"]).filter("kind = 'character' AND kept")
+    return rows.select("series", "name", "appearances", "first_chapter", "last_seen")
 
 
 def page_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataStreamWriter:

@@ -384,3 +384,48 @@ def test_entry_has_sql_columns():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_signatures_within_reach_are_those_of_all_pairs(spark):
+    """Clusters of directions: what the pivots skip is never near enough."""
+    pick = np.random.default_rng(3)
+    centres = pick.normal(size=(12, 16))
+    known = (centres[pick.integers(0, 12, 400)] + pick.normal(size=(400, 16)) * 0.2).astype(float)
+    asked = (centres[pick.integers(0, 12, 300)] + pick.normal(size=(300, 16)) * 0.2).astype(float)
+    unit = [m / np.sqrt((m * m).sum(1))[:, None] for m in (asked, known)]
+    left, right, d, compared = dedupe.nearest_within(*unit, 0.18)
+    every = 1 - unit[0] @ unit[1].T
+    assert sorted(zip(left.tolist(), right.tolist())) == list(zip(*(x.tolist() for x in np.nonzero(every <= 0.18))))
+    assert compared < 0.25 * every.size
+    rows = [("s", i, v.tolist()) for i, v in enumerate(asked)] + [("t", 900, [1.0]), ("s", 901, None), ("s", 902, [0.0] * 16)]
+    faces = spark.createDataFrame(rows, "series string, face long, signature array<double>")
+    profiles = spark.createDataFrame([("s", f"p{i}", v.tolist()) for i, v in enumerate(known)], "series string, profile_id string, signature array<double>")
+    got = {r.face: (r.profile_id, r.confidence) for r in dedupe.signature_match(faces, profiles, "series").collect()}
+    for i, row in enumerate(every):
+        best = int(row.argmin())
+        if row[best] <= 0.18:
+            assert got[i][0] == f"p{best}" and abs(got[i][1] - (1 - row[best] / 0.18)) < 1e-9
+        else:
+            assert i not in got
+    assert not {900, 901, 902} & set(got) and dedupe.signature_match(faces.limit(0), profiles, "series").collect() == []
+
+
+def test_seams_of_packed_edges(spark):
+    """Every overlap against its definition, with a page too short, one that lacks a row, and a flat one."""
+    pick = np.random.default_rng(5)
+    pages = {0: pick.random((30, 6)), 1: pick.random((24, 6)), 2: pick.random((5, 6)), 3: np.full((30, 6), 0.5), 4: np.full((30, 6), 0.5), 5: pick.random((30, 6))}
+    pages[1][:10] = pages[0][-10:]
+    rows = [("s", p, y, len(m), r.tolist(), (r > 0.5).astype(float).tolist()) for p, m in pages.items() for y, r in enumerate(m) if (p, y) != (5, 3)]
+    df = spark.createDataFrame(rows, "strip_id string, seq long, y int, height int, vec array<double>, edge_vec array<double>")
+    found = {(r.seq, r.k): r for r in dedupe._overlaps(df, 12, 2, 2).collect()}
+    want = {}
+    for p in range(1, 6):
+        for k in range(min(12, len(pages[p]), len(pages[p - 1])), 1, -2):
+            if p != 5 or k <= 3:
+                want[p, k] = np.abs(pages[p][:k] - pages[p - 1][-k:]).mean()
+    assert found.keys() == want.keys() and all(abs(found[k].d - v) < 1e-12 for k, v in want.items())
+    best = {r.seq: (r.overlap, r.score) for r in dedupe.seam_overlaps(df, most=12, least=2, step=2).collect()}
+    assert best[1][0] == 10 and best[4] == (0, 0.0) and sorted(best) == [1, 2, 3, 4, 5]
+    first = {r.seq: r.overlap for r in dedupe.seam_first_fit(df, most=12, least=2, step=2).collect()}
+    assert first[1] == 10 and first[4] == 12
+    assert dedupe.seam_overlaps(df.limit(0)).collect() == []

@@ -14,7 +14,10 @@ from stripweave.operators import attempts, dedupe, dialogue, elements, sequence,
 def test_streaks_and_densities(spark):
     rnd = random.Random(4)
     data = [(f"d{rnd.randrange(3)}", k, k, rnd.random() < 0.6, rnd.random() / 4) for k in range(200)]
-    found = {r.domain: r for r in attempts.quality_fold(spark.createDataFrame(data, "domain string, ts long, attempt_id long, good boolean, density double")).collect()}
+    frame = spark.createDataFrame(data, "domain string, ts long, attempt_id long, good boolean, density double")
+    frame = frame.withColumn("ts", F.timestamp_seconds(F.col("ts") * 900))  # four to an hour
+    assert attempts.quality_streak_and_density(frame.limit(0)).collect() == []
+    found = {r.domain: r for r in attempts.quality_streak_and_density(frame).collect()}
     for d, r in found.items():
         streak, density = 0, 0.5
         for _, _, _, good, x in (x for x in data if x[0] == d):
