@@ -24,6 +24,7 @@ from stripweave.session import stored, work_dir
 from stripweave.sinks import writers as W
 from stripweave.sources import files as X
 from stripweave.sources.feeds import feed, read, with_feeds
+from stripweave.sources.subscenes import panel_scenes
 from stripweave.streaming import learners
 
 C = F.col
@@ -91,10 +92,36 @@ def _manifest(spark: SparkSession, sf_dir: str) -> str:
 
 @query("write_manifest", with_feeds(f"SELECT series || '-' || chapter AS strip_id, name AS source, height, (sum(height) OVER w)::BIGINT AS y_end, (sum(height) OVER (PARTITION BY series, chapter))::BIGINT AS canvas_height FROM files WINDOW w AS (PARTITION BY series, chapter ORDER BY {KEY_SQL}, name ROWS UNBOUNDED PRECEDING)", "files"))
 def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.json(_manifest(spark, sf_dir)).select("strip_id", "canvas_height", F.explode("sections").alias("s"))
+    rows = W.manifests(spark, _manifest(spark, sf_dir)).select("strip_id", "canvas_height", F.explode("sections").alias("s"))
     return rows.select("strip_id", C("s.source").alias("source"), C("s.height").alias("height"), C("s.y_end").alias("y_end"), "canvas_height")
 
 
+@query("update_manifest", with_feeds("""SELECT series || '-' || chapter AS strip_id, count(*) AS sections, CASE WHEN even THEN 3 ELSE 0 END AS panels, CASE WHEN even THEN 1 ELSE 0 END AS scenes,
+ CASE WHEN even THEN 'chapter/' || chapter || '/2' END AS last_panel, NOT even AS same
+ FROM (SELECT *, regexp_extract(chapter, '[0-9]+')::BIGINT % 2 = 0 AS even FROM files) f GROUP BY series, chapter, even""", "files"))
+def update_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels and scenes of every other chapter's strips put into their manifests, panels twice; all else stays byte for byte."""
+    path = _manifest(spark, sf_dir)
+    before = W.manifests(spark, path)
+    text = lambda rows: F.to_json(F.struct(*(c for c in rows.columns if c not in ("panels", "scenes"))))
+    old = stored(before.select("strip_id", text(before).alias("old"), F.to_json(F.struct(*before.columns)).alias("whole")))
+    chapter = F.substring_index("strip_id", "-", -1)
+    strips = old.filter(F.regexp_extract(chapter, "[0-9]+", 0).cast("long") % 2 == 0).select("strip_id", chapter.alias("chapter"))
+
+    def ranges(n: int, mark: str) -> Column:
+        name = lambda i: F.concat(F.lit(mark), C("chapter"), F.lit("/"), i.cast("string"))
+        of = lambda i: F.struct(name(i).alias("name"), (i * 10).cast("long").alias("start"), (i * 10 + 10).cast("long").alias("end"))
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of)
+
+    W.update_manifests(spark, path, strips.select("strip_id", ranges(2, "first/").alias("panels")), 1)
+    W.update_manifests(spark, path, strips.select("strip_id", ranges(3, "chapter/").alias("panels"), ranges(1, "scene/").alias("scenes")), 2)
+    now = W.manifests(spark, path)
+    rows = now.withColumns({"new": text(now), "now": F.to_json(F.struct(*now.columns))}).join(old, "strip_id").filter("new = old")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    last = F.when(size("panels") > 0, F.element_at("panels", -1)["name"])
+    return rows.select("strip_id", F.size("sections").cast("long").alias("sections"), size("panels").alias("panels"), size("scenes").alias("scenes"), last.alias("last_panel"), (C("now") == C("whole")).alias("same"))
+
+
 @query("scan_documents_json", with_feeds("SELECT series || '-' || chapter AS strip_id, 2 AS version, false AS corrupt FROM files GROUP BY series, chapter", "files"))
 def scan_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.json_documents(spark, _manifest(spark, sf_dir), "version int, canvas_height long, strip_id string", one_per_file=False)
@@ -113,8 +140,8 @@ def write_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spoken texts of all chapters, read back whole from their files."""
     path = work_dir(spark)
     W.write_scripts(L.render_scripts(_spoken(spark, sf_dir)), path)
-    rows = spark.read.text(f"{path}/spoken", wholetext=True).select(C("series").cast("string").alias("series"), C("chapter").cast("string").alias("chapter"), F.lit("spoken").alias("kind"), F.regexp_replace("value", "\n$", "").alias("text"))
-    return rows
+    rows = spark.read.json(path).filter("kind = 'spoken'")
+    return rows.select(C("series").cast("string").alias("series"), C("chapter").cast("string").alias("chapter"), "kind", "text")
 
 
 @query("write_rejects", with_feeds(f"WITH {GATED} SELECT reason, count(*) AS n FROM gated GROUP BY 1", "panels"))
@@ -183,9 +210,45 @@ def page_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.clean_pages(X.panel_stats(_pictures(spark, sf_dir))).select("path", "seq", "new_name", "rotate")
 
 
-@query("subscene_split")
+#: Pictures of 300 by 200: bands of 90, 90 and 100 rows with 10 white ones between, each of one to three parts with 8 white columns between.
+BANDS = ((0, 90), (100, 190), (200, 300))
+COLUMNS = {1: ((0, 200),), 2: ((0, 96), (104, 200)), 3: ((0, 60), (68, 130), (138, 200))}
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture for every embedding; every seventh is a negative, every fourth has no white rows."""
+    v, first = C("vec_id"), F.get("embedding", F.lit(0))
+    shade = 200 + F.pmod(F.floor(first * 1000), F.lit(41))
+    negative, whole = v % 7 == 0, v % 4 == 0
+    ink = F.lpad(F.hex(F.when(negative, 255 - shade).otherwise(shade).cast("long")), 2, "0")
+    paper = F.when(negative, "00").otherwise("ff")
+    gap = F.repeat(F.when(whole, ink).otherwise(paper), 2000)  # ten rows
+
+    def row(parts: tuple) -> Column:
+        pieces = [F.repeat(ink, b - a) for a, b in parts]
+        return F.concat(pieces[0], *(x for p in pieces[1:] for x in (F.repeat(paper, 8), p)))
+
+    def band(i: int) -> Column:
+        n = (v + i) % 3 + 1
+        own = F.when(n == 1, row(COLUMNS[1])).when(n == 2, row(COLUMNS[2])).otherwise(row(COLUMNS[3]))
+        return F.repeat(own, BANDS[i][1] - BANDS[i][0])
+
+    path = F.concat(F.lit("panels/p"), v.cast("string"), F.lit(".png"))
+    data = F.unhex(F.concat(band(0), gap, band(1), gap, band(2)))
+    size = {"width": 200, "height": 300, "channels": 1}
+    return read(spark, sf_dir, "embeddings").select(path.alias("path"), *(F.lit(n).alias(c) for c, n in size.items()), data.alias("data"))
+
+
+BAND_ROWS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(BANDS))
+PART_ROWS = ", ".join(f"({n}, {k}, {a}, {b})" for n, parts in COLUMNS.items() for k, (a, b) in enumerate(parts, 1))
+
+
+@query("subscene_split", f"""SELECT 'panels/p' || vec_id || '.png' AS path, 'p' || vec_id || '_s0' || (i + 1) || CASE WHEN n > 1 THEN '_x0' || k ELSE '' END AS name,
+ i + 1 AS band, CASE WHEN n > 1 THEN k ELSE 0 END AS part, CASE WHEN n > 1 THEN a + 3 ELSE 0 END AS x0, y0 + 3 AS y0, CASE WHEN n > 1 THEN b - 3 ELSE 200 END AS x1, y1 - 3 AS y1
+FROM embeddings, (VALUES {BAND_ROWS}) t(i, y0, y1), (VALUES {PART_ROWS}) c(n, k, a, b) WHERE vec_id % 4 <> 0 AND n = (vec_id + i) % 3 + 1""")
 def subscene_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.subscenes(feed(spark, sf_dir, "rows"))
+    """The scenes of pictures whose grids are known."""
+    return panel_scenes(_grids(spark, sf_dir))
 
 
 @query("stitch_plan")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stripweave.operators.dataset import CLASSES, coco_tables, label_line
 
@@ -43,20 +44,42 @@ def write_splits(rows: DataFrame, path: str, seed: int = 42) -> None:
     info.withColumn("seed", F.lit(seed)).coalesce(1).write.mode("overwrite").json(f"{path}/info")
 
 
+SECTION = "struct<index:long,source:string,height:long,y_start:long,y_end:long>"
+RANGE = "struct<name:string,start:long,end:long>"
+MANIFEST = f"strip_id string, sections array<{SECTION}>, canvas_height long, version int, panels array<{RANGE}>, scenes array<{RANGE}>"
+
+
 def write_manifest(sections: DataFrame, path: str) -> None:
-    """A nested document per strip: its sections in order, the canvas height, and the version."""
-    doc = sections.groupBy("strip_id").agg(F.array_sort(F.collect_list(F.struct("index", "source", "height", "y_start", "y_end"))).alias("sections"), F.max("y_end").alias("canvas_height"))
-    doc.withColumn("version", F.lit(2)).repartition("strip_id").write.mode("overwrite").partitionBy("strip_id").json(path)
+    """A nested document per strip, one a line: its sections in order, the canvas height, and the version."""
+    one = F.struct("index", "source", "height", "y_start", "y_end")
+    doc = sections.groupBy("strip_id").agg(F.array_sort(F.collect_list(one)).alias("sections"), F.max("y_end").alias("canvas_height"))
+    doc.withColumn("version", F.lit(2)).write.mode("overwrite").json(f"{path}/change=0")
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Each strip's document as it is now: of those written for it the last."""
+    rows = spark.read.schema(MANIFEST + ", change long").json(path)
+    last = F.row_number().over(Window.partitionBy("strip_id").orderBy(F.desc("change")))
+    return rows.withColumn("_at", last).filter("_at = 1").drop("_at", "change")
+
+
+def update_manifests(spark: SparkSession, path: str, updates: DataFrame, number: int) -> None:
+    """Puts ``panels`` and ``scenes`` (``strip_id`` and one or both, arrays of RANGE) into the strips' documents. Only documents that change
+    are written, as change ``number``; all others stay the files that they are, and an update done again takes its own place."""
+    rows = manifests(spark, path).join(updates.select("strip_id", *(F.col(c).alias(f"_{c}") for c in updates.columns if c != "strip_id")), "strip_id")
+    new = {c: F.coalesce(F.col(f"_{c}").cast(f"array<{RANGE}>"), F.col(c)) for c in ("panels", "scenes") if c in updates.columns}
+    rows.withColumns(new).drop("_panels", "_scenes").write.mode("overwrite").json(f"{path}/change={number}")
 
 
 def write_dialogue(documents: DataFrame, path: str) -> None:
-    documents.repartition("series", "chapter").write.mode("overwrite").partitionBy("series", "chapter").json(path)
+    """A document per chapter, one a line; a folder for each chapter would be as many files."""
+    documents.write.mode("overwrite").json(path)
 
 
 def write_scripts(scripts: DataFrame, path: str) -> None:
-    """The whole, the clean and the spoken text of every chapter in folders of their own."""
-    for kind in ("script", "clean", "spoken"):
-        scripts.select("series", "chapter", F.col(kind).alias("value")).repartition("series", "chapter").write.mode("overwrite").partitionBy("series", "chapter").text(f"{path}/{kind}")
+    """The whole, the clean and the spoken text of every chapter, one a line with its keys, by kind in folders of their own."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("text")) for k in ("script", "clean", "spoken"))))
+    scripts.select("series", "chapter", kinds.alias("_k")).select("series", "chapter", "_k.*").write.mode("overwrite").partitionBy("kind").json(path)
 
 
 def write_rejects(rows: DataFrame, path: str, reason: str = "reason") -> None:

@@ -10,7 +10,7 @@ from stripweave.operators import attempts, dataset, dedupe, dialogue, elements,
 from stripweave.operators.folds import moving_average, ordered_fold, running_sums
 from stripweave.operators.ranking import global_row_number
 from stripweave.sinks import writers
-from stripweave.sources import files
+from stripweave.sources import files, subscenes
 from stripweave.sources.pages import elements_of, html_elements
 
 
@@ -429,3 +429,52 @@ def test_seams_of_packed_edges(spark):
     first = {r.seq: r.overlap for r in dedupe.seam_first_fit(df, most=12, least=2, step=2).collect()}
     assert first[1] == 10 and first[4] == 12
     assert dedupe.seam_overlaps(df.limit(0)).collect() == []
+
+
+def _panel(bands, width=200, paper=255):
+    """A picture of bands: rows, or a list of widths of ink with paper of 8 between, of grey 150."""
+    rows = []
+    for height, parts in bands:
+        row = np.full(width, paper if parts else 255 - paper if paper < 128 else paper, np.uint8)
+        at = 0
+        for w in parts or []:
+            row[at : at + w] = 150 if paper == 255 else 20
+            at += w + 8
+        rows += [row] * height
+    return np.array(rows)
+
+
+def test_scenes_inside_a_panel(spark):
+    grid = _panel([(90, [200]), (10, None), (90, [96, 96]), (10, None), (100, [60, 62, 62])])
+    want = [("p_s01", 1, 0, 0, 3, 200, 87), ("p_s02_x01", 2, 1, 3, 103, 93, 187), ("p_s02_x02", 2, 2, 107, 103, 197, 187)]
+    want += [(f"p_s03_x0{k}", 3, k, a + 3, 203, b - 3, 297) for k, (a, b) in enumerate([(0, 60), (68, 130), (138, 200)], 1)]
+    assert subscenes.split_panel("p", grid.astype(float)) == want
+    negative = 255 - _panel([(90, [200]), (10, None), (110, [200])]).astype(float)
+    negative[negative == 105] = 30
+    assert [r[0] for r in subscenes.split_panel("p", negative)] == ["p_s01", "p_s02"]
+    assert subscenes.split_panel("p", np.full((300, 200), 150.0)) == []  # no white rows
+    assert subscenes.split_panel("p", grid[:150].astype(float)) == []  # too low to be split
+    # Bands that are all too short: the stretches rich in edges part the panel.
+    noisy = np.full((400, 200), 250.0)
+    for top in (20, 220):
+        noisy[top : top + 150, ::4] = 0
+        noisy[top + 60 : top + 64] = 255
+        noisy[top + 62 : top + 64, ::4] = 255
+    spread = subscenes._spread(noisy)
+    assert len(spread) == 2 and all(abs(a - t) < 12 and abs(b - t - 150) < 12 for (a, b), t in zip(spread, (20, 220)))
+    df = spark.createDataFrame([("x/p.png", 200, 300, 1, grid.tobytes())], "path string, width int, height int, channels int, data binary")
+    assert [tuple(r)[1:] for r in subscenes.panel_scenes(df).collect()] == want and subscenes.panel_scenes(df.limit(0)).collect() == []
+
+
+def test_manifests_are_changed_in_place(spark, tmp_path):
+    rows = [("a", 0, "x.png", 5, 0, 5), ("a", 1, "y.png", 7, 5, 12), ("b", 0, "z.png", 3, 0, 3)]
+    path = str(tmp_path / "m")
+    writers.write_manifest(spark.createDataFrame(rows, "strip_id string, index long, source string, height long, y_start long, y_end long"), path)
+    first = {f.name: f.read_bytes() for f in (tmp_path / "m" / "change=0").glob("part-*")}
+    kind = f"strip_id string, panels array<{writers.RANGE}>"
+    for panels in ([("p0", 0, 5)], [("p1", 0, 12)], [("p1", 0, 12)]):  # the last one is done again
+        writers.update_manifests(spark, path, spark.createDataFrame([("a", panels), ("none", panels)], kind), 2 if panels[0][0] == "p1" else 1)
+    got = {r.strip_id: r for r in writers.manifests(spark, path).collect()}
+    assert sorted(got) == ["a", "b"] and [tuple(p) for p in got["a"].panels] == [("p1", 0, 12)] and got["a"].scenes is None
+    assert [s.source for s in got["a"].sections] == ["x.png", "y.png"] and got["a"].canvas_height == 12 and got["b"].panels is None
+    assert {f.name: f.read_bytes() for f in (tmp_path / "m" / "change=0").glob("part-*")} == first
