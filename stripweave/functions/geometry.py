@@ -58,9 +58,10 @@ def bbox_problem(b: Box, width: Column, height: Column) -> Column:
     return F.when((w <= 0) | (h <= 0), "empty").when(~(inside(cx) & inside(cy)), "centre_outside").when(~(inside(nw) & inside(nh)), "too_large")
 
 
-def fit_scale(width: Column, height: Column, target_width: int) -> tuple[Column, Column]:
+def fit_scale(width: Column, height: Column, target_width: int | Column) -> tuple[Column, Column]:
     """Size at the target width, aspect kept."""
-    return F.lit(target_width), F.greatest(F.lit(1), F.floor(height * target_width / width + 0.5)).cast("int")
+    target_width = F.lit(target_width) if isinstance(target_width, int) else target_width
+    return target_width, F.greatest(F.lit(1), F.floor(height * target_width / width + 0.5)).cast("int")
 
 
 def optimal_width(width: Column, height: Column, target: int = 1200) -> tuple[Column, Column, Column]:

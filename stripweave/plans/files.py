@@ -10,11 +10,11 @@ from stripweave.operators import dialogue as L
 from stripweave.operators import panels as P
 from stripweave.operators import sequence as S
 from stripweave.operators import stories as T
-from stripweave.operators.dedupe import seam_overlaps
 from stripweave.operators.folds import ordered_fold
+from stripweave.operators.stitching import stitch_chain
 from stripweave.plans.attempts import ARM_SQL, METHODS
 from stripweave.plans.dataset import COCO_IMAGES, LABELS, SPLITS, _with
-from stripweave.plans.dedup import _vectors
+from stripweave.plans.dedup import VECTORS, _vectors
 from stripweave.plans.dialogue import _mentions, _spoken
 from stripweave.plans.panels import GATED, KEY_SQL, _gated, running_offsets
 from stripweave.plans.registry import query
@@ -251,11 +251,26 @@ def subscene_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_scenes(_grids(spark, sf_dir))
 
 
-@query("stitch_plan")
+STITCH_SQL = f"""WITH {VECTORS}, s AS (SELECT strip_id, seq, k, round(0.65 * (1 - d) + 0.35 * (1 - de), 9) AS s FROM m WHERE n = k),
+b AS (SELECT strip_id, seq, max(k) FILTER (s >= 0.94) AS gk, max(s) AS fs, arg_max(k, s) AS fk FROM s GROUP BY 1, 2),
+o AS (SELECT strip_id, seq, coalesce(gk, CASE WHEN fs >= 0.9 THEN fk END, 0) AS overlap FROM (SELECT DISTINCT strip_id, seq FROM v) x LEFT JOIN b USING (strip_id, seq)),
+y AS (SELECT *, (sum(24 - overlap) OVER (PARTITION BY strip_id ORDER BY seq))::BIGINT AS y_end, (sum(24 - overlap) OVER (PARTITION BY strip_id))::BIGINT AS total FROM o)
+SELECT strip_id, seq, overlap, y_end - (24 - overlap) AS y_start, y_end, 500 AS canvas_width, total AS canvas_height, CASE WHEN total / 500 > 2.5 THEN 'webtoon' ELSE 'manga' END AS format, true AS tiles FROM y"""
+
+
+@query("stitch_plan", STITCH_SQL)
 def stitch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir)
-    sections = rows.select("strip_id", "seq", "height").distinct()
-    return S.stitch_manifest(S.stitch_plan(sections, seam_overlaps(rows, most=12, least=2, step=2)))
+    """The whole chain over pages of which every third is twice as large as the canvas; parts are held by the tiling rule."""
+    tall = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / F.size("vec")
+    edge = F.aggregate("edge_vec", F.lit(0.0), lambda s, x: s + x) / F.size("edge_vec")
+    rows = stored(_vectors(spark, sf_dir).withColumns({"row_mean": tall * 255, "edge_density": edge}))
+    size = F.when(C("seq") % 3 == 2, 2).otherwise(1)
+    pages = rows.select("strip_id", "seq").distinct().select("strip_id", "seq", (size * 500).alias("width"), (size * 24).alias("height"))
+    seams, parts = {"most": 12, "least": 2, "step": 2}, {"most": 140, "shortest": 20, "before": 9, "after": 3, "margin": 10}
+    docs = stitch_chain(pages, rows, seams=seams, parts=parts)[2]
+    out = docs.select("strip_id", "canvas", "format", "tiles", F.explode("sections").alias("s"))
+    of = {c: C(f"s.{c}") for c in ("seq", "overlap", "y_start", "y_end")}
+    return out.select("strip_id", *(c.alias(n) for n, c in of.items()), C("canvas.width").alias("canvas_width"), C("canvas.height").alias("canvas_height"), "format", "tiles")
 
 
 @query("greedy_fold")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stripweave.operators import attempts, dataset, dedupe, dialogue, elements, sequence
+from stripweave.operators import attempts, dataset, dedupe, dialogue, elements, sequence, stitching
 from stripweave.operators.folds import moving_average, ordered_fold, running_sums
 from stripweave.operators.ranking import global_row_number
 from stripweave.sinks import writers
@@ -478,3 +478,24 @@ def test_manifests_are_changed_in_place(spark, tmp_path):
     assert sorted(got) == ["a", "b"] and [tuple(p) for p in got["a"].panels] == [("p1", 0, 12)] and got["a"].scenes is None
     assert [s.source for s in got["a"].sections] == ["x.png", "y.png"] and got["a"].canvas_height == 12 and got["b"].panels is None
     assert {f.name: f.read_bytes() for f in (tmp_path / "m" / "change=0").glob("part-*")} == first
+
+
+def test_stitch_chain(spark):
+    """Two pages that share rows, one of another width, and a strip of one narrow page."""
+    pick = np.random.default_rng(1)
+    first, second = pick.random((40, 8)), pick.random((30, 8))
+    second[:12] = first[-12:]
+    both = {("a", 0): first, ("a", 1): second, ("a", 2): pick.random((20, 8)), ("b", 0): pick.random((25, 8))}
+    rows = [(s, p, y, len(m), r.tolist(), (r > 0.5).astype(float).tolist(), float(r.mean() * 255), 0.1) for (s, p), m in both.items() for y, r in enumerate(m)]
+    df = spark.createDataFrame(rows[:-2], "strip_id string, seq long, y int, height int, vec array<double>, edge_vec array<double>, row_mean double, edge_density double")
+    pages = spark.createDataFrame([("a", 0, 600, 40), ("a", 1, 600, 30), ("a", 2, 1200, 40), ("b", 0, 100, 6)], "strip_id string, seq long, width int, height int")
+    limits = {"most": 30, "shortest": 10, "before": 5, "after": 2, "margin": 5}
+    number = F.when(F.col("strip_id") == "a", 1).otherwise(2).cast("long")
+    pages, df = pages.withColumn("strip_id", number), df.withColumn("strip_id", number)
+    docs = {r.strip_id: r for r in stitching.stitch_chain(pages, df, seams={"most": 16, "least": 4, "step": 4}, parts=limits)[2].collect()}
+    a, b = docs[1], docs[2]
+    assert (a.canvas.width, a.canvas.height, a.format, a.tiles) == (600, 78, "manga", True)
+    assert [(s.seq, s.overlap, s.y_start, s.y_end) for s in a.sections] == [(0, 0, 0, 40), (1, 12, 40, 58), (2, 0, 58, 78)]
+    assert a.parts[0].y_start == 0 and a.parts[-1].y_end == 78 and all(x.y_end == y.y_start for x, y in zip(a.parts, a.parts[1:]))
+    assert (b.canvas.width, b.canvas.height, b.tiles) == (400, 24, True) and len(b.parts) == 1
+    assert stitching.stitch_chain(pages.limit(0), df)[2].collect() == []
