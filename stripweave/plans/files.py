@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stripweave.operators import dataset as D
 from stripweave.operators import dialogue as L
 from stripweave.operators import panels as P
-from stripweave.operators import sequence as S
 from stripweave.operators import stories as T
 from stripweave.operators.folds import ordered_fold
 from stripweave.operators.stitching import stitch_chain
@@ -22,6 +21,7 @@ from stripweave.plans.stories import CAST, NAMES, RETAINED, _chapters, _summarie
 from stripweave.plans.texts import TYPE_SQL
 from stripweave.session import stored, work_dir
 from stripweave.sinks import writers as W
+from stripweave.sinks.pictures import write_pictures
 from stripweave.sources import files as X
 from stripweave.sources.feeds import feed, read, with_feeds
 from stripweave.sources.subscenes import panel_scenes
@@ -176,6 +176,26 @@ def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.concat(F.lit("x/c"), C("vec_id") % 10, F.lit("/page-"), C("vec_id"), F.lit(".png")).alias("path"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(rows, "")).alias("data"))
 
 
+SCANNED = """SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN 'unknown_format' WHEN vec_id % 11 = 0 THEN 'unreadable' WHEN vec_id % 5 = 0 THEN 'too_small' END AS problem,
+ CASE WHEN vec_id % 9 <> 0 AND vec_id % 11 <> 0 AND vec_id % 5 <> 0 THEN round(list_avg(list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + v::DOUBLE * 200))))), 6) END AS mean FROM embeddings"""
+
+
+@query("scan_images", SCANNED)
+def scan_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every picture as a file, read back: some are of a format without a reader, some broken, some too small."""
+    number = F.regexp_extract("path", r"page-(\d+)", 1).cast("long")
+    rows = _pictures(spark, sf_dir).withColumn("n", number)
+    strange, broken, small = C("n") % 9 == 0, C("n") % 11 == 0, C("n") % 5 == 0
+    name = F.when(strange, F.regexp_replace("path", "png$", "webp")).when(broken, F.regexp_replace("path", "png$", "jpg")).otherwise(C("path"))
+    sides = {c: F.when(small & ~strange & ~broken, 8).otherwise(C(c)) for c in ("width", "height")}
+    data = F.when(small & ~strange & ~broken, F.substring("data", 1, 64)).otherwise(C("data"))
+    folder = work_dir(spark)
+    stored(write_pictures(rows.select(name.alias("path"), *(v.alias(c) for c, v in sides.items()), "channels", data.alias("data")), folder))
+    told = X.image_report(spark, folder).select(number.alias("vec_id"), "problem")
+    means = X.panel_stats(X.images(spark, folder)).select(number.alias("vec_id"), F.round("mean", 6).alias("mean"))
+    return told.join(means, "vec_id", "left")
+
+
 GREYS = "list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + v::DOUBLE * 200))))"
 
 
@@ -386,18 +406,19 @@ def character_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.kept_characters(spark, _memory(spark, sf_dir))
 
 
-@query("page_arrival_stream")
+@query("page_arrival_stream", "SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
 def page_arrival_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a table written from all documents, as they arrive."""
     path, out = work_dir(spark), work_dir(spark)
-    read(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
+    read(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
     learners.page_arrivals(spark, path, out, work_dir(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "length")
+    rows = spark.read.parquet(out).select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "length")
+    return rows.groupBy("source").agg(F.sum("length").alias("bytes"))
 
 
 @query("scan_page_files", "SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
 def scan_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts in files by source, listed with their sizes."""
     path = work_dir(spark)
-    read(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
+    read(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
     return X.page_files(spark, path, ("txt",)).groupBy(F.regexp_extract("folder", "source=(.*)", 1).alias("source")).agg(F.sum("length").alias("bytes"))

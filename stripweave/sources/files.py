@@ -30,10 +30,23 @@ def page_files(spark: SparkSession, path: str, stage: str | Sequence[str] = "pag
 
 def images(spark: SparkSession, path: str, least_side: int = 10) -> DataFrame:
     """``path, width, height, channels, data`` of the images that can be decoded, small ones left out."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path)
+    rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
     return rows.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data")).filter((F.col("width") >= least_side) & (F.col("height") >= least_side))
 
 
+def image_report(spark: SparkSession, path: str, stage: str = "stitch", least_side: int = 10) -> DataFrame:
+    """``path, problem`` of every file of a stage: null where ``images`` gives it; ``too_small`` where a side is; ``unknown_format`` where no
+    reader of this kind is there (webp, avif); else ``unreadable``."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    found = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    small = F.least("image.width", "image.height") < least_side
+    found = found.select(plain(F.col("image.origin")).alias("path"), small.alias("small"))
+    files = page_files(spark, path, stage).select(plain(F.col("path")).alias("path"), "ext")
+    none = F.when(F.col("ext").isin("webp", "avif"), "unknown_format").otherwise("unreadable")
+    problem = F.when(F.col("small"), "too_small").when(F.col("small").isNull(), none)
+    return files.join(found, "path", "left").select("path", problem.alias("problem"))
+
+
 BOX = "struct<x:double,y:double,width:double,height:double,class:string>"
 ANNOTATION = f"image_path string, image_width int, image_height int, annotations array<{BOX}>, panels array<{BOX}>, _corrupt_record string"
 

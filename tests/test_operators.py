@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stripweave.operators import attempts, dataset, dedupe, dialogue, elements, sequence, stitching
 from stripweave.operators.folds import moving_average, ordered_fold, running_sums
 from stripweave.operators.ranking import global_row_number
-from stripweave.sinks import writers
+from stripweave.sinks import pictures, writers
 from stripweave.sources import files, subscenes
 from stripweave.sources.pages import elements_of, html_elements
 
@@ -499,3 +499,23 @@ def test_stitch_chain(spark):
     assert a.parts[0].y_start == 0 and a.parts[-1].y_end == 78 and all(x.y_end == y.y_start for x, y in zip(a.parts, a.parts[1:]))
     assert (b.canvas.width, b.canvas.height, b.tiles) == (400, 24, True) and len(b.parts) == 1
     assert stitching.stitch_chain(pages.limit(0), df)[2].collect() == []
+
+
+def test_manifest_of_scenes(spark):
+    rows = [("a", 0, 100, "day", False, 2, 0.5, 10.0), ("a", 100, 300, "night", False, 1, 0.7, 30.0), ("a", 300, 350, "night", True, 9, 0.1, 1.0), ("b", 0, 9, "day", True, 1, 0.2, 2.0)]
+    df = spark.createDataFrame(rows, "strip_id string, start int, end int, scene_type string, rejected boolean, bubbles long, quality double, contrast double")
+    got = {r.strip_id: r.asDict() for r in sequence.scene_manifest(df).collect()}
+    assert got["a"] == {"strip_id": "a", "scenes": 3, "kept": 2, "rejected": 1, "night": 1, "bubbles": 3, "quality": 0.6, "contrast": 20.0, "height": 150.0}
+    assert got["b"] == {"strip_id": "b", "scenes": 1, "kept": 0, "rejected": 1, "night": 0, "bubbles": 0, "quality": None, "contrast": None, "height": None}
+    assert sequence.scene_manifest(df.limit(0)).collect() == []
+
+
+def test_pictures_are_written_and_read(spark, tmp_path):
+    colour = np.arange(12 * 10 * 3, dtype=np.uint8).tobytes()
+    rows = [("a/c.png", 12, 10, 3, colour), ("g.png", 10, 10, 1, bytes(range(100))), ("s.png", 4, 10, 1, bytes(40)), ("w.webp", 1, 1, 1, b"RIFF"), ("b.jpg", 1, 1, 1, b"no jpeg")]
+    df = spark.createDataFrame(rows, "path string, width int, height int, channels int, data binary")
+    assert pictures.write_pictures(df, str(tmp_path)).count() == 5
+    got = {r.path.rsplit("/", 1)[-1]: (r.width, r.height, bytes(r.data)) for r in files.images(spark, str(tmp_path)).collect()}
+    assert got == {"c.png": (12, 10, colour), "g.png": (10, 10, bytes(range(100)))}
+    told = {r.path.rsplit("/", 1)[-1]: r.problem for r in files.image_report(spark, str(tmp_path)).collect()}
+    assert told == {"c.png": None, "g.png": None, "s.png": "too_small", "w.webp": "unknown_format", "b.jpg": "unreadable"}
