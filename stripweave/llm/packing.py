@@ -4,7 +4,8 @@ Rows are dealt by a hash into blocks of bounded size, and each block is packed o
 open bin it fills best. If none has room, a bin is opened with the length whose price per packed token is least, judged by how
 the pieces still to come would fill it. At the end each bin shrinks to the shortest permitted length that holds its contents. What lies in
 bins that are not full enough is packed again, together with that of the other blocks, until one block holds it: a few pieces of each block, so rounds
-are few. The sequences themselves are the pieces' tokens in their bins' order.
+are few. A round that leaves more than LEFT of the pieces it was given is the last: pieces that fill no bin among 20,000 others are of sizes that fit together badly
+(such as all just over half of the longest length), and another mix of them would not fill theirs either; their bins stay as full as a block made them. The sequences themselves are the pieces' tokens in their bins' order.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ LENGTHS = (512, 1024, 2048, 4096)
 BLOCK_ROWS = 20_000
 #: Bins filled to this share are final; the rest of several blocks is packed again together.
 FULL = 0.97
+#: A round that leaves more than this share of its pieces in bins that are not full is the last one.
+LEFT = 0.8
 #: A sequence of length n is priced n + n * n / QUADRATIC: a fixed share for each place, and attention.
 QUADRATIC = 16_384
 
@@ -146,7 +149,7 @@ def pack_documents(docs: DataFrame, *, lengths: Sequence[int] = LENGTHS, size: C
         used = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("_used"))
         packed = written(packed.join(used, "bin_id").withColumn("_full", F.col("_used") >= full * F.col("bin_length")).select(*names, "_full"), "packed")
         rest = written(packed.filter(~F.col("_full")).select(*left.columns), "pieces")
-        if rest.count() > 0.8 * left.count():  # nothing to gain from more rounds
+        if rest.count() > LEFT * left.count():  # nothing to gain from more rounds
             packed = packed.drop("_full")
             break
         done.append(packed.filter("_full").drop("_full"))
