@@ -27,7 +27,8 @@ NEAREST = 20
 TRAIN_ROWS, SAMPLE_QUERIES = 20_000, 128
 RECALL = 0.97
 CELL_ROWS, MOST_CENTROIDS = 200, 256
-BLOCK = 512
+#: Entries of neighbouring cells that are read together, and the queries that meet them at a time.
+GROUP_ROWS, ASKED_ROWS = 8192, 2048
 #: Queries whose best entries a task holds before it sends them on.
 HELD = 20_000
 
@@ -211,28 +212,38 @@ def search(q: Quantiser, index: DataFrame, queries: DataFrame) -> DataFrame:
     width, k = q.width, NEAREST + 1
     shared = queries.sparkSession.sparkContext.broadcast(q)
 
+    group_of = (np.cumsum(q.counts) - q.counts) // GROUP_ROWS
+    grouped = queries.sparkSession.sparkContext.broadcast(group_of)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["group", "key", "cells", "v"], (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
         for batch in batches:
-            cells, keys, vs = [], [], []
+            rows = []
             for key, v in zip(batch["key"].to_pylist(), batch["v"].to_pylist(), strict=True):
-                found = list(shared.value.visits(_vector(v, width)))
-                cells += found
-                keys += [key] * len(found)
-                vs += [v] * len(found)
-                if len(cells) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(keys), pa.array(vs, pa.binary())], ["cell", "key", "v"])
-                    cells, keys, vs = [], [], []
-            if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(keys), pa.array(vs, pa.binary())], ["cell", "key", "v"])
-
-    def blocks(rows: DataFrame, kind: str, *columns: Column) -> DataFrame:
-        """A cell's rows in blocks of about BLOCK, each one row."""
-        sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-        rows = rows.join(sizes, "cell").withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")))
-        return rows.groupBy("cell", "_block").agg(F.collect_list(F.struct("key", *columns, "v")).alias(kind)).select("cell", kind)
-
-    visits = written(queries.select("key", "v").mapInArrow(visit, "cell long, key string, v binary"), "visits")
-    met = blocks(index, "entries", F.col("ids")).join(blocks(visits, "asked"), "cell").select("entries", "asked")
+                cells = np.sort(np.fromiter(shared.value.visits(_vector(v, width)), np.int64))
+                groups, first = np.unique(grouped.value[cells], return_index=True)
+                rows += [(g, key, own, v) for g, own in zip(groups.tolist(), np.split(cells, first[1:]), strict=True)]
+                if len(rows) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    def blocks(rows: DataFrame, kind: str, most: int, *columns: str) -> DataFrame:
+        """A group's rows in blocks of about ``most``, each one row."""
+        sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / most).alias("_blocks"))
+        rows = rows.join(sizes, "group").withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")))
+        return rows.groupBy("group", "_block").agg(F.collect_list(F.struct("key", *columns, "v")).alias(kind)).select("group", kind)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = pa.array(grouped.value[batch["cell"].to_numpy()], pa.int64())
+            yield pa.RecordBatch.from_arrays([group, *(batch[c] for c in ("cell", "key", "ids", "v"))], ["group", "cell", "key", "ids", "v"])
+
+    # A query's vector goes once to each group of cells that it visits, with the cells' numbers.
+    visits = written(queries.select("key", "v").mapInArrow(visit, "group long, key string, cells array<long>, v binary"), "visits")
+    entries = index.select("cell", "key", "ids", "v").mapInArrow(place, "group long, cell long, key string, ids array<long>, v binary")
+    # Most groups are one block of entries; a cell of many is several.
+    met = blocks(entries, "entries", 2 * GROUP_ROWS, "cell", "ids").join(blocks(visits, "asked", ASKED_ROWS, "cells"), "group").select("entries", "asked")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -244,25 +255,41 @@ def search(q: Quantiser, index: DataFrame, queries: DataFrame) -> DataFrame:
             best.clear()
             return out
 
+        def meet(keys: list[str], asked: np.ndarray, own: np.ndarray, flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> None:
+            """The askers of a cell with its entries, which are those at the places ``at`` of the block."""
+            lengths = starts[at + 1] - starts[at]
+            scores = asked @ own.T
+            n = scores.shape[1]
+            least = np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)]
+            for row, key in enumerate(keys):
+                held = best.get(key)
+                floor = least[row] if held is None or len(held[1]) < k else max(least[row], held[1][-1])
+                top = np.flatnonzero(scores[row] >= floor)
+                if not len(top):
+                    continue
+                ids = np.concatenate([flat[starts[t] : starts[t + 1]] for t in at[top]])
+                value = np.repeat(scores[row][top], lengths[top])
+                best[key] = _best(ids, value, k) if held is None else _best(np.concatenate([held[0], ids]), np.concatenate([held[1], value]), k)
+
         for batch in batches:
             for entries, asked in zip(batch["entries"], batch["asked"], strict=True):
                 entries, asked = entries.values, asked.values
                 ids = entries.field("ids")
                 starts = ids.offsets.to_numpy() - ids.offsets[0].as_py()
                 flat = ids.flatten().to_numpy()
-                lengths = np.diff(starts)
-                scores = _matrix(asked.field("v"), width) @ _matrix(entries.field("v"), width).T
-                n = scores.shape[1]
-                least = np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)]
-                for row, key in enumerate(asked.field("key").to_pylist()):
-                    held = best.get(key)
-                    floor = least[row] if held is None or len(held[1]) < k else max(least[row], held[1][-1])
-                    top = np.flatnonzero(scores[row] >= floor)
-                    if not len(top):
-                        continue
-                    own = np.concatenate([flat[starts[t] : starts[t + 1]] for t in top])
-                    value = np.repeat(scores[row][top], lengths[top])
-                    best[key] = _best(own, value, k) if held is None else _best(np.concatenate([held[0], own]), np.concatenate([held[1], value]), k)
+                keys, theirs, ours = asked.field("key").to_pylist(), _matrix(asked.field("v"), width), _matrix(entries.field("v"), width)
+                cell = entries.field("cell").to_numpy()
+                order = np.argsort(cell, kind="stable")
+                cells, first = np.unique(cell[order], return_index=True)
+                wanted = asked.field("cells")
+                asker = np.repeat(np.arange(len(keys)), np.diff(wanted.offsets.to_numpy()))
+                wanted = wanted.flatten().to_numpy()
+                by_cell = np.argsort(wanted, kind="stable")
+                low, high = (np.searchsorted(wanted[by_cell], cells, side) for side in ("left", "right"))
+                for at, i, j in zip(np.split(order, first[1:]), low.tolist(), high.tolist(), strict=True):
+                    if i < j:
+                        who = asker[by_cell[i:j]]
+                        meet([keys[w] for w in who.tolist()], theirs[who], ours[at], flat, starts, at)
                 if len(best) >= HELD:
                     yield sent()
         yield sent()
