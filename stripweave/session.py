@@ -33,16 +33,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: that of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; on a cluster that is an error,
+    """This session's own folder in the one that all executors share: that of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; on a cluster that is an error,
     as a machine's own folder is none that the others see."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = context.getCheckpointDir()
+    context._stripweave_run = getattr(context, "_stripweave_run", None) or f"stripweave-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{context._stripweave_run}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Removes all work tables that this session has written, and no others. Results that queries have returned are read from them, so
+    they must have been written or collected before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def work_dir(spark: SparkSession) -> str:

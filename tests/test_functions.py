@@ -70,3 +70,16 @@ def test_hashes_and_distances(spark):
     assert [r[0] for r in df.select(V.cosine_distance(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 999.0, 999.0]
     h = spark.range(1).select(V.avg_hash64(F.array(*(F.lit(float(k)) for k in range(64)))), V.hash_similarity(F.lit(7).cast("long"), F.lit(0).cast("long"))).first()
     assert h[0] == (1 << 32) - 1 and h[1] == pytest.approx(61 / 64)
+
+
+def test_work_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from stripweave.session import clear_work, shared_dir, stored
+
+    assert stored(spark.range(3)).count() == 3
+    here = Path(shared_dir(spark).removeprefix("file:"))
+    assert any(here.iterdir())
+    clear_work(spark)
+    assert not here.exists() and here.parent.exists()
+    assert stored(spark.range(4)).count() == 4
