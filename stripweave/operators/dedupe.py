@@ -37,6 +37,16 @@ def hash_pairs(pages: DataFrame, most_bits: int = 3, bits: int = 64) -> DataFram
     return met.select("chapter", F.col("seqx").alias("a"), F.col("seqy").alias("b")).distinct()
 
 
+def greedy_keep(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], ident: str) -> DataFrame:
+    """``key, ident, kept``: each key's rows in order, kept unless near to an earlier kept one. ``pairs`` has ``key, a, b``: the ids of two rows near
+    to each other, a before b in the order. ``ident`` is unique within its key; only keys with pairs are folded, all other rows are kept."""
+    near = pairs.groupBy(key, F.col("b").alias(ident)).agg(F.sort_array(F.collect_set("a")).alias("near"))
+    every = rows.select(*dict.fromkeys([key, ident, *order])).join(near, [key, ident], "left")
+    linked = near.select(key).distinct()
+    folded = _greedy(every.join(linked, key, "left_semi"), key, order, ident, dict(rows.dtypes)[ident])
+    return every.select(key, ident).join(folded, [key, ident], "left").select(key, ident, F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
 def _greedy(rows: DataFrame, key: str, order: Sequence[str], ids: str, kind: str) -> DataFrame:
     """Rows in order with ``near``, the earlier rows each one is near to: a row is kept unless one of these was."""
 
@@ -53,11 +63,7 @@ def _greedy(rows: DataFrame, key: str, order: Sequence[str], ids: str, kind: str
 
 def near_hash_dedupe(pages: DataFrame, most_bits: int = 3) -> DataFrame:
     """``chapter, seq, kept``: pages in order, dropped if near to an earlier kept one. Copies of an earlier page follow its fate: it is kept, or near to a kept one."""
-    pairs = hash_pairs(pages, most_bits).groupBy("chapter", F.col("b").alias("seq")).agg(F.sort_array(F.collect_list("a")).alias("near"))
-    first = exact_hash_dedupe(pages).select("chapter", "seq").join(pairs, ["chapter", "seq"], "left")
-    linked = first.filter(F.col("near").isNotNull()).select("chapter").distinct()
-    folded = _greedy(first.join(linked, "chapter", "left_semi"), "chapter", ["seq"], "seq", dict(pages.dtypes)["seq"])
-    out = first.join(folded, ["chapter", "seq"], "left").select("chapter", "seq", F.coalesce("kept", F.lit(True)).alias("kept"))
+    out = greedy_keep(exact_hash_dedupe(pages), hash_pairs(pages, most_bits), "chapter", ["seq"], "seq")
     return pages.select("chapter", "seq").join(out, ["chapter", "seq"], "left").select("chapter", "seq", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -83,11 +89,9 @@ def _keep_best(boxes: DataFrame, by: str, near: object, likeness: float | None,
     if likeness is not None:  # texts join pairs, not the cells that a pair shares
         x, y = (boxes.select(by, F.col("box_id").alias(s + "box_id"), F.col("text").alias(s + "text")) for s in ("a_", "b_"))
         met = met.join(x, [by, "a_box_id"]).join(y, [by, "b_box_id"]).filter(G.jaccard_tokens(F.col("a_text"), F.col("b_text")) > likeness)
-    pairs = met.groupBy(by, F.col("b_box_id").alias("box_id")).agg(F.sort_array(F.collect_list("a_box_id")).alias("near"))
-    every = boxes.select(by, "box_id", "x", "y", (-F.col("confidence")).alias("_less")).join(pairs, [by, "box_id"], "left")
-    linked = every.filter(F.col("near").isNotNull()).select(by).distinct()
-    folded = _greedy(every.join(linked, by, "left_semi"), by, ["_less", "y", "x", "box_id"], "box_id", dict(boxes.dtypes)["box_id"])
-    return every.join(folded, [by, "box_id"], "left").select(by, "box_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    every = boxes.select(by, "box_id", "x", "y", (-F.col("confidence")).alias("_less"))
+    pairs = met.select(by, F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
+    return greedy_keep(every, pairs, by, ["_less", "y", "x", "box_id"], "box_id")
 
 
 #: Signatures of a block, and pivots to which their angles are known.

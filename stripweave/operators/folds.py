@@ -36,6 +36,15 @@ def moving_average(rows: DataFrame, by: Sequence[str], bucket: Column, order: Se
     return parts.groupBy(*by).agg(F.aggregate(steps, F.lit(float(start)), lambda s, p: s * p["left"] + p["part"]).alias("ema"))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt so that all with equal keys lie in one task, for a fold over partitions.
+
+    Spark leaves a repartition out where its child is dealt by these columns already, as a join or union is. A fold states no such need, so that
+    at run time the child's partitions may still be split (a skewed join) or merged apart (a union), and a key's rows would part. A hash of
+    the keys is an expression that no child is dealt by: the exchange stays."""
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def ordered_fold(rows: DataFrame, key: str, order: Sequence[str], start: Callable[[Any], Any], step: Callable[[Any, Any], list[tuple] | None], finish: Callable[[Any, Any], list[tuple]], schema: str) -> DataFrame:
     """Folds each key's rows in order: ``start(key)`` gives a state, ``step(state, row)`` changes it and may give rows, ``finish(key, state)``
     gives the last ones. Rows come from a sorted partition batch by batch, so a key of any size needs no more memory than its state."""
@@ -58,4 +67,4 @@ def ordered_fold(rows: DataFrame, key: str, order: Sequence[str], start: Callabl
         if open_key and (last := finish(now, state)):
             yield pd.DataFrame(last, columns=names)
 
-    return rows.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return dealt(rows.filter(F.col(key).isNotNull()), key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

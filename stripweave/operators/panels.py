@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stripweave.functions.text import natural_key
+from stripweave.operators.dedupe import near_hash_dedupe
+from stripweave.session import stored
 
+#: Files of fewer bytes are broken.
+LEAST_BYTES = 1000
 
-def download_completeness(files: DataFrame, *, least_bytes: int = 1000, least_files: int = 10) -> DataFrame:
+
+def download_completeness(files: DataFrame, *, least_bytes: int = LEAST_BYTES, least_files: int = 10) -> DataFrame:
     """Per series and chapter: valid and suspicious files, and whether there are enough valid ones."""
     ok = F.count_if(F.col("length") >= least_bytes)
     return files.groupBy("series", "chapter").agg(ok.alias("valid"), F.count_if(F.col("length") < least_bytes).alias("suspicious"), (ok >= least_files).alias("complete"))
@@ -48,6 +53,16 @@ def panel_gate(width: Column, height: Column, is_blank: Column, duplicate: Colum
     )
 
 
+def validated_panels(panels: DataFrame, is_blank: Column, most_bits: int = 3) -> DataFrame:
+    """Panels with ``reason``: what rejects them, null if nothing does. A panel that the other rules let pass is a duplicate if its ``hash`` differs
+    in at most ``most_bits`` bits from that of an earlier accepted panel of its ``chapter``, by ``seq`` (unique in it). Rejected panels, and those
+    without a hash, are nobody's copies and have none."""
+    gated = panels.withColumn("reason", panel_gate(F.col("width"), F.col("height"), is_blank, F.lit(False)))
+    sound = stored(gated.filter(F.col("reason").isNull() & F.col("hash").isNotNull()).select("chapter", "seq", "hash"))
+    copies = near_hash_dedupe(sound, most_bits).filter(~F.col("kept")).select("chapter", "seq", F.lit("duplicate").alias("_copy"))
+    return gated.join(copies, ["chapter", "seq"], "left").withColumn("reason", F.coalesce("reason", "_copy")).drop("_copy")
+
+
 def interface_borders(border_std: Column, edge: Column) -> Column:
     """Buttons and bars: one border of high contrast, and edges all over."""
     return (border_std > 60) & (edge > 0.15)

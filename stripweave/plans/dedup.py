@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from stripweave.functions import geometry as G
 from stripweave.functions import vectors as V
 from stripweave.operators import dedupe as O
-from stripweave.plans.registry import query
+from stripweave.plans.registry import greedy_sql, query
 from stripweave.plans.texts import _scalar
 from stripweave.sources.feeds import feed, read, with_feeds
 
@@ -55,7 +55,9 @@ def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.hash_pairs(_hashed(spark, sf_dir))
 
 
-@query("near_hash_dedupe")
+@query("near_hash_dedupe", f"""WITH RECURSIVE h AS ({HASHED}), f AS (SELECT chapter, min(seq) AS seq, hash FROM h GROUP BY 1, 3), ranked AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS n FROM f),
+near AS (SELECT x.chapter, x.seq AS a, y.seq AS b FROM f x JOIN f y ON x.chapter = y.chapter AND x.seq < y.seq AND bit_count(xor(x.hash, y.hash)) <= 3), {greedy_sql("chapter", "seq")}
+SELECT h.chapter, h.seq, coalesce(kept, false) AS kept FROM h LEFT JOIN greedy g ON g.chapter = h.chapter AND g.ident = h.seq""")
 def near_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.near_hash_dedupe(_hashed(spark, sf_dir))
 
@@ -65,12 +67,24 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((C("image_id") % 500).alias("page"), (C("image_id") * 10 + C("ann_id")).alias("box_id"), *"xywh", (C("image_id") * 7 % 101).alias("confidence"))
 
 
-@query("box_nms")
+#: The area that two boxes share, and their overlap by it.
+SHARED = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+IOU = f"({SHARED}) / greatest(1.0, a.w * a.h + b.w * b.h - ({SHARED}))"
+BEST_FIRST = "row_number() OVER (PARTITION BY page ORDER BY confidence DESC, y, x, box_id) AS n"
+KEPT_BOXES = "SELECT page, ident AS box_id, kept FROM greedy"
+
+
+@query("box_nms", with_feeds(f"""WITH RECURSIVE d AS (SELECT image_id, ann_id, max(x) AS x, max(y) AS y, max(w) AS w, max(h) AS h FROM boxes WHERE w > 0 AND h > 0 GROUP BY 1, 2),
+p AS (SELECT image_id % 500 AS page, image_id * 10 + ann_id AS box_id, x, y, w, h, image_id * 7 % 101 AS confidence FROM d), ranked AS (SELECT *, {BEST_FIRST} FROM p),
+near AS (SELECT a.page, a.box_id AS a, b.box_id AS b FROM ranked a JOIN ranked b ON a.page = b.page AND a.n < b.n AND {IOU} > 0.48), {greedy_sql("page", "box_id")} {KEPT_BOXES}""", "boxes"))
 def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.box_nms(_boxes(spark, sf_dir), "page")
 
 
-@query("text_block_dedupe")
+@query("text_block_dedupe", with_feeds(f"""WITH RECURSIVE o AS (SELECT chapter AS page, chapter * 100 + block AS box_id, x, y, w, h, confidence, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM blocks),
+p AS (SELECT * FROM o UNION ALL SELECT page, box_id + 1000000000, x, y, w, h, confidence - 1, t FROM o), ranked AS (SELECT *, {BEST_FIRST} FROM p),
+near AS (SELECT a.page, a.box_id AS a, b.box_id AS b FROM ranked a JOIN ranked b ON a.page = b.page AND a.n < b.n AND {IOU} > 0.18 AND len(a.t) > 0 AND len(b.t) > 0
+ AND len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) > 0.86), {greedy_sql("page", "box_id")} {KEPT_BOXES}""", "blocks"))
 def text_block_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed(spark, sf_dir, "blocks").select(C("chapter").alias("page"), (C("chapter") * 100 + C("block")).alias("box_id"), *"xywh", "confidence", "text")
     twins = rows.unionByName(rows.withColumn("box_id", C("box_id") + 1_000_000_000).withColumn("confidence", C("confidence") - 1))
@@ -96,7 +110,10 @@ def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.signature_match(faces.filter("face % 7 <> 0"), known, "chapter", 0.9).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("signature_novelty")
+@query("signature_novelty", with_feeds("""WITH RECURSIVE v AS (SELECT chapter, face, signature::DOUBLE[] AS v FROM faces), r AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY face) AS n FROM v WHERE list_dot_product(v, v) > 0),
+g AS (SELECT chapter, n, [{'face': face, 'v': v}] AS held FROM r WHERE n = 1 UNION ALL
+ SELECT r.chapter, r.n, CASE WHEN list_min(list_transform(g.held, lambda h: 1 - list_cosine_similarity(h.v, r.v))) > 0.04 THEN list_append(g.held, {'face': r.face, 'v': r.v})[-16:] ELSE g.held END FROM g JOIN r ON r.chapter = g.chapter AND r.n = g.n + 1)
+SELECT chapter, unnest(list_transform(held, lambda h: h.face)) AS face FROM (SELECT chapter, arg_max(held, n) AS held FROM g GROUP BY 1) x""", "faces"))
 def signature_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.signature_novelty(feed(spark, sf_dir, "faces"), "chapter", ["face"])
 

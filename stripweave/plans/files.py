@@ -12,7 +12,7 @@ from stripweave.operators import stories as T
 from stripweave.operators.folds import ordered_fold
 from stripweave.operators.stitching import stitch_chain
 from stripweave.plans.attempts import ARM_SQL, METHODS
-from stripweave.plans.dataset import COCO_IMAGES, LABELS, SPLITS, _with
+from stripweave.plans.dataset import CLASS_SQL, COCO_IMAGES, LABELS, SPLITS, _with
 from stripweave.plans.dedup import VECTORS, _vectors
 from stripweave.plans.dialogue import _mentions, _spoken
 from stripweave.plans.panels import GATED, KEY_SQL, _gated, running_offsets
@@ -63,24 +63,30 @@ def scan_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(C("stem").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"), F.round(F.sum("w"), 4).alias("w"), F.min("class").alias("class"))
 
 
-@query("write_coco_json", _with("SELECT split, i.id AS image_id, count(*) AS annotations, count(DISTINCT l.class_id) AS classes FROM labels_ok l JOIN coco_images i USING (image_id) GROUP BY 1, 2", LABELS, SPLITS, COCO_IMAGES))
+@query("write_coco_json", _with("SELECT split, image_id AS id, 'img_' || i.image_id || '.jpg' AS file_name, count(*) AS annotations, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, round(sum((cx - nw / 2) * 800), 4) AS x, round(sum((cy - nh / 2) * 600), 4) AS y, round(sum(nw * 800), 4) AS w, round(sum(nh * 600), 4) AS h FROM labels_ok l JOIN coco_images i USING (image_id) JOIN classes USING (class_id) GROUP BY ALL", LABELS, SPLITS, COCO_IMAGES, CLASS_SQL))
 def write_coco_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations of every image, read back from its document."""
     labels = D.yolo_labels(feed(spark, sf_dir, "boxes"))
     path = work_dir(spark)
     W.write_coco_json(labels, D.split_images(labels, "image_id"), path, images_each=2000)
     docs = spark.read.json(path)
-    anns = docs.select("split", "part", F.explode("annotations").alias("a")).groupBy("split", "part", C("a.image_id").alias("image_id")).agg(F.count("*").alias("annotations"), F.count_distinct("a.category_id").alias("classes"))
-    images = docs.select("split", "part", F.explode("images.id").alias("image_id"))
-    return images.join(anns, ["split", "part", "image_id"]).select("split", "image_id", "annotations", "classes")
+    names = docs.select("split", "part", F.explode("categories").alias("c")).select("split", "part", C("c.id").alias("category"), C("c.name").alias("class"))
+    anns = docs.select("split", "part", F.explode("annotations").alias("a")).select("split", "part", C("a.image_id").alias("image"), C("a.category_id").alias("category"), C("a.bbox").alias("b"))
+    sides = {s: F.round(F.sum(F.get("b", F.lit(i))), 4).alias(s) for i, s in enumerate("xywh")}
+    classes = F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes")
+    anns = anns.join(names, ["split", "part", "category"]).groupBy("split", "part", "image").agg(F.count("*").alias("annotations"), classes, *sides.values())
+    images = docs.select("split", "part", F.explode("images").alias("i")).select("split", "part", C("i.id").alias("image"), C("i.file_name").alias("file_name"))
+    rows = images.join(anns, ["split", "part", "image"])
+    return rows.select("split", F.regexp_extract("file_name", "[0-9]+", 0).cast("long").alias("id"), "file_name", "annotations", "classes", *sides)
 
 
-@query("write_splits", _with("SELECT split, count(*) AS labels, count(DISTINCT image_id) AS images FROM labels_ok JOIN splits USING (image_id) GROUP BY 1", LABELS, SPLITS))
+@query("write_splits", _with("SELECT split, count(*) AS labels, count(DISTINCT image_id) AS images, round(sum(cx + cy + nw + nh), 3) AS total, array_to_string(list_sort(list_distinct(list(image_id)))[:10], ',') AS first_names, 42::BIGINT AS seed FROM labels_ok JOIN splits USING (image_id) GROUP BY 1", LABELS, SPLITS))
 def write_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     W.write_splits(_exported(spark, sf_dir), path)
-    rows = spark.read.parquet(f"{path}/rows").groupBy("split").agg(F.count("*").alias("labels"))
-    return rows.join(spark.read.json(f"{path}/info").select("split", "images"), "split")
+    rows = spark.read.parquet(f"{path}/rows").groupBy("split").agg(F.count("*").alias("labels"), F.round(F.sum(C("cx") + C("cy") + C("nw") + C("nh")), 3).alias("total"))
+    info = spark.read.json(f"{path}/info").select("split", "images", F.array_join("first_names", ",").alias("first_names"), "seed")
+    return rows.join(info, "split")
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> str:
@@ -128,27 +134,32 @@ def scan_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("strip_id", "version", "corrupt")
 
 
-@query("write_dialogue", with_feeds("SELECT series, chapter, count(DISTINCT panel) AS panels FROM blocks GROUP BY 1, 2", "blocks"))
+@query("write_dialogue", with_feeds(f"SELECT series, chapter, row_number() OVER (PARTITION BY series, chapter ORDER BY block) AS place, panel, text, speaker, {TYPE_SQL} AS kind FROM blocks", "blocks"))
 def write_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     W.write_dialogue(L.chapter_documents(_spoken(spark, sf_dir)), path)
-    return spark.read.json(path).select(C("series").cast("long").alias("series"), C("chapter").cast("long").alias("chapter"), F.size("panels").cast("long").alias("panels"))
+    panels = spark.read.json(path).select("series", "chapter", F.posexplode("panels").alias("at", "p"))
+    rows = panels.select("series", "chapter", (C("at") + 1).cast("long").alias("place"), C("p.panel").alias("panel"), F.explode("p.text_boxes").alias("t"))
+    return rows.select("series", "chapter", "place", "panel", "t.text", "t.speaker", "t.kind")
 
 
-@query("write_scripts", with_feeds(f"SELECT series::VARCHAR AS series, chapter::VARCHAR AS chapter, 'spoken' AS kind, coalesce(string_agg(speaker || ': ' || trim(text), chr(10) ORDER BY block) FILTER (k NOT IN ('sfx', 'narration')), '') AS text FROM (SELECT *, {TYPE_SQL} AS k FROM blocks) b GROUP BY 1, 2", "blocks"))
+@query("write_scripts", with_feeds(f"""WITH b AS (SELECT *, {TYPE_SQL} AS k, nullif(trim(text), '') AS t FROM blocks),
+l AS (SELECT *, CASE k WHEN 'sfx' THEN '[SFX] ' WHEN 'narration' THEN 'Narrator: ' ELSE coalesce(nullif(speaker, ''), 'Unknown') || ': ' END || t AS line FROM b),
+s AS (SELECT series, chapter, string_agg('[Panel ' || panel || ' | mixed_scene' || CASE WHEN is_dark THEN ' | dark' ELSE '' END || ']' || chr(10) || coalesce(line, '[Silent panel]'), chr(10) || chr(10) ORDER BY block) AS script,
+ coalesce(string_agg(line, chr(10) ORDER BY block), '') AS clean, coalesce(string_agg(line, chr(10) ORDER BY block) FILTER (k NOT IN ('sfx', 'narration')), '') AS spoken FROM l GROUP BY 1, 2)
+SELECT series::VARCHAR AS series, chapter::VARCHAR AS chapter, kind, text FROM (UNPIVOT s ON script, clean, spoken INTO NAME kind VALUE text) u""", "blocks"))
 def write_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spoken texts of all chapters, read back whole from their files."""
+    """All three texts of all chapters, read back whole from their files."""
     path = work_dir(spark)
     W.write_scripts(L.render_scripts(_spoken(spark, sf_dir)), path)
-    rows = spark.read.json(path).filter("kind = 'spoken'")
-    return rows.select(C("series").cast("string").alias("series"), C("chapter").cast("string").alias("chapter"), "kind", "text")
+    return spark.read.json(path).select(C("series").cast("string").alias("series"), C("chapter").cast("string").alias("chapter"), "kind", "text")
 
 
-@query("write_rejects", with_feeds(f"WITH {GATED} SELECT reason, count(*) AS n FROM gated GROUP BY 1", "panels"))
+@query("write_rejects", with_feeds(f"WITH RECURSIVE {GATED} SELECT panel_id, chapter, reason FROM gated", "panels"))
 def write_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     W.write_rejects(_gated(spark, sf_dir).withColumn("reason", F.nullif("reason", F.lit("kept"))), path)
-    return spark.read.parquet(path).groupBy("reason").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("panel_id", "chapter", "reason")
 
 
 @query("write_panel_meta", with_feeds("SELECT doc_id AS panel_id, height FROM files", "files"))
@@ -164,8 +175,8 @@ def atomic_state_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions; the newest is what is read."""
     counts = feed(spark, sf_dir, "attempts").groupBy("domain").agg(F.count("*").alias("attempts"))
     path = work_dir(spark)
-    W.save_state(counts, path)
-    W.save_state(W.latest_state(spark, path).withColumn("attempts", C("attempts") * 2), path)
+    W.save_state(counts, path, 1)
+    W.save_state(W.latest_state(spark, path).withColumn("attempts", C("attempts") * 2), path, 2)
     return W.latest_state(spark, path)
 
 
@@ -293,7 +304,11 @@ def stitch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("strip_id", *(c.alias(n) for n, c in of.items()), C("canvas.width").alias("canvas_width"), C("canvas.height").alias("canvas_height"), "format", "tiles")
 
 
-@query("greedy_fold")
+@query("greedy_fold", """WITH RECURSIVE e AS (SELECT user_id, event_id, (date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)))::BIGINT AS t FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
+g AS (SELECT user_id, n, event_id, t AS last, true AS kept FROM r WHERE n = 1 UNION ALL
+ SELECT r.user_id, r.n, r.event_id, CASE WHEN r.t - g.last < 7200 THEN g.last ELSE r.t END, r.t - g.last >= 7200 FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1)
+SELECT user_id, event_id FROM g WHERE kept""")
 def greedy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events that come at least two hours after the last one kept."""
 
@@ -365,11 +380,12 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "status", "progress")
 
 
-@query("missing_pages", with_feeds("SELECT series, chapter, doc_id AS seq FROM files WHERE doc_id % 9 = 0", "files"))
+@query("missing_pages", with_feeds("SELECT series, chapter, doc_id AS seq FROM files WHERE doc_id % 9 = 0 OR length < 1000", "files"))
 def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages are wanted; every ninth has not come."""
-    files = feed(spark, sf_dir, "files").select("series", "chapter", C("doc_id").alias("seq"))
-    return learners.missing_pages(files, files.filter("seq % 9 <> 0"), ["series", "chapter", "seq"])
+    """All pages are wanted; every ninth has not come, and small ones came broken."""
+    files = feed(spark, sf_dir, "files").select("series", "chapter", C("doc_id").alias("seq"), "length")
+    arrived = files.filter("seq % 9 <> 0")
+    return learners.missing_pages(files.drop("length"), arrived, ["series", "chapter", "seq"], valid=C("length") >= P.LEAST_BYTES)
 
 
 @query("series_memory_stream", with_feeds(f"WITH {NAMES}, {CAST} SELECT * FROM cast_", "chapters"))

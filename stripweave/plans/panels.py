@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from stripweave.functions import geometry as G
 from stripweave.operators import panels as O
-from stripweave.plans.registry import query
+from stripweave.plans.registry import greedy_sql, query
 from stripweave.plans.texts import _scalar
 from stripweave.sources.feeds import feed, with_feeds
 
@@ -64,19 +64,20 @@ _panel("bubble_candidate_filter", lambda: {"confidence": O.bubble_candidate(_box
     "(SELECT *, floor(w * h * light_ratio) AS area FROM (SELECT *, floor(b0 * 100) AS x, floor(b1 * 100) AS y, floor(width * b2) AS w, floor(height * b3 / 2) AS h FROM panels) p) q")
 _panel("ocr_conf_filter_legacy", lambda: {"ok": O.engine_confidence_ok(F.element_at(F.array(F.lit("words"), F.lit("second"), F.lit("structured")), (C("seq") % 3 + 1).cast("int")), F.when(C("seq") % 3 == 0, C("b0") * 100).otherwise(C("b0")))}, "CASE seq % 3 WHEN 0 THEN b0 * 100 > 60 WHEN 1 THEN b0 > 0.5 ELSE b0 >= 0.35 END AS ok")
 
-#: A panel is a copy if an earlier one of its chapter looks the same.
-SEEN_SQL = "seen AS (SELECT *, row_number() OVER (PARTITION BY chapter, look ORDER BY seq) > 1 AS copy FROM panels)"
-GATE_SQL = f"CASE WHEN height < 140 OR width < 200 THEN 'too_small' WHEN width / height > 8 OR height / width > 12 THEN 'extreme_shape' WHEN {BLANK_SQL} THEN 'blank' WHEN copy THEN 'duplicate' END"
+#: A panel that passes the other rules is a copy if it is near to an earlier accepted one of its chapter.
+GATE_SQL = f"CASE WHEN height < 140 OR width < 200 THEN 'too_small' WHEN width / height > 8 OR height / width > 12 THEN 'extreme_shape' WHEN {BLANK_SQL} THEN 'blank' END"
+VALID_SQL = f"""first_gate AS (SELECT *, {GATE_SQL} AS early FROM panels), ranked AS (SELECT chapter, seq, hash, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS n FROM first_gate WHERE early IS NULL),
+near AS (SELECT x.chapter, x.seq AS a, y.seq AS b FROM ranked x JOIN ranked y ON x.chapter = y.chapter AND x.n < y.n AND bit_count(xor(x.hash, y.hash)) <= 3), {greedy_sql("chapter", "seq")},
+seen AS (SELECT p.*, coalesce(early, CASE WHEN NOT kept THEN 'duplicate' END) AS verdict FROM first_gate p LEFT JOIN greedy g ON g.chapter = p.chapter AND g.ident = p.seq)"""
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feed(spark, sf_dir, "panels")
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("chapter", "look").orderBy("seq")) > 1)
+    return O.validated_panels(feed(spark, sf_dir, "panels"), _blank())
 
 
-@query("panel_gate", with_feeds(f"WITH {SEEN_SQL} SELECT panel_id, {GATE_SQL} AS reason FROM seen", "panels"))
+@query("panel_gate", with_feeds(f"WITH RECURSIVE {VALID_SQL} SELECT panel_id, verdict AS reason FROM seen", "panels"))
 def panel_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seen(spark, sf_dir).select("panel_id", O.panel_gate(C("width"), C("height"), _blank(), C("copy")).alias("reason"))
+    return _seen(spark, sf_dir).select("panel_id", "reason")
 
 
 @query("unwanted_panel", with_feeds("""SELECT panel_id, width < 80 OR height < 80 OR (height / width >= 0.8 AND height / width <= 1.25 AND height < 200 AND uniformity > 0.4) OR height / width < 0.08 OR height / width > 15
@@ -89,18 +90,18 @@ def unwanted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seen(spark, sf_dir).withColumn("reason", F.coalesce(O.panel_gate(C("width"), C("height"), _blank(), C("copy")), F.lit("kept")))
+    return _seen(spark, sf_dir).na.fill("kept", ["reason"])
 
 
-GATED = f"{SEEN_SQL}, gated AS (SELECT *, coalesce({GATE_SQL}, 'kept') AS reason FROM seen)"
+GATED = f"{VALID_SQL}, gated AS (SELECT *, coalesce(verdict, 'kept') AS reason FROM seen)"
 
 
-@query("validation_counts", with_feeds(f"WITH {GATED} SELECT chapter, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'extreme_shape') AS extreme_shape, count(*) FILTER (reason = 'blank') AS blank, count(*) FILTER (reason = 'duplicate') AS duplicate, count(*) FILTER (reason = 'kept') AS kept, round(count(*) FILTER (reason = 'kept') * 100.0 / count(*), 4) AS retention FROM gated GROUP BY 1", "panels"))
+@query("validation_counts", with_feeds(f"WITH RECURSIVE {GATED} SELECT chapter, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'extreme_shape') AS extreme_shape, count(*) FILTER (reason = 'blank') AS blank, count(*) FILTER (reason = 'duplicate') AS duplicate, count(*) FILTER (reason = 'kept') AS kept, round(count(*) FILTER (reason = 'kept') * 100.0 / count(*), 4) AS retention FROM gated GROUP BY 1", "panels"))
 def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.reason_counts(_gated(spark, sf_dir))
 
 
-@query("panel_validation", with_feeds(f"WITH {GATED} SELECT panel_id, chapter, reason, CASE WHEN reason = 'kept' THEN format('panel_{{:04d}}', row_number() OVER (PARTITION BY chapter, reason ORDER BY seq)) END AS new_name FROM gated", "panels"))
+@query("panel_validation", with_feeds(f"WITH RECURSIVE {GATED} SELECT panel_id, chapter, reason, CASE WHEN reason = 'kept' THEN format('panel_{{:04d}}', row_number() OVER (PARTITION BY chapter, reason ORDER BY seq)) END AS new_name FROM gated", "panels"))
 def panel_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = O.renumbered(_gated(spark, sf_dir), ["chapter", "reason"], ["seq"])
     return rows.select("panel_id", "chapter", "reason", F.when(C("reason") == "kept", C("new_name")).alias("new_name"))

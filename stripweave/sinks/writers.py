@@ -40,8 +40,11 @@ def write_coco_json(labels: DataFrame, splits: DataFrame, path: str, images_each
 def write_splits(rows: DataFrame, path: str, seed: int = 42) -> None:
     """Rows under ``split=`` folders, and a document of each split's size and first names."""
     rows.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
-    info = rows.select("split", "image_id").distinct().groupBy("split").agg(F.count("*").alias("images"), F.slice(F.array_sort(F.collect_list("image_id")), 1, 10).alias("first_names"))
-    info.withColumn("seed", F.lit(seed)).coalesce(1).write.mode("overwrite").json(f"{path}/info")
+    info = rows.select("split", "image_id").distinct().groupBy("split").agg(F.count("*").alias("images"))
+    at = F.row_number().over(Window.partitionBy("split").orderBy("image_id"))  # no more than ten rows a task are sent on
+    first = rows.select("split", "image_id").distinct().withColumn("_at", at).filter(F.col("_at") <= 10)
+    first = first.groupBy("split").agg(F.array_sort(F.collect_list("image_id")).alias("first_names"))
+    info.join(first, "split").withColumn("seed", F.lit(seed)).coalesce(1).write.mode("overwrite").json(f"{path}/info")
 
 
 SECTION = "struct<index:long,source:string,height:long,y_start:long,y_end:long>"
@@ -91,16 +94,17 @@ def write_panel_meta(panels: DataFrame, path: str) -> None:
     panels.select("panel_id", "source", "y_start", "y_end", "width", "height").write.mode("overwrite").parquet(path)
 
 
-def save_state(state: DataFrame, path: str) -> str:
-    """The state as a new version beside the old ones. Once it is whole, its number is noted; readers take the last number noted."""
-    number = time.time_ns()
-    version = f"{path}/versions/{number}"
+def save_state(state: DataFrame, path: str, number: int) -> str:
+    """The state as version ``number`` (of the batch or change that made it) beside the others. Once it is whole, its number is noted; readers take the
+    greatest noted. A batch done again writes under its own number in a folder of its own, so a state that is read is never overwritten."""
+    version = f"{path}/versions/{number}-{time.time_ns()}"
     state.write.parquet(version)
-    state.sparkSession.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/done")
+    done = state.sparkSession.range(1).select(F.lit(number).cast("long").alias("version"), F.lit(version.rsplit("/", 1)[1]).alias("folder"))
+    done.coalesce(1).write.mode("append").parquet(f"{path}/done")
     return version
 
 
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
     """The newest version that was written whole."""
-    newest = spark.read.parquet(f"{path}/done").agg(F.max("version")).first()[0]
+    newest = spark.read.parquet(f"{path}/done").agg(F.max(F.struct("version", "folder")).alias("m")).first().m.folder
     return spark.read.parquet(f"{path}/versions/{newest}")

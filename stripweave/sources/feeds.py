@@ -45,7 +45,7 @@ FEEDS = {
         "CAST((p_partkey * 17) % 256 AS DOUBLE) AS mean, CAST((p_partkey * 7) % 90 AS DOUBLE) AS std, CAST((p_partkey * 13) % 101 AS DOUBLE) / 100 AS white_ratio, CAST((p_partkey * 29) % 101 AS DOUBLE) / 100 AS dark_ratio, "
         "CAST((p_partkey * 31) % 101 AS DOUBLE) / 100 AS light_ratio, CAST((p_partkey * 11) % (CASE p_partkey % 4 WHEN 0 THEN 8 ELSE 200 END) AS DOUBLE) / 1000 AS edge_ratio, CAST((p_partkey * 23) % 101 AS DOUBLE) / 100 AS b0, CAST((p_partkey * 41) % 101 AS DOUBLE) / 100 AS b1, "
         "CAST((p_partkey * 19) % 101 AS DOUBLE) / 100 AS ink_ratio, CAST((p_partkey * 59) % 101 AS DOUBLE) / 100 AS bright_ratio, CAST((p_partkey * 61) % 101 AS DOUBLE) / 100 AS black_ratio, CAST((p_partkey * 67) % 101 AS DOUBLE) / 100 AS uniformity, "
-        "CAST((p_partkey * 53) % 100 AS DOUBLE) AS border_std, CAST((p_partkey * 71) % 1000 AS DOUBLE) AS centre_variance, CAST((p_partkey * 73) % 700 AS DOUBLE) AS rim_variance, CAST((p_partkey * 79) % 101 AS DOUBLE) / 100 AS light_share, (p_partkey * 83) % 131 AS look, "
+        "CAST((p_partkey * 53) % 100 AS DOUBLE) AS border_std, CAST((p_partkey * 71) % 1000 AS DOUBLE) AS centre_variance, CAST((p_partkey * 73) % 700 AS DOUBLE) AS rim_variance, CAST((p_partkey * 79) % 101 AS DOUBLE) / 100 AS light_share, (CAST(floor(p_partkey / 40) AS BIGINT) % 11) * 1000003 + p_partkey % 5 AS hash, "
         "CAST((p_partkey * 43) % 101 AS DOUBLE) / 100 AS b2, CAST((p_partkey * 47) % 101 AS DOUBLE) / 100 AS b3 FROM part",
     ),
     "hour_sums": (
@@ -103,4 +103,6 @@ def with_feeds(sql: str, *names: str) -> str:
         else:
             parts.append(f"{name} AS ({ {'words': WORDS_DUCK, 'lines': LINES_DUCK}.get(name) or FEEDS[name][1]})")
     sql = sql.strip()
-    return f"WITH {', '.join(parts)}{', ' + sql[5:] if sql[:5].upper() == 'WITH ' else ' ' + sql}"
+    start = "WITH RECURSIVE " if sql.upper().startswith("WITH RECURSIVE ") else "WITH "
+    rest = ", " + sql[len(start) :] if sql.upper().startswith(start) else " " + sql
+    return start + ", ".join(parts) + rest

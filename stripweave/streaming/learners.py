@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
@@ -92,6 +92,8 @@ def page_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str) ->
     return files.select("path", "modificationTime", "length").dropDuplicates(["path"]).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append")
 
 
-def missing_pages(wanted: DataFrame, arrived: DataFrame, keys: Sequence[str] = ("chapter", "seq")) -> DataFrame:
-    """The batch twin: what has not arrived yet."""
-    return wanted.join(arrived, list(keys), "left_anti")
+def missing_pages(wanted: DataFrame, arrived: DataFrame, keys: Sequence[str] = ("chapter", "seq"), valid: Column | None = None) -> DataFrame:
+    """The batch twin: what has not arrived yet. Arrived files of which ``valid`` is not true do not count, so that their pages are asked for again."""
+    if valid is not None:
+        arrived = arrived.filter(valid)
+    return wanted.join(arrived.select(*keys), list(keys), "left_anti")

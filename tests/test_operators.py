@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stripweave.operators import attempts, dataset, dedupe, dialogue, elements, sequence, stitching
+from stripweave.operators import attempts, dataset, dedupe, dialogue, elements, panels, sequence, stitching
 from stripweave.operators.folds import moving_average, ordered_fold, running_sums
 from stripweave.operators.ranking import global_row_number
 from stripweave.sinks import pictures, writers
 from stripweave.sources import files, subscenes
 from stripweave.sources.pages import elements_of, html_elements
+from stripweave.streaming import learners
 
 
 def test_global_row_number_is_a_plain_row_number(spark):
@@ -42,6 +43,38 @@ def test_ordered_fold_empty_and_null_keys(spark):
     assert ordered_fold(df.limit(0), "k", ["v"], lambda _: [], lambda s, r: s.append(r.v), lambda k, s: [(k, 0)], "k long, n long").count() == 0
 
 
+def test_fold_keeps_a_key_whole_after_a_union(spark):
+    """The exchange before a fold stays where both sides of a union are dealt by its key already."""
+    a = spark.range(400).select((F.col("id") % 5).alias("page"), F.col("id").alias("box_id"), (F.col("id") * 300).alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"), F.lit(9).alias("confidence"))
+    twins = a.unionByName(a.withColumn("box_id", F.col("box_id") + 1000).withColumn("confidence", F.lit(8)))
+    kept = {r.box_id for r in dedupe.box_nms(twins, "page").filter("kept").collect()}
+    assert kept == set(range(400))
+
+
+def test_near_panels_are_copies_of_accepted_ones_only(spark):
+    sizes = [(300, 300), (100, 300), (300, 300), (300, 300), (300, 300)]
+    hashes = [0b0, 0b1111_0000, 0b111, 0b1111_0000, None]
+    rows = [("c", k, w, h, x) for k, ((w, h), x) in enumerate(zip(sizes, hashes, strict=True))] + [("d", 0, 300, 300, 0), ("d", 1, None, 300, 0), ("d", 2, 300, 300, 0)]
+    df = spark.createDataFrame(rows, "chapter string, seq int, width int, height int, hash long")
+    found = {(r.chapter, r.seq): r.reason for r in panels.validated_panels(df, F.lit(False)).collect()}
+    assert found == {("c", 0): None, ("c", 1): "too_small", ("c", 2): "duplicate", ("c", 3): None, ("c", 4): None, ("d", 0): None, ("d", 1): "unreadable", ("d", 2): "duplicate"}
+    assert panels.validated_panels(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_state_of_a_late_batch_does_not_hide_a_newer_one(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for number, n in ((2, 5), (1, 3), (2, 4)):  # an older batch comes late, the newer one twice
+        writers.save_state(spark.range(n), path, number)
+    assert writers.latest_state(spark, path).count() == 4
+
+
+def test_broken_pages_are_asked_for_again(spark):
+    wanted = spark.range(4).select(F.lit("c").alias("chapter"), F.col("id").alias("seq"))
+    arrived = spark.createDataFrame([("c", 0, 5000), ("c", 1, 10), ("c", 2, None)], "chapter string, seq long, length int")
+    asked = learners.missing_pages(wanted, arrived, valid=F.col("length") >= panels.LEAST_BYTES)
+    assert {r.seq for r in asked.collect()} == {1, 2, 3}
+
+
 def test_splits_are_exact_and_order_free(spark):
     images = spark.range(103).select(F.col("id").alias("image_id"))
     a = dataset.split_images(images, "image_id")
@@ -375,8 +408,8 @@ def test_writers_round_trip(spark, tmp_path):
     labels = dataset.dataset_export(boxes)
     writers.write_yolo_labels(labels, str(tmp_path / "y"))
     assert files.yolo_labels(spark, str(tmp_path / "y/labels")).count() == 60
-    writers.save_state(labels.limit(3), str(tmp_path / "s"))
-    writers.save_state(labels.limit(5), str(tmp_path / "s"))
+    writers.save_state(labels.limit(5), str(tmp_path / "s"), 2)
+    writers.save_state(labels.limit(3), str(tmp_path / "s"), 1)  # an older batch that comes late
     assert writers.latest_state(spark, str(tmp_path / "s")).count() == 5
 
 
