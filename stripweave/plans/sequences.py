@@ -141,9 +141,14 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.cut_candidates(_rows(spark, sf_dir), beat=BEAT).withColumn("strength", F.round("strength", 6))
 
 
-@query("dedupe_boundaries")
+@query("dedupe_boundaries", with_feeds(f"""WITH RECURSIVE {CANDIDATES}, r AS MATERIALIZED (SELECT strip_id, cut, round(strength, 9) AS strength, kind, row_number() OVER (PARTITION BY strip_id ORDER BY cut, kind, round(strength, 9) DESC) AS n FROM candidates),
+g AS (SELECT strip_id, n, cut, strength, kind, 1 AS place FROM r WHERE n = 1 UNION ALL
+ SELECT strip_id, n, CASE WHEN far OR stronger THEN new_cut ELSE cut END, CASE WHEN far OR stronger THEN new_strength ELSE strength END, CASE WHEN far OR stronger THEN new_kind ELSE kind END, place + far::INT
+ FROM (SELECT g.strip_id, r.n, g.cut, g.strength, g.kind, place, r.cut AS new_cut, r.strength AS new_strength, r.kind AS new_kind, r.cut - g.cut >= 30 AS far, r.strength > g.strength AS stronger FROM g JOIN r ON r.strip_id = g.strip_id AND r.n = g.n + 1) x)
+SELECT strip_id, arg_max(cut, n) AS cut, round(arg_max(strength, n), 6) AS strength, arg_max(kind, n) AS kind FROM g GROUP BY strip_id, place""", "rows"))
 def dedupe_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.dedupe_boundaries(O.cut_candidates(stored(_rows(spark, sf_dir)), beat=BEAT), 30)
+    found = O.cut_candidates(stored(_rows(spark, sf_dir)), beat=BEAT).withColumn("strength", F.round("strength", 9))
+    return O.dedupe_boundaries(found, 30).withColumn("strength", F.round("strength", 6))
 
 
 @query("scene_cuts")
