@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from stripweave.functions import geometry as G
 from stripweave.functions import vectors as V
 from stripweave.operators.folds import ordered_fold
-from stripweave.session import ship
+from stripweave.session import ship, stored
 
 
 def exact_hash_dedupe(pages: DataFrame, by: Sequence[str] = ("chapter",), order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -40,7 +40,7 @@ def hash_pairs(pages: DataFrame, most_bits: int = 3, bits: int = 64) -> DataFram
 def greedy_keep(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], ident: str) -> DataFrame:
     """``key, ident, kept``: each key's rows in order, kept unless near to an earlier kept one. ``pairs`` has ``key, a, b``: the ids of two rows near
     to each other, a before b in the order. ``ident`` is unique within its key; only keys with pairs are folded, all other rows are kept."""
-    near = pairs.groupBy(key, F.col("b").alias(ident)).agg(F.sort_array(F.collect_set("a")).alias("near"))
+    near = stored(pairs.groupBy(key, F.col("b").alias(ident)).agg(F.sort_array(F.collect_set("a")).alias("near")))  # read twice
     every = rows.select(*dict.fromkeys([key, ident, *order])).join(near, [key, ident], "left")
     linked = near.select(key).distinct()
     folded = _greedy(every.join(linked, key, "left_semi"), key, order, ident, dict(rows.dtypes)[ident])
