@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stripweave.operators.folds import dealt
+from stripweave.session import stored
 from stripweave.sources.feeds import ROW_COLUMNS, feed, strip_rows
 
 SUMS = [(1, 0, 300, 2), (1, 719, 75, 1), (1, 733, 9, 1), (2, 5, 12, 3), (3, 800, 7, 7), (None, 4, 100, 1)]
@@ -20,3 +22,13 @@ def test_row_profiles_are_neither_joined_nor_broadcast(spark):
     rows = strip_rows(sums)
     assert sorted(map(repr, rows.collect())) == sorted(map(repr, plain.collect()))
     assert "Join" not in plan_of(feed(spark, "/root/testdata/sf0.001", "rows"))
+
+
+def test_stored_rows_that_compress_well_are_not_broadcast(spark):
+    rows = stored(spark.range(20_000).select((F.col("id") % 5).alias("strip_id"), F.lit(250.0).alias("row_mean")))
+    joined = rows.join(rows.groupBy("strip_id").agg(F.avg("row_mean").alias("base")), "strip_id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 20_000
+
+
+def test_a_fold_is_dealt_into_parts_of_a_given_number(spark):
+    assert dealt(spark.range(10).withColumnRenamed("id", "k"), "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
