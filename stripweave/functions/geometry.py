@@ -91,7 +91,12 @@ def contain(width: Column, height: Column, frame: Column) -> tuple[Column, Colum
     return w, h, F.floor((frame["width"] - w) / 2).cast("int"), F.floor((frame["height"] - h) / 2).cast("int")
 
 
+def tokens(text: Column) -> Column:
+    """The set of lower-case words and numbers."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
+
+
 def jaccard_tokens(a: Column, b: Column) -> Column:
     """Shared share of the sets of lower-case words and numbers; 0 if one is empty."""
-    aa, bb = (F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), F.lit(1))) for t in (a, b))
+    aa, bb = tokens(a), tokens(b)
     return F.when((F.size(aa) > 0) & (F.size(bb) > 0), F.size(F.array_intersect(aa, bb)) / F.size(F.array_union(aa, bb))).otherwise(0.0)

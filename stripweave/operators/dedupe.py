@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -69,29 +70,77 @@ def near_hash_dedupe(pages: DataFrame, most_bits: int = 3) -> DataFrame:
 
 def box_nms(boxes: DataFrame, by: str, most: float = 0.48) -> DataFrame:
     """``by, box_id, kept``: boxes by falling confidence, dropped if they overlap a kept one by more than so much."""
-    return _keep_best(boxes, by, lambda a, b: G.bbox_iou(a, b) > most, None)
+    return _keep_best(boxes, by, most, None)
 
 
 def text_block_dedupe(blocks: DataFrame, by: str, likeness: float = 0.86, overlap: float = 0.18) -> DataFrame:
     """``by, box_id, kept``: blocks by falling confidence, dropped if a kept one has nearly their words and overlaps them."""
-    return _keep_best(blocks, by, lambda a, b: G.bbox_iou(a, b) > overlap, likeness)
-
-
-def _keep_best(boxes: DataFrame, by: str, near: object, likeness: float | None, cell: int = 128) -> DataFrame:
-    """Boxes meet in the grid cells that they share, so far ones are never paired."""
-    rows = boxes.filter((F.col("w") > 0) & (F.col("h") > 0)).select(by, "box_id", "x", "y", "w", "h", "confidence")
-    span = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
-    rows = rows.withColumn("_cx", F.explode(span(F.col("x"), F.col("w")))).withColumn("_cy", F.explode(span(F.col("y"), F.col("h"))))
-    names = ["box_id", "x", "y", "w", "h", "confidence"]
-    a, b = (rows.select(by, "_cx", "_cy", *(F.col(c).alias(s + c) for c in names)) for s in ("a_", "b_"))
-    rank = lambda s: F.struct(-F.col(s + "confidence"), F.col(s + "y"), F.col(s + "x"), F.col(s + "box_id"))
-    met = a.join(b, [by, "_cx", "_cy"]).filter((rank("a_") < rank("b_")) & near(G.box("a_"), G.box("b_"))).select(by, "a_box_id", "b_box_id").distinct()
-    if likeness is not None:  # texts join pairs, not the cells that a pair shares
-        x, y = (boxes.select(by, F.col("box_id").alias(s + "box_id"), F.col("text").alias(s + "text")) for s in ("a_", "b_"))
-        met = met.join(x, [by, "a_box_id"]).join(y, [by, "b_box_id"]).filter(G.jaccard_tokens(F.col("a_text"), F.col("b_text")) > likeness)
-    every = boxes.select(by, "box_id", "x", "y", (-F.col("confidence")).alias("_less"))
-    pairs = met.select(by, F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
-    return greedy_keep(every, pairs, by, ["_less", "y", "x", "box_id"], "box_id")
+    return _keep_best(blocks, by, overlap, likeness)
+
+
+class KeptBoxes:
+    """Boxes kept so far, each in one cell of a grid that is as wide and high as boxes of about its size. Two boxes that share more than ``most`` (0 to 1) of their union
+    differ by less than that factor in width and in height, so a box meets only those of like size in the cells around it."""
+
+    def __init__(self, most: float) -> None:
+        self.most, self.base = most, min(8.0, max(1.5, 1 / max(most, 0.01))) * (1 + 1e-9)
+        self.reach = math.ceil(math.log(1 / most) / math.log(self.base)) if most > 0 else math.inf
+        self.cells: dict[tuple, list[tuple]] = {}
+        self.sizes: set[tuple[int, int]] = set()
+        self.like: dict[tuple, list[tuple]] = {}
+
+    def _size(self, w: float, h: float) -> tuple[int, int]:
+        return math.floor(math.log(w) / math.log(self.base)), math.floor(math.log(h) / math.log(self.base))
+
+    def _around(self, size: tuple[int, int]) -> list[tuple]:
+        """The sizes that boxes near to one of this size may have, likest first, with their cells' width and height."""
+        if size not in self.like:
+            far = lambda s: max(abs(s[0] - size[0]), abs(s[1] - size[1]))
+            self.like[size] = [(*s, self.base ** (s[0] + 1), self.base ** (s[1] + 1)) for s in sorted(self.sizes, key=far) if far(s) <= self.reach]
+        return self.like[size]
+
+    def near(self, x: float, y: float, w: float, h: float) -> Iterator[object]:
+        """What was put in with each of the kept boxes that share more than ``most`` with this one."""
+        right, bottom, area = x + w, y + h, w * h
+        for i, j, wide, high in self._around(self._size(w, h)):
+            columns = range(int(x // wide) - 1, int(right // wide) + 1)
+            for cy in range(int(y // high) - 1, int(bottom // high) + 1):
+                for cx in columns:
+                    for kx, ky, kr, kb, size, what in self.cells.get((i, j, cx, cy), ()):
+                        if kx < right and x < kr and ky < bottom and y < kb:
+                            shared = (min(right, kr) - max(x, kx)) * (min(bottom, kb) - max(y, ky))
+                            if shared / max(1.0, area + size - shared) > self.most:
+                                yield what
+
+    def put(self, x: float, y: float, w: float, h: float, what: object) -> None:
+        size = self._size(w, h)
+        if size not in self.sizes:
+            self.sizes.add(size)
+            self.like.clear()
+        cell = (*size, int(x // self.base ** (size[0] + 1)), int(y // self.base ** (size[1] + 1)))
+        self.cells.setdefault(cell, []).append((x, y, x + w, y + h, w * h, what))
+
+
+def _keep_best(boxes: DataFrame, by: str, most: float, likeness: float | None) -> DataFrame:
+    """One pass over each key's boxes, best first. A box is compared with the kept ones near it and not with every box that it overlaps: on a page of any number of boxes these are no more than
+    its area holds apart. Boxes without a size or place are near to none."""
+    words = F.lit(None).cast("array<string>") if likeness is None else G.tokens(F.col("text"))
+    rows = boxes.select(by, "box_id", *(F.col(c).cast("double").alias(c) for c in "xywh"), (-F.col("confidence")).alias("less"), words.alias("words"))
+
+    def step(kept: KeptBoxes, row: object) -> list[tuple]:
+        box = row.x, row.y, row.w, row.h
+        if not all(map(math.isfinite, box)) or row.w <= 0 or row.h <= 0:
+            return [(getattr(row, by), row.box_id, True)]
+        mine = frozenset(row.words) if row.words is not None else frozenset()
+        alike = lambda other: likeness is None or (mine and other and len(mine & other) / len(mine | other) > likeness)
+        if any(alike(other) for other in kept.near(*box)):
+            return [(getattr(row, by), row.box_id, False)]
+        kept.put(*box, mine)
+        return [(getattr(row, by), row.box_id, True)]
+
+    kinds = dict(boxes.dtypes)
+    found = ordered_fold(rows, by, ["less", "y", "x", "box_id"], lambda _: KeptBoxes(most), step, lambda k, s: [], f"{by} {kinds[by]}, box_id {kinds['box_id']}, kept boolean")
+    return found.unionByName(boxes.filter(F.col(by).isNull()).select(by, "box_id", F.lit(True).alias("kept")))
 
 
 #: Signatures of a block, and pivots to which their angles are known.

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from stripweave.operators import dedupe
+
 from stripweave.operators.folds import dealt
 from stripweave.session import stored
 from stripweave.sources.feeds import ROW_COLUMNS, feed, strip_rows
@@ -32,3 +36,28 @@ def test_stored_rows_that_compress_well_are_not_broadcast(spark):
 
 def test_a_fold_is_dealt_into_parts_of_a_given_number(spark):
     assert dealt(spark.range(10).withColumnRenamed("id", "k"), "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_boxes_of_a_crowded_page_meet_kept_ones_only(spark):
+    """Forty thousand boxes over each other, all but three of them copies of these: pairs would be hundreds of millions."""
+    ids = spark.range(40_000).select(F.lit(1).alias("page"), F.col("id").alias("box_id"), ((F.col("id") % 3) * 60.0).alias("x"), F.lit(0.0).alias("y"), F.lit(100.0).alias("w"), F.lit(50.0).alias("h"), (-F.col("id")).alias("confidence"), F.lit("A word").alias("text"))
+    odd = spark.createDataFrame([(None, -1, 0.0, 0.0, 9.0, 9.0, 1, "A word"), (1, -2, None, 0.0, 9.0, 9.0, 1, None), (1, -3, 0.0, 0.0, -1.0, 9.0, 1, None)], ", ".join(" ".join(x) for x in ids.dtypes))
+    for keep, best in ((dedupe.box_nms, {0, 1, 2}), (dedupe.text_block_dedupe, {0, 2})):
+        found = keep(ids.unionByName(odd), "page")
+        kept = {(r.page, r.box_id) for r in found.filter("kept").collect()}
+        assert kept == {(None, -1), (1, -2), (1, -3)} | {(1, k) for k in best} and found.count() == 40_003
+
+
+def test_kept_boxes_are_those_of_brute_force():
+    rnd = random.Random(9)
+    for most in (0.48, 0.18, 0.0):
+        kept, plain = dedupe.KeptBoxes(most), []
+        for k in range(700):
+            x, y, w, h = rnd.uniform(-90, 300), rnd.uniform(-90, 300), 2 ** rnd.uniform(-2, 7), 2 ** rnd.uniform(-2, 7)
+            near = set()
+            for n, (a, b, c, d) in enumerate(plain):
+                shared = max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))
+                near |= {n} if shared / max(1.0, w * h + c * d - shared) > most else set()
+            assert set(kept.near(x, y, w, h)) == near
+            kept.put(x, y, w, h, k)
+            plain.append((x, y, w, h))
