@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stripweave.operators import dedupe
+from stripweave.operators import dedupe, dialogue
 
 from stripweave.operators.folds import dealt
 from stripweave.session import stored
@@ -61,3 +61,9 @@ def test_kept_boxes_are_those_of_brute_force():
             assert set(kept.near(x, y, w, h)) == near
             kept.put(x, y, w, h, k)
             plain.append((x, y, w, h))
+
+
+def test_words_are_grouped_where_their_document_lies(spark):
+    words = feed(spark, "/root/testdata/sf0.001", "words")
+    plan = dialogue.word_lines(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
