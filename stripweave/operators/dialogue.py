@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from stripweave.functions import text as X
 from stripweave.operators.folds import ordered_fold
 from stripweave.operators.panels import ocr_threshold
+from stripweave.session import stored
 
 
 def ocr_words(words: DataFrame, threshold: float = 55) -> DataFrame:
@@ -86,8 +87,10 @@ def dialogue_blocks(words: DataFrame, threshold: float = 55, *, fallback: DataFr
     from stripweave.operators.panels import box_style
 
     kept = ocr_words(words, threshold)
-    best = kept.join(variant_vote(kept).select("panel_id", "variant"), ["panel_id", "variant"])
-    blocks = with_fallback(line_blocks(word_lines(best)), kept, fallback)
+    vote = variant_vote(kept).select("panel_id", F.array("variant").alias("_best"))
+    # Words join by panel alone, by which they may be dealt already: an equality of variants would become a second key, and words be sent anew.
+    best = kept.join(vote, "panel_id").filter(F.array_contains("_best", F.col("variant"))).drop("_best")
+    blocks = stored(with_fallback(line_blocks(word_lines(best)), kept, fallback))  # read twice
     single = text_block_dedupe(blocks.select("panel_id", F.col("block").alias("box_id"), "x", "y", "w", "h", F.col("conf").alias("confidence"), "text"), "panel_id").filter("kept")
     blocks = blocks.join(single.select("panel_id", F.col("box_id").alias("block")), ["panel_id", "block"], "left_semi")
     blocks = blocks.withColumn("raw_text", F.col("text")).withColumn("text", X.clean_text(F.col("text")))
