@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stripweave.operators import dedupe, dialogue
@@ -11,6 +12,7 @@ from stripweave.operators import dedupe, dialogue
 from stripweave.operators.folds import dealt
 from stripweave.session import stored
 from stripweave.sources.feeds import ROW_COLUMNS, feed, strip_rows
+from stripweave.streaming.state import ChapterMemory
 
 SUMS = [(1, 0, 300, 2), (1, 719, 75, 1), (1, 733, 9, 1), (2, 5, 12, 3), (3, 800, 7, 7), (None, 4, 100, 1)]
 
@@ -67,3 +69,47 @@ def test_words_are_grouped_where_their_document_lies(spark):
     words = feed(spark, "/root/testdata/sf0.001", "words")
     plan = dialogue.word_lines(words)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+class Entries(dict):
+    """A map state that counts what is asked of it."""
+
+    calls = 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.pop(key, None)
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_chapter_memory_asks_its_state_once_for_a_frame_not_for_each_name():
+    states = {}
+
+    class Handle:
+        def getMapState(self, name, *_):
+            return states.setdefault(name, Entries())
+
+    memory = ChapterMemory(30, 20, 10)
+    memory.init(Handle())
+    frame = lambda chapters, sent, names: pd.DataFrame({"series": "s", "chapter": chapters, "sent": sent, "names": [names] * len(chapters), "dialogue_count": 1, "has_action": False})
+    first = next(memory.handleInputRows(("s",), iter([frame(range(1000), 2, ["Ann", "Bo"]), frame(range(1000, 2000), 2, ["Ann", "Cy"])]), None))
+    assert sum(s.calls for s in states.values()) < 300
+    kept = first[(first["kind"] == "chapter") & first["kept"]]
+    assert sorted(kept["chapter"]) == [*range(10), *range(1980, 2000)]
+    second = next(memory.handleInputRows(("s",), iter([frame([0, 1999], 3, ["Cy"]), frame([5], 1, ["Nobody"])]), None))
+    cast = {r.name: (r.appearances, r.first_chapter, r.last_seen) for r in second[second["kind"] == "character"].itertuples()}
+    assert cast == {"Ann": (1998, 1, 1998), "Bo": (999, 1, 999), "Cy": (1001, 0, 1999)}
