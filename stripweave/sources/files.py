@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,11 @@ def _grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def _edges(grey: np.ndarray, level: float = 60.0) -> np.ndarray:
-    """Where the Sobel gradient is above the level."""
-    p = np.pad(grey, 1, mode="edge")
-    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    """Where the Sobel gradient of a picture, or of each of a stack, is above the level."""
+    p = np.pad(grey, [(0, 0)] * (grey.ndim - 2) + [(1, 1), (1, 1)], mode="edge")
+    up, mid, down = p[..., :-2, :], p[..., 1:-1, :], p[..., 2:, :]
+    gx = (up[..., 2:] + 2 * mid[..., 2:] + down[..., 2:]) - (up[..., :-2] + 2 * mid[..., :-2] + down[..., :-2])
+    gy = (down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:]) - (up[..., :-2] + 2 * up[..., 1:-1] + up[..., 2:])
     return np.hypot(gx, gy) > level
 
 
@@ -136,68 +138,106 @@ PANEL_STATS = (
 )
 
 
-def _light_share(grey: np.ndarray) -> float:
+#: Fixed value: pixels of the pictures of one size that are worked on at once.
+STACK_PIXELS = 1 << 19
+
+
+def _flat(greys: np.ndarray) -> np.ndarray:
+    return greys.reshape(len(greys), -1)
+
+
+def _counts(greys: np.ndarray) -> np.ndarray:
+    """How often each grey from 0 to 255 is in each picture of a stack."""
+    n = len(greys)
+    at = _flat(np.clip(greys, 0, 255).astype(int)) + 256 * np.arange(n)[:, None]
+    return np.bincount(at.ravel(), minlength=256 * n).reshape(n, 256)
+
+
+def _light_share(greys: np.ndarray) -> np.ndarray:
     """The share of pixels above the grey that parts them into the two classes furthest apart, as Otsu's method does."""
-    n = np.bincount(np.clip(np.rint(grey), 0, 255).astype(int).ravel(), minlength=256).astype(float)
-    below, sums = np.cumsum(n), np.cumsum(n * np.arange(256))
-    above = below[-1] - below
+    n = _counts(np.rint(greys)).astype(float)
+    below, sums = np.cumsum(n, 1), np.cumsum(n * np.arange(256), 1)
+    above = below[:, -1:] - below
     with np.errstate(divide="ignore", invalid="ignore"):
-        apart = below * above * (sums / below - (sums[-1] - sums) / above) ** 2
-    at = int(np.argmax(np.where(np.isfinite(apart), apart, -1)))
-    return float(above[at] / below[-1])
+        apart = below * above * (sums / below - (sums[:, -1:] - sums) / above) ** 2
+    at = np.argmax(np.where(np.isfinite(apart), apart, -1), 1)
+    return above[np.arange(len(n)), at] / below[:, -1]
+
 
+def _borders(greys: np.ndarray, thickness: int) -> tuple[np.ndarray, ...]:
+    return greys[:, :thickness], greys[:, -thickness:], greys[:, :, :thickness], greys[:, :, -thickness:]
 
-def _borders(grey: np.ndarray, thickness: int) -> tuple[np.ndarray, ...]:
-    return grey[:thickness], grey[-thickness:], grey[:, :thickness], grey[:, -thickness:]
 
+def _centre_and_rim(greys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, h, w = greys.shape
+    centre = _flat(greys[:, h // 4 : 3 * h // 4, w // 4 : 3 * w // 4])
+    rim = np.concatenate([_flat(x) for x in (greys[:, : h // 4], greys[:, 3 * h // 4 :], greys[:, :, : w // 4], greys[:, :, 3 * w // 4 :])], 1)
+    return (centre.var(1), rim.var(1)) if centre.size and rim.size else (np.zeros(n), np.zeros(n))
 
-def _centre_and_rim(grey: np.ndarray) -> tuple[float, float]:
-    h, w = grey.shape
-    centre = grey[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4]
-    rim = np.concatenate([x.ravel() for x in (grey[: h // 4], grey[3 * h // 4 :], grey[:, : w // 4], grey[:, 3 * w // 4 :])])
-    return (float(centre.var()), float(rim.var())) if centre.size and rim.size else (0.0, 0.0)
 
+def _grid(greys: np.ndarray, n: int) -> np.ndarray:
+    _, h, w = greys.shape
+    rows = np.array_split(np.arange(h), n) if h >= n else [np.array([min(k * h // n, h - 1)]) for k in range(n)]
+    cols = np.array_split(np.arange(w), n) if w >= n else [np.array([min(k * w // n, w - 1)]) for k in range(n)]
+    return np.stack([_flat(greys[:, r[0] : r[-1] + 1, c[0] : c[-1] + 1]).mean(1) for r in rows for c in cols], 1)
 
-def _grid(grey: np.ndarray, n: int) -> list[float]:
-    rows = np.array_split(np.arange(grey.shape[0]), n) if grey.shape[0] >= n else [np.array([min(k * grey.shape[0] // n, grey.shape[0] - 1)]) for k in range(n)]
-    cols = np.array_split(np.arange(grey.shape[1]), n) if grey.shape[1] >= n else [np.array([min(k * grey.shape[1] // n, grey.shape[1] - 1)]) for k in range(n)]
-    return [float(grey[np.ix_(r, c)].mean()) for r in rows for c in cols]
+
+def _panel_stats(greys: np.ndarray) -> list[np.ndarray]:
+    """The columns of PANEL_STATS after the sides, of a stack of pictures of one size."""
+    flat, side = _flat(greys), min(greys.shape[1:])
+    shares = [((flat > level) if sign > 0 else (flat < level)).mean(1) for level, sign in SHARES.values()]
+    uniform = _counts(greys).max(1) / flat.shape[1]
+    border_std = np.max([_flat(b).std(1) for b in _borders(greys, max(5, side // 20))], 0)
+    borders = np.stack([_flat(b < 150).mean(1) for b in _borders(greys, max(3, side // 30))], 1)
+    return [flat.mean(1), flat.std(1), *shares, _flat(_edges(greys)).mean(1), uniform, _light_share(greys), border_std, *_centre_and_rim(greys), borders, _grid(greys, 8), _grid(greys, 16)]
+
+
+def _column(found: np.ndarray) -> pa.Array:
+    """A column of numbers, or of lists of one length."""
+    values = pa.array(found.ravel(), pa.float64())
+    return values if found.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), values)
 
 
 def panel_stats(pictures: DataFrame) -> DataFrame:
-    """One row of statistics per image, for the panel operators."""
+    """One row of statistics per image, for the panel operators. Pictures of one size in a batch are worked on together: small ones cost no array calls of their own."""
     ship(pictures.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PANEL_STATS.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
-            rows = []
+            sizes: dict[tuple[int, int], list[dict]] = {}
             for r in batch.to_pylist():
-                g = _grey(r["data"], r["height"], r["width"], r["channels"])
-                side = min(g.shape)
-                shares = [float((g > level).mean() if sign > 0 else (g < level).mean()) for level, sign in SHARES.values()]
-                uniform = float(np.bincount(np.clip(g, 0, 255).astype(int).ravel()).max() / g.size)
-                border_std = max(float(b.std()) for b in _borders(g, max(5, side // 20)))
-                borders = [float((b < 150).mean()) for b in _borders(g, max(3, side // 30))]
-                rows.append((r["path"], r["width"], r["height"], float(g.mean()), float(g.std()), *shares, float(_edges(g).mean()), uniform, _light_share(g), border_std, *_centre_and_rim(g), borders, _grid(g, 8), _grid(g, 16)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * (len(names) - 6), *[pa.list_(pa.float64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
+                sizes.setdefault((r["height"], r["width"]), []).append(r)
+            for (h, w), rows in sizes.items():
+                each = max(1, STACK_PIXELS // max(1, h * w))
+                for k in range(0, len(rows), each):
+                    some = rows[k : k + each]
+                    found = _panel_stats(np.stack([_grey(r["data"], h, w, r["channels"]) for r in some]))
+                    about = [pa.array([r[c] for r in some], t) for c, t in zip(("path", "width", "height"), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*about, *map(_column, found)], names)
 
     return pictures.select("path", "width", "height", "channels", "data").mapInArrow(run, PANEL_STATS)
 
 
 def dct8(grid16: Column) -> Column:
-    """The 64 lowest coefficients of the cosine transform of a 16 x 16 grid, as nested sums."""
-    n = 16
-    basis = [[float(np.sqrt((1 if u == 0 else 2) / n) * np.cos(np.pi * (2 * x + 1) * u / (2 * n))) for x in range(n)] for u in range(8)]
-    table = F.array(*(F.array(*map(F.lit, row)) for row in basis))
-
-    def weighted(values: Column, weights: Column) -> Column:
-        return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    """The 64 lowest coefficients of the cosine transform of a 16 x 16 grid, as two products of matrices for each batch. Nulls where the grid, or a value of it, is missing.
 
-    rows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda y: F.transform(table, lambda w: weighted(F.slice(grid16, y * n + 1, F.lit(n)), w)))
-    columns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda u: F.transform(rows, lambda r: F.get(r, u)))
-    return F.flatten(F.transform(table, lambda w: F.transform(columns, lambda c: weighted(c, w))))
+    As nested functions of arrays each step would be worked out anew wherever it is used, and value by value."""
+    n = 16
+    wave = np.array([[np.sqrt((1 if u == 0 else 2) / n) * np.cos(np.pi * (2 * x + 1) * u / (2 * n)) for x in range(n)] for u in range(8)])
+
+    def run(grids: pa.Array) -> pa.Array:
+        at = np.flatnonzero(pc.list_value_length(grids).fill_null(0).to_numpy(zero_copy_only=False) >= n * n)
+        places = grids.offsets.to_numpy()[at][:, None] + np.arange(n * n)
+        whole = ~grids.values.is_null().to_numpy(zero_copy_only=False)[places].any(1)
+        at, places = at[whole], places[whole]
+        found, missing = np.zeros((len(grids), 64)), np.ones((len(grids), 64), bool)
+        found[at] = (wave @ grids.values.to_numpy(zero_copy_only=False)[places].reshape(-1, n, n) @ wave.T).reshape(-1, 64)
+        missing[at] = False
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(grids) + 1) * 64, pa.int32()), pa.array(found.ravel(), mask=missing.ravel()))
+
+    return F.arrow_udf(run, "array<double>")(grid16)
 
 
 def clean_pages(pictures: DataFrame, by: Sequence[str] = ("folder",)) -> DataFrame:
