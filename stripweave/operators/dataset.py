@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from stripweave.functions import geometry as G
 from stripweave.operators.ranking import global_row_number
+from stripweave.session import stored
 
 #: Class names by id.
 CLASSES = ("panel", "dialogue", "face", "sfx", "caption")
@@ -67,7 +68,7 @@ def split_images(images: DataFrame, key: str, ratios: Sequence[float] = (0.7, 0.
         raise ValueError("ratios must sum to 1")
     rows = images.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
     ranked = global_row_number(rows, F.substring("_hash", 1, 3), ["_hash", key], "_rank")
-    total = ranked.agg(F.count("*").alias("_total"))
+    total = rows.agg(F.count("*").alias("_total"))
     at = F.col("_rank")
     train, val = (F.floor(F.col("_total") * r + 1e-9) for r in ratios[:2])
     split = F.when(at <= train, "train").when(at <= train + val, "val").otherwise("test")
@@ -96,19 +97,40 @@ def first_extension(files: DataFrame, order: Sequence[str] = ("jpg", "jpeg", "pn
     return files.filter(place > 0).withColumn("_at", best).filter(F.col("_at") == 1).drop("_at")
 
 
+def coco_images(labels: DataFrame, splits: DataFrame, image_key: str = "image_id", width: int = 800, height: int = 600) -> DataFrame:
+    """One row per image of ``splits`` (one row each) that has labels: ``split``, its id from 1 on in its split, ``file_name``, sides, its annotations in order, and ``of``, the images of
+    the split. Only images are numbered and their labels counted up; labels are sent once to their image, and annotations take their ids from its place."""
+    boxes = F.array_sort(F.collect_list(F.struct("ann_id", "class_id", "cx", "cy", "nw", "nh"))).alias("_boxes")
+    images = labels.groupBy(image_key).agg(boxes).join(splits.select("split", image_key), image_key)
+    images = stored(images.withColumns({"_n": F.size("_boxes").cast("long"), "_bucket": F.floor(F.col(image_key) / 4096)}))
+    counts = images.groupBy("split", "_bucket").agg(F.count("*").alias("_images"), F.sum("_n").alias("_labels"))
+    split = Window.partitionBy("split")
+    before = split.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_images", "_labels")}
+    counts = counts.withColumns(sums | {"of": F.sum("_images").over(split)}).drop("_images", "_labels")
+    inner = Window.partitionBy("split", "_bucket").orderBy(image_key)
+    earlier = F.coalesce(F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    images = images.withColumns({"_at": F.row_number().over(inner), "_earlier": earlier}).join(counts, ["split", "_bucket"])
+    images = images.withColumns({"id": (F.col("_at") + F.col("_images_before")).cast("long"), "_first": F.col("_earlier") + F.col("_labels_before") + 1})
+
+    def annotation(b: Column, i: Column) -> Column:
+        x, y, w, h = G.coco_box((b["cx"], b["cy"], b["nw"], b["nh"]), F.lit(width), F.lit(height))
+        names = {"id": F.col("_first") + i, "image_id": F.col("id"), "category_id": b["class_id"] + 1, "bbox": F.array(x, y, w, h), "area": w * h, "iscrowd": F.lit(0)}
+        return F.struct(*(v.alias(k) for k, v in names.items()))
+
+    name = F.format_string("img_%d.jpg", F.col(image_key).cast("long")).alias("file_name")
+    return images.select("split", "id", image_key, name, F.lit(width).alias("width"), F.lit(height).alias("height"), F.transform("_boxes", annotation).alias("annotations"), "of")
+
+
+def coco_categories(spark: SparkSession) -> DataFrame:
+    return class_table(spark).select((F.col("class_id") + 1).alias("id"), F.col("class").alias("name"))
+
+
 def coco_tables(labels: DataFrame, splits: DataFrame, image_key: str = "image_id", width: int = 800, height: int = 600) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of each split's document; ids start at 1 in every split."""
-    spark = labels.sparkSession
-    rows = labels.join(splits, image_key)
-    images = rows.select("split", image_key).distinct()
-    images = global_row_number(images, F.floor(F.col(image_key) / 4096), [image_key], "id", by=["split"])
-    images = images.select("split", "id", image_key, F.format_string("img_%d.jpg", F.col(image_key).cast("long")).alias("file_name"), F.lit(width).alias("width"), F.lit(height).alias("height"))
-    x, y, w, h = G.coco_box((F.col("cx"), F.col("cy"), F.col("nw"), F.col("nh")), F.lit(width), F.lit(height))
-    anns = rows.join(images.select("split", image_key, F.col("id").alias("coco_image")), ["split", image_key])
-    anns = global_row_number(anns, F.floor(F.col("coco_image") / 1024), ["coco_image", "ann_id", "class_id", "cx", "cy", "nw", "nh"], "id", by=["split"])
-    anns = anns.select("split", "id", F.col("coco_image").alias("image_id"), (F.col("class_id") + 1).alias("category_id"), F.array(x, y, w, h).alias("bbox"), (w * h).alias("area"), F.lit(0).alias("iscrowd"))
-    categories = class_table(spark).select((F.col("class_id") + 1).alias("id"), F.col("class").alias("name"))
-    return images, anns, categories
+    rows = coco_images(labels, splits, image_key, width, height)
+    anns = rows.select("split", F.inline("annotations"))
+    return rows.drop("annotations", "of"), anns, coco_categories(labels.sparkSession)
 
 
 def dataset_export(boxes: DataFrame, seed: int = 42) -> DataFrame:

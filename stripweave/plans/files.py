@@ -69,14 +69,16 @@ def write_coco_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = D.yolo_labels(feed(spark, sf_dir, "boxes"))
     path = work_dir(spark)
     W.write_coco_json(labels, D.split_images(labels, "image_id"), path, images_each=2000)
-    docs = spark.read.json(path)
-    names = docs.select("split", "part", F.explode("categories").alias("c")).select("split", "part", C("c.id").alias("category"), C("c.name").alias("class"))
-    anns = docs.select("split", "part", F.explode("annotations").alias("a")).select("split", "part", C("a.image_id").alias("image"), C("a.category_id").alias("category"), C("a.bbox").alias("b"))
+    docs = X.coco_documents(spark, path)
+    names = F.map_from_entries(F.transform("categories", lambda c: F.struct(c["id"], c["name"])))
+    image = F.transform("images", lambda i: F.struct(i["id"].alias("image"), i["file_name"].alias("file_name"), F.lit(None).cast("long").alias("category"), F.array().cast("array<double>").alias("b")))
+    ann = F.transform("annotations", lambda a: F.struct(a["image_id"].alias("image"), F.lit(None).cast("string").alias("file_name"), a["category_id"].alias("category"), a["bbox"].alias("b")))
+    rows = docs.select("split", "part", names.alias("names"), F.explode(F.concat(image, ann)).alias("r"))  # a document is read once
+    rows = rows.select("split", "part", "r.*", F.try_element_at("names", C("r.category")).alias("class"))
     sides = {s: F.round(F.sum(F.get("b", F.lit(i))), 4).alias(s) for i, s in enumerate("xywh")}
     classes = F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes")
-    anns = anns.join(names, ["split", "part", "category"]).groupBy("split", "part", "image").agg(F.count("*").alias("annotations"), classes, *sides.values())
-    images = docs.select("split", "part", F.explode("images").alias("i")).select("split", "part", C("i.id").alias("image"), C("i.file_name").alias("file_name"))
-    rows = images.join(anns, ["split", "part", "image"])
+    rows = rows.filter("file_name IS NOT NULL OR class IS NOT NULL").groupBy("split", "part", "image").agg(F.max("file_name").alias("file_name"), F.count("class").alias("annotations"), classes, *sides.values())
+    rows = rows.filter("file_name IS NOT NULL AND annotations > 0")
     return rows.select("split", F.regexp_extract("file_name", "[0-9]+", 0).cast("long").alias("id"), "file_name", "annotations", "classes", *sides)
 
 

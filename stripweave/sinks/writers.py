@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stripweave.operators.dataset import CLASSES, coco_tables, label_line
+from stripweave.operators.dataset import CLASSES, coco_categories, coco_images, label_line
 
 
 def write_yolo_labels(labels: DataFrame, path: str, classes: Sequence[str] = CLASSES) -> None:
@@ -23,14 +23,13 @@ def write_yolo_labels(labels: DataFrame, path: str, classes: Sequence[str] = CLA
 def coco_documents(labels: DataFrame, splits: DataFrame, images_each: int = 10_000) -> DataFrame:
     """Documents of about ``images_each`` images and all their annotations, numbered within each split: info, categories, images and annotations. Images are dealt by a hash of
     their ids, so that no document grows with the split."""
-    images, anns, categories = coco_tables(labels, splits)
-    parts = images.groupBy("split").agg(F.ceil(F.count("*") / images_each).alias("_parts"))  # one row a split
-    images = images.join(F.broadcast(parts), "split").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    i = images.groupBy("split", "part").agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "width", "height"))).alias("images"))
-    anns = anns.join(F.broadcast(parts), "split").withColumn("part", F.pmod(F.xxhash64("image_id"), F.col("_parts")).cast("int"))
-    a = anns.groupBy("split", "part").agg(F.array_sort(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("annotations"))
-    c = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
-    return i.join(a, ["split", "part"], "left").crossJoin(F.broadcast(c)).withColumn("info", F.struct(F.lit("1.0").alias("version")))  # one row: the classes
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("of") / images_each)).cast("int").alias("part")
+    one = F.struct("id", "file_name", "width", "height", "annotations")  # ids of annotations rise with those of images
+    docs = coco_images(labels, splits).select("split", part, one.alias("i")).groupBy("split", "part").agg(F.array_sort(F.collect_list("i")).alias("i"))
+    images = F.transform("i", lambda i: i.dropFields("annotations")).alias("images")
+    docs = docs.select("split", "part", images, F.flatten(F.transform("i", lambda i: i["annotations"])).alias("annotations"))
+    c = coco_categories(labels.sparkSession).agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
+    return docs.crossJoin(F.broadcast(c)).withColumn("info", F.struct(F.lit("1.0").alias("version")))  # one row: the classes
 
 
 def write_coco_json(labels: DataFrame, splits: DataFrame, path: str, images_each: int = 10_000) -> None:

@@ -76,6 +76,17 @@ def json_documents(spark: SparkSession, path: str, schema: str, one_per_file: bo
     return rows.withColumn("corrupt", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
+COCO = (
+    "split string, part int, info struct<version:string>, categories array<struct<id:long,name:string>>, images array<struct<id:long,file_name:string,width:int,height:int>>, "
+    "annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>"
+)
+
+
+def coco_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents as ``write_coco_json`` writes them, one row each; their schema is known, so they are not read once more to find it."""
+    return spark.read.schema(COCO).json(path)
+
+
 def _grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
     return pixels[:, :, 0] if channels < 3 else pixels[:, :, :3] @ (0.114, 0.587, 0.299)
