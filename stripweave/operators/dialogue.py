@@ -162,9 +162,12 @@ class Profiles:
         norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
         return 1 - sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm > 0 else 999.0
 
-    def _new(self, chapter: object) -> str:
+    def _number(self) -> str:
         self.made += 1
-        name = f"Character_{self.made:02d}"
+        return f"Character_{self.made:02d}"
+
+    def _new(self, chapter: object) -> str:
+        name = self._number()
         self.all[name] = {"aliases": [], "signatures": [], "first": chapter, "last": chapter, "seen": 0}
         return name
 
@@ -193,11 +196,14 @@ class Profiles:
 
     def display(self, profile: str) -> str:
         """The first of its names, or its number."""
-        return next(iter(self.all[profile]["aliases"]), profile)
+        return next(iter(self.all[profile]["aliases"]), profile) if profile in self.all else profile
 
     def observe(self, chapter: object, name: str | None, signature: list[float]) -> tuple[str, float, str]:
-        """The mention's profile, confidence and reason. A name known under one profile and a face known under another make them one."""
+        """The mention's profile, confidence and reason. A name known under one profile and a face known under another make them one. What has neither takes a number, but nothing
+        leads to it again and it is not kept: what is held grows with the characters, not with the mentions."""
         by_name = self.named(name, chapter) if name else None
+        if not by_name and not signature:
+            return self._number(), 0.42, "new_visual_profile"
         by_face, near = self.nearest(signature) if signature else (None, 0.0)
         if by_name and by_face and by_name != by_face:
             self.merge(by_name, by_face)

@@ -36,10 +36,10 @@ def keeps_state(
 
 class InOrder(StatefulProcessor):
     """Reads each key's rows of a batch in ``order``; ``bucket`` gives the number of the bucket of each row of a frame, rising with the
-    order."""
+    order. Frames are put together to ``together`` rows before they are parted into buckets: each bucket of each is an entry of the state."""
 
-    def __init__(self, order: Sequence[str], bucket: Callable[[pd.DataFrame], pd.Series]) -> None:
-        self.order, self.bucket = list(order), bucket
+    def __init__(self, order: Sequence[str], bucket: Callable[[pd.DataFrame], pd.Series], together: int = 1) -> None:
+        self.order, self.bucket, self.together = list(order), bucket, together
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pending = handle.getMapState("pending", "bucket long, frame int", "rows binary")
@@ -48,6 +48,7 @@ class InOrder(StatefulProcessor):
         pass
 
     def in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = self._together(frames)
         first = next(frames, None)
         second = next(frames, None)
         if first is None:
@@ -70,6 +71,17 @@ class InOrder(StatefulProcessor):
             for k in keys:
                 self.pending.removeKey(k)
 
+    def _together(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some, n = [], 0
+        for frame in frames:
+            some.append(frame)
+            n += len(frame)
+            if n >= self.together:
+                yield pd.concat(some) if len(some) > 1 else frame
+                some, n = [], 0
+        if some:
+            yield pd.concat(some)
+
     @staticmethod
     def _all(first: pd.DataFrame, second: pd.DataFrame, rest: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield first
@@ -168,8 +180,12 @@ class IdentityStream(InOrder):
 
     PROFILE = "aliases array<string>, signatures array<array<double>>, first long, last long, seen long"
 
+    #: Chapters of a bucket, and rows of a batch that are parted into buckets together.
+    BUCKET, TOGETHER = 512, 50_000
+
     def __init__(self) -> None:
-        super().__init__(["chapter", "block"], lambda frame: frame["chapter"])
+        each = self.BUCKET
+        super().__init__(["chapter", "block"], lambda frame: frame["chapter"] // each, self.TOGETHER)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
