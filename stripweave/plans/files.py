@@ -9,7 +9,7 @@ from stripweave.operators import dataset as D
 from stripweave.operators import dialogue as L
 from stripweave.operators import panels as P
 from stripweave.operators import stories as T
-from stripweave.operators.folds import ordered_fold
+from stripweave.operators.folds import ordered_fold, parts
 from stripweave.operators.stitching import stitch_chain
 from stripweave.plans.attempts import ARM_SQL, METHODS
 from stripweave.plans.dataset import CLASS_SQL, COCO_IMAGES, LABELS, SPLITS, _with
@@ -203,10 +203,11 @@ def scan_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = {c: F.when(small & ~strange & ~broken, 8).otherwise(C(c)) for c in ("width", "height")}
     data = F.when(small & ~strange & ~broken, F.substring("data", 1, 64)).otherwise(C("data"))
     folder = work_dir(spark)
-    stored(write_pictures(rows.select(name.alias("path"), *(v.alias(c) for c, v in sides.items()), "channels", data.alias("data")), folder))
-    told = X.image_report(spark, folder).select(number.alias("vec_id"), "problem")
-    means = X.panel_stats(X.images(spark, folder)).select(number.alias("vec_id"), F.round("mean", 6).alias("mean"))
-    return told.join(means, "vec_id", "left")
+    rows = rows.select(name.alias("path"), *(v.alias(c) for c, v in sides.items()), "channels", data.alias("data"))
+    stored(write_pictures(rows.repartition(parts(rows)), folder))
+    seen = stored(X.scanned_images(spark, folder))
+    means = X.panel_stats(seen.filter("problem IS NULL")).select(number.alias("vec_id"), F.lit(None).cast("string").alias("problem"), F.round("mean", 6).alias("mean"))
+    return means.unionByName(seen.filter("problem IS NOT NULL").select(number.alias("vec_id"), "problem", F.lit(None).cast("double").alias("mean")))
 
 
 GREYS = "list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + v::DOUBLE * 200))))"

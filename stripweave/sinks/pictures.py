@@ -34,12 +34,16 @@ def write_pictures(pictures: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        made: set[str] = set()
         for batch in batches:
             sizes = []
             for r in batch.to_pylist():
                 png = r["path"].endswith(".png")
                 body = png_bytes(r["data"], r["width"], r["height"], r["channels"]) if png else r["data"]
-                store.create_dir(f"{root}/{r['path']}".rsplit("/", 1)[0], recursive=True)
+                own = f"{root}/{r['path']}".rsplit("/", 1)[0]
+                if own not in made:
+                    store.create_dir(own, recursive=True)
+                    made.add(own)
                 with store.open_output_stream(f"{root}/{r['path']}") as out:
                     out.write(body)
                 sizes.append(len(body))

@@ -35,17 +35,22 @@ def images(spark: SparkSession, path: str, least_side: int = 10) -> DataFrame:
     return rows.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data")).filter((F.col("width") >= least_side) & (F.col("height") >= least_side))
 
 
+def scanned_images(spark: SparkSession, path: str, stage: str = "stitch", least_side: int = 10) -> DataFrame:
+    """``path, problem`` of every file of a stage, and ``width, height, channels, data`` of those that can be decoded (else nulls). ``problem`` is null where ``images`` gives the file;
+    ``too_small`` where a side is; ``unknown_format`` where no reader of this kind is there (webp, avif); else ``unreadable``. The folder is listed and its files are opened once."""
+    rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
+    read = F.col("image.height") >= 0  # a file that cannot be decoded has sides below 0
+    sides = {"width": "width", "height": "height", "channels": "nChannels", "data": "data"}
+    rows = rows.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), *(F.when(read, F.col(f"image.{v}")).alias(k) for k, v in sides.items()))
+    ext = F.lower(F.substring_index(_name(F.col("path")), ".", -1))
+    none = F.when(ext.isin("webp", "avif"), "unknown_format").otherwise("unreadable")
+    problem = F.when(F.least("width", "height") < least_side, "too_small").when(F.col("height").isNull(), none)
+    return rows.filter(ext.isin(*EXTENSIONS[stage])).withColumn("problem", problem)
+
+
 def image_report(spark: SparkSession, path: str, stage: str = "stitch", least_side: int = 10) -> DataFrame:
-    """``path, problem`` of every file of a stage: null where ``images`` gives it; ``too_small`` where a side is; ``unknown_format`` where no
-    reader of this kind is there (webp, avif); else ``unreadable``."""
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    found = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    small = F.least("image.width", "image.height") < least_side
-    found = found.select(plain(F.col("image.origin")).alias("path"), small.alias("small"))
-    files = page_files(spark, path, stage).select(plain(F.col("path")).alias("path"), "ext")
-    none = F.when(F.col("ext").isin("webp", "avif"), "unknown_format").otherwise("unreadable")
-    problem = F.when(F.col("small"), "too_small").when(F.col("small").isNull(), none)
-    return files.join(found, "path", "left").select("path", problem.alias("problem"))
+    """``path, problem`` of every file of a stage, as ``scanned_images`` tells them."""
+    return scanned_images(spark, path, stage, least_side).select("path", "problem")
 
 
 BOX = "struct<x:double,y:double,width:double,height:double,class:string>"
